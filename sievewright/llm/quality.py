@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import grams, let, space_words, spaced
+from .columns import grams, let, spaced
 
 # Shares of character classes in ordinary prose
 # (lower-case and other letters, upper case, digits, white space, sentence marks, symbols, bytes beyond ASCII).
@@ -152,10 +152,12 @@ def quality_rules(
     named = lambda **columns: {f"_quality_{k}": v for k, v in columns.items()}
     # Columns in steps, not lambdas, wherever that will do: outside lambdas the functions are compiled.
     out = docs.withColumns(named(text=F.coalesce(F.col(text_col), F.lit("")), lang=F.lower(F.coalesce(F.col(lang_col), F.lit("")))))
-    out = out.withColumns(named(words=space_words(text), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), rest=_remainder(text)))
-    out = out.withColumns(named(hashes=grams(words, WINDOW), n=F.size(words), chars=F.char_length(F.replace(spaced(text), F.lit(" "), F.lit(""))), common=_shares(_common_histogram(words, lang))))
-    n_chars, word_chars = F.char_length(text), F.col("_quality_chars")
-    out = out.withColumns(named(distinct=F.array_distinct(hashes), classes=_shares(_class_histogram(n_chars, rest, n_chars - word_chars))))
+    out = out.withColumns(named(pieces=F.split(spaced(text), " "), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), rest=_remainder(text)))
+    # Each space parts two pieces, empty ones included, so their number gives the white space.
+    out = out.withColumns(named(words=F.array_remove("_quality_pieces", ""), space=F.size("_quality_pieces") - 1))
+    out = out.withColumns(named(hashes=grams(words, WINDOW), n=F.size(words), common=_shares(_common_histogram(words, lang))))
+    n_chars, n_space = F.char_length(text), F.col("_quality_space")
+    out = out.withColumns(named(distinct=F.array_distinct(hashes), classes=_shares(_class_histogram(n_chars, rest, n_space))))
     repeat, failed, class_js, common_js = (F.col(f"_quality_{x}") for x in ("repeat", "failed", "class_js", "common_js"))
     out = out.withColumns(named(repeat=repeated_words(hashes, F.col("_quality_distinct"))))
     against_common = _by_language(lang, {k: divergence(common, v) for k, v in common_references().items()}, F.lit(0.0))
@@ -168,7 +170,7 @@ def quality_rules(
     )
     verdict = F.struct(
         n_words.cast("bigint").alias("n_words"),
-        word_chars.cast("bigint").alias("word_chars"),
+        (n_chars - n_space).cast("bigint").alias("word_chars"),
         F.regexp_count(rest, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
