@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .decontaminate import decontaminate
+from .htmltree import extract_pages
 from .licenses import scan_licenses
 from .linededup import dedup_lines
+from .mixing import mix_sources
+from .oracles import ORACLES
 from .ppm import score_documents
 from .quality import quality_rules
 from .sharding import assign_shards
@@ -26,12 +29,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    fields = ("source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    return mixed.select("doc_id", *(F.col(f"mix.{f}").alias(f) for f in fields))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     fields = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     return found.select("doc_id", *(F.col(f"licenses.{f}").alias(f) for f in fields))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -61,7 +74,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
+    "op4_html_extraction": op4_html_extraction,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
@@ -70,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
