@@ -29,7 +29,7 @@ set size); null ids stand for no document: they link, and get a null component w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,40 +57,116 @@ LAST = 2**63 - 1
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+_rng = np.random.default_rng(20_240_501)
+_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PIECE = 1 << 20
+
+
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, _BASE, np.uint64))])
+
+
+_POWERS = _powers(1 << 12)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word between white space, in order, A-Z taken as a-z, and where each word begins.
+
+    The hash is a polynomial in the word's bytes, mixed; all of it is array work, so many texts are best given at once.
+    """
+    b = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(~_GAP[b])
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    first = np.flatnonzero(at[1:] - at[:-1] > 1)
+    first += 1
+    first = np.concatenate([np.zeros(1, first.dtype), first])
+    lengths = np.empty(len(first), np.int64)
+    lengths[:-1] = first[1:] - first[:-1]
+    lengths[-1] = len(at) - first[-1]
+    starts = at[first]
+    offset = at - np.repeat(starts, lengths)
+    longest = int(lengths.max())
+    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+    h = _BYTE[b[at]]
+    h *= powers[offset]
+    h = np.add.reduceat(h, first)
+    return _mix(h ^ lengths.astype(np.uint64)), starts
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Stretches of about _PIECE bytes that end at white space, so that long texts need no long arrays at once."""
+    start = 0
+    while len(data) - start > _PIECE:
+        cut = max(data.rfind(c, start, start + _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+        while cut < start:  # a word longer than a piece
+            found = [i for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f") if (i := data.find(c, start + _PIECE)) >= 0]
+            cut = min(found, default=len(data))
+        yield data[start:cut]
+        start = cut
+    yield data[start:]
+
+
 class Shingler:
     def __init__(self, k: int = WORDS):
-        self.k, self.known = k, _Hashes()
+        self.k = k
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The sorted distinct shingle hashes of a text."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint64)
-        if n < self.k:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)], np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, n)
-        total = np.zeros(n - self.k + 1, np.uint64)
+        return next(self.many([text]))
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The sets of texts, in order; short texts are hashed together."""
+        held, size = [], 0
+        for t in texts:
+            data = (t or "").encode("utf-8", "surrogatepass")
+            if size + len(data) > _PIECE:
+                yield from self._together(held)
+                held, size = [], 0
+            if len(data) > _PIECE:
+                yield self._set(np.concatenate([word_hashes(p)[0] for p in _pieces(data)]))
+            else:
+                held.append(data)
+                size += len(data) + 1
+        yield from self._together(held)
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        h, starts = word_hashes(b" ".join(texts))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+        runs = self._runs(h) if len(h) >= self.k else None
+        low = 0
+        for high in ends:
+            yield self._set(h[low:high], None if runs is None else runs[low : max(low, high - self.k + 1)])
+            low = high
+
+    def _runs(self, h: np.ndarray) -> np.ndarray:
+        n = len(h) - self.k + 1
+        total = np.zeros(n, np.uint64)
         for j in range(self.k):
-            total += h[j : n - self.k + 1 + j] * _P[j % len(_P)] * np.uint64(2 * (j // len(_P)) + 1)
-        total = np.sort(_mix(total))
-        return total[np.r_[True, total[1:] != total[:-1]]] if len(total) > 1 else total
+            total += h[j : n + j] * (_P[j % len(_P)] * np.uint64(2 * (j // len(_P)) + 1))
+        return _mix(total)
+
+    def _set(self, words: np.ndarray, runs: np.ndarray | None = None) -> np.ndarray:
+        if not len(words):
+            return words
+        if len(words) < self.k:
+            return np.array([xxhash.xxh64_intdigest(words.tobytes(), seed=len(words))], np.uint64)
+        out = np.sort(self._runs(words) if runs is None else runs)
+        new = out[1:] != out[:-1]
+        return out if new.all() else np.concatenate([out[:1], out[1:][new]])
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -106,9 +182,15 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.nda
     need = prefix_length(len(shingles))
     if not len(common):
         return shingles[:need]
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    hot = common[at] == shingles
-    out = shingles[~hot][:need]
+    upto = min(len(shingles), need + 16)
+    while True:
+        part = shingles[:upto]
+        at = np.minimum(np.searchsorted(common, part), len(common) - 1)
+        hot = common[at] == part
+        out = part[~hot][:need]
+        if len(out) == need or upto == len(shingles):
+            break
+        upto = min(len(shingles), 2 * upto)
     if len(out) < need:
         ordered = shingles[hot][np.argsort(rank[at[hot]], kind="stable")]
         out = np.concatenate([out, ordered[: need - len(out)]])
@@ -217,8 +299,7 @@ def _survey(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             sizes, nodes = [], []
-            for t in b.column("text"):
-                s = shingle(t.as_py())
+            for s in shingle.many(t.as_py() for t in b.column("text")):
                 sizes.append(len(s))
                 nodes.append(_node(s) if len(s) else None)
                 chunk.append(s)
@@ -241,8 +322,7 @@ def _prefixes(docs: DataFrame, common) -> DataFrame:
         shingle, seen = Shingler(), set()
         for b in batches:
             tokens, nodes, sizes = [], [], []
-            for t in b.column("text"):
-                s = shingle(t.as_py())
+            for s in shingle.many(t.as_py() for t in b.column("text")):
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
                     p = prefix(s, tokens_sorted, rank)
@@ -275,28 +355,16 @@ def _bloom(ids: DataFrame) -> DataFrame:
     return ids.mapInArrow(run, "bits binary")
 
 
-def _sets_of(docs: DataFrame, bits) -> DataFrame:
-    """(id, node, shingles) of documents that may be wanted."""
+def _maybe_wanted(rows: DataFrame, bits) -> DataFrame:
+    """The rows whose id is in the filter, and a few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, shingle = np.unpackbits(np.frombuffer(bits.value, np.uint8)), Shingler()
+        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8))
         for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            first, second = _bloom_places(ids)
-            at = np.flatnonzero(wanted[first] & wanted[second])
-            text = b.column("text")
-            for part in np.array_split(at, max(1, len(at) // 500)):
-                sets = [shingle(text[int(i)].as_py()) for i in part]
-                kept = [(int(ids[i]), s) for i, s in zip(part, sets) if len(s)]
-                if kept:
-                    lengths = np.cumsum([0] + [len(s) for _, s in kept])
-                    values = pa.array(np.concatenate([s for _, s in kept]).view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i for i, _ in kept], pa.int64()), pa.array([_node(s) for _, s in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)],
-                        ["id", "node", "shingles"],
-                    )
-
-    return docs.mapInArrow(run, "id bigint, node bigint, shingles array<bigint>")
+            first, second = _bloom_places(b.column("id").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array((wanted[first] & wanted[second]).astype(bool)))
+
+    return rows.mapInArrow(run, "id bigint, text string")
 
 
 def _in_groups(rows: DataFrame, keys: list[str], work, ddl: str) -> DataFrame:
@@ -326,26 +394,35 @@ def _in_groups(rows: DataFrame, keys: list[str], work, ddl: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
-def _as_set(x: pa.Scalar) -> np.ndarray:
-    return x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+def _sets(group: list[dict]) -> tuple[list[dict], list[int], list[np.ndarray]]:
+    """Rows, nodes and sets of a group, a row a node; rows of another text under the node's id fall out."""
+    seen, kept, nodes, sets = set(), [], [], []
+    for r, x in zip(group, Shingler().many(r["text"].as_py() for r in group)):
+        node = r["node"].as_py()
+        role = (node, "query" in r and r["query"].as_py())
+        if role not in seen and _node(x) == node:
+            seen.add(role)
+            kept.append(r)
+            nodes.append(node)
+            sets.append(x)
+    return kept, nodes, sets
 
 
 def _first_pass(group: list[dict]) -> list[tuple[int, int]]:
-    """(node, root) in a leaf, the pivot's own row included."""
-    nodes = [r["node"].as_py() for r in group]
-    order = sorted(range(len(nodes)), key=lambda i: (not group[i]["pivot"].as_py(), nodes[i]))
-    order = [i for j, i in enumerate(order) if not j or nodes[i] != nodes[order[j - 1]]]
-    roots = join_local([_as_set(group[i]["shingles"]) for i in order])
-    return [(nodes[i], nodes[order[r]]) for i, r in zip(order, roots)]
+    """(node, root) in a leaf; the pivot, where it is, comes first and so is the root of what it is linked to."""
+    rows, nodes, sets = _sets(sorted(group, key=lambda r: (not r["pivot"].as_py(), r["node"].as_py())))
+    roots = join_local(sets) if sets else []
+    return [(n, nodes[r]) for n, r in zip(nodes, roots)]
 
 
 def _second_pass(group: list[dict]) -> list[tuple[int, int]]:
     """(node, node) edges between queries and a leaf's own nodes."""
-    sets, nodes = [_as_set(r["shingles"]) for r in group], [r["node"].as_py() for r in group]
-    queries = [i for i, r in enumerate(group) if r["query"].as_py()]
-    known = [r["root"].as_py() for r in group]
-    roots = join_local(sets, queries, known)
-    return [(nodes[i], nodes[r]) for i, r in enumerate(roots) if i != r and known[i] != known[r]]
+    rows, nodes, sets = _sets(group)
+    queries = [i for i, r in enumerate(rows) if r["query"].as_py()]
+    if not queries or len(queries) == len(rows):
+        return []
+    roots = join_local(sets, queries, [r["root"].as_py() for r in rows])
+    return [(nodes[i], nodes[r]) for i, r in enumerate(roots) if i != r]
 
 
 def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, common: int = COMMON) -> DataFrame:
@@ -366,8 +443,8 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     chain = F.expr("lag(struct(node, n)) over (partition by token order by n, node)")
     edges = _prefixes(rows, shared).withColumn("before", chain)
     edges = edges.where((F.col("before.node") != F.col("node")) & (F.col("before.n") * DENOMINATOR >= F.col("n") * NUMERATOR))
-    edges = edges.groupBy(F.greatest("node", "before.node").alias("src"), F.least("node", "before.node").alias("dst")).agg(F.count("*").alias("times"))
-    groups = connected_components(edges.select("src", "dst"))
+    edges = edges.select(F.greatest("node", "before.node").alias("src"), F.least("node", "before.node").alias("dst")).distinct()
+    groups = connected_components(materialise(edges, "near-edges"))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n_nodes"), F.min("node").alias("pivot"))
     placed = groups.join(sizes, "component").withColumn("leaves", F.ceil(F.col("n_nodes") / leaf_nodes).cast("bigint"))
@@ -378,22 +455,22 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     for r in _bloom(wanted.select("id").coalesce(8)).toLocalIterator():
         bits |= np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(bits.tobytes())
-    sets = _sets_of(rows, sent).join(wanted, ["node", "id"]).dropDuplicates(["node"])
-    sets = materialise(sets.select("node", "component", "leaves", "leaf", (F.col("node") == F.col("pivot")).alias("pivot"), "shingles"), "near-sets")
+    texts = _maybe_wanted(rows, sent).join(wanted, "id")
+    texts = materialise(texts.select("node", "component", "leaves", "leaf", (F.col("node") == F.col("pivot")).alias("pivot"), "text"), "near-texts")
 
-    extra = sets.where(F.col("pivot") & (F.col("leaves") > 1)).withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
-    first = sets.unionByName(extra).select("component", "leaf", "node", "pivot", "shingles")
+    extra = texts.where(F.col("pivot") & (F.col("leaves") > 1)).withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
+    first = texts.unionByName(extra).select("component", "leaf", "node", "pivot", "text")
     first = materialise(_in_groups(first, ["component", "leaf"], _first_pass, "node bigint, root bigint"), "near-first")
 
-    large = sets.where(F.col("leaves") > 1)
+    large = texts.where(F.col("leaves") > 1)
     roots = first.groupBy("node").agg(F.min("root").alias("root"))
     pivots = large.where("pivot").select("component", F.col("node").alias("pivot_node"))
     labelled = large.join(roots, "node").join(pivots, "component").withColumn("apart", F.col("root") != F.col("pivot_node"))
     apart = labelled.where("apart").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("leaves")).cast("bigint")))
     blocks = apart.select("component", "block").distinct()
     asked = apart.withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
-    asked = asked.select("component", "leaf", "block", "node", "root", F.lit(True).alias("query"), "shingles")
-    held = labelled.join(blocks, "component").select("component", "leaf", "block", "node", "root", F.lit(False).alias("query"), "shingles")
+    asked = asked.select("component", "leaf", "block", "node", "root", F.lit(True).alias("query"), "text")
+    held = labelled.join(blocks, "component").select("component", "leaf", "block", "node", "root", F.lit(False).alias("query"), "text")
     second = _in_groups(asked.unionByName(held), ["component", "leaf", "block"], _second_pass, "node bigint, root bigint")
 
     inside = first.select("node", "root").distinct()
