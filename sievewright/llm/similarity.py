@@ -11,9 +11,10 @@ no linked pair is split:
 
 * Documents with equal sets are one node.
 * Shingles have a fixed order, common ones last (those seen often anywhere, from counts over all documents). Two sets
-  that overlap enough share one of their first n - ceil(0.8 n) + 1 shingles. Rows of a shingle, sorted by set size,
-  are chained where sizes allow a link; components of the chains are the candidates' groups, and linked documents are
-  always in the same group.
+  that overlap enough share one of their first n - ceil(0.8 n) + 1 shingles. The nodes that share such a shingle are a
+  block, and a block's points are searched for pairs that the bound lets through (``Blocks``). Components of these
+  pairs are the candidates' groups, so linked documents are always in the same group, and documents that share a
+  passage only are hardly ever.
 * A group of up to ``leaf_nodes`` nodes is one tree in one task. Larger ones are dealt by hash into leaves of that
   size. In a first pass each leaf is joined with itself and with one pivot of the group; copies of one text meet in the
   pivot. Only nodes that are not linked to the pivot that way are then run against the other leaves, in blocks.
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -207,11 +209,21 @@ def vectors(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
     return out
 
 
+def pack(point: np.ndarray) -> bytes:
+    """A point in few bytes; counts beyond their width stand for any number, as the bound must never fall short."""
+    return np.minimum(point, 65_535).astype("<u2").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    point = np.frombuffer(data, "<u2").astype(np.int64)
+    return np.where(point == 65_535, 1 << 40, point)
+
+
 class RTree:
     """Points packed bottom-up in an order that keeps sizes together; every node knows the largest coordinates below it."""
 
-    def __init__(self, points: np.ndarray, fanout: int = FANOUT):
-        self.fanout, sizes = fanout, points.sum(1)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
+        self.fanout = fanout
         self.order = np.lexsort((*(points[:, j] for j in range(min(4, points.shape[1]))), sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []
@@ -221,9 +233,8 @@ class RTree:
             high, low, big = np.maximum.reduceat(high, cuts, axis=0), np.minimum.reduceat(low, cuts), np.maximum.reduceat(big, cuts)
             self.levels.append((high, low, big))
 
-    def search(self, point: np.ndarray) -> np.ndarray:
-        """Indices of all points whose overlap with point could make a link."""
-        n = int(point.sum())
+    def search(self, point: np.ndarray, n: int) -> np.ndarray:
+        """Indices of all points whose overlap with point, of n shingles, could make a link."""
         # overlap / (n + m - overlap) >= a/b  <=>  (a + b) * overlap >= a * (n + m)
         a, b = NUMERATOR, DENOMINATOR
         at = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.points))
@@ -270,10 +281,10 @@ def join_local(sets: list[np.ndarray], queries: list[int] | None = None, known:
             j = union.find(first.setdefault(label, i))
             if (i := union.find(i)) != j:
                 union.join(i, j)
-    points = vectors(sets)
-    tree = RTree(points)
+    points, sizes = vectors(sets), np.array([len(x) for x in sets])
+    tree = RTree(points, sizes)
     for i in range(n) if queries is None else queries:
-        for j in map(int, tree.search(points[i])):
+        for j in map(int, tree.search(points[i], int(sizes[i]))):
             if i == j or (queries is None and j > i):
                 continue
             a, b = union.find(i), union.find(j)
@@ -282,36 +293,126 @@ def join_local(sets: list[np.ndarray], queries: list[int] | None = None, known:
     return [union.find(i) for i in range(n)]
 
 
+class Blocks:
+    """Spanning edges of the pairs that share a shingle and whose points could belong to linked sets.
+
+    One instance sees all blocks of a task; pairs already connected there are not looked at again, and points are
+    compared by the bound only. Small blocks are compared at once, large ones by an R-tree, after neighbours in order
+    of size and first counts have been joined, so that a block of copies costs little more than its length.
+    """
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.failed: set[tuple[int, int]] = set()
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    def join(self, x: int, y: int) -> list[tuple[int, int]]:
+        a, b = self.find(x), self.find(y)
+        if a == b:
+            return []
+        self.up[max(a, b)] = min(a, b)
+        return [(x, y)]
+
+    def edges(self, nodes: list[int], sizes: list[int], points: list[bytes]) -> list[tuple[int, int]]:
+        roots = [self.find(x) for x in nodes]
+        if len(set(roots)) == 1:
+            return []
+        if len(nodes) == 2:
+            pair = (min(nodes), max(nodes))
+            if pair in self.failed:
+                return []
+            if self._near(sizes[0], unpack(points[0]), sizes[1], unpack(points[1])):
+                return self.join(*pair)
+            if len(self.failed) > 2_000_000:
+                self.failed.clear()
+            self.failed.add(pair)
+            return []
+        grid, n = np.stack([unpack(p) for p in points]), np.array(sizes)
+        out: list[tuple[int, int]] = []
+        order = np.lexsort((grid[:, 0], n)).tolist()
+        for i, j in zip(order, order[1:]):
+            if self.find(nodes[i]) != self.find(nodes[j]) and self._near(sizes[i], grid[i], sizes[j], grid[j]):
+                out += self.join(nodes[i], nodes[j])
+        count: dict[int, int] = {}
+        for x in nodes:
+            r = self.find(x)
+            count[r] = count.get(r, 0) + 1
+        most = max(count, key=count.__getitem__)
+        left = [i for i, x in enumerate(nodes) if self.find(x) != most]
+        tree = RTree(grid, n) if left else None
+        for i in left:
+            for j in tree.search(grid[i], sizes[i]).tolist():
+                out += self.join(nodes[i], nodes[j])
+        return out
+
+    @staticmethod
+    def _near(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+        a, b = NUMERATOR, DENOMINATOR
+        return n * b >= m * a and m * b >= n * a and (a + b) * int(np.minimum(x, y).sum()) >= a * (n + m)
+
+
+def _block_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst) from rows (token, node, n, point); the rows of a token are one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, now, out = Blocks(), None, []
+        nodes, sizes, points = [], [], []
+        for b in batches:
+            for token, node, n, point in zip(*(b.column(c).to_pylist() for c in ("token", "node", "n", "point"))):
+                if token != now:
+                    if len(nodes) > 1:
+                        out += blocks.edges(nodes, sizes, points)
+                    now, nodes, sizes, points = token, [], [], []
+                if not nodes or node != nodes[-1]:
+                    nodes.append(node)
+                    sizes.append(n)
+                    points.append(point)
+        if len(nodes) > 1:
+            out += blocks.edges(nodes, sizes, points)
+        for i in range(0, len(out), 50_000):
+            a, b = zip(*out[i : i + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
+
+    return rows.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "src bigint, dst bigint")
+
+
 # --- passes over the documents --------------------------------------------------------------------------------------
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """(id, n, node) of every row, and (token, n) of shingles that are frequent in a part of the documents."""
+    """(id, n, node, point) of every row, and (token, n) of shingles that are frequent in a part of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, chunk, held = Shingler(), [], 0
+        names = ["id", "n", "node", "point", "token"]
 
         def frequent() -> pa.RecordBatch:
             u, n = np.unique(np.concatenate(chunk), return_counts=True)
             u, n = u[n >= COMMON_AT], n[n >= COMMON_AT]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.array(u.view(np.int64))], ["id", "n", "node", "token"])
+            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64))], names)
 
         for b in batches:
-            sizes, nodes = [], []
+            sizes, nodes, points = [], [], []
             for s in shingle.many(t.as_py() for t in b.column("text")):
                 sizes.append(len(s))
                 nodes.append(_node(s) if len(s) else None)
+                points.append(pack(vectors([s])[0]) if len(s) else None)
                 chunk.append(s)
                 held += len(s)
                 if held > CHUNK:
                     yield frequent()
                     chunk, held = [], 0
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.int64())], ["id", "n", "node", "token"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.nulls(len(sizes), pa.int64())], names)
         if chunk:
             yield frequent()
 
-    return docs.mapInArrow(run, "id bigint, n bigint, node bigint, token bigint")
+    return docs.mapInArrow(run, "id bigint, n bigint, node bigint, point binary, token bigint")
 
 
 def _prefixes(docs: DataFrame, common) -> DataFrame:
@@ -431,6 +532,7 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "text")
     survey = materialise(_survey(rows), "near-survey")
     members = survey.where(F.col("token").isNull()).select("id", "n", "node")
+    owners = survey.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.first("point").alias("point"))
     frequent = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("times"))
     top = frequent.orderBy(F.desc("times"), "token").limit(common).toArrow()
     tokens, times = top["token"].to_numpy().view(np.uint64), top["times"].to_numpy()
@@ -440,17 +542,16 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     at = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[at], rank[at]))
 
-    chain = F.expr("lag(struct(node, n)) over (partition by token order by n, node)")
-    edges = _prefixes(rows, shared).withColumn("before", chain)
-    edges = edges.where((F.col("before.node") != F.col("node")) & (F.col("before.n") * DENOMINATOR >= F.col("n") * NUMERATOR))
-    edges = edges.select(F.greatest("node", "before.node").alias("src"), F.least("node", "before.node").alias("dst")).distinct()
-    groups = connected_components(materialise(edges, "near-edges"))
+    # Only shingles that two nodes share go on, with the points; most rows end here.
+    extent = W.partitionBy("token")
+    found = _prefixes(rows, shared).withColumns({"low": F.min("node").over(extent), "high": F.max("node").over(extent)})
+    blocks = found.where("low < high").select("token", "node", "n").join(owners.select("node", "point"), "node")
+    groups = connected_components(materialise(_block_edges(blocks), "near-edges"))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n_nodes"), F.min("node").alias("pivot"))
     placed = groups.join(sizes, "component").withColumn("leaves", F.ceil(F.col("n_nodes") / leaf_nodes).cast("bigint"))
     placed = materialise(placed.withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves"))), "near-groups")
-    owners = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
-    wanted = owners.join(placed, "node")
+    wanted = owners.drop("point").join(placed, "node")
     bits = np.zeros(BLOOM_BITS // 8, np.uint8)
     for r in _bloom(wanted.select("id").coalesce(8)).toLocalIterator():
         bits |= np.frombuffer(r["bits"], np.uint8)
@@ -479,7 +580,7 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     labels = inside.join(merged.withColumnRenamed("component", "whole"), "node", "left")
     labels = labels.groupBy("node").agg(F.min(F.coalesce("whole", "root")).alias("label"))
 
-    known = owners.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    known = owners.drop("point").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = known.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = known.join(least, "label").select("node", "component_id")
     # Rows that share an id are one document.
