@@ -10,8 +10,10 @@ lie near each other, and every query would walk most of it. So documents are fir
 no linked pair is split:
 
 * Documents with equal sets are one node.
-* Shingles have a fixed order, common ones last (those seen often anywhere, from counts over all documents). Two sets
-  that overlap enough share one of their first n - ceil(0.8 n) + 1 shingles. The nodes that share such a shingle are a
+* Large sets are cut into parts by a hash of the shingle: if two sets overlap enough, then so do both of some part of
+  them, and small parts of unrelated sets are told apart by few groups.
+* Shingles have a fixed order, common ones last (those seen often anywhere, from counts over all documents). Two parts
+  that overlap enough share one of their first n - ceil(0.8 n) + 1 shingles. The parts that share such a shingle are a
   block, and a block's points are searched for pairs that the bound lets through (``Blocks``). Components of these
   pairs are the candidates' groups, so linked documents are always in the same group, and documents that share a
   passage only are hardly ever.
@@ -53,6 +55,8 @@ COMMON = 200_000
 #: A shingle is put forward as common by a task that meets it so often in CHUNK shingles.
 COMMON_AT = 6
 CHUNK = 2_000_000
+#: Sets beyond this size are cut into parts by hash, a power of PARTING of them, for the search of blocks.
+PART_SIZE, PARTING = 768, 4
 BLOOM_BITS = 1 << 25
 LAST = 2**63 - 1
 
@@ -199,6 +203,31 @@ def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.nda
     return out
 
 
+def parting(n: int) -> int:
+    """Into how many parts a set of n shingles is cut."""
+    parts = 1
+    while n > PART_SIZE * parts:
+        parts *= PARTING
+    return parts
+
+
+def parts_of(node: int, shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(parting, part, shingles) for every parting that a pair of this set, as its larger or smaller one, is held by.
+
+    A pair is held by the parting of its smaller set. If two sets overlap enough, so do both of some part of them.
+    """
+    n = len(shingles)
+    for k in sorted({parting(n), parting(-(-n * NUMERATOR // DENOMINATOR))}):
+        if k == 1:
+            yield 1, node, shingles
+            continue
+        place = (shingles >> np.uint64(40)) & np.uint64(k - 1)
+        for c in range(k):
+            part = shingles[place == np.uint64(c)]
+            if len(part):
+                yield k, xxhash.xxh3_64_intdigest(b"%d.%d.%d" % (node, k, c)) >> 1, part
+
+
 # --- within one tree ------------------------------------------------------------------------------------------------
 
 
@@ -281,7 +310,12 @@ def join_local(sets: list[np.ndarray], queries: list[int] | None = None, known:
             j = union.find(first.setdefault(label, i))
             if (i := union.find(i)) != j:
                 union.join(i, j)
-    points, sizes = vectors(sets), np.array([len(x) for x in sets])
+    sizes = np.array([len(x) for x in sets])
+    # Enough groups that unrelated sets of these sizes lie apart.
+    groups = GROUPS
+    while groups < 4096 and groups * 10 < sizes.max():
+        groups *= 2
+    points = vectors(sets, groups)
     tree = RTree(points, sizes)
     for i in range(n) if queries is None else queries:
         for j in map(int, tree.search(points[i], int(sizes[i]))):
@@ -385,57 +419,62 @@ def _block_edges(rows: DataFrame) -> DataFrame:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """(id, n, node, point) of every row, and (token, n) of shingles that are frequent in a part of the documents."""
+    """(id, n, node) of every row, (part, n, node, point) of parts of sets, and (token, n) of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, chunk, held = Shingler(), [], 0
-        names = ["id", "n", "node", "point", "token"]
+        shingle, seen, chunk, held = Shingler(), set(), [], 0
+        names = ["id", "n", "node", "part", "point", "token"]
 
         def frequent() -> pa.RecordBatch:
             u, n = np.unique(np.concatenate(chunk), return_counts=True)
             u, n = u[n >= COMMON_AT], n[n >= COMMON_AT]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, none, pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64))], names)
 
         for b in batches:
-            sizes, nodes, points = [], [], []
+            sizes, nodes, parts = [], [], []
             for s in shingle.many(t.as_py() for t in b.column("text")):
                 sizes.append(len(s))
                 nodes.append(_node(s) if len(s) else None)
-                points.append(pack(vectors([s])[0]) if len(s) else None)
+                if len(s) and nodes[-1] not in seen:
+                    seen.add(nodes[-1])
+                    parts += [(len(x), nodes[-1], part, pack(vectors([x])[0])) for _, part, x in parts_of(nodes[-1], s)]
                 chunk.append(s)
                 held += len(s)
                 if held > CHUNK:
                     yield frequent()
                     chunk, held = [], 0
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.nulls(len(sizes), pa.int64())], names)
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, pa.nulls(len(sizes), pa.binary()), none], names)
+            if parts:
+                n, node, part, point = zip(*parts)
+                none = pa.nulls(len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.int64()), pa.array(point, pa.binary()), none], names)
         if chunk:
             yield frequent()
 
-    return docs.mapInArrow(run, "id bigint, n bigint, node bigint, point binary, token bigint")
+    return docs.mapInArrow(run, "id bigint, n bigint, node bigint, part bigint, point binary, token bigint")
 
 
 def _prefixes(docs: DataFrame, common) -> DataFrame:
-    """(token, node, n) for the first shingles of every node; a task names a node once."""
+    """(token, part) for the first shingles of every part; tokens of each parting differ, and a task names a node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_sorted, rank = common.value
         shingle, seen = Shingler(), set()
         for b in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, parts = [], []
             for s in shingle.many(t.as_py() for t in b.column("text")):
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    p = prefix(s, tokens_sorted, rank)
-                    tokens.append(p)
-                    nodes.append(np.full(len(p), node, np.int64))
-                    sizes.append(np.full(len(p), len(s), np.int32))
+                    for k, part, x in parts_of(node, s):
+                        p = prefix(x, tokens_sorted, rank)
+                        tokens.append(p + np.uint64(k - 1) * _P[0])
+                        parts.append(np.full(len(p), part, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["token", "node", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(parts))], ["token", "part"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, node bigint, n int")
+    return docs.select("text").mapInArrow(run, "token bigint, part bigint")
 
 
 def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
@@ -531,8 +570,9 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), "text")
     survey = materialise(_survey(rows), "near-survey")
-    members = survey.where(F.col("token").isNull()).select("id", "n", "node")
-    owners = survey.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.first("point").alias("point"))
+    members = survey.where(F.col("token").isNull() & F.col("part").isNull()).select("id", "n", "node")
+    owners = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+    parts = survey.where(F.col("part").isNotNull()).groupBy("part").agg(*(F.first(c).alias(c) for c in ("node", "n", "point")))
     frequent = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("times"))
     top = frequent.orderBy(F.desc("times"), "token").limit(common).toArrow()
     tokens, times = top["token"].to_numpy().view(np.uint64), top["times"].to_numpy()
@@ -542,16 +582,16 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     at = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[at], rank[at]))
 
-    # Only shingles that two nodes share go on, with the points; most rows end here.
+    # Only shingles that two parts share go on, with the points; most rows end here.
     extent = W.partitionBy("token")
-    found = _prefixes(rows, shared).withColumns({"low": F.min("node").over(extent), "high": F.max("node").over(extent)})
-    blocks = found.where("low < high").select("token", "node", "n").join(owners.select("node", "point"), "node")
+    found = _prefixes(rows, shared).withColumns({"low": F.min("part").over(extent), "high": F.max("part").over(extent)})
+    blocks = found.where("low < high").select("token", "part").join(parts, "part").select("token", "node", "n", "point")
     groups = connected_components(materialise(_block_edges(blocks), "near-edges"))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n_nodes"), F.min("node").alias("pivot"))
     placed = groups.join(sizes, "component").withColumn("leaves", F.ceil(F.col("n_nodes") / leaf_nodes).cast("bigint"))
     placed = materialise(placed.withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves"))), "near-groups")
-    wanted = owners.drop("point").join(placed, "node")
+    wanted = owners.join(placed, "node")
     bits = np.zeros(BLOOM_BITS // 8, np.uint8)
     for r in _bloom(wanted.select("id").coalesce(8)).toLocalIterator():
         bits |= np.frombuffer(r["bits"], np.uint8)
@@ -580,7 +620,7 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     labels = inside.join(merged.withColumnRenamed("component", "whole"), "node", "left")
     labels = labels.groupBy("node").agg(F.min(F.coalesce("whole", "root")).alias("label"))
 
-    known = owners.drop("point").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    known = owners.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = known.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = known.join(least, "label").select("node", "component_id")
     # Rows that share an id are one document.
