@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import BANDS, CLASS_REFERENCE, COMMON_SHARE, COMMON_WORDS, BAND_PARTS
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = "translate(coalesce(text, ''), '" + _UPPER + "', '" + _UPPER.lower() + "')"
 
@@ -78,4 +80,62 @@ SELECT page_id, n AS payload_bytes, sha1(page.h) AS payload_digest,
 FROM page LEFT JOIN best ON page.h = best.h AND n >= 1000
 """
 
-ORACLES = {"op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}
+
+
+def _divergence(shares: list[str], reference: list[float]) -> str:
+    half = lambda x, y: f"CASE WHEN {x} > 0 THEN 0.5::double * {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+    return " + ".join(f"{half(p, f'{q!r}::double')} + {half(f'{q!r}::double', p)}" for p, q in zip(shares, reference))
+
+
+_REFERENCE = {k: [x / sum(v) for x in v] for k, v in CLASS_REFERENCE.items()}
+_MEAN = [sum(v[i] for v in _REFERENCE.values()) / len(_REFERENCE) for i in range(7)]
+_CLASS = [f"(greatest({c}, 0)::double / greatest(whole, 1))" for c in ("letters", "upper", "digits", "space", "marks", "odd", "beyond")]
+_CLASS_JS = "CASE l " + " ".join(f"WHEN '{k}' THEN {_divergence(_CLASS, v)}" for k, v in _REFERENCE.items()) + f" ELSE {_divergence(_CLASS, _MEAN)} END"
+_BAND = [f"(b{i}::double / n_words)" for i in range(BANDS)] + [f"((n_words - {' - '.join(f'b{i}' for i in range(BANDS))})::double / n_words)"]
+_COMMON_JS = "CASE l " + " ".join(f"WHEN '{k}' THEN {_divergence(_BAND, [v * p for p in BAND_PARTS] + [1 - v])}" for k, v in COMMON_SHARE.items()) + " ELSE 0 END"
+_WIDTH = 20 // BANDS
+
+
+def _in_band(i: int) -> str:
+    of = lambda words: ", ".join(f"'{w}'" for w in words[i * _WIDTH : (i + 1) * _WIDTH])
+    return "CASE l " + " ".join(f"WHEN '{k}' THEN len(list_filter(w, lambda x: x IN ({of(v)})))" for k, v in COMMON_WORDS.items()) + f" ELSE 0 END AS b{i}"
+
+
+
+
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(rest, '{pattern}'))"
+
+
+_UPPERS, _DIGITS, _SYMBOLS, _BEYOND = (_count(x) for x in ("[A-Z]", "[0-9]", "[#*$%&|<>]", r"[^\x00-\x7F]"))
+_MARKS = _count(r"""[.,;:!?''"()\-]""")
+_ODD = _count(r"[\x00-\x08\x0E-\x1F#*$%&|<>+/=@\[\]\\^_`{}~\x7F]")
+OP6 = f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(lang, '')) AS l, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         regexp_replace(coalesce(text, ''), '[a-z\\x20]+', '', 'g') AS rest, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), win AS (
+  SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id
+), facts AS (
+  SELECT doc_id, l, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars,
+         length(t) AS n_chars, {_SYMBOLS}::bigint AS n_symbols, coalesce(repeated.n, 0)::bigint AS n_repeat_words,
+         (len(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::bigint AS n_dup_lines,
+         {_UPPERS} AS upper, {_DIGITS} AS digits, {_MARKS} AS marks, {_ODD} AS odd, {_BEYOND} AS beyond,
+         {', '.join(_in_band(i) for i in range(BANDS))}
+  FROM doc LEFT JOIN repeated USING (doc_id)
+), space AS (
+  SELECT *, n_chars - word_chars AS space, n_chars - (upper + digits + n_chars - word_chars + marks + odd + beyond) AS letters FROM facts
+), whole AS (
+  SELECT *, greatest(letters, 0) + upper + digits + space + marks + odd + beyond AS whole, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM space
+), judged AS (
+  SELECT *, CASE WHEN n_chars >= 200 THEN {_CLASS_JS} ELSE 0 END AS class_js, CASE WHEN n_words >= 50 THEN {_COMMON_JS} ELSE 0 END AS common_js FROM whole
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_js + common_js <= 0.13::double AS kept FROM judged
+"""
+
+ORACLES = {"op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}

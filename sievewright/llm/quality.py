@@ -39,6 +39,8 @@ COMMON_WORDS = {
 COMMON_SHARE = {"en": 0.22, "fr": 0.22, "de": 0.21, "es": 0.21}
 
 BANDS = 4
+#: How common words share out over the bands.
+BAND_PARTS = (0.58, 0.20, 0.125, 0.095)
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
@@ -130,8 +132,7 @@ def _common_histogram(words: Column, lang: Column) -> Column:
 
 def common_references() -> dict[str, Column]:
     """Zipf-like: each band of five words holds a falling part of COMMON_SHARE."""
-    parts = (0.58, 0.20, 0.125, 0.095)
-    return {k: _literal([s * p for p in parts] + [1 - s]) for k, s in COMMON_SHARE.items()}
+    return {k: _literal([s * p for p in BAND_PARTS] + [1 - s]) for k, s in COMMON_SHARE.items()}
 
 
 def quality_rules(
