@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import CLASSES, SEED
+from ..config import CLASS_CAP, CLASSES, RATIOS, SEED, check_ratios
 from ..functions import arrays as A
 from ..functions import text as X
-from ..operators import dedup, sampling
+from ..operators import dedup, sampling, splits
 from ..operators.graph import connected_components
 from ..session import materialise, table
 from .views import hashed_pool
@@ -81,3 +83,34 @@ def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = connected_components(edges, "sequence_id", "source_id")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     return parts.join(sizes, "component").select(F.col("node").cast("bigint").alias("node"), F.col("component").cast("bigint").alias("component"), "n")
+
+
+def create_splits(rows: DataFrame, *, cap: int | None = CLASS_CAP, seed: int = SEED, ratios=RATIOS, aligned: bool = False) -> DataFrame:
+    """rows (path, class_name, source) with their split: each class capped (the second by seed + 1), then split by groups.
+
+    Aligned groups lie in one split across both classes; otherwise each class is split by itself, again by its own seed.
+    """
+    check_ratios(*ratios)
+    seeds = {c: seed + i for i, c in enumerate(CLASSES)}
+    used = reduce(DataFrame.unionByName, (sampling.seeded_cap(rows.where(F.col("class_name") == c), "path", cap, s) for c, s in seeds.items()))
+    used = materialise(used.select("path", "class_name", "source"), "split-rows")
+    if aligned:
+        placed = splits.grouped_greedy_split(splits.shared_groups(used, "source"), "source", seed, ratios).select("source", "split")
+        return used.join(placed, "source").select("path", "class_name", "source", "split")
+    groups = used.groupBy("class_name", "source").agg(F.count("*").alias("n"))
+    placed = [splits.prefix_sum_split(groups.where(F.col("class_name") == c), "class_name", "source", "n", s, ratios) for c, s in seeds.items()]
+    return used.join(reduce(DataFrame.unionByName, placed).drop("n"), ["class_name", "source"]).select("path", "class_name", "source", "split")
+
+
+def component_members(parts: DataFrame) -> DataFrame:
+    """The members of every component of (node, component), in order, as one name; components are small by nature."""
+    members = F.array_join(F.transform(F.sort_array(F.collect_set("node")), lambda x: x.cast("string")), "_")
+    return parts.groupBy("component").agg(members.alias("members"), F.count("*").alias("n"))
+
+
+def problem_lines(rows: DataFrame, limit: int = 50) -> DataFrame:
+    """The first problems (name, reason) as lines, in order of reason and name, and how many more there are."""
+    bad = rows.where(F.col("reason").isNotNull())
+    first = bad.orderBy("reason", "name").limit(limit)
+    more = bad.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("more"))
+    return first.crossJoin(more).select(F.concat_ws(": ", "reason", "name").alias("problem"), "more")

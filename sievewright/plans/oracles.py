@@ -60,6 +60,22 @@ SHARED = POOL + ", shared AS (SELECT source, count(*) FILTER (WHERE class_name =
 MANIFEST = HASHED + """, manifest AS (SELECT * FROM hashed WHERE doc_id % 4 <> 0), disk AS (
   SELECT doc_id, path, split, class_name, hash, CASE WHEN doc_id % 11 = 5 THEN md5(md5 || 'x') ELSE md5 END AS md5 FROM hashed WHERE doc_id % 7 <> 3
 )"""
+WALK = """o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || source), source) AS i, count(*) OVER () AS k FROM shared),
+        tot AS (SELECT sum(n_real)::double AS r, sum(n_fake)::double AS f FROM shared),
+        w AS (SELECT greatest(round_even(r * 0.7::double, 0), 1) AS r0, greatest(round_even(r * 0.15::double, 0), 1) AS r1, greatest(r - round_even(r * 0.7::double, 0) - round_even(r * 0.15::double, 0), 1) AS r2,
+                     greatest(round_even(f * 0.7::double, 0), 1) AS f0, greatest(round_even(f * 0.15::double, 0), 1) AS f1, greatest(f - round_even(f * 0.7::double, 0) - round_even(f * 0.15::double, 0), 1) AS f2 FROM tot),
+        walk(i, s, a0, a1, a2, b0, b1, b2) AS (
+          SELECT 0::bigint, -1, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double
+          UNION ALL
+          SELECT i, s, a0 + CASE WHEN s = 0 THEN n_real ELSE 0 END, a1 + CASE WHEN s = 1 THEN n_real ELSE 0 END, a2 + CASE WHEN s = 2 THEN n_real ELSE 0 END,
+                 b0 + CASE WHEN s = 0 THEN n_fake ELSE 0 END, b1 + CASE WHEN s = 1 THEN n_fake ELSE 0 END, b2 + CASE WHEN s = 2 THEN n_fake ELSE 0 END
+          FROM (SELECT i, n_real, n_fake, a0, a1, a2, b0, b1, b2, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS s
+                FROM (SELECT *, CASE WHEN must AND a0 + b0 > 0 THEN 1e300 ELSE (a0 + n_real) / r0 + (b0 + n_fake) / f0 END AS c0,
+                             CASE WHEN must AND a1 + b1 > 0 THEN 1e300 ELSE (a1 + n_real) / r1 + (b1 + n_fake) / f1 END AS c1,
+                             CASE WHEN must AND a2 + b2 > 0 THEN 1e300 ELSE (a2 + n_real) / r2 + (b2 + n_fake) / f2 END AS c2
+                      FROM (SELECT o.i, n_real, n_fake, a0, a1, a2, b0, b1, b2, w.*, ((a0 + b0 = 0)::int + (a1 + b1 = 0)::int + (a2 + b2 = 0)::int) AS e, k,
+                                   e > 0 AND k - o.i < e AS must
+                            FROM walk JOIN o ON o.i = walk.i + 1 CROSS JOIN w))))"""
 SEED = "('0x' || substr(sha256('42|' || split || '|' || class_name), 1, 12))::bigint"
 HUMAN = "CASE WHEN {0} < 1024 THEN printf('%.1f B', {0}) WHEN {0} / 1024 < 1024 THEN printf('%.1f KB', {0} / 1024) WHEN {0} / 1024 / 1024 < 1024 THEN printf('%.1f MB', {0} / 1024 / 1024) WHEN {0} / 1024 / 1024 / 1024 < 1024 THEN printf('%.1f GB', {0} / 1024 / 1024 / 1024) ELSE printf('%.1f TB', {0} / 1024 / 1024 / 1024 / 1024) END".format
 UPLOADS = """uploads AS (
@@ -128,22 +144,7 @@ ORACLES: dict[str, str] = {
     "split_targets": f"""WITH {POOL}, t AS (SELECT class_name, count(*)::bigint AS total FROM pool GROUP BY class_name), r AS (SELECT *, round_even(total::double * 0.7::double, 0)::bigint AS train, round_even(total::double * 0.15::double, 0)::bigint AS validation FROM t)
         SELECT class_name, total, train, validation, total - train - validation AS test FROM r""",
     "group_outer_merge": f"WITH {SHARED} SELECT source, n_real, n_fake FROM shared",
-    "grouped_greedy_split": f"""WITH RECURSIVE {SHARED}, o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || source), source) AS i, count(*) OVER () AS k FROM shared),
-        tot AS (SELECT sum(n_real)::double AS r, sum(n_fake)::double AS f FROM shared),
-        w AS (SELECT greatest(round_even(r * 0.7::double, 0), 1) AS r0, greatest(round_even(r * 0.15::double, 0), 1) AS r1, greatest(r - round_even(r * 0.7::double, 0) - round_even(r * 0.15::double, 0), 1) AS r2,
-                     greatest(round_even(f * 0.7::double, 0), 1) AS f0, greatest(round_even(f * 0.15::double, 0), 1) AS f1, greatest(f - round_even(f * 0.7::double, 0) - round_even(f * 0.15::double, 0), 1) AS f2 FROM tot),
-        walk(i, s, a0, a1, a2, b0, b1, b2) AS (
-          SELECT 0::bigint, -1, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double
-          UNION ALL
-          SELECT i, s, a0 + CASE WHEN s = 0 THEN n_real ELSE 0 END, a1 + CASE WHEN s = 1 THEN n_real ELSE 0 END, a2 + CASE WHEN s = 2 THEN n_real ELSE 0 END,
-                 b0 + CASE WHEN s = 0 THEN n_fake ELSE 0 END, b1 + CASE WHEN s = 1 THEN n_fake ELSE 0 END, b2 + CASE WHEN s = 2 THEN n_fake ELSE 0 END
-          FROM (SELECT i, n_real, n_fake, a0, a1, a2, b0, b1, b2, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS s
-                FROM (SELECT *, CASE WHEN must AND a0 + b0 > 0 THEN 1e300 ELSE (a0 + n_real) / r0 + (b0 + n_fake) / f0 END AS c0,
-                             CASE WHEN must AND a1 + b1 > 0 THEN 1e300 ELSE (a1 + n_real) / r1 + (b1 + n_fake) / f1 END AS c1,
-                             CASE WHEN must AND a2 + b2 > 0 THEN 1e300 ELSE (a2 + n_real) / r2 + (b2 + n_fake) / f2 END AS c2
-                      FROM (SELECT o.i, n_real, n_fake, a0, a1, a2, b0, b1, b2, w.*, ((a0 + b0 = 0)::int + (a1 + b1 = 0)::int + (a2 + b2 = 0)::int) AS e, k,
-                                   e > 0 AND k - o.i < e AS must
-                            FROM walk JOIN o ON o.i = walk.i + 1 CROSS JOIN w))))
+    "grouped_greedy_split": f"""WITH RECURSIVE {SHARED}, {WALK}
         SELECT source, n_real, n_fake, (['train', 'validation', 'test'])[s + 1] AS split FROM walk JOIN o USING (i)""",
     "leakage_audit": f"WITH {POOL} SELECT md5, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM pool GROUP BY md5 HAVING count(DISTINCT split) > 1",
     "leakage_summary": f"WITH {POOL}, g AS (SELECT count(DISTINCT split) AS k FROM pool GROUP BY md5) SELECT count(*)::bigint AS group_count, count(*) FILTER (WHERE k > 1)::bigint AS leaked_count, count(*) FILTER (WHERE k > 1) = 0 AS ok FROM g",
@@ -220,6 +221,21 @@ ORACLES: dict[str, str] = {
         r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
         SELECT node, component, (count(*) OVER (PARTITION BY component))::bigint AS n FROM c""",
 }
+_CAPPED = POOL + """, capped AS (
+  SELECT path, class_name, source FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY md5(CASE class_name WHEN 'real' THEN '42|' ELSE '43|' END || path), path) AS k FROM pool) WHERE k <= 300
+)"""
+ORACLES["create_splits_per_class"] = f"""WITH {_CAPPED}, groups AS (SELECT class_name, source, count(*) AS n, CASE class_name WHEN 'real' THEN '42|' ELSE '43|' END || source AS o FROM capped GROUP BY class_name, source),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY class_name ORDER BY md5(o), source) AS cum, sum(n) OVER (PARTITION BY class_name) AS total FROM groups),
+  t AS (SELECT *, cum - n AS before, round_even(total::double * 0.7::double, 0) AS tr, round_even(total::double * 0.15::double, 0) AS va FROM c),
+  g AS (SELECT *, CASE WHEN tr <= 0 THEN 0 ELSE coalesce(min(CASE WHEN cum >= tr THEN cum END) OVER (PARTITION BY class_name), total) END AS got FROM t)
+  SELECT class_name, CASE WHEN before < tr THEN 'train' WHEN before - got < va THEN 'validation' ELSE 'test' END AS split, sum(n)::bigint AS n FROM g GROUP BY ALL"""
+ORACLES["create_splits_aligned"] = f"""WITH RECURSIVE {_CAPPED}, shared AS (SELECT source, count(*) FILTER (WHERE class_name = 'real')::bigint AS n_real, count(*) FILTER (WHERE class_name = 'fake')::bigint AS n_fake FROM capped GROUP BY source), {WALK}
+  SELECT source, (['train', 'validation', 'test'])[s + 1] AS split, (n_real + n_fake)::bigint AS n FROM walk JOIN o USING (i)"""
+ORACLES["component_members"] = "WITH c AS (" + ORACLES["identity_components"] + ") SELECT component, string_agg(node::varchar, '_' ORDER BY node) AS members, count(*)::bigint AS n FROM c GROUP BY component"
+ORACLES["problem_lines"] = "WITH r AS (" + ORACLES["validation_reject_reason"].replace("SELECT doc_id, CASE", "SELECT filename AS name, CASE") + ") SELECT reject_reason || ': ' || name AS problem, greatest((SELECT count(*) FROM r WHERE reject_reason IS NOT NULL) - 50, 0)::bigint AS more FROM r WHERE reject_reason IS NOT NULL ORDER BY reject_reason, name LIMIT 50"
+ORACLES["markdown_table_cells"] = "SELECT doc_id, source || '/`a|b`/' || lang AS cells, 'left,center,right' AS alignment FROM documents"
+ORACLES["markdown_blocks"] = "SELECT doc_id, (['h1', 'h3', 'item', 'item', 'quote', 'rule', 'fence', 'row', 'blank', 'text'])[doc_id % 10 + 1] AS kind FROM documents"
+ORACLES["status_messages"] = f"WITH {POOL}, {GRID}, c AS (SELECT grid.split, grid.class_name, count(path) AS n FROM grid LEFT JOIN pool USING (split, class_name) GROUP BY ALL) SELECT split, class_name, CASE WHEN n = 0 THEN 'Nothing is there yet.' WHEN n > 40 THEN printf('Ready with %d rows.', n) ELSE printf('Not ready: %d rows.', n) END AS message FROM c"
 ORACLES["near_dedup_survivors"] = _greedy(7) + "SELECT path FROM ord WHERE i NOT IN (SELECT i FROM lost)"
 _SAMPLE = _greedy(3) + f""", kept AS (
   SELECT h.* FROM ord JOIN hashed h USING (path) WHERE ord.i NOT IN (SELECT i FROM lost)

@@ -413,6 +413,46 @@ def identity_components(spark, d):
     return build.identity_components(spark, d)
 
 
+@query
+def create_splits_per_class(spark, d):
+    return build.create_splits(pool(spark, d), cap=300).groupBy("class_name", "split").agg(F.count("*").alias("n"))
+
+
+@query
+def create_splits_aligned(spark, d):
+    return build.create_splits(pool(spark, d), cap=300, aligned=True).groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+@query
+def component_members(spark, d):
+    return build.component_members(build.identity_components(spark, d))
+
+
+@query
+def problem_lines(spark, d):
+    rows = _uploads(spark, d)
+    reason = reject_reason(*(F.col(c) for c in ("filename", "size_bytes", "width", "height", "format")))
+    return build.problem_lines(rows.select(F.col("filename").alias("name"), reason.alias("reason")))
+
+
+@query
+def markdown_table_cells(spark, d):
+    row = F.concat(F.lit("| "), F.col("source"), F.lit(" | `a|b` |"), F.col("lang"), F.lit("|"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.table_cells(row), "/").alias("cells"), F.array_join(X.cell_alignment(F.lit("|:--|:-:|--:|")), ",").alias("alignment"))
+
+
+@query
+def markdown_blocks(spark, d):
+    marks = F.array(*(F.lit(x) for x in ("# a", "### b", "- c", "1. d", "> e", "---", "```py", "| f |", "", "plain")))
+    return table(spark, d, "documents").select("doc_id", X.block_kind(F.get(marks, (F.col("doc_id") % 10).cast("int"))).alias("kind"))
+
+
+@query
+def status_messages(spark, d):
+    counts = audit.dense_counts(pool(spark, d))
+    return counts.select("split", "class_name", X.status_message(F.col("n") > 40, F.col("n")).alias("message"))
+
+
 @query
 def full_build(spark, d):
     return build.full_build(spark, d)

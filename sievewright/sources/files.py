@@ -123,3 +123,29 @@ def read_json(spark: SparkSession, path: str) -> DataFrame | None:
             return None
         raise
     return None if not out.columns or out.columns == ["_corrupt_record"] else out
+
+
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(x.getPath().toString() for x in found or () if x.isDirectory())
+
+
+def split_folders(spark: SparkSession, root: str) -> dict[tuple[str, str], str] | None:
+    """Folder of every (split, class) below root, by any of the splits' names; None unless all six are there."""
+    names = {alias: split for split, aliases in SPLIT_ALIASES.items() for alias in aliases}
+    found = {}
+    for folder in _folders(spark, f"{root.rstrip('/')}/*/*"):
+        *_, split, label = folder.rsplit("/", 2)
+        if split.lower() in names and label.lower() in CLASSES:
+            found.setdefault((names[split.lower()], label.lower()), folder)
+    return found if len(found) == len(SPLITS) * len(CLASSES) else None
+
+
+def find_pool_root(spark: SparkSession, folder: str) -> str:
+    """The first folder that holds a whole pool: the folder itself, else one up to three levels below, by level and name."""
+    for depth in range(4):
+        for root in _folders(spark, folder.rstrip("/") + "/*" * depth):
+            if split_folders(spark, root):
+                return root
+    raise CurationError(f"no folder in {folder} holds all splits and classes")

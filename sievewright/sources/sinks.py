@@ -36,3 +36,19 @@ def write_splits(rows: DataFrame, path: str, overwrite: bool = False) -> None:
         raise CurationError("two rows would get one name")
     writer = named.write.partitionBy("split", "class_name").mode("overwrite" if overwrite else "errorifexists")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def quarantine(rows: DataFrame, path: str) -> None:
+    """Invalid files' rows kept aside in a table, instead of deleting what they name."""
+    rows.where("status = 'invalid'").write.mode("append").parquet(path)
+
+
+def delete_invalid(rows: DataFrame, allow_delete: bool = False) -> int:
+    """Delete invalid (not unsupported) files, only if allowed; returns how many went. Paths come a partition at a time."""
+    if not allow_delete:
+        return 0
+    spark, gone = rows.sparkSession, 0
+    for r in rows.where("status = 'invalid'").select("path").toLocalIterator():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["path"])
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False))
+    return gone

@@ -212,6 +212,12 @@ def test_files_and_manifests(spark, tmp_path):
     assert [r["label"] for r in files.labelled_split(spark, f"{pool}/test").collect()] == [0, 0, 1, 1]
     with pytest.raises(CurationError):
         files.scan_pool(spark, f"{pool}/test")
+    assert files.find_pool_root(spark, str(tmp_path)).endswith("/pool") and files.split_folders(spark, f"{pool}/test") is None
+    with pytest.raises(CurationError):
+        files.find_pool_root(spark, f"{pool}/val")
+    sinks.quarantine(scan, str(tmp_path / "aside"))
+    assert spark.read.parquet(str(tmp_path / "aside")).count() == 2
+    assert sinks.delete_invalid(scan) == 0 and (tmp_path / "pool/test/real/Real_b.JPG").exists()
     manifest = rows.select(
         F.concat_ws("_", "split", "class_name", "md5").alias("image_id"), F.col("class_name").alias("label"), "split", F.col("split").alias("official_split"),
         F.col("path").alias("source_file"), F.col("size_bytes").alias("bytes"), "md5", F.lit("00ff").alias("phash_hex"),
@@ -222,6 +228,7 @@ def test_files_and_manifests(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "report")).first()["count"] == 12 and files.read_json(spark, str(tmp_path / "none")) is None
     sinks.write_splits(rows, str(tmp_path / "splits"))
     back = spark.read.parquet(str(tmp_path / "splits"))
+    assert sinks.delete_invalid(scan, allow_delete=True) == 2 and not (tmp_path / "pool/test/real/Real_b.JPG").exists()
     assert back.count() == 12 and set(back.columns) >= {"ord", "output_name", "split", "class_name"}
 
 
