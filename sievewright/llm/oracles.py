@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BANDS, CLASS_REFERENCE, COMMON_SHARE, COMMON_WORDS, BAND_PARTS
+from .quality import BAND_PARTS, BANDS, CLASS_REFERENCE, COMMON_SHARE, COMMON_WORDS, MAX_DIVERGENCE
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = "translate(coalesce(text, ''), '" + _UPPER + "', '" + _UPPER.lower() + "')"
@@ -135,7 +135,7 @@ WITH doc AS (
 ), judged AS (
   SELECT *, CASE WHEN n_chars >= 200 THEN {_CLASS_JS} ELSE 0 END AS class_js, CASE WHEN n_words >= 50 THEN {_COMMON_JS} ELSE 0 END AS common_js FROM whole
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_js + common_js <= 0.13::double AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_js + common_js <= {MAX_DIVERGENCE}::double AS kept FROM judged
 """
 
 ORACLES = {"op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}
