@@ -104,6 +104,16 @@ def test_samples_are_stable_and_exact(spark):
     assert sampling.compat_positions(5, 9, 1) == [0, 1, 2, 3, 4] and len(sampling.compat_positions(50, 9, 1)) == 9
 
 
+def test_most_frequent(spark):
+    from sievewright.operators.frequent import most_frequent
+
+    rows = spark.createDataFrame([(f"w{i}", 1000 // (i + 1)) for i in range(300)] + [("none", 0)], "w string, n bigint")
+    top = [r["n"] for r in most_frequent(rows, "n", 20).collect()]
+    assert 10 <= len(top) <= 20 and min(top) > 1000 // 22
+    assert most_frequent(rows, "n", 500).count() == 300 and most_frequent(rows.limit(0), "n", 5).count() == 0
+    assert most_frequent(rows.withColumn("n", F.lit(1)), "n", 5).count() == 0
+
+
 @pytest.mark.parametrize("total,most,want", [(10, 30, list(range(10))), (0, 5, []), (5, 1, [0]), (7, 0, list(range(7)))])
 def test_even_positions(spark, total, most, want):
     assert one(spark, sampling.even_positions(F.lit(total), F.lit(most))) == want
