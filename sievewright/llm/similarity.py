@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.frequent import most_frequent
 from ..operators.graph import connected_components
 from ..session import materialise
 
@@ -574,7 +575,7 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     owners = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
     parts = survey.where(F.col("part").isNotNull()).groupBy("part").agg(*(F.first(c).alias(c) for c in ("node", "n", "point")))
     frequent = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("times"))
-    top = frequent.orderBy(F.desc("times"), "token").limit(common).toArrow()
+    top = most_frequent(frequent, "times", common).toArrow()
     tokens, times = top["token"].to_numpy().view(np.uint64), top["times"].to_numpy()
     by_rank = np.lexsort((tokens, times))
     rank = np.empty(len(tokens), np.int64)
