@@ -332,8 +332,9 @@ class Blocks:
     """Spanning edges of the pairs that share a shingle and whose points could belong to linked sets.
 
     One instance sees all blocks of a task; pairs already connected there are not looked at again, and points are
-    compared by the bound only. Small blocks are compared at once, large ones by an R-tree, after neighbours in order
-    of size and first counts have been joined, so that a block of copies costs little more than its length.
+    compared by the bound only. Pairs of parts that failed are remembered as parts: another part of the same two nodes
+    may still pass. Small blocks are compared at once, large ones by an R-tree, after neighbours in order of size and
+    first counts have been joined, so that a block of copies costs little more than its length.
     """
 
     def __init__(self):
@@ -353,16 +354,17 @@ class Blocks:
         self.up[max(a, b)] = min(a, b)
         return [(x, y)]
 
-    def edges(self, nodes: list[int], sizes: list[int], points: list[bytes]) -> list[tuple[int, int]]:
+    def edges(self, nodes: list[int], sizes: list[int], points: list[bytes], parts: list[int] | None = None) -> list[tuple[int, int]]:
+        """sizes and points are those of parts, which are the nodes themselves where not given."""
         roots = [self.find(x) for x in nodes]
         if len(set(roots)) == 1:
             return []
         if len(nodes) == 2:
-            pair = (min(nodes), max(nodes))
+            pair = (min(parts or nodes), max(parts or nodes))
             if pair in self.failed:
                 return []
             if self._near(sizes[0], unpack(points[0]), sizes[1], unpack(points[1])):
-                return self.join(*pair)
+                return self.join(min(nodes), max(nodes))
             if len(self.failed) > 2_000_000:
                 self.failed.clear()
             self.failed.add(pair)
@@ -392,23 +394,24 @@ class Blocks:
 
 
 def _block_edges(rows: DataFrame) -> DataFrame:
-    """(src, dst) from rows (token, node, n, point); the rows of a token are one block."""
+    """(src, dst) from rows (token, node, part, n, point); the rows of a token are one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, now, out = Blocks(), None, []
-        nodes, sizes, points = [], [], []
+        nodes, sizes, points, parts = [], [], [], []
         for b in batches:
-            for token, node, n, point in zip(*(b.column(c).to_pylist() for c in ("token", "node", "n", "point"))):
+            for token, node, part, n, point in zip(*(b.column(c).to_pylist() for c in ("token", "node", "part", "n", "point"))):
                 if token != now:
                     if len(nodes) > 1:
-                        out += blocks.edges(nodes, sizes, points)
-                    now, nodes, sizes, points = token, [], [], []
+                        out += blocks.edges(nodes, sizes, points, parts)
+                    now, nodes, sizes, points, parts = token, [], [], [], []
                 if not nodes or node != nodes[-1]:
                     nodes.append(node)
                     sizes.append(n)
                     points.append(point)
+                    parts.append(part)
         if len(nodes) > 1:
-            out += blocks.edges(nodes, sizes, points)
+            out += blocks.edges(nodes, sizes, points, parts)
         for i in range(0, len(out), 50_000):
             a, b = zip(*out[i : i + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
@@ -586,7 +589,7 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     # Only shingles that two parts share go on, with the points; most rows end here.
     extent = W.partitionBy("token")
     found = _prefixes(rows, shared).withColumns({"low": F.min("part").over(extent), "high": F.max("part").over(extent)})
-    blocks = found.where("low < high").select("token", "part").join(parts, "part").select("token", "node", "n", "point")
+    blocks = found.where("low < high").select("token", "part").join(parts, "part").select("token", "node", "part", "n", "point")
     groups = connected_components(materialise(_block_edges(blocks), "near-edges"))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n_nodes"), F.min("node").alias("pivot"))

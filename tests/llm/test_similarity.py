@@ -83,3 +83,19 @@ def test_local_join_and_long_texts():
     words = " ".join(str(i) for i in range(300_000))
     assert len(shingle(words)) == 299_996
     assert join_local([shingle(words), shingle(words + " more"), shingle("a b c d e f g")]) == [0, 0, 2]
+
+
+def test_large_sets_link_in_one_partition(spark):
+    rng, texts = random.Random(5), []
+    for i in range(24):  # a long text and the same one shortened, at 0.80 to 0.82
+        n = (1_000, 1_500, 3_000, 5_000, 10_000, 20_000)[i % 6]
+        words = [f"{i}.{rng.getrandbits(40)}" for _ in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[: 4 + -(-n * (80 + i // 6 % 3) // 100)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicate_groups(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: part for i, (_, part) in brute(texts).items()}
