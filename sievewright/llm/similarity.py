@@ -32,6 +32,7 @@ set size); null ids stand for no document: they link, and get a null component w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -76,6 +77,7 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[ \t-\r]")
 _PIECE = 1 << 20
 
 
@@ -116,10 +118,11 @@ def _pieces(data: bytes) -> Iterator[bytes]:
     """Stretches of about _PIECE bytes that end at white space, so that long texts need no long arrays at once."""
     start = 0
     while len(data) - start > _PIECE:
-        cut = max(data.rfind(c, start, start + _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
-        while cut < start:  # a word longer than a piece
-            found = [i for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f") if (i := data.find(c, start + _PIECE)) >= 0]
-            cut = min(found, default=len(data))
+        # Not the white space at start itself, where the piece before ended.
+        cut = max(data.rfind(c, start + 1, start + _PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+        if cut <= start:  # a word longer than a piece
+            found = _SPACE.search(data, start + _PIECE)
+            cut = found.start() if found else len(data)
         yield data[start:cut]
         start = cut
     yield data[start:]

@@ -1,8 +1,9 @@
 import random
+from itertools import islice
 
 import numpy as np
 
-from sievewright.llm.similarity import Blocks, RTree, Shingler, join_local, linked, near_duplicate_groups, pack, vectors
+from sievewright.llm.similarity import Blocks, RTree, Shingler, _pieces, join_local, linked, near_duplicate_groups, pack, vectors
 
 
 def make(seed=3, n=60):
@@ -99,3 +100,10 @@ def test_large_sets_link_in_one_partition(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: part for i, (_, part) in brute(texts).items()}
+
+
+def test_words_longer_than_a_piece():
+    for text in ("a " + "x" * 3_000_000, "a " + "x" * 3_000_000 + "\n b", " " * 2_500_000 + "x" * 2_500_000 + " b", "x" * 3_000_000 + " " + "y" * 3_000_000):
+        pieces = list(islice(_pieces(text.encode()), 50))
+        assert b"".join(pieces) == text.encode() and [w for p in pieces for w in p.split()] == text.encode().split()
+    assert len(Shingler()("a b c " + "x" * 3_000_000 + " d e")) == 2
