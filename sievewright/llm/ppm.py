@@ -7,9 +7,9 @@ contexts nest, a pretrained model's blend depends on the context alone, so it is
 texts are scored by looking up rows: the same numbers as walking the trie, at the speed of an array.
 
 Training counts come from all training texts: each task counts its bytes' four-grams and words and Spark adds them up.
-The model sent to the workers is bounded: the ``max_contexts`` most frequent three-byte contexts (others are scored by
-the two-byte context they end in). The word model has no bound, so only the ``head_words`` most frequent words are
-broadcast; all others meet their counts in a shuffle join, once per document and word.
+All observed contexts count. The table sent to the workers is bounded: it has all contexts of up to two bytes and the
+``max_contexts`` most frequent three-byte ones. The other three-byte contexts, and all words but the ``head_words`` most
+frequent, meet their rows and counts in one shuffle join, once per document and four-gram or word.
 
 ``code_length`` walks a trie text by text: adaptively (it learns as it goes) or with given counts.
 
@@ -32,8 +32,8 @@ from ..operators.frequent import most_frequent
 from ..session import materialise
 
 ORDER = 3
+#: Three-byte contexts in the table that is broadcast; the others are joined.
 MAX_CONTEXTS = 40_000
-MAX_SHORTER = 8_000
 HEAD_WORDS = 400_000
 END = b" end"
 #: Distinct words and four-grams a task holds before it passes its counts on.
@@ -106,11 +106,17 @@ def _blend(mine: np.ndarray, below: np.ndarray, excluded: np.ndarray | None) ->
     return np.where(seen, left / safe, np.where(distinct > 0, escape / safe, 1.0) * below)
 
 
+_NONE = np.zeros(0, np.int64)
+
+
 class Model:
     """Log10 probabilities of the next byte by context row, and the row of every three-byte context."""
 
-    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """grams: for each context length 0 to ORDER, codes (context bytes, then the symbol) and their counts."""
+    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], rare: np.ndarray | None = None):
+        """grams: for each context length 0 to ORDER, codes (context bytes, then the symbol) and their counts.
+
+        rare: observed contexts of ORDER bytes that are not among grams; their rows are worked out by ``blend_rare``.
+        """
         contexts, counts = {}, {}
         for k in range(ORDER + 1):
             contexts[k], counts[k] = _level(grams[k][0].astype(np.int64), grams[k][1], k)
@@ -139,17 +145,26 @@ class Model:
         self.table = np.concatenate(parts)
         self.contexts = {k: contexts[k].astype(np.int64) for k in range(1, shorter + 1)}
         self.rows = {k: rows[k].astype(np.int32) for k in range(1, shorter + 1)}
+        self.rare = np.zeros(0, np.int32) if rare is None else rare
+        # What rows of rare contexts need: contexts one byte shorter, their counts and what comes after them.
+        self.shorter = (contexts[ORDER - 1], counts[ORDER - 1].astype(np.float32), afters[ORDER - 1].astype(np.float32)) if len(self.rare) else None
         self.index: np.ndarray | None = None
 
     def expand(self) -> None:
-        """The row of every context: its own, or else that of the longest ending that has one."""
+        """The row of every context: its own, or else that of the longest ending that has one; -1 for rare contexts."""
         index = np.zeros(1, np.int32)
         for k in range(1, ORDER + 1):
             index = np.tile(index, 256)
             index[self.contexts[k]] = self.rows[k]
+        index[self.rare] = -1
         self.index = index
 
     def score(self, text: bytes) -> float:
+        """Without rare contexts."""
+        return self.score_apart(text)[0]
+
+    def score_apart(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score without the four-grams in rare contexts, then these and how often each occurs."""
         if self.index is None:
             self.expand()
         b = np.frombuffer(b"\0" * ORDER + text + b"\0", np.uint8)
@@ -158,9 +173,13 @@ class Model:
             np.left_shift(at, 8, out=at)
             np.bitwise_or(at, b[k : k - 3], out=at)
         flat = self.index.take(at)
+        symbols, grams, times = b[3:], _NONE, _NONE
+        if len(self.rare) and (apart := flat < 0).any():
+            grams, times = np.unique((at[apart].astype(np.int64) << 8) | symbols[apart], return_counts=True)
+            flat, symbols = flat[~apart], symbols[~apart]
         np.left_shift(flat, 8, out=flat)
-        np.bitwise_or(flat, b[3:], out=flat)
-        return float(self.table.reshape(-1).take(flat).sum(dtype=np.float64))
+        np.bitwise_or(flat, symbols, out=flat)
+        return float(self.table.reshape(-1).take(flat).sum(dtype=np.float64)), grams, times
 
 
 def _four_grams(text: bytes) -> np.ndarray:
@@ -230,25 +249,64 @@ def count_corpus(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, gram bigint, n bigint")
 
 
-def fit(counts: DataFrame, *, max_contexts: int = MAX_CONTEXTS, max_shorter: int = MAX_SHORTER) -> Model:
+def fit(counts: DataFrame, *, max_contexts: int = MAX_CONTEXTS) -> Model:
     """The model from ``count_corpus``; what reaches the driver is bounded by the numbers of contexts."""
-    four = materialise(counts.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    return _fit(_four(counts), max_contexts)
+
+
+def _four(counts: DataFrame) -> DataFrame:
+    return materialise(counts.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def _fit(four: DataFrame, max_contexts: int) -> Model:
+    context = F.shiftright("gram", 8).alias("context")
+    top = most_frequent(four.groupBy(context).agg(F.sum("n").alias("total")), "total", max_contexts).select("context")
+    head = np.sort(top.toArrow()["context"].to_numpy())
+    every = four.select(context.cast("int").alias("context")).distinct().toArrow()["context"].to_numpy()
     grams = {}
-    for k, most in ((3, max_contexts), (2, max_shorter), (1, 256), (0, 1)):
+    for k in range(ORDER + 1):
         own = four.groupBy((F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if k >= 2:
-            context = F.shiftright("gram", 8)
-            top = most_frequent(own.groupBy(context.alias("context")).agg(F.sum("n").alias("total")), "total", most)
-            own = own.withColumn("context", context).join(F.broadcast(top.select("context")), "context", "left_semi")
+        if k == ORDER and len(head) < len(every):
+            own = own.join(F.broadcast(_frame(four, head)), context == F.col("context"), "left_semi")
         got = own.select("gram", "n").toArrow()
         grams[k] = (got["gram"].to_numpy(), got["n"].to_numpy().astype(np.float64))
-    # A context's endings must be there too; where the bound left one out, so are the contexts that end in it.
-    for k in (2, 3):
-        known = np.unique(grams[k - 1][0] >> 8)
-        codes, n = grams[k]
-        ok = np.isin((codes >> 8) & ((1 << 8 * (k - 1)) - 1), known)
-        grams[k] = (codes[ok], n[ok])
-    return Model(grams)
+    return Model(grams, np.setdiff1d(every, head).astype(np.int32))
+
+
+def _frame(like: DataFrame, contexts: np.ndarray) -> DataFrame:
+    return like.sparkSession.createDataFrame(pa.table({"context": pa.array(contexts, pa.int64())}), "context bigint")
+
+
+def _rare_key(context: int) -> bytes:
+    """A word that no text can hold, and neither the end nor a document's own."""
+    return b" c" + context.to_bytes(ORDER, "big")
+
+
+def blend_rare(four: DataFrame, model: Model) -> DataFrame:
+    """(word, n, logs): for every rare context, as a key beside the words, log10 probabilities of the next byte."""
+    context = F.shiftright("gram", 8)
+    head = F.broadcast(_frame(four, model.contexts[ORDER]))
+    rows = four.withColumn("context", context).join(head, "context", "left_anti")
+    # A context has 256 symbols at most.
+    rows = rows.groupBy("context").agg(F.collect_list(F.col("gram").bitwiseAND(255).cast("int")).alias("symbols"), F.collect_list("n").alias("ns"))
+    sent = four.sparkSession.sparkContext.broadcast(model.shorter)
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, afters = sent.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                contexts, symbols, ns = b.column("context").to_numpy(), b.column("symbols"), b.column("ns")
+                at = np.repeat(np.arange(len(contexts)), symbols.value_lengths().to_numpy())
+                mine = np.zeros((len(contexts), 256))
+                mine[at, symbols.flatten().to_numpy()] = ns.flatten().to_numpy()
+                low = np.searchsorted(known, contexts & ((1 << 8 * (ORDER - 1)) - 1))
+                logs = np.log10(np.maximum(_blend(mine, _blend(counts[low], afters[low], mine > 0), None), 1e-300)).astype(np.float32)
+                offsets = pa.array(np.arange(0, logs.size + 1, 256, dtype=np.int32))
+                keys = pa.array([_rare_key(c) for c in contexts.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(logs.ravel()))], ["word", "n", "logs"])
+
+    return rows.mapInArrow(blend, "word binary, n bigint, logs array<float>")
 
 
 def score_documents(docs: DataFrame, *, head_words: int = HEAD_WORDS, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
@@ -261,7 +319,13 @@ def score_documents(docs: DataFrame, *, head_words: int = HEAD_WORDS, max_contex
     n_all, denominator = int(totals["n"]), totals["n"] + 0.1 * (totals["v"] + 1)
     head = most_frequent(words, "n", head_words).toArrow()
     known = dict(zip(head["word"].to_pylist(), np.log10((head["n"].to_numpy() + 0.1) / denominator).tolist()))
-    sent = spark.sparkContext.broadcast((fit(counts, max_contexts=max_contexts), known))
+    four = _four(counts)
+    model = _fit(four, max_contexts)
+    lookup = words.withColumn("logs", F.lit(None).cast("array<float>"))
+    if len(model.rare):
+        lookup = lookup.unionByName(blend_rare(four, model))
+    model.shorter = None
+    sent = spark.sparkContext.broadcast((model, known))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +334,7 @@ def score_documents(docs: DataFrame, *, head_words: int = HEAD_WORDS, max_contex
         model, logs = sent.value
         task, row = TaskContext.get().partitionId() << 40, 0
         end = logs.get(END)
-        names = ["doc_id", "held_out", "row", "word", "times", "n_tokens", "n_known", "base", "score"]
+        names = ["doc_id", "held_out", "row", "word", "symbol", "times", "n_tokens", "n_known", "base", "score"]
         for b in batches:
             ids, outs = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
             out: list[list] = [[] for _ in names]
@@ -287,24 +351,28 @@ def score_documents(docs: DataFrame, *, head_words: int = HEAD_WORDS, max_contex
                 key = task | row
                 row += 1
                 # The document's own row has a word that no text can hold, and so one that spreads over all tasks.
-                lines = [(doc, out_of, key, b" %d" % key, 0, len(tokens) + 1, n_known, total, model.score(low))]
-                lines += [(doc, out_of, key, w, n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
+                score, grams, times = model.score_apart(low)
+                lines = [(doc, out_of, key, b" %d" % key, None, 0, len(tokens) + 1, n_known, total, score)]
+                lines += [(doc, out_of, key, w, None, n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
+                lines += [(doc, out_of, key, _rare_key(g >> 8), g & 255, n, 0, 0, 0.0, 0.0) for g, n in zip(grams.tolist(), times.tolist())]
                 for column, values in zip(out, zip(*lines)):
                     column.extend(values)
-            kinds = [b.column("doc_id").type, pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            kinds = [b.column("doc_id").type, pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    ddl = f"doc_id {kind}, held_out boolean, row bigint, word binary, times bigint, n_tokens bigint, n_known bigint, base double, score double"
-    scored = rows.mapInArrow(score, ddl).join(words, "word", "left")
+    ddl = f"doc_id {kind}, held_out boolean, row bigint, word binary, symbol int, times bigint, n_tokens bigint, n_known bigint, base double, score double"
+    scored = rows.mapInArrow(score, ddl).join(lookup, "word", "left")
     count = F.coalesce("n", F.lit(0))
+    of_word = F.when(F.col("symbol").isNull(), F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(denominator))).otherwise(F.lit(0.0))
+    of_rare = F.when(F.col("symbol").isNotNull(), F.col("times") * F.get("logs", F.col("symbol")).cast("double")).otherwise(F.lit(0.0))
     return (
         scored.groupBy("row", "doc_id", "held_out")
         .agg(
             F.sum("n_tokens").alias("n_tokens"),
             F.sum(F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(F.lit(0))).alias("n_known"),
             F.lit(n_all).cast("bigint").alias("train_tokens"),
-            F.sum(F.col("base") + F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(denominator))).alias("base_score"),
-            F.sum("score").alias("score"),
+            F.sum(F.col("base") + of_word).alias("base_score"),
+            F.sum(F.col("score") + of_rare).alias("score"),
         )
         .drop("row")
     )

@@ -49,6 +49,16 @@ def test_lm_scores_equal_the_walked_trie(docs, head):
         assert r["score"] == pytest.approx(code_length(t, trie), rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("head", [1, 30])
+def test_lm_scores_keep_rare_contexts(docs, head):
+    rows, texts = training(docs)
+    trie = train_trie(texts)
+    assert sum(len(c) == 3 for c in trie) > 2 * head
+    got = {r["doc_id"]: r["score"] for r in score_documents(docs, max_contexts=head).collect()}
+    for d, t in rows:
+        assert got[d] == pytest.approx(code_length(t, trie), rel=1e-5, abs=1e-4)
+
+
 def test_lm_rows_are_distributions(docs):
     model = fit(count_corpus(docs.where("doc_id % 2 = 0")))
     assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
