@@ -12,7 +12,7 @@ parent. ``labelled_pages`` writes such pages, a bounded number of them (``TRAINI
 labelled elsewhere can be given to ``train`` instead. Marks are never read when text is extracted.
 
 Defined cases: null or empty html has no text; end tags may be missing or stray; what follows an unclosed script,
-style or comment is part of it; a page without any block belongs to one root element; very long pages are parsed whole,
+style, textarea, title, iframe or comment is part of it, while other elements end with their parent; a page without any block belongs to one root element; very long pages are parsed whole,
 in linear time; repeated rows each get their row; text is never cut.
 """
 
@@ -35,15 +35,16 @@ TEMPER = 0.25
 
 # Elements of HTML by their role in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video".split())
-INLINE = frozenset(
+RAW = frozenset("script style textarea title iframe".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover semantics annotation".split())
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist", "optgroup"}, "optgroup": {"select"}}
 LAYOUT = frozenset("main article section div header footer nav aside form fieldset address details dialog figure table ul ol dl".split())
 HINTS = (
     ("off", re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|crumbs?|pager|pagination|toolbar|skip|head|header|masthead|topbar|foot|footer|bottom|copyright|legal|side|sidebar|aside|rail|widgets?)(?:[^a-z]|$)")),

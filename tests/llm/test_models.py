@@ -110,6 +110,17 @@ def test_html_extracts_articles():
     assert model.extract(None) == "" and model.extract("") == "" and model.extract("<article>a < b") == "a < b"
 
 
+def test_html_keeps_what_follows_unclosed_elements():
+    model, article = train(), "<article><h1>Title</h1><p>First paragraph of the text.</p><p>Second one.</p></article>"
+    whole = "Title\nFirst paragraph of the text.\nSecond one."
+    for before in ("<datalist><option value=a><option value=b></datalist>", "<div><video src=v></div>", "<div><canvas></div>", "<div><object data=o></div>", "<div><button></div>", "<select><option><option></select>"):
+        assert model.extract(before + article) == whole
+    for tag in ("object", "audio", "video", "canvas", "noscript"):
+        assert "Fallback words." in model.extract(article.replace("<p>Second", f"<{tag}>Fallback words.</{tag}><p>Second"))
+    assert "Let x + 1 be odd." in model.extract(article.replace("Second one.", "Let <math><mi>x</mi> <mo>+</mo> <mn>1</mn></math> be odd."))
+    assert model.extract("<article>a</article><script>x = 1 <p>b") == "a"
+
+
 def test_raking_meets_targets(spark):
     cells = [(s, lang, t, float(n)) for s, lang, t, n in (("a", "en", "x", 900), ("a", "fr", "y", 50), ("b", "en", "y", 100), ("b", "fr", "x", 80), ("c", "en", "x", 0))]
     goal = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.7, "fr": 0.3}, "topic": {"x": 0.65, "y": 0.35}}
