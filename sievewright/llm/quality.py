@@ -5,8 +5,8 @@ language by Jensen-Shannon divergence (base 2, so 0 to 1). Short documents are n
 for each asks for a least number of characters or words. All of it is column expressions over one row: no shuffle,
 no Python, so it runs at the speed of the scan at any size.
 
-Defined cases: null or empty text has no words, hence fails the base rules; null or unknown language is judged by the
-character classes against the mean of all references and not by its common words; repeated rows each get their row;
+Defined cases: null or empty text has no words, hence fails the base rules; a text of null or
+unknown language has no reference, so it is judged by the base rules alone and its divergences are 0; repeated rows each get their row;
 other columns of the input are kept, but a column named ``quality`` gives way to the result.
 """
 
@@ -109,10 +109,8 @@ def _by_language(lang: Column, values: dict[str, Column], otherwise: Column) ->
     return otherwise if out is None else out.otherwise(otherwise)
 
 
-def class_references(table: dict[str, tuple[float, ...]] = CLASS_REFERENCE) -> tuple[dict[str, Column], Column]:
-    scaled = {k: [x / sum(v) for x in v] for k, v in table.items()}
-    mean = [sum(v[i] for v in scaled.values()) / len(scaled) for i in range(len(CLASSES))]
-    return {k: _literal(v) for k, v in scaled.items()}, _literal(mean)
+def class_references(table: dict[str, tuple[float, ...]] = CLASS_REFERENCE) -> dict[str, Column]:
+    return {k: _literal([x / sum(v) for x in v]) for k, v in table.items()}
 
 
 def _common_histogram(words: Column, lang: Column) -> Column:
@@ -149,7 +147,6 @@ def quality_rules(
     min_common_words: int = 50,
 ) -> DataFrame:
     """docs with a struct column ``quality`` of counts, divergences and the verdict (its fields are in the select below)."""
-    known, mean = class_references()
     n_words, text, rest, lang, words = (F.col(f"_quality_{x}") for x in ("n", "text", "rest", "lang", "words"))
     lines, hashes, classes, common = (F.col(f"_quality_{x}") for x in ("lines", "hashes", "classes", "common"))
     named = lambda **columns: {f"_quality_{k}": v for k, v in columns.items()}
@@ -163,11 +160,12 @@ def quality_rules(
     out = out.withColumns(named(distinct=F.array_distinct(hashes), classes=_shares(_class_histogram(n_chars, rest, n_space))))
     repeat, failed, class_js, common_js = (F.col(f"_quality_{x}") for x in ("repeat", "failed", "class_js", "common_js"))
     out = out.withColumns(named(repeat=repeated_words(hashes, F.col("_quality_distinct"))))
+    against_class = _by_language(lang, {k: divergence(classes, v) for k, v in class_references().items()}, F.lit(0.0))
     against_common = _by_language(lang, {k: divergence(common, v) for k, v in common_references().items()}, F.lit(0.0))
     out = out.withColumns(
         named(
             failed=(n_words < min_words) | (F.lit(100) * repeat > F.lit(max_repeat_percent) * n_words),
-            class_js=F.when(n_chars >= min_class_chars, divergence(classes, _by_language(lang, known, mean))).otherwise(F.lit(0.0)),
+            class_js=F.when(n_chars >= min_class_chars, against_class).otherwise(F.lit(0.0)),
             common_js=F.when(n_words >= min_common_words, against_common).otherwise(F.lit(0.0)),
         )
     )
