@@ -90,8 +90,8 @@ def rake(cells: list[tuple], share: float = SHARE, given: Mapping[str, Mapping[s
     return p
 
 
-def rake_frame(cells: DataFrame, share: float = SHARE, given: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, rounds: int = 20) -> DataFrame:
-    """The same for any number of cells, as a table with a column p."""
+def rake_frame(cells: DataFrame, share: float = SHARE, given: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+    """The same for any number of cells, by the same rule to stop, as a table with a column p."""
     now = cells.withColumn("p", F.lit(share))
     wanted = {}
     for d in DIMENSIONS:
@@ -105,12 +105,18 @@ def rake_frame(cells: DataFrame, share: float = SHARE, given: Mapping[str, Mappi
         whole = sums.agg(F.sum("raw").alias("w"), F.sum("s").alias("t")).first()
         wanted[d] = materialise(sums.select(d, (F.col("raw") * F.lit(share * float(whole["t"] or 0) / (whole["w"] or 1))).alias("want")), "mix-targets")
     for _ in range(rounds):
+        now = now.withColumn("moved", F.lit(0.0))
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("have"))
             now = now.join(have, d).join(wanted[d], d)
             scaled = F.when((F.col("tokens") > 0) & (F.col("have") > 0), F.least(F.lit(1.0), F.col("p") * F.col("want") / F.col("have"))).otherwise(F.col("p"))
-            now = now.withColumn("p", scaled).select(*DIMENSIONS, "tokens", "p")
+            now = now.withColumn("scaled", scaled)
+            moved = F.greatest("moved", F.abs(F.col("scaled") - F.col("p")))
+            now = now.select(*DIMENSIONS, "tokens", F.col("scaled").alias("p"), moved.alias("moved"))
         now = materialise(now, "mix-cells")
+        moved, now = now.agg(F.max("moved")).first()[0], now.drop("moved")
+        if moved is None or moved < TOLERANCE:
+            break
     return now
 
 

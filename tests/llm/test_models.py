@@ -134,6 +134,18 @@ def test_raking_meets_targets(spark):
     assert [got[c[:3]] for c in cells] == pytest.approx(p, rel=1e-2)
 
 
+def test_raking_by_joins_stops_as_on_the_driver(spark, monkeypatch):
+    from sievewright.llm import mixing
+
+    cells = [("a", "en", "x", 400.0), ("a", "fr", "x", 200.0), ("b", "en", "x", 100.0), ("b", "fr", "x", 50.0)]
+    rounds, real = [], mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda df, label: (label == "mix-cells" and rounds.append(1), real(df, label))[1])
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double").coalesce(1)
+    got = {(r["source"], r["lang"], r["topic"]): r["p"] for r in rake_frame(frame, 0.2).collect()}
+    assert [got[c[:3]] for c in cells] == pytest.approx(rake(cells, 0.2), rel=0, abs=1e-6)
+    assert len(rounds) < 5 and rake_frame.__defaults__[-1] == mixing.ROUNDS
+
+
 def test_mixing_draws_by_probability(docs):
     rows = mix_sources(docs, share=0.5).select("doc_id", "mix.*").collect()
     assert len(rows) == docs.count() and all(0 <= r["probability"] <= 1 for r in rows)
