@@ -1,43 +1,51 @@
 """Scoring by prediction by partial matching (PPM) over bytes, with a unigram word model beside it.
 
-The model is a trie of byte contexts up to three bytes long. A symbol seen in the longest context has probability
-count / (total + distinct); otherwise the escape, distinct / (total + distinct), leads to the context one byte shorter,
-where all symbols already refused are excluded from the counts, and so on down to equal shares of what is left. As
-contexts nest, a pretrained model's blend depends on the context alone, so it is worked out once for every context and
-texts are scored by looking up rows: the same numbers as walking the trie, at the speed of an array.
+The model is a trie of byte contexts up to ``ORDER`` bytes long. A symbol seen in the longest observed context has
+probability (count - 1/2) / total; otherwise the escape, distinct / (2 total), leads to the context one byte shorter,
+where all symbols already refused are excluded from counts and total, and so on down to equal shares of what is left.
+``code_length`` walks such a trie text by text: adaptively (it learns as it goes) or with given counts.
 
-Training counts come from all training texts: each task counts its bytes' four-grams and words and Spark adds them up.
-All observed contexts count. The table sent to the workers is bounded: it has all contexts of up to two bytes and the
-``max_contexts`` most frequent three-byte ones. The other three-byte contexts, and all words but the ``head_words`` most
-frequent, meet their rows and counts in one shuffle join, once per document and four-gram or word.
+Over a corpus nothing is walked and nothing is capped. A position's probability depends on its gram alone, the context
+and the symbol, so it is worked out once for each distinct gram of the corpus:
 
-``code_length`` walks a trie text by text: adaptively (it learns as it goes) or with given counts.
+1. Documents are dealt into buckets of some thousand neighbouring rows, in a table, so that every later pass sees the
+   same buckets. Each bucket lists its distinct grams and words, with how often training texts hold them.
+2. Counts are added up by gram. Grams are dealt by the last two bytes of their context; all contexts of two bytes and
+   more nest in such a part. Shorter ones (at most 65,792 counts, whatever the corpus) go along as a broadcast.
+   So each part works out the log probabilities of its grams for itself (``blend``).
+3. These come back to the buckets by a join on the gram, as do the words' counts by a join on the word. A gram or word
+   has at most one row a bucket there, however often it occurs. A bucket's rows meet its documents in one task, the
+   table first, and the texts are scored one after another by lookups.
+
+A task holds the distinct grams and words of one bucket, and of texts a few MB at a time, however long they are.
 
 Defined cases: null or empty text has one token, the end; rows with a null id are held out; repeated rows each get
-their row; with no training texts all word counts are 0 and every byte has probability 1/256.
+their row; texts of any length are scored whole, in time linear in their length; other columns of the input play no
+part; an empty table gives an empty result; with no training texts all word counts are 0 and every byte has
+probability 1/256.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.frequent import most_frequent
 from ..session import materialise
 
-ORDER = 3
-#: Three-byte contexts in the table that is broadcast; the others are joined.
-MAX_CONTEXTS = 40_000
-HEAD_WORDS = 400_000
+ORDER = 5
 END = b" end"
-#: Distinct words and four-grams a task holds before it passes its counts on.
-HELD = 1_500_000
+#: Rows of a bucket, and bytes of text looked at in one go.
+BUCKET_ROWS, CHUNK = 8192, 4_000_000
+#: Largest table for numbering grams by direct address; beyond it they are sorted.
+CELLS = 1 << 26
+#: Most tasks for scoring; buckets beyond them share tasks, one after another.
+MAX_TASKS = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,11 +77,11 @@ def code_length(text: bytes, trie: dict[bytes, Counter] | None = None, order: in
             left = {s: n for s, n in counts.items() if s not in refused} if counts else {}
             if not left:
                 continue
-            weight = sum(left.values()) + (len(left) if len(refused) + len(left) < 256 else 0)
+            weight, cut = sum(left.values()), 0.5 if len(refused) + len(left) < 256 else 0.0
             if symbol in left:
-                total += math.log10(left[symbol] / weight)
+                total += math.log10((left[symbol] - cut) / weight)
                 break
-            total += math.log10(len(left) / weight)
+            total += math.log10(0.5 * len(left) / weight)
             refused |= left.keys()
         else:
             total -= math.log10(256 - len(refused))
@@ -83,296 +91,336 @@ def code_length(text: bytes, trie: dict[bytes, Counter] | None = None, order: in
     return total
 
 
-# --- the trie, tabulated ------------------------------------------------------------------------------------------
-
-
-def _level(contexts: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts and their counts by symbol."""
-    known, at = np.unique(contexts >> 8, return_inverse=True)
-    out = np.zeros((len(known), 256), np.float64)
-    np.add.at(out, (at, contexts & 255), counts)
-    return known, out
-
-
-def _blend(mine: np.ndarray, below: np.ndarray, excluded: np.ndarray | None) -> np.ndarray:
-    """Distribution over symbols not in excluded: counts of this level, then an escape to below (given all seen here)."""
-    left = mine if excluded is None else np.where(excluded, 0, mine)
-    seen = left > 0
-    distinct = seen.sum(1, keepdims=True)
-    gone = (excluded.sum(1, keepdims=True) if excluded is not None else 0) + distinct
-    escape = np.where(gone < 256, distinct, 0)
-    weight = left.sum(1, keepdims=True) + escape
-    safe = np.where(weight > 0, weight, 1)
-    return np.where(seen, left / safe, np.where(distinct > 0, escape / safe, 1.0) * below)
-
-
-_NONE = np.zeros(0, np.int64)
-
-
-class Model:
-    """Log10 probabilities of the next byte by context row, and the row of every three-byte context."""
-
-    def __init__(self, grams: dict[int, tuple[np.ndarray, np.ndarray]], rare: np.ndarray | None = None):
-        """grams: for each context length 0 to ORDER, codes (context bytes, then the symbol) and their counts.
-
-        rare: observed contexts of ORDER bytes that are not among grams; their rows are worked out by ``blend_rare``.
-        """
-        contexts, counts = {}, {}
-        for k in range(ORDER + 1):
-            contexts[k], counts[k] = _level(grams[k][0].astype(np.int64), grams[k][1], k)
-        if not len(contexts[0]):
-            contexts[0], counts[0] = np.zeros(1, np.int64), np.zeros((1, 256))
-        rows, parts, start = {}, [], 0
-        rest = 256 - (counts[0] > 0).sum(1, keepdims=True)
-        # after[k]: for each context of length k, the distribution of symbols not seen in it, by shorter contexts.
-        after = np.repeat(1.0 / np.maximum(rest, 1), 256, axis=1)
-        parts.append(_blend(counts[0], after, None))
-        rows[0], start = np.zeros(1, np.int64), 1
-        shorter = 0
-        afters = {0: after}
-        for k in range(1, ORDER + 1):
-            n, table, beyond = len(contexts[k]), [], []
-            low = np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(n, np.int64)
-            for i in range(0, n, 4096):
-                mine, up = counts[k][i : i + 4096], low[i : i + 4096]
-                below = _blend(counts[k - 1][up], afters[k - 1][up], mine > 0)
-                beyond.append(below)
-                table.append(np.log10(np.maximum(_blend(mine, below, None), 1e-300)).astype(np.float32))
-            afters[k] = np.concatenate(beyond) if beyond else np.zeros((0, 256))
-            parts.append(np.concatenate(table) if table else np.zeros((0, 256), np.float32))
-            rows[k], start, shorter = np.arange(start, start + n), start + n, k
-        parts[0] = np.log10(np.maximum(parts[0], 1e-300)).astype(np.float32)
-        self.table = np.concatenate(parts)
-        self.contexts = {k: contexts[k].astype(np.int64) for k in range(1, shorter + 1)}
-        self.rows = {k: rows[k].astype(np.int32) for k in range(1, shorter + 1)}
-        self.rare = np.zeros(0, np.int32) if rare is None else rare
-        # What rows of rare contexts need: contexts one byte shorter, their counts and what comes after them.
-        self.shorter = (contexts[ORDER - 1], counts[ORDER - 1].astype(np.float32), afters[ORDER - 1].astype(np.float32)) if len(self.rare) else None
-        self.index: np.ndarray | None = None
-
-    def expand(self) -> None:
-        """The row of every context: its own, or else that of the longest ending that has one; -1 for rare contexts."""
-        index = np.zeros(1, np.int32)
-        for k in range(1, ORDER + 1):
-            index = np.tile(index, 256)
-            index[self.contexts[k]] = self.rows[k]
-        index[self.rare] = -1
-        self.index = index
-
-    def score(self, text: bytes) -> float:
-        """Without rare contexts."""
-        return self.score_apart(text)[0]
-
-    def score_apart(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score without the four-grams in rare contexts, then these and how often each occurs."""
-        if self.index is None:
-            self.expand()
-        b = np.frombuffer(b"\0" * ORDER + text + b"\0", np.uint8)
-        at = b[:-3].astype(np.int32)
-        for k in (1, 2):
-            np.left_shift(at, 8, out=at)
-            np.bitwise_or(at, b[k : k - 3], out=at)
-        flat = self.index.take(at)
-        symbols, grams, times = b[3:], _NONE, _NONE
-        if len(self.rare) and (apart := flat < 0).any():
-            grams, times = np.unique((at[apart].astype(np.int64) << 8) | symbols[apart], return_counts=True)
-            flat, symbols = flat[~apart], symbols[~apart]
-        np.left_shift(flat, 8, out=flat)
-        np.bitwise_or(flat, symbols, out=flat)
-        return float(self.table.reshape(-1).take(flat).sum(dtype=np.float64)), grams, times
-
-
-def _four_grams(text: bytes) -> np.ndarray:
-    b = np.frombuffer(b"\0" * ORDER + text + b"\0", np.uint8)
-    out = b[:-3].astype(np.uint32)
-    for k in (1, 2, 3):
-        out = (out << 8) | (b[k : k - 3] if k < 3 else b[3:])
-    return out
+# --- grams of texts -----------------------------------------------------------------------------------------------
 
 
 def _low(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def count_corpus(docs: DataFrame) -> DataFrame:
-    """(word, gram, n): how often each word (gram null) and byte four-gram (word null) occurs, a row for each task that met it."""
+def segments(texts: Iterable[bytes], order: int = ORDER, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, places where each segment begins, number of its text), about chunk bytes at a time.
+
+    A text has order zero bytes in front and one behind; a long one is cut into segments that overlap by order bytes,
+    so every gram of order + 1 bytes lies in exactly one of them.
+    """
+    held, owners, size = [], [], 0
+
+    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum([0, *(len(x) for x in held[:-1])])
+        return np.frombuffer(b"".join(held), np.uint8), starts, np.array(owners)
+
+    for number, text in enumerate(texts):
+        data = b"\0" * order + text + b"\0"
+        for at in range(0, len(data) - order, chunk):
+            piece = data[at : at + chunk + order]
+            if size and size + len(piece) > chunk + order:
+                yield whole()
+                held, owners, size = [], [], 0
+            held.append(piece)
+            owners.append(number)
+            size += len(piece)
+    if held:
+        yield whole()
+
+
+def _numbered(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each key among the distinct ones, and these."""
+    if cells > CELLS:
+        known, rank = np.unique(keys, return_inverse=True)
+        return rank.astype(np.int32), known
+    seen = np.zeros(cells, bool)
+    seen[keys] = True
+    known = np.flatnonzero(seen)
+    rank = np.empty(cells, np.int32)
+    rank[known] = np.arange(len(known), dtype=np.int32)
+    return rank[keys], known
+
+
+def grams_of(b: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For every place with order more bytes behind it, the number of the gram there; and the grams by number."""
+    n = len(b) - order
+    seen = np.zeros(256, bool)
+    seen[b] = True
+    alphabet = np.flatnonzero(seen)
+    width = len(alphabet)
+    symbol = np.zeros(256, np.int32)
+    symbol[alphabet] = np.arange(width)
+    s = symbol[b]
+    ids, codes = s[:n], alphabet.astype(np.int64)
+    for j in range(1, order + 1):
+        cells = len(codes) * width
+        keys = (ids if cells < 1 << 31 else ids.astype(np.int64)) * width
+        keys += s[j : n + j]
+        if j < order and cells <= 1 << 18:  # few enough to go on without leaving any out
+            ids, codes = keys, ((codes[:, None] << 8) | alphabet[None, :]).ravel()
+            continue
+        ids, known = _numbered(keys, cells)
+        codes = (codes[known // width] << 8) | alphabet[known % width]
+    return ids, codes
+
+
+def _inside(n: int, starts: np.ndarray, order: int) -> np.ndarray:
+    """Which of n places begin a gram within one segment."""
+    out = np.ones(n, bool)
+    for k in range(1, order + 1):
+        out[starts[1:] - k] = False
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        codes, sums, chunk, chunk_size, held = [], [], [], 0, 0
-
-        def fold() -> None:
-            nonlocal chunk, chunk_size
-            if chunk:
-                u, n = np.unique(np.concatenate(chunk), return_counts=True)
-                codes.append(u)
-                sums.append(n.astype(np.int64))
-                chunk, chunk_size = [], 0
-            if len(codes) > 1 and sum(map(len, codes)) > HELD:
-                u, n = merged()
-                codes[:], sums[:] = [u], [n]
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            every, n = np.concatenate(codes), np.concatenate(sums)
-            order = np.argsort(every, kind="stable")
-            every, n = every[order], n[order]
-            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            return every[first], np.add.reduceat(n, first)
-
-        def of_words() -> Iterator[pa.RecordBatch]:
-            keys, n = list(words.keys()), list(words.values())
-            for i in range(0, len(keys), 100_000):
-                k = pa.array(keys[i : i + 100_000], pa.binary())
-                yield pa.RecordBatch.from_arrays([k, pa.nulls(len(k), pa.int64()), pa.array(n[i : i + 100_000], pa.int64())], ["word", "gram", "n"])
-            words.clear()
 
-        for b in batches:
-            for t in b.column("text"):
-                low = _low(t.as_py())
-                words.update(low.split())
-                words[END] += 1
-                g = _four_grams(low)
-                chunk.append(g)
-                chunk_size += len(g)
-                if chunk_size > 2_000_000:
-                    fold()
-            if len(words) > HELD:
-                yield from of_words()
-        yield from of_words()
-        fold()
-        if codes:
-            u, n = merged()
-            for i in range(0, len(u), 100_000):
-                k = pa.array(u[i : i + 100_000].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), k, pa.array(n[i : i + 100_000])], ["word", "gram", "n"])
+# --- the trie, by gram --------------------------------------------------------------------------------------------
+
+
+def _first_of_runs(codes: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+
+
+def _looked_up(known: np.ndarray, values: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(sought))
+    at = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+    return np.where(known[at] == sought, values[at], 0.0)
+
 
-    return docs.select("text").mapInArrow(count, "word binary, gram bigint, n bigint")
+class Shorter:
+    """Counts in contexts of no and of one byte; at most 65,792 of them."""
 
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        """pairs: sorted codes of a byte and the one after it."""
+        self.codes, self.n = {1: pairs}, {1: counts.astype(float)}
+        self.codes[0], back = np.unique(pairs & 255, return_inverse=True)
+        self.n[0] = np.bincount(back, weights=self.n[1], minlength=len(self.codes[0]))
+        self.contexts, self.total, self.distinct = {}, {}, {}
+        for k in (0, 1):
+            self.contexts[k], back = np.unique(self.codes[k] >> 8, return_inverse=True)
+            self.total[k] = np.bincount(back, weights=self.n[k], minlength=len(self.contexts[k]))
+            self.distinct[k] = np.bincount(back, weights=self.n[k] > 0, minlength=len(self.contexts[k]))
 
-def fit(counts: DataFrame, *, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """The model from ``count_corpus``; what reaches the driver is bounded by the numbers of contexts."""
-    return _fit(_four(counts), max_contexts)
 
+def blend(grams: np.ndarray, counts: np.ndarray, shorter: Shorter, order: int = ORDER) -> np.ndarray:
+    """log10 probability of the last byte of each gram after the others.
+
+    grams: sorted and distinct; together they must have all training grams whose contexts end in the same two bytes.
+    Those with a count of 0 are only asked for. As every symbol seen in a context was seen in the shorter ones too,
+    what a longer context refuses is fully told by its number of symbols and by their counts one level below.
+    """
+    if not len(grams):
+        return np.zeros(0)
+    n, total, distinct, below = {}, {}, {}, {}
+    codes, count, back = grams, counts.astype(float), np.arange(len(grams))
+    for k in range(order, -1, -1):
+        context = np.cumsum(np.r_[0, (codes[1:] >> 8) != (codes[:-1] >> 8)])
+        first = _first_of_runs(codes >> 8)
+        n[k] = count[back]
+        if k >= 2:
+            total[k] = np.add.reduceat(count, first)[context][back]
+            distinct[k] = np.add.reduceat((count > 0).astype(float), first)[context][back]
+        else:
+            total[k], distinct[k] = (_looked_up(shorter.contexts[k], x[k], codes >> 8)[back] for x in (shorter.total, shorter.distinct))
+        if k:
+            cut, into = np.unique(codes & ((1 << 8 * k) - 1), return_inverse=True)
+            fewer = np.bincount(into, weights=count, minlength=len(cut)) if k > 2 else _looked_up(shorter.codes[k - 1], shorter.n[k - 1], cut)
+            below[k] = np.add.reduceat(np.where(count > 0, fewer[into], 0.0), first)[context][back]
+            codes, count, back = cut, fewer, into[back]
+    out, found = np.zeros(len(grams)), np.zeros(len(grams), bool)
+    refused, mass = np.zeros(len(grams)), np.zeros(len(grams))
+    for k in range(order, -1, -1):
+        left = distinct[k] - refused
+        live = ~found & (left > 0)
+        weight, cut = total[k] - mass, np.where(distinct[k] < 256, 0.5, 0.0)
+        hit, escape = live & (n[k] > 0), live & (n[k] == 0)
+        out[hit] += np.log10((n[k][hit] - cut[hit]) / weight[hit])
+        out[escape] += np.log10(0.5 * left[escape] / weight[escape])
+        found |= hit
+        if k:
+            refused, mass = distinct[k], below[k]
+    out[~found] -= np.log10(256 - distinct[0][~found])
+    return out
 
-def _four(counts: DataFrame) -> DataFrame:
-    return materialise(counts.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
+# --- passes over the documents ------------------------------------------------------------------------------------
 
-def _fit(four: DataFrame, max_contexts: int) -> Model:
-    context = F.shiftright("gram", 8).alias("context")
-    top = most_frequent(four.groupBy(context).agg(F.sum("n").alias("total")), "total", max_contexts).select("context")
-    head = np.sort(top.toArrow()["context"].to_numpy())
-    every = four.select(context.cast("int").alias("context")).distinct().toArrow()["context"].to_numpy()
-    grams = {}
-    for k in range(ORDER + 1):
-        own = four.groupBy((F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if k == ORDER and len(head) < len(every):
-            own = own.join(F.broadcast(_frame(four, head)), context == F.col("context"), "left_semi")
-        got = own.select("gram", "n").toArrow()
-        grams[k] = (got["gram"].to_numpy(), got["n"].to_numpy().astype(np.float64))
-    return Model(grams, np.setdiff1d(every, head).astype(np.int32))
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First place and end of every run of equal values."""
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True])
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist())
 
-def _frame(like: DataFrame, contexts: np.ndarray) -> DataFrame:
-    return like.sparkSession.createDataFrame(pa.table({"context": pa.array(contexts, pa.int64())}), "context bigint")
 
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, n = np.concatenate(codes), np.concatenate(counts)
+    at = np.argsort(every, kind="stable")
+    every, n = every[at], n[at]
+    first = _first_of_runs(every)
+    return every[first], np.add.reduceat(n, first)
 
-def _rare_key(context: int) -> bytes:
-    """A word that no text can hold, and neither the end nor a document's own."""
-    return b" c" + context.to_bytes(ORDER, "big")
 
+def inventory(docs: DataFrame) -> DataFrame:
+    """(bucket, word, gram, n) from (bucket, held_out, text): the words (gram null) and grams (word null) of each bucket, and how often training texts hold them, 0 included."""
 
-def blend_rare(four: DataFrame, model: Model) -> DataFrame:
-    """(word, n, logs): for every rare context, as a key beside the words, log10 probabilities of the next byte."""
-    context = F.shiftright("gram", 8)
-    head = F.broadcast(_frame(four, model.contexts[ORDER]))
-    rows = four.withColumn("context", context).join(head, "context", "left_anti")
-    # A context has 256 symbols at most.
-    rows = rows.groupBy("context").agg(F.collect_list(F.col("gram").bitwiseAND(255).cast("int")).alias("symbols"), F.collect_list("n").alias("ns"))
-    sent = four.sparkSession.sparkContext.broadcast(model.shorter)
+    def rows(bucket: int, words: dict, codes: list, counts: list) -> Iterator[pa.RecordBatch]:
+        keys, n = list(words.keys()), list(words.values())
+        for i in range(0, len(keys), 100_000):
+            k = pa.array(keys[i : i + 100_000], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket)), k, pa.nulls(len(k), pa.int64()), pa.array(n[i : i + 100_000], pa.int64())], names)
+        u, n = _summed(codes, counts)
+        for i in range(0, len(u), 100_000):
+            k = pa.array(u[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket)), pa.nulls(len(k), pa.binary()), k, pa.array(n[i : i + 100_000])], names)
 
-    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, afters = sent.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                contexts, symbols, ns = b.column("context").to_numpy(), b.column("symbols"), b.column("ns")
-                at = np.repeat(np.arange(len(contexts)), symbols.value_lengths().to_numpy())
-                mine = np.zeros((len(contexts), 256))
-                mine[at, symbols.flatten().to_numpy()] = ns.flatten().to_numpy()
-                low = np.searchsorted(known, contexts & ((1 << 8 * (ORDER - 1)) - 1))
-                logs = np.log10(np.maximum(_blend(mine, _blend(counts[low], afters[low], mine > 0), None), 1e-300)).astype(np.float32)
-                offsets = pa.array(np.arange(0, logs.size + 1, 256, dtype=np.int32))
-                keys = pa.array([_rare_key(c) for c in contexts.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(logs.ravel()))], ["word", "n", "logs"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, codes, counts = None, Counter(), [], []
+        for b in batches:
+            buckets = b.column("bucket").to_numpy()
+            for low, high in _runs(buckets):
+                if buckets[low] != now:
+                    if codes:
+                        yield from rows(now, words, codes, counts)
+                    now, words, codes, counts = buckets[low], Counter(), [], []
+                part = b.slice(low, high - low)
+                out = part.column("held_out").to_numpy(zero_copy_only=False)
+                texts = [_low(t.as_py()) for t in part.column("text")]
+                for t, apart in zip(texts, out):
+                    if apart:
+                        words.update(dict.fromkeys(t.split(), 0))
+                        words[END] += 0
+                    else:
+                        words.update(t.split())
+                        words[END] += 1
+                for data, starts, owners in segments(texts):
+                    ids, known = grams_of(data)
+                    inside = _inside(len(ids), starts, ORDER)
+                    kept = ids[inside]
+                    every = np.bincount(kept, minlength=len(known))
+                    n = every
+                    if out[owners].any():
+                        lengths = np.diff(np.r_[starts, len(data)]) - ORDER
+                        n = np.bincount(kept[np.repeat(~out[owners], lengths)], minlength=len(known))
+                    codes.append(known[every > 0])
+                    counts.append(n[every > 0].astype(np.int64))
+                if len(codes) > 32:
+                    u, n = _summed(codes, counts)
+                    codes, counts = [u], [n]
+        if codes:
+            yield from rows(now, words, codes, counts)
 
-    return rows.mapInArrow(blend, "word binary, n bigint, logs array<float>")
+    names = ["bucket", "word", "gram", "n"]
+    return docs.select("bucket", "held_out", "text").mapInArrow(count, "bucket bigint, word binary, gram bigint, n bigint")
 
 
-def score_documents(docs: DataFrame, *, head_words: int = HEAD_WORDS, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def gram_logs(grams: DataFrame) -> DataFrame:
+    """(gram, value) from (gram, n), n the count in all training texts: the log10 probability of the gram's last byte."""
+    pairs = grams.where(F.col("n") > 0).groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    sent = grams.sparkSession.sparkContext.broadcast(Shorter(pairs["pair"].to_numpy(), pairs["n"].to_numpy()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, key = [], 0, None
+
+        def done() -> pa.RecordBatch:
+            codes, n = (np.concatenate(x) for x in zip(*held))
+            at = np.argsort(codes, kind="stable")
+            codes, n = codes[at], n[at]
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(blend(codes, n, sent.value).astype(np.float32))], ["gram", "value"])
+
+        for b in batches:
+            codes, n = b.column("gram").to_numpy(), b.column("n").to_numpy()
+            ends = (codes >> 8) & 0xFFFF
+            for low, high in _runs(ends):
+                if ends[low] != key and size > 200_000:  # parts are never cut, but small ones go together
+                    yield done()
+                    held, size = [], 0
+                held.append((codes[low:high], n[low:high]))
+                key, size = ends[low], size + high - low
+        if held:
+            yield done()
+
+    dealt = grams.withColumn("ends", F.shiftright("gram", 8).bitwiseAND(0xFFFF)).repartition("ends").sortWithinPartitions("ends")
+    return dealt.select("gram", "n").mapInArrow(work, "gram bigint, value float")
+
+
+class _Bucket:
+    """The probabilities of one bucket's grams and words, and its texts' scores."""
+
+    def __init__(self):
+        self.codes, self.logs, self.words, self.sorted = [], [], {}, False
+
+    def learn(self, b: pa.RecordBatch) -> None:
+        grams = b.column("gram")
+        if grams.null_count < len(grams):
+            got = b.filter(grams.is_valid())
+            self.codes.append(got.column("gram").to_numpy())
+            self.logs.append(got.column("value").to_numpy())
+        if grams.null_count:
+            got = b.filter(grams.is_null())
+            self.words.update(zip(got.column("word").to_pylist(), got.column("value").to_pylist()))
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        if not self.sorted:
+            self.codes, self.logs = np.concatenate(self.codes), np.concatenate(self.logs)
+            at = np.argsort(self.codes, kind="stable")
+            self.codes, self.logs, self.sorted = self.codes[at], self.logs[at], True
+        out = np.zeros(len(texts))
+        for data, starts, owners in segments(texts):
+            ids, known = grams_of(data)
+            # Grams that only lie across segments have no probability, and are set to 0 at their places.
+            values = self.logs[np.minimum(np.searchsorted(self.codes, known), len(self.codes) - 1)][ids]
+            values[~_inside(len(ids), starts, ORDER)] = 0.0
+            np.add.at(out, owners, np.add.reduceat(values, starts))
+        return out
+
+
+def score_documents(docs: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = materialise(count_corpus(rows.where(~F.col("held_out"))), "corpus-counts")
-    words = materialise(counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # The number of a row's partition stands above the 33 bits of its place there.
+    piece = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / F.lit(bucket_rows))
+    bucket = F.spark_partition_id().cast("bigint") * (1 << 33) + piece
+    rows = materialise(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), bucket.alias("bucket")), "lm-docs")
+    counts = materialise(inventory(rows), "lm-inventory")
+    words = materialise(counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "lm-words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, denominator = int(totals["n"]), totals["n"] + 0.1 * (totals["v"] + 1)
-    head = most_frequent(words, "n", head_words).toArrow()
-    known = dict(zip(head["word"].to_pylist(), np.log10((head["n"].to_numpy() + 0.1) / denominator).tolist()))
-    four = _four(counts)
-    model = _fit(four, max_contexts)
-    lookup = words.withColumn("logs", F.lit(None).cast("array<float>"))
-    if len(model.rare):
-        lookup = lookup.unionByName(blend_rare(four, model))
-    model.shorter = None
-    sent = spark.sparkContext.broadcast((model, known))
+    unknown = math.log10(0.1 / denominator)
+    grams = materialise(counts.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
+    word_logs = words.select("word", F.log10((F.col("n") + F.lit(0.1)) / F.lit(denominator)).alias("value"))
+    of_grams = counts.where(F.col("gram").isNotNull()).select("bucket", "gram").join(gram_logs(grams), "gram")
+    of_words = counts.where(F.col("word").isNotNull()).select("bucket", "word").join(word_logs, "word")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    table = of_grams.select("bucket", F.lit(0).alias("kind"), none("binary").alias("word"), "gram", F.col("value").cast("double").alias("value"))
+    table = table.unionByName(of_words.select("bucket", F.lit(0).alias("kind"), "word", none("bigint").alias("gram"), "value"))
+    every = table.withColumns({"doc_id": none(kind), "held_out": none("boolean"), "text": none("string")})
+    every = every.unionByName(rows.select("bucket", F.lit(1).alias("kind"), none("binary").alias("word"), none("bigint").alias("gram"), none("double").alias("value"), "doc_id", "held_out", "text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, logs = sent.value
-        task, row = TaskContext.get().partitionId() << 40, 0
-        end = logs.get(END)
-        names = ["doc_id", "held_out", "row", "word", "symbol", "times", "n_tokens", "n_known", "base", "score"]
+        now, bucket = None, _Bucket()
         for b in batches:
-            ids, outs = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
-            out: list[list] = [[] for _ in names]
-            for doc, out_of, t in zip(ids, outs, b.column("text")):
-                low = _low(t.as_py())
-                tokens = low.split()
-                got = [v for v in map(logs.get, tokens) if v is not None]
-                n_known, total = len(got), math.fsum(got)
-                rare = Counter(w for w in tokens if w not in logs) if len(got) < len(tokens) else {}
-                if end is None:
-                    rare[END] = 1
-                else:
-                    n_known, total = n_known + 1, total + end
-                key = task | row
-                row += 1
-                # The document's own row has a word that no text can hold, and so one that spreads over all tasks.
-                score, grams, times = model.score_apart(low)
-                lines = [(doc, out_of, key, b" %d" % key, None, 0, len(tokens) + 1, n_known, total, score)]
-                lines += [(doc, out_of, key, w, None, n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
-                lines += [(doc, out_of, key, _rare_key(g >> 8), g & 255, n, 0, 0, 0.0, 0.0) for g, n in zip(grams.tolist(), times.tolist())]
-                for column, values in zip(out, zip(*lines)):
-                    column.extend(values)
-            kinds = [b.column("doc_id").type, pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-
-    ddl = f"doc_id {kind}, held_out boolean, row bigint, word binary, symbol int, times bigint, n_tokens bigint, n_known bigint, base double, score double"
-    scored = rows.mapInArrow(score, ddl).join(lookup, "word", "left")
-    count = F.coalesce("n", F.lit(0))
-    of_word = F.when(F.col("symbol").isNull(), F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(denominator))).otherwise(F.lit(0.0))
-    of_rare = F.when(F.col("symbol").isNotNull(), F.col("times") * F.get("logs", F.col("symbol")).cast("double")).otherwise(F.lit(0.0))
-    return (
-        scored.groupBy("row", "doc_id", "held_out")
-        .agg(
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(F.lit(0))).alias("n_known"),
-            F.lit(n_all).cast("bigint").alias("train_tokens"),
-            F.sum(F.col("base") + of_word).alias("base_score"),
-            F.sum(F.col("score") + of_rare).alias("score"),
-        )
-        .drop("row")
-    )
+            buckets, kinds = b.column("bucket").to_numpy(), b.column("kind").to_numpy()
+            for low, high in _runs(buckets * 2 + kinds):
+                if buckets[low] != now:
+                    now, bucket = buckets[low], _Bucket()
+                part = b.slice(low, high - low)
+                if not kinds[low]:
+                    bucket.learn(part)
+                    continue
+                texts = [_low(t.as_py()) for t in part.column("text")]
+                n_tokens, n_known, base = [], [], []
+                for t in texts:
+                    tokens = t.split()
+                    tokens.append(END)
+                    got = [v for v in map(bucket.words.get, tokens) if v is not None]
+                    n_tokens.append(len(tokens))
+                    n_known.append(len(got))
+                    base.append(math.fsum(got) + unknown * (len(tokens) - len(got)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_all] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(bucket.score(texts))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    # Every bucket has a task of its own as long as there are tasks enough.
+    part, piece = F.shiftright("bucket", 33), F.col("bucket").bitwiseAND((1 << 33) - 1)
+    most = rows.agg(F.max(part).alias("part"), F.max(piece).alias("piece")).first()
+    parts = (most["part"] or 0) + 1
+    tasks = min(MAX_TASKS, parts * ((most["piece"] or 0) + 1))
+    task = F.pmod(part + piece * parts, F.lit(tasks)).cast("int")
+    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return every.repartitionById(tasks, task).sortWithinPartitions("bucket", "kind").mapInArrow(score, ddl)

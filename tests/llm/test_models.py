@@ -8,7 +8,7 @@ import pytest
 
 from sievewright.llm.htmltree import labelled_pages, parse, train
 from sievewright.llm.mixing import mix_sources, rake, rake_frame
-from sievewright.llm.ppm import END, Model, code_length, count_corpus, fit, score_documents, train_trie
+from sievewright.llm.ppm import END, ORDER, Shorter, blend, code_length, grams_of, score_documents, segments, train_trie
 from sievewright.llm.sharding import assign_shards, fill_table
 from sievewright.llm.warc import members, parse_record, record_bytes, round_trip
 
@@ -31,12 +31,12 @@ def training(docs):
     return rows, [t for d, t in rows if zlib.crc32(str(d).encode()) % 10]
 
 
-@pytest.mark.parametrize("head", [400_000, 5])
-def test_lm_scores_equal_the_walked_trie(docs, head):
+@pytest.mark.parametrize("bucket_rows", [8192, 7])
+def test_lm_scores_equal_the_walked_trie(docs, bucket_rows):
     rows, texts = training(docs)
     trie, counts = train_trie(texts), Counter(w for t in texts for w in [*t.split(), END])
     n, v = sum(counts.values()), len(counts)
-    got = score_documents(docs, head_words=head).collect()
+    got = score_documents(docs, bucket_rows=bucket_rows).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     for d, t in rows:
@@ -45,26 +45,78 @@ def test_lm_scores_equal_the_walked_trie(docs, head):
         r = by[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["held_out"] == (zlib.crc32(str(d).encode()) % 10 == 0)
-        assert r["base_score"] == pytest.approx(base, abs=1e-6)
-        assert r["score"] == pytest.approx(code_length(t, trie), rel=1e-5, abs=1e-4)
-
-
-@pytest.mark.parametrize("head", [1, 30])
-def test_lm_scores_keep_rare_contexts(docs, head):
-    rows, texts = training(docs)
-    trie = train_trie(texts)
-    assert sum(len(c) == 3 for c in trie) > 2 * head
-    got = {r["doc_id"]: r["score"] for r in score_documents(docs, max_contexts=head).collect()}
-    for d, t in rows:
-        assert got[d] == pytest.approx(code_length(t, trie), rel=1e-5, abs=1e-4)
-
-
-def test_lm_rows_are_distributions(docs):
-    model = fit(count_corpus(docs.where("doc_id % 2 = 0")))
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
-    empty = Model({k: (np.zeros(0, np.int64), np.zeros(0)) for k in range(4)})
-    assert empty.score(b"ab") == pytest.approx(3 * -math.log10(256), rel=1e-6)
-    assert code_length(b"abababababab") > 13 * -math.log10(256)  # an adaptive model learns
+        assert r["base_score"] == pytest.approx(base, abs=1e-9)
+        assert r["score"] == pytest.approx(code_length(t, trie), rel=1e-6, abs=1e-5)
+
+
+def grams(texts):
+    out = Counter()
+    for t in texts:
+        data = b"\0" * ORDER + t + b"\0"
+        out.update(int.from_bytes(data[i : i + ORDER + 1], "big") for i in range(len(data) - ORDER))
+    return out
+
+
+@pytest.mark.parametrize("texts", [[], [b""], [b"abracadabra", b"abba", b"caba"], [bytes(range(1, 256)) * 3, b"ab", b"b" * 50]])
+def test_lm_blend_equals_the_walked_trie_by_gram(texts):
+    trie, seen = train_trie(texts), grams(texts)
+    asked = [b"abracad", b"zz top", b"abba\xff", b"bbbbbbbbx", bytes(range(250, 256))]
+    every = sorted(set(seen) | set(grams(asked)))
+    pairs = Counter()
+    for g, n in seen.items():
+        pairs[g & 0xFFFF] += n
+    shorter = Shorter(np.array(sorted(pairs), np.int64), np.array([pairs[p] for p in sorted(pairs)], float))
+    logs = dict(zip(every, blend(np.array(every, np.int64), np.array([seen[g] for g in every]), shorter)))
+    for t in texts + asked:
+        assert sum(logs[g] * n for g, n in grams([t]).items()) == pytest.approx(code_length(t, trie), rel=1e-9, abs=1e-9)
+
+
+def test_lm_predictions_are_distributions():
+    texts = [b"abracadabra", b"abba", bytes(range(256))]
+    trie, seen = train_trie(texts), grams(texts)
+    pairs = Counter()
+    for g, n in seen.items():
+        pairs[g & 0xFFFF] += n
+    shorter = Shorter(np.array(sorted(pairs), np.int64), np.array([pairs[p] for p in sorted(pairs)], float))
+    for context in (b"\0\0\0\0\0", b"racad", b"zzzab", b"\x01\x02\x03\x04\x05"):
+        base = int.from_bytes(context, "big") << 8
+        asked = {base | s for s in range(256)}
+        every = sorted(asked | set(seen))
+        logs = blend(np.array(every, np.int64), np.array([seen[g] for g in every]), shorter)
+        assert sum(10.0**x for g, x in zip(every, logs) if g in asked) == pytest.approx(1, abs=1e-9)
+    assert code_length(b"ab", trie) < 0
+    assert code_length(b"") == pytest.approx(-math.log10(256)) and code_length(b"abababababab") > 13 * -math.log10(256)  # an adaptive model learns
+
+
+@pytest.mark.parametrize("chunk", [9, 40, 1000])
+def test_lm_segments_hold_every_gram_once(chunk, monkeypatch):
+    from sievewright.llm import ppm
+
+    monkeypatch.setattr(ppm, "CELLS", 1 << 9)  # so that some grams are numbered by sorting
+    texts, found = [b"", b"hello world", b"x" * 57, b"ab" * 30, "größe".encode()], Counter()
+    for data, starts, owners in segments(texts, chunk=chunk):
+        ids, codes = grams_of(data)
+        inside = ppm._inside(len(ids), starts, ORDER)
+        assert (np.diff(np.r_[starts, len(data)]) > ORDER).all() and len(owners) == len(starts)
+        found.update(codes[ids[inside]].tolist())
+    assert found == grams(texts)
+
+
+def test_lm_beats_the_unigram_base_on_held_out_texts(spark):
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 2))) for _ in range(60)]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    sentences = [" ".join(word() for _ in range(8)) + "." for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(sentences) for _ in range(10))) for i in range(300)]
+    got = score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert got["s"] > got["b"]
+
+
+def test_lm_long_text_of_many_words(spark):
+    words = [f"w{i * i % 9973}" for i in range(700_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:1000])), (3, None)]
+    got = {r["doc_id"]: r for r in score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["n_tokens"] == 700_001 and got[2]["n_known"] == 1001 and got[1]["score"] < got[2]["score"] < got[3]["score"]
 
 
 def test_lm_without_rows(docs):
