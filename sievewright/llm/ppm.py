@@ -8,16 +8,17 @@ where all symbols already refused are excluded from counts and total, and so on
 Over a corpus nothing is walked and nothing is capped. A position's probability depends on its gram alone, the context
 and the symbol, so it is worked out once for each distinct gram of the corpus:
 
-1. Documents are dealt into buckets of some thousand neighbouring rows, in a table, so that every later pass sees the
-   same buckets. Each bucket lists its distinct grams and words, with how often training texts hold them.
-2. Counts are added up by gram. Grams are dealt by the last two bytes of their context; all contexts of two bytes and
-   more nest in such a part. Shorter ones (at most 65,792 counts, whatever the corpus) go along as a broadcast.
-   So each part works out the log probabilities of its grams for itself (``blend``).
-3. These come back to the buckets by a join on the gram, as do the words' counts by a join on the word. A gram or word
-   has at most one row a bucket there, however often it occurs. A bucket's rows meet its documents in one task, the
-   table first, and the texts are scored one after another by lookups.
-
-A task holds the distinct grams and words of one bucket, and of texts a few MB at a time, however long they are.
+1. Each task counts the distinct grams and words of its texts, and Spark adds them up. Grams that only held-out texts
+   have are listed too, with a count of 0.
+2. Grams are dealt by the last two bytes of their context; all contexts of two bytes and more nest in such a part.
+   Shorter ones (at most 65,792 counts, whatever the corpus) go along as a broadcast. So each part works out the log
+   probabilities of its grams for itself (``blend``).
+3. Texts are scored by lookups. The ``head_grams`` and ``head_words`` most frequent ones (parameters, some 12 and 40
+   bytes each) are broadcast; what a text has of the others goes through one shuffle join, a row for each text and gram
+   or word. These are rare by choice, so no key is a hot one.
+
+A task holds the grams and words it has counted, up to ``HELD`` before it passes them on, and looks at a few MB of text
+at a time, however long one is.
 
 Defined cases: null or empty text has one token, the end; rows with a null id are held out; repeated rows each get
 their row; texts of any length are scored whole, in time linear in their length; other columns of the input play no
@@ -36,16 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frequent import most_frequent
 from ..session import materialise
 
 ORDER = 5
 END = b" end"
-#: Rows of a bucket, and bytes of text looked at in one go.
-BUCKET_ROWS, CHUNK = 8192, 4_000_000
+#: Bytes of text looked at in one go.
+CHUNK = 4_000_000
 #: Largest table for numbering grams by direct address; beyond it they are sorted.
 CELLS = 1 << 26
-#: Most tasks for scoring; buckets beyond them share tasks, one after another.
-MAX_TASKS = 20_000
+HEAD_GRAMS, HEAD_WORDS = 1_000_000, 400_000
+#: Distinct words and grams a task holds before it passes its counts on.
+HELD = 1_500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -255,61 +258,65 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return every[first], np.add.reduceat(n, first)
 
 
-def inventory(docs: DataFrame) -> DataFrame:
-    """(bucket, word, gram, n) from (bucket, held_out, text): the words (gram null) and grams (word null) of each bucket, and how often training texts hold them, 0 included."""
-
-    def rows(bucket: int, words: dict, codes: list, counts: list) -> Iterator[pa.RecordBatch]:
-        keys, n = list(words.keys()), list(words.values())
-        for i in range(0, len(keys), 100_000):
-            k = pa.array(keys[i : i + 100_000], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket)), k, pa.nulls(len(k), pa.int64()), pa.array(n[i : i + 100_000], pa.int64())], names)
-        u, n = _summed(codes, counts)
-        for i in range(0, len(u), 100_000):
-            k = pa.array(u[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bucket)), pa.nulls(len(k), pa.binary()), k, pa.array(n[i : i + 100_000])], names)
+def count_corpus(docs: DataFrame) -> DataFrame:
+    """(word, gram, n) of (held_out, text): each word (gram null) and gram (word null), and how often training texts hold it, 0 included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, codes, counts = None, Counter(), [], []
+        words: Counter = Counter()
+        codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def of_words() -> Iterator[pa.RecordBatch]:
+            keys, n = list(words.keys()), list(words.values())
+            words.clear()
+            for i in range(0, len(keys), 100_000):
+                k = pa.array(keys[i : i + 100_000], pa.binary())
+                yield pa.RecordBatch.from_arrays([k, pa.nulls(len(k), pa.int64()), pa.array(n[i : i + 100_000], pa.int64())], names)
+
+        def of_grams() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(codes[0]) if codes else 0, 100_000):
+                k = pa.array(codes[0][i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), k, pa.array(counts[0][i : i + 100_000])], names)
+
+        def fold() -> None:
+            if len(codes) > 1:
+                u, n = _summed(codes, counts)
+                codes[:], counts[:] = [u], [n]
+
         for b in batches:
-            buckets = b.column("bucket").to_numpy()
-            for low, high in _runs(buckets):
-                if buckets[low] != now:
-                    if codes:
-                        yield from rows(now, words, codes, counts)
-                    now, words, codes, counts = buckets[low], Counter(), [], []
-                part = b.slice(low, high - low)
-                out = part.column("held_out").to_numpy(zero_copy_only=False)
-                texts = [_low(t.as_py()) for t in part.column("text")]
-                for t, apart in zip(texts, out):
-                    if apart:
-                        words.update(dict.fromkeys(t.split(), 0))
-                        words[END] += 0
-                    else:
-                        words.update(t.split())
-                        words[END] += 1
-                for data, starts, owners in segments(texts):
-                    ids, known = grams_of(data)
-                    inside = _inside(len(ids), starts, ORDER)
-                    kept = ids[inside]
-                    every = np.bincount(kept, minlength=len(known))
-                    n = every
-                    if out[owners].any():
-                        lengths = np.diff(np.r_[starts, len(data)]) - ORDER
-                        n = np.bincount(kept[np.repeat(~out[owners], lengths)], minlength=len(known))
-                    codes.append(known[every > 0])
-                    counts.append(n[every > 0].astype(np.int64))
-                if len(codes) > 32:
-                    u, n = _summed(codes, counts)
-                    codes, counts = [u], [n]
-        if codes:
-            yield from rows(now, words, codes, counts)
-
-    names = ["bucket", "word", "gram", "n"]
-    return docs.select("bucket", "held_out", "text").mapInArrow(count, "bucket bigint, word binary, gram bigint, n bigint")
+            out = b.column("held_out").to_numpy(zero_copy_only=False)
+            texts = [_low(t.as_py()) for t in b.column("text")]
+            for t, apart in zip(texts, out):
+                if not apart:
+                    words.update(t.split())
+                    words[END] += 1
+            if len(words) > HELD:
+                yield from of_words()
+            for data, starts, owners in segments(texts):
+                ids, known = grams_of(data)
+                kept = ids[_inside(len(ids), starts, ORDER)]
+                every = np.bincount(kept, minlength=len(known))
+                n = every
+                if out[owners].any():
+                    n = np.bincount(kept[np.repeat(~out[owners], np.diff(np.r_[starts, len(data)]) - ORDER)], minlength=len(known))
+                codes.append(known[every > 0])
+                counts.append(n[every > 0].astype(np.int64))
+                if sum(map(len, codes)) > 2 * HELD:
+                    fold()
+                    if len(codes[0]) > HELD:
+                        yield from of_grams()
+                        codes.clear()
+                        counts.clear()
+        yield from of_words()
+        fold()
+        yield from of_grams()
+
+    names = ["word", "gram", "n"]
+    return docs.select("held_out", "text").mapInArrow(count, "word binary, gram bigint, n bigint")
 
 
 def gram_logs(grams: DataFrame) -> DataFrame:
-    """(gram, value) from (gram, n), n the count in all training texts: the log10 probability of the gram's last byte."""
+    """(gram, n, value) from (gram, n), n the count in all training texts: the log10 probability of the gram's last byte."""
     pairs = grams.where(F.col("n") > 0).groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
     sent = grams.sparkSession.sparkContext.broadcast(Shorter(pairs["pair"].to_numpy(), pairs["n"].to_numpy()))
 
@@ -320,7 +327,7 @@ def gram_logs(grams: DataFrame) -> DataFrame:
             codes, n = (np.concatenate(x) for x in zip(*held))
             at = np.argsort(codes, kind="stable")
             codes, n = codes[at], n[at]
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(blend(codes, n, sent.value).astype(np.float32))], ["gram", "value"])
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(blend(codes, n, sent.value).astype(np.float32))], ["gram", "n", "value"])
 
         for b in batches:
             codes, n = b.column("gram").to_numpy(), b.column("n").to_numpy()
@@ -335,92 +342,107 @@ def gram_logs(grams: DataFrame) -> DataFrame:
             yield done()
 
     dealt = grams.withColumn("ends", F.shiftright("gram", 8).bitwiseAND(0xFFFF)).repartition("ends").sortWithinPartitions("ends")
-    return dealt.select("gram", "n").mapInArrow(work, "gram bigint, value float")
-
-
-class _Bucket:
-    """The probabilities of one bucket's grams and words, and its texts' scores."""
-
-    def __init__(self):
-        self.codes, self.logs, self.words, self.sorted = [], [], {}, False
-
-    def learn(self, b: pa.RecordBatch) -> None:
-        grams = b.column("gram")
-        if grams.null_count < len(grams):
-            got = b.filter(grams.is_valid())
-            self.codes.append(got.column("gram").to_numpy())
-            self.logs.append(got.column("value").to_numpy())
-        if grams.null_count:
-            got = b.filter(grams.is_null())
-            self.words.update(zip(got.column("word").to_pylist(), got.column("value").to_pylist()))
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if not self.sorted:
-            self.codes, self.logs = np.concatenate(self.codes), np.concatenate(self.logs)
-            at = np.argsort(self.codes, kind="stable")
-            self.codes, self.logs, self.sorted = self.codes[at], self.logs[at], True
-        out = np.zeros(len(texts))
+    return dealt.select("gram", "n").mapInArrow(work, "gram bigint, n bigint, value float")
+
+
+def _gram_key(gram: int) -> bytes:
+    """A word that no text can hold, and neither the end nor a text's own."""
+    return b" g" + gram.to_bytes(ORDER + 1, "big")
+
+
+class Scorer:
+    """The frequent grams' and words' probabilities, and texts' scores by them."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, words: dict[bytes, float]):
+        """grams: sorted."""
+        self.grams, self.logs, self.words = grams, logs, words
+
+    def of_words(self, text: bytes) -> tuple[int, int, float, Counter]:
+        """Tokens, how many of them are frequent, the sum of their logs; and the other words."""
+        tokens = text.split()
+        tokens.append(END)
+        got = [v for v in map(self.words.get, tokens) if v is not None]
+        rest = Counter(w for w in tokens if w not in self.words) if len(got) < len(tokens) else Counter()
+        return len(tokens), len(got), math.fsum(got), rest
+
+    def of_grams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's sum of logs over its frequent grams; of the others: the text's number, the gram, how often."""
+        out, others = np.zeros(len(texts)), []
         for data, starts, owners in segments(texts):
             ids, known = grams_of(data)
-            # Grams that only lie across segments have no probability, and are set to 0 at their places.
-            values = self.logs[np.minimum(np.searchsorted(self.codes, known), len(self.codes) - 1)][ids]
-            values[~_inside(len(ids), starts, ORDER)] = 0.0
+            at = np.minimum(np.searchsorted(self.grams, known), max(len(self.grams) - 1, 0))
+            here = self.grams[at] == known if len(self.grams) else np.zeros(len(known), bool)
+            values = np.where(here, self.logs[at] if len(self.grams) else 0.0, 0.0)[ids]
+            inside = _inside(len(ids), starts, ORDER)
+            values[~inside] = 0.0
             np.add.at(out, owners, np.add.reduceat(values, starts))
-        return out
+            rare = np.flatnonzero(~here[ids] & inside)
+            if len(rare):
+                owner = owners[np.searchsorted(starts, rare, side="right") - 1]
+                pair, times = np.unique(owner.astype(np.int64) * len(known) + ids[rare], return_counts=True)
+                others.append((pair // len(known), known[pair % len(known)], times))
+        found = [np.concatenate(x) for x in zip(*others)] if others else [np.zeros(0, np.int64)] * 3
+        return out, *found
 
 
-def score_documents(docs: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, *, head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    # The number of a row's partition stands above the 33 bits of its place there.
-    piece = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / F.lit(bucket_rows))
-    bucket = F.spark_partition_id().cast("bigint") * (1 << 33) + piece
-    rows = materialise(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), bucket.alias("bucket")), "lm-docs")
-    counts = materialise(inventory(rows), "lm-inventory")
-    words = materialise(counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "lm-words")
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    counts = materialise(count_corpus(rows).groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
+    words = counts.where(F.col("word").isNotNull()).select("word", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, denominator = int(totals["n"]), totals["n"] + 0.1 * (totals["v"] + 1)
-    unknown = math.log10(0.1 / denominator)
-    grams = materialise(counts.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    word_logs = words.select("word", F.log10((F.col("n") + F.lit(0.1)) / F.lit(denominator)).alias("value"))
-    of_grams = counts.where(F.col("gram").isNotNull()).select("bucket", "gram").join(gram_logs(grams), "gram")
-    of_words = counts.where(F.col("word").isNotNull()).select("bucket", "word").join(word_logs, "word")
+    head = most_frequent(words, "n", head_words).toArrow()
+    known = dict(zip(head["word"].to_pylist(), np.log10((head["n"].to_numpy() + 0.1) / denominator).tolist()))
+    logs = materialise(gram_logs(counts.where(F.col("gram").isNotNull()).select("gram", "n")), "lm-grams")
+    first = most_frequent(logs, "n", head_grams).select("gram", "value").toArrow()
+    grams, values = first["gram"].to_numpy(), first["value"].to_numpy()
+    at = np.argsort(grams)
+    sent = spark.sparkContext.broadcast(Scorer(grams[at], values[at], known))
+    key = F.concat(F.lit(b" g"), F.unhex(F.lpad(F.hex("gram"), 2 * ORDER + 2, "0")))
+    lookup = words.select("word", "n", F.lit(None).cast("float").alias("value")).unionByName(logs.select(key.alias("word"), F.lit(None).cast("bigint").alias("n"), "value"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    none = lambda t: F.lit(None).cast(t)
-    table = of_grams.select("bucket", F.lit(0).alias("kind"), none("binary").alias("word"), "gram", F.col("value").cast("double").alias("value"))
-    table = table.unionByName(of_words.select("bucket", F.lit(0).alias("kind"), "word", none("bigint").alias("gram"), "value"))
-    every = table.withColumns({"doc_id": none(kind), "held_out": none("boolean"), "text": none("string")})
-    every = every.unionByName(rows.select("bucket", F.lit(1).alias("kind"), none("binary").alias("word"), none("bigint").alias("gram"), none("double").alias("value"), "doc_id", "held_out", "text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bucket = None, _Bucket()
+        from pyspark import TaskContext
+
+        scorer, row = sent.value, TaskContext.get().partitionId() << 40
         for b in batches:
-            buckets, kinds = b.column("bucket").to_numpy(), b.column("kind").to_numpy()
-            for low, high in _runs(buckets * 2 + kinds):
-                if buckets[low] != now:
-                    now, bucket = buckets[low], _Bucket()
-                part = b.slice(low, high - low)
-                if not kinds[low]:
-                    bucket.learn(part)
-                    continue
-                texts = [_low(t.as_py()) for t in part.column("text")]
-                n_tokens, n_known, base = [], [], []
-                for t in texts:
-                    tokens = t.split()
-                    tokens.append(END)
-                    got = [v for v in map(bucket.words.get, tokens) if v is not None]
-                    n_tokens.append(len(tokens))
-                    n_known.append(len(got))
-                    base.append(math.fsum(got) + unknown * (len(tokens) - len(got)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_all] * len(texts), pa.int64()), pa.array(base, pa.float64()), pa.array(bucket.score(texts))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    # Every bucket has a task of its own as long as there are tasks enough.
-    part, piece = F.shiftright("bucket", 33), F.col("bucket").bitwiseAND((1 << 33) - 1)
-    most = rows.agg(F.max(part).alias("part"), F.max(piece).alias("piece")).first()
-    parts = (most["part"] or 0) + 1
-    tasks = min(MAX_TASKS, parts * ((most["piece"] or 0) + 1))
-    task = F.pmod(part + piece * parts, F.lit(tasks)).cast("int")
-    ddl = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return every.repartitionById(tasks, task).sortWithinPartitions("bucket", "kind").mapInArrow(score, ddl)
+            texts = [_low(t.as_py()) for t in b.column("text")]
+            sums, owners, rare, often = scorer.of_grams(texts)
+            n_tokens, n_known, base, others = zip(*map(scorer.of_words, texts)) if texts else ((),) * 4
+            n, keys = len(texts), np.arange(row, row + len(texts))
+            row += n
+            # A text's own row has a key that no text can hold, and so one that spreads over all tasks.
+            own = [pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), pa.array(keys), b.column("doc_id"), b.column("held_out"), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums)], names)
+            at = np.repeat(np.arange(n), [len(x) for x in others])
+            at = np.concatenate([at, owners]).astype(np.int64)
+            sought = [w for x in others for w in x] + [_gram_key(g) for g in rare.tolist()]
+            times = np.concatenate([np.array([k for x in others for k in x.values()], np.int64), often])
+            for i in range(0, len(at), 50_000):
+                part = at[i : i + 50_000]
+                zeros = pa.array(np.zeros(len(part), np.int64))
+                of_text = [pa.array(keys[part]), pa.nulls(len(part), b.column("doc_id").type), pa.nulls(len(part), pa.bool_()), pa.array(times[i : i + 50_000])]
+                yield pa.RecordBatch.from_arrays([pa.array(sought[i : i + 50_000], pa.binary()), *of_text, zeros, zeros, pa.array(np.zeros(len(part))), pa.array(np.zeros(len(part)))], names)
+
+    names = ["word", "row", "doc_id", "held_out", "times", "n_tokens", "n_known", "base", "score"]
+    ddl = f"word binary, row bigint, doc_id {kind}, held_out boolean, times bigint, n_tokens bigint, n_known bigint, base double, score double"
+    scored = rows.mapInArrow(score, ddl).join(lookup, "word", "left")
+    count = F.coalesce("n", F.lit(0))
+    of_word = F.when(F.col("times").isNull() | F.col("value").isNotNull(), F.lit(0.0)).otherwise(F.col("times") * F.log10((count + F.lit(0.1)) / F.lit(denominator)))
+    of_gram = F.coalesce(F.col("times") * F.col("value").cast("double"), F.lit(0.0))
+    return (
+        scored.groupBy("row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.bool_or("held_out").alias("held_out"),
+            F.sum("n_tokens").alias("n_tokens"),
+            F.sum(F.col("n_known") + F.when(count > 0, F.coalesce("times", F.lit(0))).otherwise(F.lit(0))).alias("n_known"),
+            F.lit(n_all).cast("bigint").alias("train_tokens"),
+            F.sum(F.col("base") + of_word).alias("base_score"),
+            F.sum(F.col("score") + of_gram).alias("score"),
+        )
+        .drop("row")
+    )

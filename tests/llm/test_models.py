@@ -31,12 +31,12 @@ def training(docs):
     return rows, [t for d, t in rows if zlib.crc32(str(d).encode()) % 10]
 
 
-@pytest.mark.parametrize("bucket_rows", [8192, 7])
-def test_lm_scores_equal_the_walked_trie(docs, bucket_rows):
+@pytest.mark.parametrize("head", [400_000, 30, 0])
+def test_lm_scores_equal_the_walked_trie(docs, head):
     rows, texts = training(docs)
     trie, counts = train_trie(texts), Counter(w for t in texts for w in [*t.split(), END])
     n, v = sum(counts.values()), len(counts)
-    got = score_documents(docs, bucket_rows=bucket_rows).collect()
+    got = score_documents(docs, head_grams=head, head_words=head // 2).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     for d, t in rows:
