@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,28 @@ def hash_from_array(low: Column) -> Column:
     return F.aggregate(low, F.lit(0).cast("bigint"), lambda acc, x: acc * 2 + F.when(x > median, 1).otherwise(0))
 
 
+def dct_hash(pixels: Column, side: int, keep: int = 8) -> Column:
+    """The hash of a grey picture of side * side pixels (row by row): its DCT's keep * keep lowest coefficients but the first, as bits.
+
+    Type-II cosines, orthonormal. Only the kept rows and columns are worked out: rows of the picture first, then columns.
+    """
+    wave = [[math.cos(math.pi * (2 * x + 1) * u / (2 * side)) * math.sqrt((1 if u == 0 else 2) / side) for x in range(side)] for u in range(keep)]
+    waves = F.array(*(F.array(*(F.lit(x) for x in row)) for row in wave))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda y: F.transform(F.slice(pixels, y * side + 1, F.lit(side)), lambda v: v.cast("double")))
+    turn = lambda many: F.transform(waves, lambda w: F.transform(many, lambda one: dot(one, w)))
+    # Bound, so that lines and what becomes of them are worked out once: first coefficient v of each line, then u along these.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    both = F.flatten(bound(bound(lines, turn), turn))
+    return bound(F.slice(both, F.lit(2), F.lit(keep * keep - 1)), hash_from_array)
+
+
+def to_planes(pixels: Column, channels: int = 3) -> Column:
+    """Values of pixels (channels side by side, 0 to 255) as one plane a channel, 0 to 1, in reverse order of channels (BGR to RGB)."""
+    places = lambda c: F.filter(pixels, lambda _, i: i % channels == c)
+    return F.array(*(F.transform(places(c), lambda x: x / F.lit(255.0)) for c in reversed(range(channels))))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLASSES, SPLITS
-from ..functions.arrays import hamming
+from ..config import CLASSES, NEAR_THRESHOLDS, SPLITS
+from ..functions.text import component_id, stem
+from ..session import materialise
+from .dedup import near_join
 
 PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
 
@@ -55,19 +57,50 @@ def split_intersections(rows: DataFrame, key: str) -> DataFrame:
     return one.select(F.inline(rows_))
 
 
-def min_cross_distance(rows: DataFrame, value: str = "hash", split: str = "split") -> DataFrame:
+def _in_splits(rows: DataFrame, value: str, split: str) -> DataFrame:
+    """(h, s): distinct hashes and the splits they occur in, as bits."""
+    bit = F.lit(0)
+    for i, name in enumerate(SPLITS):
+        bit = F.when(F.col(split) == name, 1 << i).otherwise(bit)
+    return rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.bit_or(bit).cast("int").alias("s"))
+
+
+def _across(pair: tuple[str, str], left: str, right: str) -> Column:
+    a, b = (1 << SPLITS.index(x) for x in pair)
+    has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) > 0
+    return (has(left, a) & has(right, b)) | (has(left, b) & has(right, a))
+
+
+def _pairs_across(values: DataFrame, threshold: int, bits: int) -> DataFrame:
+    """(s, t, distance) of near hashes, equal ones included, that lie in different splits."""
+    left, right = values, values.select(F.col("h").alias("g"), F.col("s").alias("t"))
+    near = near_join(left, right, threshold, bits=bits).where(F.col("h") <= F.col("g"))
+    return near.where(F.bit_count(F.col("s").bitwiseOR(F.col("t"))) > 1).select("s", "t", "distance")
+
+
+def min_cross_distance(rows: DataFrame, value: str = "hash", split: str = "split", *, bits: int = 64) -> DataFrame:
     """(pair, distance): least Hamming distance between splits, -1 where one is empty.
 
-    A full comparison, meant for a selection of bounded size (quotas), after near duplicates are out; distinct values
-    only, and the smaller side is broadcast by the planner where its size allows it.
+    Limits rise and stop at the first that finds a pair: the least distance is then the least of those found. Where
+    hashes lie close, as they do in large tables, that is a banded join at a small limit, never all pairs.
     """
-    values = rows.select(F.col(split).alias("s"), F.col(value).alias("h")).where(F.col("h").isNotNull()).distinct()
-    parts = []
-    for a, b in PAIRS:
-        left, right = values.where(F.col("s") == a).select(F.col("h").alias("x")), values.where(F.col("s") == b).select(F.col("h").alias("y"))
-        near = left.join(right, F.lit(True)).agg(F.coalesce(F.min(hamming(F.col("x"), F.col("y"))), F.lit(-1)).cast("bigint").alias("distance"))
-        parts.append(near.select(F.lit(f"{a}|{b}").alias("pair"), "distance"))
-    return reduce(DataFrame.unionByName, parts)
+    values = materialise(_in_splits(rows, value, split), "cross-values")
+    sides = values.agg(*(F.bool_or(F.col("s").bitwiseAND(1 << i) > 0).alias(x) for i, x in enumerate(SPLITS))).first()
+    least: dict[tuple[str, str], int] = {p: -1 for p in PAIRS if not (sides[p[0]] and sides[p[1]])}
+    for limit in NEAR_THRESHOLDS:
+        wanted = [p for p in PAIRS if p not in least]
+        if not wanted:
+            break
+        found = _pairs_across(values, limit, bits).agg(*(F.min(F.when(_across(p, "s", "t"), F.col("distance"))).alias("|".join(p)) for p in wanted)).first()
+        least |= {p: int(found["|".join(p)]) for p in wanted if found["|".join(p)] is not None}
+    rows_ = [("|".join(p), least[p]) for p in PAIRS]
+    return rows.sparkSession.createDataFrame(rows_, "pair string, distance bigint")
+
+
+def near_across_splits(rows: DataFrame, threshold: int, value: str = "hash", split: str = "split", *, bits: int = 64) -> DataFrame:
+    """One row (near): whether any two splits have hashes within threshold bits."""
+    found = _pairs_across(materialise(_in_splits(rows, value, split), "cross-values"), threshold, bits)
+    return found.agg((F.count("*") == 0).alias("near"))
 
 
 def _named(one: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -75,7 +108,7 @@ def _named(one: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return one.select(F.inline(entries))
 
 
-def selection_checks(rows: DataFrame, quotas: dict[str, int], threshold: int) -> DataFrame:
+def selection_checks(rows: DataFrame, quotas: dict[str, int], threshold: int, *, bits: int = 64) -> DataFrame:
     """Six checks of a selection with split, official_split, label, md5 and hash."""
     grid = dense_counts(rows, label="label")
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
@@ -85,7 +118,7 @@ def selection_checks(rows: DataFrame, quotas: dict[str, int], threshold: int) ->
     digest = digest.agg(F.coalesce(F.bool_and("s"), F.lit(True)).alias("one_split"), F.coalesce(F.bool_and("c"), F.lit(True)).alias("one_class"))
     official = rows.groupBy("split").agg(F.bool_and(F.col("official_split").eqNullSafe(F.col("split"))).alias("o"))
     official = official.agg((F.bool_and("o") & (F.count("*") == len(SPLITS))).alias("official"))
-    near = min_cross_distance(rows).agg(F.bool_and((F.col("distance") > threshold) | (F.col("distance") == -1)).alias("near"))
+    near = near_across_splits(rows, threshold, bits=bits)
     one = reduce(DataFrame.crossJoin, (exact, balance, digest, official, near))
     return _named(one, {
         "exact_counts_match_quota": F.col("exact"),
@@ -110,30 +143,56 @@ def corrupted_files(manifest: DataFrame, disk: DataFrame, key: str = "path") ->
     return both.where(F.col("expected") != F.col("found"))
 
 
-def extras_like_manifest(manifest: DataFrame, disk: DataFrame, threshold: int, key: str = "path") -> DataFrame:
+def extras_like_manifest(manifest: DataFrame, disk: DataFrame, threshold: int, key: str = "path", *, bits: int = 64) -> DataFrame:
     """Extra files equal to a manifest row by digest, or within threshold bits of one: two semi joins, not an OR."""
-    from .dedup import band_keys
-
     extra = disk.join(manifest, key, "left_anti")
     equal = extra.join(manifest.select("md5").distinct(), "md5", "left_semi").select(key)
-    bands = lambda df, name: df.select(F.col("hash").alias(name), F.posexplode(band_keys(F.col("hash"), threshold)).alias("band", "part")).distinct()
-    hits = bands(extra, "x").join(bands(manifest, "y"), ["band", "part"]).where(hamming(F.col("x"), F.col("y")) <= threshold).select(F.col("x").alias("hash")).distinct()
+    hashes = lambda df, name: df.where(F.col("hash").isNotNull()).select(F.col("hash").alias(name)).distinct()
+    hits = near_join(hashes(extra, "h"), hashes(manifest, "g"), threshold, bits=bits).select(F.col("h").alias("hash")).distinct()
     near = extra.join(hits, "hash", "left_semi").select(key)
     return equal.unionByName(near).distinct()
 
 
-def revalidation_checks(manifest: DataFrame, disk: DataFrame, quotas: dict[str, int], threshold: int) -> DataFrame:
+def unreadable_files(manifest: DataFrame, disk: DataFrame, key: str = "path") -> DataFrame:
+    """Files of the manifest that are there but have no hash (a left join: a file that is missing is not unreadable)."""
+    both = manifest.select(key).join(disk.select(key, "hash", F.lit(True).alias("_there")), key, "left")
+    return both.where(F.col("_there") & F.col("hash").isNull()).select(key)
+
+
+def revalidation_checks(manifest: DataFrame, disk: DataFrame, quotas: dict[str, int], threshold: int, *, bits: int = 64) -> DataFrame:
     """The six selection checks, then five that hold the manifest against what is there."""
     none = lambda df: df.agg((F.count("*") == 0).alias("ok"))
     checks = {
         "all_files_present": none(missing_files(manifest, disk)),
         "all_digests_match": none(corrupted_files(manifest, disk)),
-        "all_files_readable": none(disk.where(F.col("hash").isNull())),
+        "all_files_readable": none(unreadable_files(manifest, disk)),
         "no_unexpected_files": none(extra_files(manifest, disk)),
-        "no_extra_duplicates_manifest": none(extras_like_manifest(manifest, disk, threshold)),
+        "no_extra_duplicates_manifest": none(extras_like_manifest(manifest, disk, threshold, bits=bits)),
     }
     parts = [df.select(F.lit(name).alias("check_name"), F.col("ok").alias("passed")) for name, df in checks.items()]
-    return reduce(DataFrame.unionByName, [selection_checks(manifest, quotas, threshold), *parts])
+    return reduce(DataFrame.unionByName, [selection_checks(manifest, quotas, threshold, bits=bits), *parts])
+
+
+def verdict(checks: DataFrame) -> DataFrame:
+    """One row: whether all checks (check_name, passed) passed, how many failed and their names, in order."""
+    failed = F.sort_array(F.collect_set(F.when(~F.col("passed"), F.col("check_name"))))
+    return checks.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.array_join(failed, ",").alias("failed"))
+
+
+def leakage_from_names(files: DataFrame) -> DataFrame:
+    """The leakage audit of a prepared tree: (component, splits, n_files, leaked) from (split, path) alone.
+
+    Components come from the copied files' names, as the folders are flat.
+    """
+    name = stem(F.col("path"))
+    per = files.select("split", component_id(name).alias("component")).groupBy("component")
+    per = per.agg(F.sort_array(F.collect_set("split")).alias("found"), F.count("*").alias("n_files"))
+    return per.select("component", F.array_join("found", ",").alias("splits"), "n_files", (F.size("found") > 1).alias("leaked"))
+
+
+def any_rows(rows: DataFrame) -> DataFrame:
+    """One row: whether there is any row; a limit lets the scan stop at the first."""
+    return rows.limit(1).agg((F.count("*") > 0).alias("found"))
 
 
 def report_against_disk(reported: DataFrame, found: DataFrame) -> DataFrame:

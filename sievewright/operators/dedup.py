@@ -7,13 +7,20 @@ adaptive execution can split where one digest holds much of the data.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NEAR_THRESHOLDS, SPLIT_PRIORITY, CurationError
-from ..functions.arrays import band_keys, hamming
+from ..functions.arrays import hamming
 from ..session import materialise
 
+#: Most probes of one hash.
+MAX_PROBES = 20_000
+
 
 def split_priority(split: Column) -> Column:
     out = None
@@ -51,7 +58,6 @@ def exact_stats(candidates: DataFrame) -> DataFrame:
     counted = lambda what: F.count_if(F.col("decision") == what)
     decided = exact_decisions(candidates.where(F.col("md5").isNotNull()))
     row = decided.agg(
-        F.count("*").alias("readable"),
         counted("same_split").alias("exact_same_class_same_split"),
         counted("cross_split").alias("exact_cross_split"),
         counted("cross_class").alias("exact_cross_class"),
@@ -61,16 +67,35 @@ def exact_stats(candidates: DataFrame) -> DataFrame:
     return lost.crossJoin(row).select("scanned", "unreadable", "exact_same_class_same_split", "exact_cross_split", "exact_cross_class", total.alias("removed_total"))
 
 
-def simhash(text: Column, bits: int = 60) -> Column:
-    """Sign of the sum, over distinct lower-case words, of each bit of the first 15 hex digits of the word's MD5."""
+def dedup_stats(candidates: DataFrame, survivors: DataFrame) -> DataFrame:
+    """One row of counters for exact and near dedup together; survivors are those of both.
+
+    Unreadable rows (no digest, or no hash once exact duplicates are out) are neither removed nor kept.
+    """
+    exact = exact_stats(candidates)
+    unhashed = exact_survivors(candidates).agg(F.count_if(F.col("hash").isNull()).alias("unhashed"))
+    kept = survivors.agg(F.count("*").alias("kept"))
+    out = exact.crossJoin(unhashed).crossJoin(kept)
+    unreadable = F.col("unreadable") + F.col("unhashed")
+    near = F.col("scanned") - unreadable - F.col("removed_total") - F.col("kept")
+    return out.select(
+        "scanned", unreadable.alias("unreadable"), "exact_same_class_same_split", "exact_cross_split", "exact_cross_class", near.alias("near_removed"), (F.col("removed_total") + near).alias("removed_total")
+    )
+
+
+def word_digests(text: Column, bits: int = 60) -> Column:
+    """The first digits of the MD5 of every distinct lower-case word, as numbers."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[ \n\t\r]+"), lambda w: w != ""))
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, bits // 4), 16, 10).cast("bigint"))
-    return hashes
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, bits // 4), 16, 10).cast("bigint"))
 
 
 def simhash_table(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
-    """(key, hash): one pass of conditional sums instead of a row per word and bit."""
-    words = docs.select(key, F.explode(simhash(F.col(text), bits)).alias("h"))
+    """(key, hash): the sign of the sum, over distinct words, of each bit of their digests.
+
+    One pass of conditional sums instead of a row per word and bit; words are digested outside lambdas, where it is compiled.
+    """
+    words = docs.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[ \n\t\r]+"))).alias("w")).where("w <> ''")
+    words = words.select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, bits // 4), 16, 10).cast("bigint").alias("h"))
     votes = [F.sum(F.shiftright("h", bits - 1 - i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(bits)]
     value = F.lit(0).cast("bigint")
     for i in range(bits):
@@ -83,55 +108,106 @@ def check_threshold(threshold: int) -> None:
         raise CurationError(f"the distance limit must be one of {NEAR_THRESHOLDS}, so that 64 bits part into equal bands")
 
 
-def banded_pairs(values: DataFrame, threshold: int, key: str = "key", value: str = "hash") -> DataFrame:
-    """(a, b, distance) with a < b of all keys within threshold bits: such a pair shares one of threshold + 1 bands.
+def probe_plan(threshold: int, bits: int, n: int) -> tuple[int, int]:
+    """(bands, flips): how many bands, and how many flipped bits of a band are probed.
+
+    Of m bands of two hashes within t bits, one differs by t // m bits at most. Fewer, wider bands cost more probes and
+    give fewer chance candidates, so the sum of both for n random hashes decides. The result is the same either way.
+    """
+
+    def cost(m: int) -> float:
+        width, flips = -(-bits // m), threshold // m
+        probes = m * sum(comb(width, k) for k in range(flips + 1))
+        return probes + n * probes / 2 ** (bits // m)
+
+    return min(((cost(m), m, threshold // m) for m in range(1, threshold + 2) if m * sum(comb(-(-bits // m), k) for k in range(threshold // m + 1)) <= MAX_PROBES))[1:]
+
+
+def _bands(bits: int, m: int) -> list[tuple[int, int]]:
+    """(shift, width) of m bands that cover the bits."""
+    cuts = [round(i * bits / m) for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _part(value: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+
+def near_join(left: DataFrame, right: DataFrame, threshold: int, *, bits: int = 64, n: int | None = None) -> DataFrame:
+    """Rows of left (h, ...) with rows of right (g, ...) whose hashes are within threshold bits, and the ``distance``.
+
+    Hashes use their lowest ``bits`` bits. Right rows stand in every band by their own bits, left rows also by those
+    with a few of them flipped (``probe_plan``). A pair that meets in several bands counts in the first, so nothing
+    has to be made distinct afterwards. Both sides are shuffled by band, a join that adaptive execution may split.
+    There is no way of this kind that stays far below all pairs for limits of a quarter of the bits (15 of 60).
+    """
+    if n is None:
+        n = max(left.count(), right.count())
+    m, flips = probe_plan(threshold, bits, n)
+    bands = _bands(bits, m)
+    probes, stands = [], []
+    for i, (shift, width) in enumerate(bands):
+        masks = [sum(1 << b for b in chosen) for k in range(flips + 1) for chosen in combinations(range(width), k)]
+        masks = F.expr("array(" + ",".join(f"{x if x < 1 << 63 else x - (1 << 64)}L" for x in masks) + ")")
+        part = lambda c: _part(F.col(c), shift, width)  # noqa: B023, E731
+        entry = lambda p: F.struct(F.lit(i).alias("band"), p.alias("part"))  # noqa: B023, E731
+        probes.append(F.transform(masks, lambda x: entry(part("h").bitwiseXOR(x))))  # noqa: B023
+        stands.append(entry(part("g")))
+    asking = left.withColumn("_probe", F.explode(F.concat(*probes))).withColumns({"_band": F.col("_probe.band"), "_part": F.col("_probe.part")}).drop("_probe")
+    standing = right.withColumn("_probe", F.explode(F.array(*stands))).withColumns({"_band": F.col("_probe.band"), "_part": F.col("_probe.part")}).drop("_probe")
+    differs = F.col("h").bitwiseXOR(F.col("g"))
+    earlier = F.lit(True)
+    for i, (shift, width) in enumerate(bands[:-1]):
+        earlier = earlier & ((F.col("_band") <= i) | (F.bit_count(_part(differs, shift, width)) > flips))
+    both = asking.join(standing, ["_band", "_part"]).withColumn("distance", hamming(F.col("h"), F.col("g")))
+    return both.where((F.col("distance") <= threshold) & earlier).drop("_band", "_part")
+
+
+def banded_pairs(values: DataFrame, threshold: int, key: str = "key", value: str = "hash", *, bits: int = 64) -> DataFrame:
+    """(a, b, distance) with a < b of all keys within threshold bits.
 
     Keys with equal values multiply; collapse them first where they may be many (``near_survivors`` does).
     """
     check_threshold(threshold)
-    banded = values.select(F.col(key).alias("k"), F.col(value).alias("h"), F.posexplode(band_keys(F.col(value), threshold)).alias("band", "part"))
-    left, right = banded.select("band", "part", F.col("k").alias("a"), F.col("h").alias("ha")), banded.select("band", "part", F.col("k").alias("b"), F.col("h").alias("hb"))
-    pairs = left.join(right, ["band", "part"]).where(F.col("a") < F.col("b")).withColumn("distance", hamming(F.col("ha"), F.col("hb")))
-    return pairs.where(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
+    left = values.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), F.col(value).alias("h"))
+    right = values.where(F.col(value).isNotNull()).select(F.col(key).alias("b"), F.col(value).alias("g"))
+    return near_join(left, right, threshold, bits=bits, n=left.count()).where(F.col("a") < F.col("b")).select("a", "b", "distance")
 
 
 def greedy_survivors(pairs: DataFrame) -> DataFrame:
     """(key, kept) for every key in pairs (earlier, later): kept unless an earlier kept key is its neighbour.
 
-    Not components: what is dropped drops nothing. Each round settles the keys whose earlier neighbours are settled;
-    rounds are tables in the shared folder.
+    Not components: what is dropped drops nothing. Each round keeps the keys that are nobody's later one and drops
+    their neighbours; pairs with a decided end leave. Rounds are tables in the shared folder, and shrink.
     """
-    spark = pairs.sparkSession
-    open_pairs = materialise(pairs.select("earlier", "later").distinct(), "greedy-pairs")
-    settled = None
-    keys = open_pairs.select(F.explode(F.array("earlier", "later")).alias("key")).distinct()
-    waiting = materialise(keys, "greedy-keys")
-    while True:
-        verdict = waiting if settled is None else waiting.join(settled, "key", "left_anti")
-        known = settled if settled is not None else spark.createDataFrame([], keys.schema).withColumn("kept", F.lit(True))
-        facts = open_pairs.join(known.withColumnRenamed("key", "earlier"), "earlier", "left").groupBy(F.col("later").alias("key"))
-        facts = facts.agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("unsure"))
-        fresh = verdict.join(facts, "key", "left").select(
-            "key", F.when(F.col("hit"), False).when(~F.coalesce("unsure", F.lit(False)), True).alias("kept")
-        ).where(F.col("kept").isNotNull())
-        fresh = materialise(fresh, "greedy-round")
-        if fresh.isEmpty():
-            break
-        settled = fresh if settled is None else materialise(settled.unionByName(fresh), "greedy-settled")
-    return settled if settled is not None else known
-
-
-def near_survivors(candidates: DataFrame, threshold: int, value: str = "hash") -> DataFrame:
-    """Candidates that no earlier survivor is within threshold bits of, whatever their class; a limit of 0 changes nothing.
-
-    Equal hashes are one node, placed where its first candidate is: none but that one can survive.
+    now = materialise(pairs.select("earlier", "later").distinct(), "greedy-pairs")
+    keys = now.select(F.explode(F.array("earlier", "later")).alias("key")).distinct()
+    rounds = []
+    while not now.isEmpty():
+        heads = now.select("earlier").distinct().join(now.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
+        dropped = materialise(now.join(heads, "earlier", "left_semi").select("later").distinct(), "greedy-dropped")
+        rounds.append(dropped)
+        left = now.join(dropped, "later", "left_anti").join(dropped.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
+        now = materialise(left.select("earlier", "later"), "greedy-pairs")
+    if not rounds:
+        return keys.withColumn("kept", F.lit(True))
+    gone = reduce(DataFrame.unionByName, rounds).select(F.col("later").alias("key"), F.lit(False).alias("kept"))
+    return keys.join(gone, "key", "left").select("key", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def near_survivors(candidates: DataFrame, threshold: int, value: str = "hash", *, bits: int = 64) -> DataFrame:
+    """Candidates that no earlier survivor is within threshold bits of, whatever their class.
+
+    Rows without a hash are unreadable and are no survivors (``dedup_stats`` counts them); otherwise a limit of 0
+    changes nothing. Equal hashes are one node, placed where its first candidate is: only that one can survive.
     """
+    candidates = candidates.where(F.col(value).isNotNull())
     if threshold <= 0:
         return candidates
     check_threshold(threshold)
     order = visit_order(F.col("split"), F.col("path"))
     nodes = materialise(candidates.groupBy(F.col(value).alias("h")).agg(F.min(order).alias("o")), "near-nodes")
-    pairs = banded_pairs(nodes.withColumn("key", F.struct("o", "h")), threshold, value="h")
+    pairs = banded_pairs(nodes.withColumn("key", F.struct("o", "h")), threshold, value="h", bits=bits)
     verdict = greedy_survivors(pairs.select(F.col("a.h").alias("earlier"), F.col("b.h").alias("later")))
     gone = verdict.where(~F.col("kept")).select(F.col("key").alias("h"))
     kept = nodes.join(gone, "h", "left_anti").select(F.col("o.path").alias("path"))

@@ -121,3 +121,34 @@ def history_against_summary(history: DataFrame, summary: DataFrame, tolerance: f
         F.coalesce(F.col("best_epoch") == F.col("said_best"), F.lit(False)).alias("same_best"),
         F.coalesce(F.abs(F.col("best_loss") - F.col("said_loss")) <= tolerance, F.lit(False)).alias("close_loss"),
     )
+
+
+def report_row(rows: DataFrame) -> DataFrame:
+    """The evaluation report in one flat row; the matrix by rows, actual by actual."""
+    cells = confusion(rows).agg(F.sort_array(F.collect_list(F.struct("actual", "predicted", "n"))).alias("c"))
+    cells = cells.select(F.array_join(F.transform("c", lambda x: x["n"].cast("string")), ",").alias("confusion_matrix"))
+    of = lambda name, i: F.max(F.when(F.col("index") == i, F.col(name))).alias(f"{name}_{CLASSES[i]}")
+    each = per_class(rows).agg(*(of(name, i) for i in range(len(CLASSES)) for name in ("precision", "recall", "f1", "support")))
+    return overall(rows).crossJoin(cells).crossJoin(each)
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """The lines of the printed report of ``report_row``, numbered from 1; rates with four decimals."""
+    rate = lambda c: F.format_string("%.4f", F.bround(F.col(c), 4))
+    line = lambda name, value: F.concat(F.rpad(F.lit(name), 17, " "), F.lit(": "), value)
+    p = POSITIVE_CLASS
+    parts = [
+        line("Test images", F.col("num_samples").cast("string")), line("Accuracy", rate("accuracy")),
+        *(line(f"{name} ({p})", rate(f"{name.lower()}_{p}")) for name in ("Precision", "Recall", "F1")),
+        *(line(f"Macro {name}", rate(f"macro_{name}")) for name in ("precision", "recall", "f1")),
+        *(F.concat(F.lpad(F.lit(c), 5, " "), F.lit(": precision="), rate(f"precision_{c}"), F.lit("  recall="), rate(f"recall_{c}"), F.lit("  f1="), rate(f"f1_{c}"), F.lit("  support="), F.col(f"support_{c}").cast("string")) for c in CLASSES),
+        *(F.concat(F.lpad(F.lit(c), 4, " "), *(F.lpad(F.get(F.split("confusion_matrix", ","), F.lit(i * len(CLASSES) + j)), 10, " ") for j in range(len(CLASSES)))) for i, c in enumerate(CLASSES)),
+    ]
+    return report.select(F.posexplode(F.array(*parts)).alias("pos", "text")).select((F.col("pos") + 1).alias("line"), "text")
+
+
+def throughput(rows: DataFrame, n: str, started: str, ended: str) -> DataFrame:
+    """rows with ``per_second``: n over the seconds between two timestamps, of which a millionth counts at least."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = (micros(ended) - micros(started)) / F.lit(1e6)
+    return rows.withColumn("per_second", F.col(n).cast("double") / F.greatest(seconds, F.lit(1e-6)))

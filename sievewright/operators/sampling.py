@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import CurationError
+from .ordered import running_total
 
 
 def derived_seed(seed: Column | int, *parts: Column) -> Column:
@@ -29,6 +30,21 @@ def seeded_cap(rows: DataFrame, key: str, cap: int | None, seed: int) -> DataFra
     return rows.orderBy(seeded_order(seed, F.col(key)), key).limit(cap)
 
 
+def first_rows(rows: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    """The first rows in an order; all of them where most is none or not positive. A top-k, so no full sort."""
+    return rows.orderBy(*order).limit(most) if most and most > 0 else rows
+
+
+def in_batches(rows: DataFrame, key: str, batch_size: int, seed: int | None = None) -> DataFrame:
+    """rows with ``batch`` and ``place`` in it, both from 0: in order of the key, or shuffled by seed and key.
+
+    The last batch may be short. Places come from running totals over ranges, so no task numbers all rows.
+    """
+    order = F.col(key).cast("string") if seed is None else seeded_order(seed, F.col(key).cast("string"))
+    placed = running_total(rows.withColumn("_order", order), ["_order", key], name="_at")
+    return placed.select(*rows.columns, F.floor(F.col("_at") / batch_size).cast("bigint").alias("batch"), (F.col("_at") % batch_size).cast("int").alias("place"))
+
+
 def ranked_in_pools(rows: DataFrame, pools: list[str], key: str, seed: int) -> DataFrame:
     """rows with ``rank`` from 1 in each pool's own seeded order."""
     order = [seeded_order(derived_seed(seed, *(F.col(p) for p in pools)), F.col(key)), F.col(key)]

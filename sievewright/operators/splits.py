@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RATIOS, SPLITS, check_ratios
-from ..functions.arrays import safe_divide
+from ..session import materialise
 from .sampling import seeded_order
 
 
@@ -22,16 +25,20 @@ def prefix_sum_split(groups: DataFrame, by: str, key: str, n: str, seed: int, ra
     """Groups (by, key, n) with their split: in seeded order, train until it has its target, then validation, then test.
 
     The sequential rule as prefix sums: where the running total of rows before a group has not reached the train
-    target it goes to train; the sum train ended up with shifts the same test for validation. Rows are groups, not
-    members, and a window runs per class.
+    target it goes to train; the sum train ended up with shifts the same test for validation. The seeded order is one
+    of hashes, so their first digits deal a class's groups into parts of like size in that order; a part adds up for
+    itself, and a small table of the parts' sums gives what lies before it.
     """
     check_ratios(*ratios)
-    order = W.partitionBy(by).orderBy(seeded_order(seed, F.col(key)), F.col(key))
-    whole = W.partitionBy(by)
-    out = groups.withColumn("_cum", F.sum(n).over(order)).withColumn("_before", F.col("_cum") - F.col(n)).withColumn("_total", F.sum(n).over(whole))
+    out = materialise(groups.withColumn("_o", seeded_order(seed, F.col(key))).withColumn("_p", F.substring("_o", 1, 3)), "split-order")
+    sums = out.groupBy(by, "_p").agg(F.sum(n).alias("_sum"))
+    earlier = W.partitionBy(by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(by, "_p", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.sum("_sum").over(W.partitionBy(by)).alias("_total"))
+    inside = F.sum(n).over(W.partitionBy(by, "_p").orderBy("_o", key))
+    out = out.withColumn("_inside", inside).join(sums, [by, "_p"]).withColumn("_cum", F.col("_base") + F.col("_inside")).withColumn("_before", F.col("_cum") - F.col(n))
     out = out.withColumn("_train", F.rint(F.col("_total") * F.lit(float(ratios[0])))).withColumn("_val", F.rint(F.col("_total") * F.lit(float(ratios[1]))))
-    reached = F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_train"), F.col("_cum"))).over(whole), F.col("_total"))
-    out = out.withColumn("_got", F.when(F.col("_train") <= 0, F.lit(0)).otherwise(reached))
+    reached = out.groupBy(by).agg(F.min(F.when(F.col("_cum") >= F.col("_train"), F.col("_cum"))).alias("_reached"))
+    out = out.join(reached, by).withColumn("_got", F.when(F.col("_train") <= 0, F.lit(0)).otherwise(F.coalesce("_reached", "_total")))
     split = F.when(F.col("_before") < F.col("_train"), "train").when(F.col("_before") - F.col("_got") < F.col("_val"), "validation").otherwise("test")
     return out.select(by, key, n, split.alias("split"))
 
@@ -46,48 +53,32 @@ def grouped_greedy_split(groups: DataFrame, key: str, seed: int, ratios=RATIOS)
     """Shared groups (key, n_real, n_fake) with a split: each, in seeded order, to the split that would be least full.
 
     A group that is needed to give an empty split its first one goes to such a split. Each choice depends on all
-    before it, so it is a fold over groups, which are few; members never meet in one place.
+    before it, so one task walks the groups, sorted by the others, and keeps six counters; members never meet there.
     """
     check_ratios(*ratios)
     totals = groups.agg(F.sum("n_real").alias("r"), F.sum("n_fake").alias("f"), F.count("*").alias("k")).first()
     wanted = []
     for total in (totals["r"] or 0, totals["f"] or 0):
         train, validation = round(total * ratios[0]), round(total * ratios[1])
-        wanted.append((train, validation, total - train - validation))
-    entry = F.struct(seeded_order(seed, F.col(key)).alias("o"), F.col(key).cast("string").alias("k"), F.col("n_real").cast("bigint").alias("r"), F.col("n_fake").cast("bigint").alias("f"))
-    ordered = groups.agg(F.sort_array(F.collect_list(entry)).alias("groups"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        F.array(zero, zero, zero).alias("r"), F.array(zero, zero, zero).alias("f"), F.lit(0).alias("seen"), F.array().cast("array<struct<k:string,s:int>>").alias("out")
-    )
-
-    def step(acc, g):
-        def choose(x):
-            a, e = x["a"], x["g"]
-            empty = [(F.get(a["r"], F.lit(i)) == 0) & (F.get(a["f"], F.lit(i)) == 0) for i in range(3)]
-            n_empty = sum((c.cast("int") for c in empty[1:]), empty[0].cast("int"))
-            must = (n_empty > 0) & (F.lit(int(totals["k"])) - a["seen"] - 1 < n_empty)
-            cost = []
-            for i in range(3):
-                full = (F.get(a["r"], F.lit(i)) + e["r"]) / F.lit(float(max(wanted[0][i], 1))) + (F.get(a["f"], F.lit(i)) + e["f"]) / F.lit(float(max(wanted[1][i], 1)))
-                cost.append(F.struct(F.when(must & ~empty[i], F.lit(1e300)).otherwise(full).alias("c"), F.lit(i).alias("i")))
-            return F.struct(a.alias("a"), e.alias("g"), F.array_min(F.array(*cost))["i"].alias("s"))
-
-        def put(x):
-            a, e, s = x["a"], x["g"], x["s"]
-            add = lambda name: F.transform(a[name], lambda v, i: F.when(i == s, v + e[name]).otherwise(v))
-            return F.struct(
-                add("r").alias("r"), add("f").alias("f"), (a["seen"] + 1).alias("seen"), F.concat(a["out"], F.array(F.struct(e["k"].alias("k"), s.alias("s")))).alias("out")
-            )
-
-        bound = F.transform(F.array(F.struct(acc.alias("a"), g.alias("g"))), choose)
-        return F.get(F.transform(bound, put), F.lit(0))
-
-    placed = ordered.select(F.explode(F.aggregate("groups", start, step)["out"]).alias("x"))
-    names = F.array(*(F.lit(s) for s in SPLITS))
-    placed = placed.select(F.col("x.k").alias("_k"), F.get(names, F.col("x.s")).alias("split"))
-    return groups.join(placed, groups[key].cast("string") == placed["_k"]).select(key, "n_real", "n_fake", "split")
-
-
-def fullness(count, target):
-    return safe_divide(count, F.greatest(target, F.lit(1)))
+        wanted.append([max(x, 1) for x in (train, validation, total - train - validation)])
+    n_groups = int(totals["k"])
+    kind = groups.schema[key].dataType.simpleString()
+    names = [key, "n_real", "n_fake"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, seen = [[0, 0, 0], [0, 0, 0]], 0
+        for b in batches:
+            chosen = []
+            for real, fake in zip(b.column("n_real").to_pylist(), b.column("n_fake").to_pylist()):
+                empty = [i for i in range(3) if not have[0][i] and not have[1][i]]
+                open_ = empty if empty and n_groups - seen - 1 < len(empty) else range(3)
+                s = min(open_, key=lambda i: ((have[0][i] + real) / wanted[0][i] + (have[1][i] + fake) / wanted[1][i], i))  # noqa: B023
+                have[0][s] += real
+                have[1][s] += fake
+                seen += 1
+                chosen.append(SPLITS[s])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(chosen, pa.string())], [*names, "split"])
+
+    ordered = groups.select(F.col(key), F.col("n_real").cast("bigint").alias("n_real"), F.col("n_fake").cast("bigint").alias("n_fake"))
+    ordered = ordered.orderBy(seeded_order(seed, F.col(key)), F.col(key).cast("string")).coalesce(1)
+    return ordered.mapInArrow(walk, f"`{key}` {kind}, n_real bigint, n_fake bigint, split string")

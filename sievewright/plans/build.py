@@ -2,30 +2,67 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import CLASS_CAP, CLASSES, RATIOS, SEED, check_ratios
+from ..config import CLASS_CAP, CLASSES, RATIOS, SEED, SPLITS, CurationError, check_ratios
 from ..functions import arrays as A
 from ..functions import text as X
-from ..operators import dedup, sampling, splits
+from ..operators import audit, dedup, sampling, splits
 from ..operators.graph import connected_components
+from ..operators.ordered import running_total
 from ..session import materialise, table
-from .views import hashed_pool
+from ..sources.sinks import check_inside, write_manifest, write_report
+from .views import HASH_BITS, hashed_pool
 
 QUOTAS = {"train": 20, "validation": 4, "test": 4}
 THRESHOLD = 3
 
 
+def kept_candidates(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """What exact and then near dedup leave of candidates with hashes, as a table."""
+    return materialise(dedup.near_survivors(dedup.exact_survivors(rows), threshold, bits=HASH_BITS), "build-kept")
+
+
+def draw(kept: DataFrame, quotas: dict[str, int] = QUOTAS) -> DataFrame:
+    """Quotas from every pool of split and class."""
+    wanted = kept.sparkSession.createDataFrame([(s, c, q) for s, q in quotas.items() for c in CLASSES], "split string, class_name string, quota bigint")
+    return sampling.stratified_sample(kept, ["split", "class_name"], "path", wanted, SEED)
+
+
 def selection(spark: SparkSession, sf_dir: str, threshold: int = THRESHOLD) -> DataFrame:
     """Exact dedup, near dedup, then quotas from every pool of split and class."""
     rows = hashed_pool(spark, sf_dir).select("path", "split", "class_name", "size_bytes", "md5", "hash")
-    kept = materialise(dedup.near_survivors(dedup.exact_survivors(rows), threshold), "build-kept")
-    quotas = spark.createDataFrame([(s, c, q) for s, q in QUOTAS.items() for c in CLASSES], "split string, class_name string, quota bigint")
-    return sampling.stratified_sample(kept, ["split", "class_name"], "path", quotas, SEED)
+    return draw(kept_candidates(rows, threshold))
+
+
+def as_manifest(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"label": F.col("class_name"), "official_split": F.col("split")})
+
+
+def build(spark: SparkSession, sf_dir: str, folder: str, *, threshold: int = THRESHOLD, quotas: dict[str, int] = QUOTAS, overwrite: bool = False) -> DataFrame:
+    """The whole build: dedup, draw, audit, and only if every check passes, manifest and report written to the folder.
+
+    Returns the report, one row: the counters of both dedups, the audit's verdict and the selection's size.
+    """
+    rows = hashed_pool(spark, sf_dir).select("path", "split", "class_name", "size_bytes", "md5", "hash")
+    kept = kept_candidates(rows, threshold)
+    chosen = materialise(draw(kept, quotas), "build-selection")
+    checks = audit.verdict(audit.selection_checks(as_manifest(chosen), quotas, threshold, bits=HASH_BITS))
+    size = chosen.agg(F.count("*").alias("selected"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("selected_bytes"))
+    report = materialise(dedup.dedup_stats(rows, kept).crossJoin(checks).crossJoin(size), "build-report")
+    found = report.first()
+    if not found["passed"]:
+        raise CurationError(f"nothing is written: the selection fails {found['failed']}")
+    write_manifest(manifest_rows(chosen), check_inside(f"{folder.rstrip('/')}/manifest", folder), overwrite)
+    write_report(report, check_inside(f"{folder.rstrip('/')}/report", folder), overwrite)
+    return report
 
 
 def manifest_rows(rows: DataFrame) -> DataFrame:
@@ -57,6 +94,24 @@ def fingerprint(rows: DataFrame, buckets: int = 1024) -> DataFrame:
     return top.select("n_rows", F.sha2(F.array_join(F.transform("ds", lambda x: x["digest"]), "\n"), 256).alias("fingerprint"))
 
 
+def manifest_fingerprint(manifest: DataFrame) -> DataFrame:
+    """SHA-256 over the lines 'split/label/md5' in the manifest's order (by image_id): one row (n_rows, fingerprint).
+
+    A digest over an order can't be split, so one task walks the sorted lines; it holds the digest's state only.
+    """
+    lines = manifest.orderBy("image_id").select(F.concat(F.concat_ws("/", "split", "label", "md5"), F.lit("\n")).alias("line")).coalesce(1)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for b in batches:
+            for line in b.column("line").to_pylist():
+                digest.update(line.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n_rows": pa.array([n], pa.int64()), "fingerprint": pa.array([digest.hexdigest()])})
+
+    return lines.mapInArrow(walk, "n_rows bigint, fingerprint string")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Counts, shares of the whole and sizes by split."""
     by = rows.groupBy("split").agg(
@@ -69,20 +124,50 @@ def summary(rows: DataFrame) -> DataFrame:
 def provenance(turns: DataFrame) -> DataFrame:
     """One row a frame (here: a turn of a conversation), numbered from 1 by video and frame, with its video's total."""
     totals = turns.groupBy("conv_id").agg(F.count("*").alias("video_frame_count"))
-    starts = totals.withColumn("before", F.sum("video_frame_count").over(W.orderBy("conv_id").rowsBetween(W.unboundedPreceding, -1)))
+    starts = running_total(totals, ["conv_id"], "video_frame_count")
     place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role"))
     rows = turns.select("conv_id", "turn", "role", place.alias("place")).join(starts, "conv_id")
     name = F.concat(F.lit("c"), "conv_id", F.lit("__frame_"), X.zero_padded(F.col("turn")), F.lit(".png"))
-    index = (F.coalesce("before", F.lit(0)) + F.col("place")).cast("bigint")
+    index = (F.col("before") + F.col("place")).cast("bigint")
     return rows.select(index.alias("manifest_index"), "conv_id", F.col("turn").alias("frame_index"), "role", "video_frame_count", name.alias("frame_name"))
 
 
+def provenance_manifest(frames: DataFrame) -> DataFrame:
+    """The nested manifest, a row a video: its number of frames and these as JSON, in their order."""
+    entry = F.struct("manifest_index", "frame_index", F.col("role").alias("label"), F.col("frame_name").alias("rel_path"))
+    rows = frames.groupBy("conv_id").agg(F.max("video_frame_count").alias("total_frames"), F.sort_array(F.collect_list(entry)).alias("frames"))
+    return rows.select(F.concat(F.lit("c"), "conv_id").alias("name"), "total_frames", F.to_json("frames", {"ignoreNullFields": "false"}).alias("frames"))
+
+
+def extraction_by_label(turns: DataFrame) -> DataFrame:
+    """Per label: videos it occurs in, frames, empty ones skipped; and the same of all, under '(all)'."""
+    facts = (F.count_distinct("conv_id").alias("videos"), F.count("*").alias("frames"), F.count_if(F.length("text") == 0).alias("skipped"))
+    return turns.groupBy(F.col("role").alias("label")).agg(*facts).unionByName(turns.agg(*facts).withColumn("label", F.lit("(all)")))
+
+
+def identity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sequence_id, source_id) of every manipulated video: here, every order and the customer it was made from."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("sequence_id"), (F.col("o_orderkey") + 10_000_000).cast("bigint").alias("source_id"))
+
+
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of customers and suppliers of a nation's few: edges between a video and the one it was made from."""
-    edges = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select((F.col("o_custkey")).alias("sequence_id"), (F.col("o_custkey") * 7 % 400).alias("source_id"))
-    parts = connected_components(edges, "sequence_id", "source_id")
+    """Components of identities over all edges, with their sizes."""
+    parts = connected_components(identity_edges(spark, sf_dir), "sequence_id", "source_id")
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    return parts.join(sizes, "component").select(F.col("node").cast("bigint").alias("node"), F.col("component").cast("bigint").alias("component"), "n")
+    return parts.join(sizes, "component").select("node", "component", "n")
+
+
+def assign_components(videos: DataFrame, parts: DataFrame, *, strict: bool = True) -> DataFrame:
+    """videos (sequence_id, source_id) with the component of their sequence, and whether the source lies in it too.
+
+    A video without a source agrees. Strict: raises where any doesn't, which the components of these videos rule out.
+    """
+    of = lambda end, name: parts.select(F.col("node").alias(end), F.col("component").alias(name))
+    out = videos.join(of("sequence_id", "component_id"), "sequence_id", "left").join(of("source_id", "_other"), "source_id", "left")
+    out = out.withColumn("agrees", F.col("source_id").isNull() | F.col("_other").isNull() | F.col("component_id").eqNullSafe(F.col("_other"))).drop("_other")
+    if strict and (bad := out.where(~F.col("agrees")).limit(1).collect()):
+        raise CurationError(f"the ends of {bad[0]['sequence_id']}_{bad[0]['source_id']} lie in different components")
+    return out
 
 
 def create_splits(rows: DataFrame, *, cap: int | None = CLASS_CAP, seed: int = SEED, ratios=RATIOS, aligned: bool = False) -> DataFrame:
@@ -114,3 +199,11 @@ def problem_lines(rows: DataFrame, limit: int = 50) -> DataFrame:
     first = bad.orderBy("reason", "name").limit(limit)
     more = bad.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("more"))
     return first.crossJoin(more).select(F.concat_ws(": ", "reason", "name").alias("problem"), "more")
+
+
+def dataset_status(rows: DataFrame) -> DataFrame:
+    """The dashboard's figures, (what, name, n, present): each class's raw rows, each split's, and all of them."""
+    part = lambda what, c: rows.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit(what))
+    names = rows.sparkSession.createDataFrame([("raw", c) for c in CLASSES] + [("split", s) for s in SPLITS] + [("all", "all")], "what string, name string")
+    have = part("raw", "class_name").unionByName(part("split", "split")).unionByName(rows.agg(F.count("*").alias("n")).select(F.lit("all").alias("name"), "n", F.lit("all").alias("what")))
+    return F.broadcast(names).join(have, ["what", "name"], "left").select("what", "name", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("present"))

@@ -27,7 +27,7 @@ SIMHASH = f"""word AS (
 ), simhash AS (
   SELECT doc_id, list_sum([{VOTES}])::bigint AS hash FROM digest GROUP BY doc_id
 )"""
-HASHED = f"{POOL}, {SIMHASH}, hashed AS (SELECT pool.*, simhash.hash FROM pool JOIN simhash USING (doc_id))"
+HASHED = f"{POOL}, {SIMHASH}, hashed AS (SELECT pool.*, simhash.hash FROM pool LEFT JOIN simhash USING (doc_id))"
 COEF = """coef AS (
   SELECT vec_id AS key, CASE vec_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, low,
          list_sort(low)[32] AS med
@@ -58,7 +58,7 @@ HISTORY = """hist AS (
 SOURCES = POOL + ", groups AS (SELECT class_name, source, count(*)::bigint AS n FROM pool GROUP BY ALL)"
 SHARED = POOL + ", shared AS (SELECT source, count(*) FILTER (WHERE class_name = 'real')::bigint AS n_real, count(*) FILTER (WHERE class_name = 'fake')::bigint AS n_fake FROM pool GROUP BY source)"
 MANIFEST = HASHED + """, manifest AS (SELECT * FROM hashed WHERE doc_id % 4 <> 0), disk AS (
-  SELECT doc_id, path, split, class_name, hash, CASE WHEN doc_id % 11 = 5 THEN md5(md5 || 'x') ELSE md5 END AS md5 FROM hashed WHERE doc_id % 7 <> 3
+  SELECT doc_id, path, split, class_name, CASE WHEN doc_id % 13 <> 4 THEN hash END AS hash, CASE WHEN doc_id % 11 = 5 THEN md5(md5 || 'x') ELSE md5 END AS md5 FROM hashed WHERE doc_id % 7 <> 3
 )"""
 WALK = """o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || source), source) AS i, count(*) OVER () AS k FROM shared),
         tot AS (SELECT sum(n_real)::double AS r, sum(n_fake)::double AS f FROM shared),
@@ -96,7 +96,7 @@ def _greedy(threshold: int) -> str:
     """Survivors by walking candidates in order, one at a time; state is the list of kept hashes."""
     return f"""
 WITH RECURSIVE {HASHED}, {DECIDED.split("), ", 1)[1].replace("FROM pool", "FROM hashed")}, ord AS (
-  SELECT path, hash, row_number() OVER (ORDER BY {PRIO}, lower(path), path) AS i FROM decided WHERE decision = 'kept'
+  SELECT path, hash, row_number() OVER (ORDER BY {PRIO}, lower(path), path) AS i FROM decided WHERE decision = 'kept' AND hash IS NOT NULL
 ), near AS (
   SELECT x.i AS earlier, y.i AS later FROM ord x JOIN ord y ON x.i < y.i WHERE bit_count(xor(x.hash, y.hash)) <= {threshold}
 ), later AS (
@@ -176,7 +176,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'no_near_duplicate_across_splits', NOT EXISTS (SELECT 1 FROM manifest a JOIN manifest b ON a.split < b.split WHERE bit_count(xor(a.hash, b.hash)) <= 3)
         UNION ALL SELECT 'all_files_present', NOT EXISTS (SELECT 1 FROM manifest WHERE path NOT IN (SELECT path FROM disk))
         UNION ALL SELECT 'all_digests_match', NOT EXISTS (SELECT 1 FROM manifest m JOIN disk d USING (path) WHERE m.md5 <> d.md5)
-        UNION ALL SELECT 'all_files_readable', NOT EXISTS (SELECT 1 FROM disk WHERE hash IS NULL)
+        UNION ALL SELECT 'all_files_readable', NOT EXISTS (SELECT 1 FROM disk JOIN manifest USING (path) WHERE disk.hash IS NULL)
         UNION ALL SELECT 'no_unexpected_files', NOT EXISTS (SELECT 1 FROM x)
         UNION ALL SELECT 'no_extra_duplicates_manifest', NOT EXISTS (SELECT 1 FROM x JOIN manifest m ON m.md5 = x.md5 OR bit_count(xor(m.hash, x.hash)) <= 3)""",
     "dataset_fingerprint": f"""WITH {POOL}, b AS (SELECT ('0x' || substr(md5(path), 1, 7))::bigint % 1024 AS bucket, path, split || '/' || class_name || '/' || md5 || chr(10) AS line FROM pool),
@@ -216,10 +216,6 @@ ORACLES: dict[str, str] = {
     "human_bytes": f"WITH s AS (SELECT doc_id, pow(doc_id::double, 3) * 17 AS x FROM documents) SELECT doc_id, {HUMAN('x')} AS human FROM s",
     "size_kb": f"WITH {POOL} SELECT path, round_even(size_bytes / 1024.0::double, 2) AS size_kb FROM pool",
     "pair_flatten": "WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 50 AS b FROM lineitem) SELECT DISTINCT unnest([a || '_' || b, b || '_' || a]) AS pair FROM p",
-    "markdown_inline": "SELECT doc_id, '<strong>' || source || '</strong> &amp; <em>' || lang || '</em> <code>a&lt;b</code> <a href=\"' || source || '.html\">x</a> <del>' || doc_id || '</del>' AS html FROM documents",
-    "identity_components": """WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey * 7 % 400 AS b FROM orders WHERE o_orderkey % 50 = 1), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-        r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
-        SELECT node, component, (count(*) OVER (PARTITION BY component))::bigint AS n FROM c""",
 }
 _CAPPED = POOL + """, capped AS (
   SELECT path, class_name, source FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY md5(CASE class_name WHEN 'real' THEN '42|' ELSE '43|' END || path), path) AS k FROM pool) WHERE k <= 300
@@ -231,10 +227,7 @@ ORACLES["create_splits_per_class"] = f"""WITH {_CAPPED}, groups AS (SELECT class
   SELECT class_name, CASE WHEN before < tr THEN 'train' WHEN before - got < va THEN 'validation' ELSE 'test' END AS split, sum(n)::bigint AS n FROM g GROUP BY ALL"""
 ORACLES["create_splits_aligned"] = f"""WITH RECURSIVE {_CAPPED}, shared AS (SELECT source, count(*) FILTER (WHERE class_name = 'real')::bigint AS n_real, count(*) FILTER (WHERE class_name = 'fake')::bigint AS n_fake FROM capped GROUP BY source), {WALK}
   SELECT source, (['train', 'validation', 'test'])[s + 1] AS split, (n_real + n_fake)::bigint AS n FROM walk JOIN o USING (i)"""
-ORACLES["component_members"] = "WITH c AS (" + ORACLES["identity_components"] + ") SELECT component, string_agg(node::varchar, '_' ORDER BY node) AS members, count(*)::bigint AS n FROM c GROUP BY component"
 ORACLES["problem_lines"] = "WITH r AS (" + ORACLES["validation_reject_reason"].replace("SELECT doc_id, CASE", "SELECT filename AS name, CASE") + ") SELECT reject_reason || ': ' || name AS problem, greatest((SELECT count(*) FROM r WHERE reject_reason IS NOT NULL) - 50, 0)::bigint AS more FROM r WHERE reject_reason IS NOT NULL ORDER BY reject_reason, name LIMIT 50"
-ORACLES["markdown_table_cells"] = "SELECT doc_id, source || '/`a|b`/' || lang AS cells, 'left,center,right' AS alignment FROM documents"
-ORACLES["markdown_blocks"] = "SELECT doc_id, (['h1', 'h3', 'item', 'item', 'quote', 'rule', 'fence', 'row', 'blank', 'text'])[doc_id % 10 + 1] AS kind FROM documents"
 ORACLES["status_messages"] = f"WITH {POOL}, {GRID}, c AS (SELECT grid.split, grid.class_name, count(path) AS n FROM grid LEFT JOIN pool USING (split, class_name) GROUP BY ALL) SELECT split, class_name, CASE WHEN n = 0 THEN 'Nothing is there yet.' WHEN n > 40 THEN printf('Ready with %d rows.', n) ELSE printf('Not ready: %d rows.', n) END AS message FROM c"
 ORACLES["near_dedup_survivors"] = _greedy(7) + "SELECT path FROM ord WHERE i NOT IN (SELECT i FROM lost)"
 _SAMPLE = _greedy(3) + f""", kept AS (
@@ -252,3 +245,89 @@ UNION ALL SELECT 'no_exact_duplicate_across_splits', NOT EXISTS (SELECT 1 FROM s
 UNION ALL SELECT 'no_item_under_both_labels', NOT EXISTS (SELECT 1 FROM sel GROUP BY md5 HAVING count(DISTINCT class_name) > 1)
 UNION ALL SELECT 'split_maps_to_one_official_split', (SELECT count(DISTINCT split) = 3 FROM sel)
 UNION ALL SELECT 'no_near_duplicate_across_splits', NOT EXISTS (SELECT 1 FROM sel a JOIN sel b ON a.split < b.split WHERE bit_count(xor(a.hash, b.hash)) <= 3)"""
+
+ORACLES["identity_components"] = """SELECT node, component, n FROM (
+  WITH e AS (SELECT o_custkey::bigint AS a, (o_orderkey + 10000000)::bigint AS b FROM orders), least_of AS (SELECT b, min(a) AS component FROM e GROUP BY b),
+  nodes AS (SELECT DISTINCT a AS node, a AS component FROM e UNION SELECT b, component FROM least_of)
+  SELECT node, component, (count(*) OVER (PARTITION BY component))::bigint AS n FROM nodes)"""
+ORACLES["component_members"] = "WITH c AS (" + ORACLES["identity_components"] + ") SELECT component, string_agg(node::varchar, '_' ORDER BY node) AS members, count(*)::bigint AS n FROM c GROUP BY component"
+ORACLES["component_assignment"] = "SELECT o_custkey::bigint AS sequence_id, (o_orderkey + 10000000)::bigint AS source_id, o_custkey::bigint AS component_id, true AS agrees FROM orders"
+ORACLES["min_cross_split_distance_words"] = f"""WITH {HASHED} SELECT p.a || '|' || p.b AS pair, coalesce((SELECT min(bit_count(xor(x.hash, y.hash))) FROM hashed x, hashed y WHERE x.split = p.a AND y.split = p.b), -1)::bigint AS distance
+  FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) p(a, b)"""
+_STATS = f""", counters AS (
+  SELECT count(*)::bigint AS scanned, count(*) FILTER (WHERE md5 IS NULL OR (decision = 'kept' AND hash IS NULL))::bigint AS unreadable,
+         count(*) FILTER (WHERE decision = 'same_split' AND md5 IS NOT NULL)::bigint AS exact_same_class_same_split, count(*) FILTER (WHERE decision = 'cross_split' AND md5 IS NOT NULL)::bigint AS exact_cross_split,
+         count(*) FILTER (WHERE decision = 'cross_class' AND md5 IS NOT NULL)::bigint AS exact_cross_class, (SELECT count(*) FROM lost)::bigint AS near_removed FROM decided
+), stats AS (SELECT *, exact_same_class_same_split + exact_cross_split + exact_cross_class + near_removed AS removed_total FROM counters)"""
+ORACLES["dedup_stats"] = _greedy(3) + _STATS + " SELECT * FROM stats"
+_VERDICT = "SELECT bool_and(passed) AS passed, count(*) FILTER (WHERE NOT passed)::bigint AS n_failed, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (WHERE NOT passed), '') AS failed FROM ({0})".format
+ORACLES["selection_verdict"] = _VERDICT(ORACLES["selection_audit_checks"])
+ORACLES["revalidation_verdict"] = _VERDICT(ORACLES["revalidation_checks"])
+_CHECKS = ORACLES["selection_audit_checks"].removeprefix(_SAMPLE)
+ORACLES["build_summary"] = _SAMPLE + _STATS + _CHECKS.split("\nSELECT 'exact_counts")[0] + ", checks AS (SELECT 'exact_counts" + _CHECKS.split("\nSELECT 'exact_counts")[1] + """)
+SELECT stats.*, v.passed, v.n_failed, v.failed, (SELECT count(*) FROM sel)::bigint AS selected, (SELECT sum(size_bytes) FROM sel)::bigint AS selected_bytes
+FROM stats, (SELECT bool_and(passed) AS passed, count(*) FILTER (WHERE NOT passed)::bigint AS n_failed, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (WHERE NOT passed), '') AS failed FROM checks) v"""
+ORACLES["manifest_unreadable"] = f"WITH {MANIFEST} SELECT path FROM manifest m JOIN disk d USING (path) WHERE d.hash IS NULL"
+ORACLES["manifest_fingerprint"] = f"""WITH {POOL}, m AS (SELECT split || '_' || class_name || '_' || lpad(doc_id::varchar, 9, '0') || '.txt' AS image_id, split || '/' || class_name || '/' || md5 || chr(10) AS line FROM pool)
+  SELECT count(*)::bigint AS n_rows, sha256(string_agg(line, '' ORDER BY image_id)) AS fingerprint FROM m"""
+ORACLES["dataset_status"] = f"""WITH {POOL}, c AS (
+  SELECT 'raw' AS what, name, (SELECT count(*) FROM pool WHERE class_name = name)::bigint AS n FROM (VALUES ('real'), ('fake')) v(name)
+  UNION ALL SELECT 'split', name, (SELECT count(*) FROM pool WHERE split = name)::bigint FROM (VALUES ('train'), ('validation'), ('test')) v(name)
+  UNION ALL SELECT 'all', 'all', (SELECT count(*) FROM pool)::bigint) SELECT what, name, n, n > 0 AS present FROM c"""
+ORACLES["any_image"] = f"WITH {POOL} SELECT name AS split, EXISTS (SELECT 1 FROM pool WHERE split = name) AS found FROM (VALUES ('train'), ('validation'), ('test'), ('none')) v(name)"
+ORACLES["leakage_from_names"] = f"WITH {POOL} SELECT source AS component, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*)::bigint AS n_files, count(DISTINCT split) > 1 AS leaked FROM pool GROUP BY source"
+ORACLES["provenance_manifest"] = "WITH f AS (" + ORACLES["provenance_flatten"] + """), r AS (
+  SELECT conv_id, max(video_frame_count) AS total_frames, list({'manifest_index': manifest_index, 'frame_index': frame_index, 'label': role, 'rel_path': frame_name} ORDER BY manifest_index) AS frames FROM f GROUP BY conv_id)
+SELECT 'c' || conv_id AS name, total_frames, to_json(frames)::varchar AS frames FROM r"""
+ORACLES["extraction_by_label"] = """SELECT CASE WHEN grouping(role) = 1 THEN '(all)' ELSE role END AS label, count(DISTINCT conv_id)::bigint AS videos, count(*)::bigint AS frames, count(*) FILTER (WHERE length(text) = 0)::bigint AS skipped
+  FROM conversations GROUP BY GROUPING SETS ((role), ())"""
+_REPORT = f"""WITH {CLASSES}, report AS (
+  SELECT (SELECT count(*) FROM pred)::bigint AS num_samples, {DIV('(SELECT count(*) FROM pred WHERE actual = predicted)', '(SELECT count(*) FROM pred)')} AS accuracy,
+         avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1, (SELECT string_agg(n::varchar, ',' ORDER BY actual, predicted) FROM cells) AS confusion_matrix,
+         {", ".join(f"max({c}) FILTER (WHERE index = {i}) AS {c}_{k}" for i, k in enumerate(("real", "fake")) for c in ("precision", "recall", "f1", "support"))} FROM classes)"""
+ORACLES["evaluation_report"] = _REPORT + " SELECT * FROM report"
+
+
+def _rate(c: str) -> str:
+    return f"printf('%.4f', round_even({c}, 4))"
+
+
+_LINES = ["rpad('Test images', 17, ' ') || ': ' || num_samples", f"rpad('Accuracy', 17, ' ') || ': ' || {_rate('accuracy')}"]
+_LINES += [f"rpad('{n} (fake)', 17, ' ') || ': ' || {_rate(n.lower() + '_fake')}" for n in ("Precision", "Recall", "F1")]
+_LINES += [f"rpad('Macro {n}', 17, ' ') || ': ' || {_rate('macro_' + n)}" for n in ("precision", "recall", "f1")]
+_LINES += [f"' {c}: precision=' || {_rate('precision_' + c)} || '  recall=' || {_rate('recall_' + c)} || '  f1=' || {_rate('f1_' + c)} || '  support=' || support_{c}" for c in ("real", "fake")]
+_LINES += [f"'{c}' || lpad(split_part(confusion_matrix, ',', {2 * i + 1}), 10, ' ') || lpad(split_part(confusion_matrix, ',', {2 * i + 2}), 10, ' ')" for i, c in enumerate(("real", "fake"))]
+ORACLES["evaluation_report_lines"] = _REPORT + ", x AS (SELECT [" + ", ".join(_LINES) + "] AS t FROM report) SELECT unnest(range(1, len(t) + 1))::int AS line, unnest(t) AS text FROM x"
+ORACLES["first_rows"] = f"WITH {POOL} SELECT path, md5 FROM pool ORDER BY path LIMIT 25"
+_BATCHES = "WITH {0}, r AS (SELECT path, row_number() OVER (ORDER BY {1}, path) - 1 AS k FROM pool) SELECT path, (k // 8)::bigint AS batch, (k % 8)::int AS place FROM r".format
+ORACLES["sequential_batches"] = _BATCHES(POOL, "path")
+ORACLES["shuffled_batches"] = _BATCHES(POOL, "md5('42|' || path)")
+ORACLES["dct_hashes"] = """WITH n AS (SELECT unnest(range(0, 8)) AS i), px AS (
+  SELECT vec_id, y.i AS y, x.i AS x, embedding[8 * y.i + x.i + 1]::double AS v FROM embeddings, n y, n x
+), c AS (
+  SELECT vec_id, u, w, s * (CASE WHEN u = 0 THEN sqrt(0.125) ELSE 0.5 END) * (CASE WHEN w = 0 THEN sqrt(0.125) ELSE 0.5 END) AS k
+  FROM (SELECT vec_id, u.i AS u, w.i AS w, sum(v * cos(pi() * (2 * y + 1) * u.i / 16) * cos(pi() * (2 * x + 1) * w.i / 16)) AS s FROM px, n u, n w GROUP BY vec_id, u.i, w.i)
+), low AS (SELECT vec_id, list(k ORDER BY u, w)[2:64] AS low FROM c GROUP BY vec_id), m AS (SELECT *, list_sort(low)[32] AS med FROM low)
+SELECT vec_id AS key, lpad(lower(hex(list_sum([CASE WHEN low[i] > med THEN (1::bigint << (63 - i)) ELSE 0::bigint END FOR i IN range(1, 64)])::bigint)), 16, '0') AS hash_hex FROM m"""
+ORACLES["pixel_planes"] = "SELECT vec_id, embedding[63]::double / 255.0::double AS r, embedding[62]::double / 255.0::double AS g, embedding[61]::double / 255.0::double AS b FROM embeddings"
+_TEXT = "translate(text, '*_`~[]()!\\' || chr(10) || chr(13), '')"
+_DONE = {
+    "a": "<strong>a</strong>", "de": "<em>de</em>", "der": "<em>der</em>", "la": "<del>la</del>", "und": "<strong><em>und</em></strong>", "of": "<code>of & **it**</code>", "to": "<code>to ` <b></code>",
+    "in": '<a href="in.html">in</a>', "el": '<img alt="el" src="el.png">', "et": "2 * 3 * et", "is": "\\<em>is\\</em>", "en": "snake_en_case",
+}
+_HTML = f"replace(replace(replace({_TEXT}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+for _word, _done in _DONE.items():
+    _done = _done.replace("of &", "of &amp;").replace("<b>", "&lt;b&gt;")
+    _HTML = f"replace({_HTML}, ' {_word} ', ' {_done} ')"
+ORACLES["markdown_inline"] = f"SELECT doc_id, {_HTML} AS html FROM documents"
+ORACLES["iso_timestamps"] = "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS utc, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS plain FROM events"
+ORACLES["throughput"] = "WITH r AS (SELECT user_id, count(*)::bigint AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY user_id) SELECT user_id, n, round(n::double / greatest(us / 1000000.0::double, 0.000001::double), 12) AS per_second FROM r"
+_DOC_LINES = "lines AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS n FROM (SELECT doc_id, string_split(translate(text, '`' || chr(13), ''), chr(10)) AS t FROM documents))"
+ORACLES["markdown_table_cells"] = f"""WITH {_DOC_LINES}, w AS (SELECT doc_id, n, string_split(replace(line, '|', ''), ' ') AS w FROM lines)
+  SELECT doc_id, n::int AS n, CASE WHEN w[1] IS NULL OR w[1] = '' THEN '' ELSE trim(w[1]) || '/' END || '`' || coalesce(w[2], '') || '|' || coalesce(w[3], '') || '`/' || trim(coalesce(w[4], '') || ' x') AS cells FROM w"""
+ORACLES["markdown_alignment"] = "SELECT doc_id, array_to_string([CASE x::int % 4 WHEN 1 THEN 'center' WHEN 2 THEN 'right' ELSE 'left' END FOR x IN string_split(doc_id::varchar, '')], ',') AS alignment FROM documents"
+ORACLES["markdown_blocks"] = f"""WITH {_DOC_LINES}, k AS (SELECT doc_id, CASE
+    WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*~~~') THEN 'fence' WHEN regexp_matches(line, '^#{{1,6}}[ \\t\\x0B\\f]') THEN 'h' || length(regexp_extract(line, '^#+'))
+    WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*(-([ \\t\\x0B\\f]*-){{2,}}|\\*([ \\t\\x0B\\f]*\\*){{2,}}|_([ \\t\\x0B\\f]*_){{2,}})[ \\t\\x0B\\f]*$') THEN 'rule' WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*>') THEN 'quote'
+    WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*([-*+]|[0-9]+[.)])[ \\t\\x0B\\f]') THEN 'item' WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*\\|.*\\|[ \\t\\x0B\\f]*$') THEN 'row' WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*$') THEN 'blank' ELSE 'text' END AS kind FROM lines)
+  SELECT doc_id, kind, count(*)::bigint AS n FROM k GROUP BY doc_id, kind"""

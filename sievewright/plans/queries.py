@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from ..config import CHANNEL_MEAN, RATIOS, SEED
 from ..functions import arrays as A
 from ..functions import text as X
+from ..functions.markdown import render_documents
 from ..operators import audit, dedup, metrics, sampling, splits
 from ..operators.graph import connected_components
-from ..session import table
+from ..session import materialise, table
 from ..sources.files import reject_reason
 from . import build
-from .views import coefficient_hashes, hashed_pool, history, pool, predictions, source_groups
+from .views import HASH_BITS, coefficient_hashes, hashed_pool, history, pool, predictions, source_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,6 +85,16 @@ def positive_class_metrics(spark, d):
     return metrics.positive_class(predictions(spark, d))
 
 
+@query
+def evaluation_report(spark, d):
+    return metrics.report_row(predictions(spark, d))
+
+
+@query
+def evaluation_report_lines(spark, d):
+    return metrics.report_lines(metrics.report_row(predictions(spark, d)))
+
+
 @query
 def row_share(spark, d):
     return metrics.row_shares(predictions(spark, d))
@@ -112,6 +124,21 @@ def stratified_quota_sample(spark, d):
     return sampling.stratified_sample(pool(spark, d), ["split", "class_name"], "path", quotas, SEED).select("split", "class_name", "path", "rank")
 
 
+@query
+def first_rows(spark, d):
+    return sampling.first_rows(pool(spark, d).select("path", "md5"), ["path"], 25)
+
+
+@query
+def sequential_batches(spark, d):
+    return sampling.in_batches(pool(spark, d).select("path"), "path", 8)
+
+
+@query
+def shuffled_batches(spark, d):
+    return sampling.in_batches(pool(spark, d).select("path"), "path", 8, SEED)
+
+
 @query
 def even_row_sample(spark, d):
     videos = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("total"))
@@ -169,6 +196,13 @@ def hash_from_array(spark, d):
     return coefficient_hashes(spark, d).select("key", "hash", A.hash_hex(F.col("hash")).alias("hash_hex"))
 
 
+@query
+def dct_hashes(spark, d):
+    """Embeddings as grey pictures of eight by eight."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), A.dct_hash(F.col("embedding"), 8).alias("hash"))
+    return rows.select("key", A.hash_hex(F.col("hash")).alias("hash_hex"))
+
+
 @query
 def word_hashes(spark, d):
     return dedup.simhash_table(table(spark, d, "documents"))
@@ -181,59 +215,69 @@ def band_keys(spark, d):
 
 @query
 def hamming_pairs_banded(spark, d):
-    return dedup.banded_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 3)
+    return dedup.banded_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 3, bits=HASH_BITS)
 
 
 @query
 def hamming_pairs_wide(spark, d):
-    return dedup.banded_pairs(coefficient_hashes(spark, d), 15)
+    return dedup.banded_pairs(coefficient_hashes(spark, d), 15, bits=63)
 
 
 @query
 def min_cross_split_distance(spark, d):
-    return audit.min_cross_distance(coefficient_hashes(spark, d))
+    return audit.min_cross_distance(coefficient_hashes(spark, d), bits=63)
+
+
+@query
+def min_cross_split_distance_words(spark, d):
+    return audit.min_cross_distance(hashed_pool(spark, d), bits=HASH_BITS)
 
 
 @query
 def near_dedup_survivors(spark, d):
     rows = dedup.exact_survivors(hashed_pool(spark, d).select("path", "split", "class_name", "md5", "hash"))
-    return dedup.near_survivors(rows, 7).select("path")
+    return dedup.near_survivors(rows, 7, bits=HASH_BITS).select("path")
+
+
+@query
+def dedup_stats(spark, d):
+    rows = hashed_pool(spark, d)
+    return dedup.dedup_stats(rows, build.kept_candidates(rows))
 
 
 @query
 def connected_components_near(spark, d):
-    edges = dedup.banded_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 7)
+    edges = dedup.banded_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 7, bits=HASH_BITS)
     return connected_components(edges, "a", "b")
 
 
 # Manifests and audits.
-def _manifest(spark, d):
-    return hashed_pool(spark, d).where("doc_id % 4 <> 0").withColumns({"label": F.col("class_name"), "official_split": F.col("split")})
-
-
-def _disk(spark, d):
-    rows = hashed_pool(spark, d).where("doc_id % 7 <> 3")
-    return rows.withColumn("md5", F.when(F.col("doc_id") % 11 == 5, F.md5(F.concat("md5", F.lit("x")).cast("binary"))).otherwise(F.col("md5")))
+def _manifest_and_disk(spark, d):
+    """A manifest that lacks some of the files, and a disk that lacks others, with some of them changed or unreadable."""
+    rows = hashed_pool(spark, d)
+    manifest = build.as_manifest(rows.where("doc_id % 4 <> 0"))
+    disk = rows.where("doc_id % 7 <> 3").withColumn("md5", F.when(F.col("doc_id") % 11 == 5, F.md5(F.concat("md5", F.lit("x")).cast("binary"))).otherwise(F.col("md5")))
+    return manifest, disk.withColumn("hash", F.when(F.col("doc_id") % 13 != 4, F.col("hash")))
 
 
 @query
 def manifest_missing(spark, d):
-    return audit.missing_files(_manifest(spark, d), _disk(spark, d))
+    return audit.missing_files(*_manifest_and_disk(spark, d))
 
 
 @query
 def manifest_extra(spark, d):
-    return audit.extra_files(_manifest(spark, d), _disk(spark, d))
+    return audit.extra_files(*_manifest_and_disk(spark, d))
 
 
 @query
 def manifest_md5_mismatch(spark, d):
-    return audit.corrupted_files(_manifest(spark, d), _disk(spark, d))
+    return audit.corrupted_files(*_manifest_and_disk(spark, d))
 
 
 @query
 def extra_duplicates_manifest(spark, d):
-    return audit.extras_like_manifest(_manifest(spark, d), _disk(spark, d), 3)
+    return audit.extras_like_manifest(*_manifest_and_disk(spark, d), 3, bits=HASH_BITS)
 
 
 @query
@@ -243,13 +287,38 @@ def manifest_projection(spark, d):
 
 @query
 def selection_audit_checks(spark, d):
-    rows = build.selection(spark, d).withColumns({"label": F.col("class_name"), "official_split": F.col("split")})
-    return audit.selection_checks(rows, build.QUOTAS, 3)
+    return audit.selection_checks(build.as_manifest(build.selection(spark, d)), build.QUOTAS, 3, bits=HASH_BITS)
+
+
+@query
+def selection_verdict(spark, d):
+    return audit.verdict(audit.selection_checks(build.as_manifest(build.selection(spark, d)), build.QUOTAS, 3, bits=HASH_BITS))
+
+
+@query
+def revalidation_verdict(spark, d):
+    return audit.verdict(audit.revalidation_checks(*_manifest_and_disk(spark, d), build.QUOTAS, 3, bits=HASH_BITS))
+
+
+@query
+def manifest_unreadable(spark, d):
+    return audit.unreadable_files(*_manifest_and_disk(spark, d))
+
+
+@query
+def build_summary(spark, d):
+    """The counters, verdict and size that a whole build reports; what it writes is tested apart."""
+    rows = hashed_pool(spark, d).select("path", "split", "class_name", "size_bytes", "md5", "hash")
+    kept = build.kept_candidates(rows)
+    chosen = build.draw(kept)
+    checks = audit.verdict(audit.selection_checks(build.as_manifest(chosen), build.QUOTAS, 3, bits=HASH_BITS))
+    size = chosen.agg(F.count("*").alias("selected"), F.sum("size_bytes").alias("selected_bytes"))
+    return dedup.dedup_stats(rows, kept).crossJoin(checks).crossJoin(size)
 
 
 @query
 def revalidation_checks(spark, d):
-    return audit.revalidation_checks(_manifest(spark, d), _disk(spark, d), build.QUOTAS, 3)
+    return audit.revalidation_checks(*_manifest_and_disk(spark, d), build.QUOTAS, 3, bits=HASH_BITS)
 
 
 @query
@@ -257,6 +326,31 @@ def dataset_fingerprint(spark, d):
     return build.fingerprint(pool(spark, d))
 
 
+@query
+def manifest_fingerprint(spark, d):
+    return build.manifest_fingerprint(build.manifest_rows(hashed_pool(spark, d)))
+
+
+@query
+def dataset_status(spark, d):
+    return build.dataset_status(pool(spark, d))
+
+
+@query
+def any_image(spark, d):
+    rows = pool(spark, d)
+    parts = [audit.any_rows(rows.where(F.col("split") == s)).withColumn("split", F.lit(s)) for s in ("train", "validation", "test", "none")]
+    return reduce(DataFrame.unionByName, parts).select("split", "found")
+
+
+@query
+def leakage_from_names(spark, d):
+    """The tree as it would be prepared: number, component (the source), video and frame in each name."""
+    name = F.concat(X.zero_padded(F.col("doc_id")), F.lit("_"), "source", F.lit("__"), F.lit("v"), F.col("doc_id"), F.lit("__frame_000001.png"))
+    files = pool(spark, d).select("split", F.concat_ws("/", F.lit("processed"), "split", "class_name", name).alias("path"))
+    return audit.leakage_from_names(files)
+
+
 @query
 def dataset_summary(spark, d):
     return build.summary(pool(spark, d))
@@ -264,8 +358,7 @@ def dataset_summary(spark, d):
 
 @query
 def status_crosscheck(spark, d):
-    reported = audit.dense_counts(_manifest(spark, d))
-    return audit.report_against_disk(reported, audit.dense_counts(_disk(spark, d)))
+    return audit.report_against_disk(*map(audit.dense_counts, _manifest_and_disk(spark, d)))
 
 
 @query
@@ -273,6 +366,16 @@ def provenance_flatten(spark, d):
     return build.provenance(table(spark, d, "conversations"))
 
 
+@query
+def provenance_manifest(spark, d):
+    return build.provenance_manifest(build.provenance(table(spark, d, "conversations")))
+
+
+@query
+def extraction_by_label(spark, d):
+    return build.extraction_by_label(table(spark, d, "conversations"))
+
+
 @query
 def extraction_stats(spark, d):
     rows = table(spark, d, "conversations")
@@ -329,6 +432,13 @@ def softmax_argmax(spark, d):
     return rows.select("vec_id", A.argmax(F.col("logits")).alias("label"), F.round(F.array_max("p"), 9).alias("confidence"))
 
 
+@query
+def pixel_planes(spark, d):
+    """Embeddings as 21 pixels of three channels, blue first."""
+    rows = table(spark, d, "embeddings").select("vec_id", A.to_planes(F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double"))).alias("p"))
+    return rows.select("vec_id", *(F.get(F.get("p", F.lit(i)), F.lit(20)).alias(c) for i, c in enumerate("rgb")))
+
+
 @query
 def normalise_channels(spark, d):
     pixel = F.transform(F.slice("embedding", 1, len(CHANNEL_MEAN)), lambda x: x.cast("double"))
@@ -402,17 +512,40 @@ def pair_flatten(spark, d):
     return rows.select(F.explode(F.array(F.concat_ws("_", "a", "b"), F.concat_ws("_", "b", "a"))).alias("pair")).distinct()
 
 
+#: Of real texts: Markdown's own signs taken out, and marks put around some words of each language.
+MARKED = (("a", "**a**"), ("de", "*de*"), ("der", "_der_"), ("la", "~~la~~"), ("und", "***und***"), ("of", "`of & **it**`"), ("to", "``to ` <b>``"), ("in", '[in](in.html "In")'), ("el", "![el](el.png)"), ("et", "2 * 3 * et"), ("is", r"\_is\_"), ("en", "snake_en_case"))
+
+
 @query
 def markdown_inline(spark, d):
-    text = F.concat(F.lit("**"), F.col("source"), F.lit("** & *"), F.col("lang"), F.lit("* `a<b` [x]("), F.col("source"), F.lit(".html) ~~"), F.col("doc_id"), F.lit("~~"))
+    text = F.translate("text", "*_`~[]()!\\\n\r", "")
+    for word, marked in MARKED:
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {marked} "))
     return table(spark, d, "documents").select("doc_id", X.markdown_inline(text).alias("html"))
 
 
+@query
+def iso_timestamps(spark, d):
+    return table(spark, d, "events").select("event_id", X.iso_seconds(F.col("ts")).alias("utc"), X.iso_seconds(F.col("ts"), utc=False).alias("plain"))
+
+
+@query
+def throughput(spark, d):
+    runs = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    return metrics.throughput(runs, "n", "started", "ended").select("user_id", "n", F.round("per_second", 12).alias("per_second"))
+
+
 @query
 def identity_components(spark, d):
     return build.identity_components(spark, d)
 
 
+@query
+def component_assignment(spark, d):
+    edges = materialise(build.identity_edges(spark, d), "videos")
+    return build.assign_components(edges, connected_components(edges, "sequence_id", "source_id"), strict=False)
+
+
 @query
 def create_splits_per_class(spark, d):
     return build.create_splits(pool(spark, d), cap=300).groupBy("class_name", "split").agg(F.count("*").alias("n"))
@@ -435,16 +568,35 @@ def problem_lines(spark, d):
     return build.problem_lines(rows.select(F.col("filename").alias("name"), reason.alias("reason")))
 
 
+def _lines(spark, d):
+    """Every line of every text, without back ticks and carriage returns."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "`\r", ""), "\n")).alias("n", "line"))
+
+
 @query
 def markdown_table_cells(spark, d):
-    row = F.concat(F.lit("| "), F.col("source"), F.lit(" | `a|b` |"), F.col("lang"), F.lit("|"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.table_cells(row), "/").alias("cells"), F.array_join(X.cell_alignment(F.lit("|:--|:-:|--:|")), ",").alias("alignment"))
+    """Each line's first words as cells, one of them with a pipe in code."""
+    word = lambda i: F.coalesce(F.get(F.split(F.translate("line", "|", ""), " "), F.lit(i)), F.lit(""))
+    row = F.concat(F.lit("| "), word(0), F.lit(" | `"), word(1), F.lit("|"), word(2), F.lit("` |"), word(3), F.lit(" x|"))
+    return _lines(spark, d).select("doc_id", "n", F.array_join(X.table_cells(row), "/").alias("cells"))
+
+
+@query
+def markdown_alignment(spark, d):
+    """A separator row for each document, its columns by the digits of its id."""
+    digit = F.transform(F.split(F.col("doc_id").cast("string"), ""), lambda x: x.cast("int"))
+    row = F.concat(F.lit("|"), F.array_join(F.transform(digit, lambda x: F.get(F.array(F.lit(":--"), F.lit(":-:"), F.lit(" --: "), F.lit("---")), x % 4)), "|"), F.lit("|"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.cell_alignment(row), ",").alias("alignment"))
 
 
 @query
 def markdown_blocks(spark, d):
-    marks = F.array(*(F.lit(x) for x in ("# a", "### b", "- c", "1. d", "> e", "---", "```py", "| f |", "", "plain")))
-    return table(spark, d, "documents").select("doc_id", X.block_kind(F.get(marks, (F.col("doc_id") % 10).cast("int"))).alias("kind"))
+    return _lines(spark, d).groupBy("doc_id", X.block_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def markdown_documents(spark, d):
+    return render_documents(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query

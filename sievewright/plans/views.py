@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import hash_from_array
 from ..operators.dedup import simhash_table
-from ..session import table
+from ..session import materialise, table
 
 SPLIT_SQL = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
 CLASS_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'fake' ELSE 'real' END"
+HASH_BITS = 60
 PATH_SQL = "concat('pool/', lpad(CAST(doc_id AS string), 9, '0'), '.txt')"
 
 
@@ -23,8 +24,8 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with the 60-bit hash of their words, inner to those that have one."""
-    return pool(spark, sf_dir).join(simhash_table(table(spark, sf_dir, "documents")), "doc_id")
+    """Candidates with the 60-bit hash of their words, null where they have none; a table, so that it is worked out once."""
+    return materialise(pool(spark, sf_dir).join(simhash_table(table(spark, sf_dir, "documents")), "doc_id", "left"), "hashed-pool")
 
 
 def coefficient_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs: a user's events in order of time, their value as the validation loss."""
+    """Runs: a user's events in order of time, their value as the validation loss; epochs without a value are no points of the curve."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.row_number().over(order).alias("epoch"), F.col("value").alias("val_loss"))
     return rows.where(F.col("val_loss").isNotNull())

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, MANIFEST_DDL, MAX_BYTES, MAX_SIDE, MIN_SIDE, POOL_SUFFIXES, SPLIT_ALIASES, SPLITS, UPLOAD_SUFFIXES, CurationError
-from ..functions.text import basename, extension, stem
+from ..functions.text import basename, extension, stem, video_name
 
 _EMPTY = "path string, modificationTime timestamp, length bigint, content binary"
 # How files of the supported formats begin.
-_MAGIC = {"JPEG": "FFD8FF", "PNG": "89504E470D0A1A0A", "BMP": "424D"}
+_MAGIC = {"JPEG": "FFD8FF", "PNG": "89504E470D0A1A0A", "BMP": "424D", "WEBP": "52494646"}
 
 
 def _binary(spark: SparkSession, folder: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
@@ -33,9 +33,18 @@ def suffix(path: Column) -> Column:
 
 
 def decodable(content: Column) -> Column:
-    """Whether the bytes begin like a supported format; a decoder can be passed to scan_folder in its place."""
-    head = F.hex(F.substring(content, 1, 8))
-    return reduce(Column.__or__, (F.startswith(head, F.lit(m)) for m in _MAGIC.values()))
+    """Whether the bytes begin and end like a whole file of a supported format, so that cut-off ones are found out.
+
+    JPEG ends with its end mark, PNG with its last chunk, and BMP and WEBP have the length that they state. A decoder
+    can be passed to ``scan_folder`` in its place.
+    """
+    text = F.hex(content)
+    size = F.octet_length(content)
+    little = lambda at: F.conv(F.concat(*(F.substring(text, 2 * (at + i) + 1, 2) for i in (3, 2, 1, 0))), 16, 10).cast("bigint")
+    whole = {"JPEG": F.endswith(text, F.lit("FFD9")), "PNG": F.endswith(text, F.lit("49454E44AE426082")), "BMP": little(2) == size, "WEBP": little(4) + 8 == size}
+    begins = {k: F.startswith(text, F.lit(v)) for k, v in _MAGIC.items()}
+    begins["WEBP"] = begins["WEBP"] & (F.substring(text, 17, 8) == "57454250")
+    return F.coalesce(reduce(Column.__or__, (begins[k] & whole[k] for k in whole)), F.lit(False))
 
 
 def find_files(spark: SparkSession, folder: str, suffixes=UPLOAD_SUFFIXES, recursive: bool = True) -> DataFrame:
@@ -67,12 +76,13 @@ def split_of_folder(name: Column) -> Column:
 
 
 def scan_pool(spark: SparkSession, root: str) -> DataFrame:
-    """Candidates (path, split, class_name, size_bytes, md5) below root/<split>/<class>; all six folders must have files.
+    """Candidates (path, split, class_name, size_bytes, md5) in root/<split>/<class>, not below; all six folders must have files.
 
     Labels come from folders, never from names.
     """
     parts = F.split("path", "/")
-    files = _binary(spark, root).select("path", "length", "content", F.element_at(parts, -2).alias("class_name"), split_of_folder(F.element_at(parts, -3)).alias("split"))
+    below = F.size(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/")) - len([x for x in root.rpartition(":")[2].split("/") if x])
+    files = _binary(spark, root).where(below == 4).select("path", "length", "content", F.element_at(parts, -2).alias("class_name"), split_of_folder(F.element_at(parts, -3)).alias("split"))
     files = files.where(F.col("split").isNotNull() & F.lower("class_name").isin(*CLASSES) & suffix(F.col("path")).isin(*POOL_SUFFIXES))
     rows = files.select("path", "split", F.lower("class_name").alias("class_name"), F.col("length").alias("size_bytes"), F.md5("content").alias("md5"))
     found = rows.select("split", "class_name").distinct().count()
@@ -149,3 +159,34 @@ def find_pool_root(spark: SparkSession, folder: str) -> str:
             if split_folders(spark, root):
                 return root
     raise CurationError(f"no folder in {folder} holds all splits and classes")
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, split, label, image_id, md5) of the files of a written tree, root/<split>/<class>/<name>; missing folders have none."""
+    files = _binary(spark, root)
+    parts = F.split("path", "/")
+    rows = files.select("path", F.element_at(parts, -3).alias("split"), F.element_at(parts, -2).alias("label"), F.element_at(parts, -1).alias("image_id"), F.md5("content").alias("md5"))
+    return rows.where(F.col("split").isin(*SPLITS) & F.col("label").isin(*CLASSES) & suffix(F.col("path")).isin(*POOL_SUFFIXES))
+
+
+def tree_against_manifest(tree: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(split, label, image_id, state) of what differs: missing, extra or changed."""
+    key = ["split", "label", "image_id"]
+    both = manifest.select(*key, F.col("md5").alias("_wanted")).join(tree.select(*key, F.col("md5").alias("_found")), key, "full_outer")
+    state = F.when(F.col("_found").isNull(), "missing").when(F.col("_wanted").isNull(), "extra").when(F.col("_wanted") != F.col("_found"), "changed")
+    return both.select(*key, state.alias("state")).where("state IS NOT NULL")
+
+
+def discover_videos(spark: SparkSession, originals: str, manipulated: str, method: str = "Deepfakes", glob: str = "*.mp4") -> DataFrame:
+    """(path, kind, method, sequence_id, source_id, label) of the videos of two folders, by path; labels come from the folder.
+
+    A missing folder has none. A name that is no '123' or '123_456' raises.
+    """
+    found = []
+    for folder, label, way in ((originals, "real", None), (manipulated, "fake", method)):
+        files = _binary(spark, folder, recursive=False, glob=glob).select("path", video_name(stem(F.col("path"))).alias("v"))
+        found.append(files.select("path", "v.kind", F.lit(way).cast("string").alias("method"), "v.sequence_id", F.when(F.lit(way is not None), F.col("v.source_id")).alias("source_id"), F.lit(label).alias("label")))
+    rows = found[0].unionByName(found[1])
+    if bad := rows.where("kind IS NULL").orderBy("path").limit(1).collect():
+        raise CurationError(f"no video name: {bad[0]['path']}")
+    return rows.orderBy(F.desc("label"), "path")

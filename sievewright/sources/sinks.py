@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import MANIFEST_FIELDS, CurationError
 from ..functions.text import basename, zero_padded
+from ..operators.ordered import running_total
+from ..session import hadoop_path, materialise
 
 
 def write_manifest(rows: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -24,8 +29,10 @@ def write_report(row: DataFrame, path: str, overwrite: bool = True) -> None:
 
 def with_output_names(rows: DataFrame) -> DataFrame:
     """rows (split, class_name, path) with their place in their folder, from 0, and the name they get there."""
-    order = F.row_number().over(W.partitionBy("split", "class_name").orderBy("path")) - 1
-    return rows.withColumn("ord", order).withColumn("output_name", F.concat(zero_padded(F.col("ord")), F.lit("_"), basename(F.col("path"))))
+    placed = running_total(rows, ["split", "class_name", "path"], name="_at")
+    first = placed.groupBy("split", "class_name").agg(F.min("_at").alias("_first"))
+    placed = placed.join(F.broadcast(first), ["split", "class_name"]).withColumn("ord", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
+    return placed.withColumn("output_name", F.concat(zero_padded(F.col("ord")), F.lit("_"), basename(F.col("path")))).select(*rows.columns, "ord", "output_name")
 
 
 def write_splits(rows: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -52,3 +59,61 @@ def delete_invalid(rows: DataFrame, allow_delete: bool = False) -> int:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["path"])
         gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False))
     return gone
+
+
+def check_inside(path: str, folder: str) -> str:
+    """The path made plain, if it lies below the folder; raises where dots or another root lead out of it."""
+    scheme, mark, rest = path.rpartition("://")
+    root_scheme, _, root = folder.rpartition("://")
+    plain: list[str] = []
+    for x in rest.split("/"):
+        if x == "..":
+            if not plain:
+                raise CurationError(f"{path} lies outside {folder}")
+            plain.pop()
+        elif x not in ("", "."):
+            plain.append(x)
+    inside = [x for x in root.split("/") if x not in ("", ".")]
+    if scheme != root_scheme or plain[: len(inside)] != inside or len(plain) == len(inside):
+        raise CurationError(f"{path} lies outside {folder}")
+    return scheme + mark + ("/" if rest.startswith("/") else "") + "/".join(plain)
+
+
+def copy_files(rows: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """Copy files (path, split, class_name, output_name) byte for byte to folder/split/class; gives (output_path, bytes, md5).
+
+    An existing folder is refused unless overwriting, which empties it first. Each task copies its own rows, by way
+    of Spark's reader, to a name of its own attempt that is then renamed; a task that runs again replaces its files.
+    """
+    spark = rows.sparkSession
+    target, store = hadoop_path(spark, folder)
+    if store.exists(target):
+        if not overwrite:
+            raise CurationError(f"{folder} is there already")
+        store.delete(target, True)
+    wanted = rows.select(F.col("path"), F.concat_ws("/", F.lit(folder.rstrip("/")), "split", "class_name", "output_name").alias("output_path"))
+    folders = [r[0] for r in rows.select(F.concat_ws("/", F.lit(folder.rstrip("/")), "split", "class_name")).distinct().collect()]  # six at most
+    files = spark.read.format("binaryFile").load([r["path"] for r in rows.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().collect()])
+    both = wanted.join(files.select("path", "content"), "path")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        for f in folders:
+            there, name = fs.FileSystem.from_uri(f if ":" in f.split("/")[0] else f"file://{f}")
+            there.create_dir(name, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for b in batches:
+            out, sizes, sums = [], [], []
+            for path, content in zip(b.column("output_path").to_pylist(), b.column("content").to_pylist()):
+                there, name = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+                with there.open_output_stream(f"{name}.{attempt}.tmp", compression=None) as stream:
+                    stream.write(content)
+                there.move(f"{name}.{attempt}.tmp", name)
+                out.append(path)
+                sizes.append(len(content))
+                sums.append(hashlib.md5(content).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["output_path", "bytes", "md5"])
+
+    return materialise(both.mapInArrow(write, "output_path string, bytes bigint, md5 string"), "copied")
