@@ -2,17 +2,24 @@
 
 A notice of n characters that occurs with at most e edits, cut into e + 1 pieces, has at least one piece in the text
 unchanged (pigeonhole). All pieces of all notices form one automaton; a text without a piece is done after one pass.
-Where pieces occur, the stretch a notice could take up around them is handed to the regular-expression library, whose
-bounded-error matching confirms or rejects it and gives the span and the number of edits. Texts are matched in a
-normal form: words (ASCII letters and digits in lower case, and all characters beyond ASCII) joined by one space.
-
-Defined cases: null or empty text has no words, no labels and score 0; repeated rows each get their row; very long
-texts are scanned whole, in time linear in their length and the number of pieces found.
+A notice that stands there letter by letter is taken as it is. Elsewhere the stretch it could take up around a piece is
+handed to the regular-expression library, whose bounded-error matching confirms or rejects it and gives the span and
+the number of edits. Texts are matched in a normal form: words (ASCII letters and digits in lower case, and all
+characters beyond ASCII) joined by one space; places and edits are counted in its characters.
+
+Some notices differ from others in a word that says it all ("by", "nc", "sa", "nd"). Edits may not touch these: such a
+notice counts only where its own telling words stand in the span and no others of their kind do, there or right after.
+
+Defined cases: null or empty text has no words, no labels and score 0; repeated rows each get their row; where spans
+overlap, the closest match counts, then the longer one, then the first by label; very long texts are scanned whole, in
+time linear in their length and, but for a logarithm, in the number of pieces found; other columns of the input play no
+part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 # Exact phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -35,13 +42,25 @@ NOTICES = (
     ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu"),
     ("lgpl", "gnu lesser general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "licensed under cc by"),
+    ("cc-by-nc", "licensed under cc by nc"),
+    ("cc-by-nd", "licensed under cc by nd"),
+    ("cc-by-sa", "licensed under cc by sa"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa"),
     ("cc-by", "licensed under a creative commons attribution"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike"),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike"),
     ("mpl", "subject to the terms of the mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("proprietary", "all rights reserved"),
 )
+# Words that tell notices apart, in kinds; "non commercial" and the like are put together first.
+TELLING = (frozenset(("by", "nc", "nd", "sa")), frozenset(("noncommercial", "noderivatives", "sharealike")), frozenset(("lesser",)))
+TOGETHER = {("non", "commercial"): "noncommercial", ("no", "derivatives"): "noderivatives", ("no", "derivs"): "noderivatives", ("share", "alike"): "sharealike"}
 #: One edit for so many characters of a notice, five at most.
 CHARS_PER_EDIT = 9
 MAX_EDITS = 5
@@ -53,13 +72,19 @@ class Notice:
     text: str
     edits: int
     pieces: tuple[tuple[int, str], ...]
+    telling: tuple[tuple[frozenset[str], frozenset[str]], ...]
 
 
 def plan(label: str, text: str, chars_per_edit: int = CHARS_PER_EDIT, max_edits: int = MAX_EDITS) -> Notice:
-    """How many edits a notice may have, and its edits + 1 pieces with their places."""
+    """How many edits a notice may have, its edits + 1 pieces with their places, and of each kind of telling words its own."""
     edits = min(max_edits, len(text) // chars_per_edit)
     cuts = [round(i * len(text) / (edits + 1)) for i in range(edits + 2)]
-    return Notice(label, text, edits, tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:])))
+    words = frozenset(text.split())
+    own = tuple((kind, kind & words) for kind in TELLING if kind & words or "attribution" in words and "sharealike" in kind)
+    return Notice(label, text, edits, tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:])), own)
+
+
+Span = tuple[str, int, int, int]
 
 
 class Scanner:
@@ -77,30 +102,63 @@ class Scanner:
         self.seeds.make_automaton()
         self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in self.notices]
 
-    def spans(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of every notice found, as characters of the normal form; none overlap."""
+    def matches(self, text: str) -> list[Span]:
+        """(label, start, end, edits) of every notice found within its edits, before telling words and overlaps are looked at."""
         wanted: dict[int, list[tuple[int, int]]] = {}
+        exact: set[tuple[int, int]] = set()
         for end, (length, uses) in self.seeds.iter(text):
             for i, place in uses:
                 n = self.notices[i]
                 start = end - length + 1 - place
-                wanted.setdefault(i, []).append((max(0, start - n.edits), min(len(text), start + len(n.text) + n.edits)))
-        found = []
+                if (i, start) in exact:
+                    continue
+                if start >= 0 and text.startswith(n.text, start):
+                    exact.add((i, start))
+                else:
+                    wanted.setdefault(i, []).append((max(0, start - n.edits), min(len(text), start + len(n.text) + n.edits)))
+        found = [(self.notices[i].label, start, start + len(self.notices[i].text), 0, i) for i, start in exact]
         for i, ranges in wanted.items():
             n, pattern = self.notices[i], self.patterns[i]
             for low, high in _merged(ranges):
                 for m in pattern.finditer(text, low, high):
-                    found.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return _best(found)
-
-
-def _best(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+                    found.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts), i))
+        return [s[:4] for s in found if self._tells(text, self.notices[s[4]], s[1], s[2])]
+
+    @staticmethod
+    def _tells(text: str, notice: Notice, start: int, end: int) -> bool:
+        """Whether the span, widened to whole words, and the telling words right after it have just the notice's own."""
+        if not notice.telling:
+            return True
+        start = text.rfind(" ", 0, start) + 1 if start else 0
+        end = end if end < len(text) and text[end - 1 : end] == " " else (text.find(" ", end) if text.find(" ", end) >= 0 else len(text))
+        words = text[start:end].split()
+        for kind, own in notice.telling:
+            has = {w for w in words if w in kind}
+            at = end
+            while (m := _WORD.match(text, at + (text[at : at + 1] == " "))) and m[0] in kind:
+                has.add(m[0])
+                at = m.end()
+            if has != own:
+                return False
+        return True
+
+    def spans(self, text: str) -> list[Span]:
+        """The notices found; none overlap."""
+        return _best(self.matches(text))
+
+
+def _best(found: list[Span]) -> list[Span]:
     """Where spans overlap, the closest match speaks for the place; in order of place."""
-    out: list[tuple[str, int, int, int]] = []
-    for s in sorted(found, key=lambda s: (s[3] / (s[2] - s[1] or 1), s[1] - s[2], s[0])):
-        if all(s[2] <= t[1] or t[2] <= s[1] for t in out):
-            out.append(s)
-    return sorted(out, key=lambda s: s[1:])
+    starts: list[int] = []
+    chosen: dict[int, Span] = {}
+    for s in sorted(set(found), key=lambda s: (s[3] / (s[2] - s[1] or 1), s[1] - s[2], s[0], s[1])):
+        at = bisect_left(starts, s[1])
+        before = chosen[starts[at - 1]] if at else None
+        after = chosen[starts[at]] if at < len(starts) else None
+        if s[1] not in chosen and (before is None or before[2] <= s[1]) and (after is None or s[2] <= after[1]):
+            insort(starts, s[1])
+            chosen[s[1]] = s
+    return [chosen[x] for x in starts]
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,21 +171,59 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(text: str | None, scanner: Scanner) -> dict:
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    joined = b" " + b" ".join(words) + b" "
+def words_of(text: str | None) -> list[str]:
+    text = text or ""
+    if not text.isascii():
+        return _WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+    return _WORD.findall(text.lower())
+
+
+class _Places:
+    """Words joined by spaces, and which word holds a place; worked out only where somebody asks."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.text, self.starts = words, " ".join(words), []
+
+    def word_at(self, place: int) -> int:
+        if not self.starts:
+            at = 0
+            for w in self.words:
+                self.starts.append(at)
+                at += len(w) + 1
+        return max(0, bisect_right(self.starts, place) - 1)
+
+
+def _together(words: list[str]) -> tuple[list[str], list[int]]:
+    """The words with pairs of TOGETHER as one, and each one's first place among the words, their number last."""
+    out, first, i = [], [], 0
+    while i < len(words):
+        one = TOGETHER.get((words[i], words[i + 1])) if i + 1 < len(words) else None
+        first.append(i)
+        out.append(one or words[i])
+        i += 2 if one else 1
+    return out, [*first, len(words)]
+
+
+def scan(text: str | None, scanner: Scanner) -> dict:
+    words = words_of(text)
+    plain = _Places(words)
     starts, base = [], set()
+    joined = f" {plain.text} "
     for phrase, label in PHRASES.items():
-        sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        at = joined.find(f" {phrase} ")
         while at >= 0:
             base.add(label)
-            starts.append(joined.count(b" ", 0, at + 1) - 1 if at else 0)
-            at = joined.find(sought, at + 1)
-    norm = joined[1:-1].decode("latin-1")  # one character a byte, so places are those of the bytes
+            starts.append(plain.word_at(at))
+            at = joined.find(f" {phrase} ", at + 1)
+    first = None
+    if any(" ".join(pair) in plain.text for pair in TOGETHER):
+        glued, first = _together(words)
+        plain = _Places(glued)
     spans = []
-    for label, a, b, edits in scanner.spans(norm):
-        spans.append({"label": label, "first_word": norm.count(" ", 0, a), "last_word": norm.count(" ", 0, max(a, b - 1)), "edits": edits, "score": 1 - edits / max(1, b - a)})
+    for label, a, b, edits in scanner.spans(plain.text):
+        low, high = plain.word_at(a), plain.word_at(max(a, b - 1))
+        low, high = (first[low], first[high + 1] - 1) if first else (low, high)
+        spans.append({"label": label, "first_word": low, "last_word": high, "edits": edits, "score": max(0.0, 1 - edits / max(1, b - a))})
     labels = base | {s["label"] for s in spans}
     score = 1.0 if base else max((s["score"] for s in spans), default=0.0)
     return {
@@ -152,7 +248,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", notices: tuple[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(notices)
         for b in batches:
-            rows = [_scan(t.as_py(), scanner) for t in b.column("text")]
+            rows = [scan(t.as_py(), scanner) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, RESULT)], ["doc_id", "licenses"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

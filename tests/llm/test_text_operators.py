@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm.decontaminate import decontaminate
 from sievewright.llm.licenses import Scanner, scan_licenses
@@ -131,13 +132,42 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2)])
+@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2), (7, 3)])
 def test_line_dedup_equals_brute_force(docs, texts, batches, fanout):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = rows.unionByName(rows.where("doc_id in (12, 51)"))  # repeated rows
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in dedup_lines(rows, digest=True, batches=batches, fanout=fanout).collect()}
     assert got == brute_lines(list(enumerate(texts)))
 
 
+def test_line_runs_are_merged_without_exchange_or_sort(spark, docs):
+    from sievewright.llm.linededup import KEY, LineStore, keyed_lines
+    from sievewright.session import new_path
+
+    store, lines = LineStore(spark, new_path(spark, "store")), keyed_lines(docs)
+    for low in range(0, 60, 15):
+        keys = lines.where(f"id >= {low} and id < {low + 15}").groupBy(*KEY).agg(F.min("id").alias("holder"), F.max("id").alias("latest"))
+        losing = store.add(keys)
+    plan = losing._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan
+    assert [len(x) for x in store.levels] == [2, 1]  # two batches merged into one run, and two more
+
+
+def test_line_store_goes_on_in_a_later_session(spark, texts):
+    from sievewright.llm.linededup import LineStore
+    from sievewright.session import new_path
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder, got = new_path(spark, "store"), {}
+    for part in ("doc_id < 20", "doc_id >= 20 and doc_id < 45", "doc_id >= 45"):
+        store = LineStore(spark.newSession(), folder, buckets=3)
+        assert store.buckets == 3
+        found = dedup_lines(rows.where(part), digest=True, batches=2, store=LineStore(spark, folder, buckets=3)).collect()
+        got |= {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in found}
+    assert got == brute_lines(list(enumerate(texts)))
+    assert LineStore(spark, folder).buckets == 3 and LineStore(spark, folder).number == 6
+
+
 def test_line_dedup_of_nothing(docs):
     assert dedup_lines(docs.limit(0)).count() == 0
 
