@@ -5,13 +5,19 @@ largest id; the others become revisit records that name it. Which record that is
 payloads are shuffled once, by id. Each task writes one archive, under a name of its own and then renamed, into the
 shared folder; a task that runs twice replaces its own file by an equal one.
 
-Reading: archives are read front to back in blocks, one gzip member after another, without holding more than a block
-and one record; records are framed by their content length, and block and payload digests are verified. A failed check
-raises an error that names the file and record.
+Archives roll over at ``archive_bytes``.
+
+Reading: archives are read front to back in blocks, one gzip member after another, and decompressed no further than
+``max_record`` bytes a record, so a member that would blow up costs no more than that. Records are framed by their
+content length; block and payload digests are verified where they are given. Only type, id and content length are asked
+for; header names count in any case, ids may be of any kind, and the payload of a record with an HTTP message is its
+body. A record that fails is a row with its ``error``, and reading goes on with the next member; where the compressed
+stream itself is broken, one row says so and the rest of that archive is lost.
 
 Defined cases: a null payload is empty; null urls are written as empty; rows with a null id are archived with an empty
 id, read back as null and never named by a revisit; repeated rows are one record each, and those of the largest id all
-keep their payload; an empty table gives archives without records.
+keep their payload; very long payloads are written and read whole up to ``max_record``; other columns play no part; an
+empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, new_path
 
 MIN_REVISIT = 1000
 BLOCK = 1 << 16
+#: Largest record that is read, and size at which the next archive begins.
+MAX_RECORD, ARCHIVE_BYTES = 1 << 30, 1 << 30
 _PREFIX = "urn:sievewright:page:"
 
 
@@ -49,7 +57,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, sha1_hex:
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: {spell(bytes.fromhex(sha1_hex))}",
         f"WARC-Block-Digest: {spell(bytes.fromhex(sha1_hex) if not revisit else hashlib.sha1(block).digest())}",
-        f"WARC-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if revisit:
@@ -60,49 +68,96 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, sha1_hex:
     return gzip.compress(raw) + gzip.flush()
 
 
-def members(stream) -> Iterator[bytes]:
-    """The decompressed gzip members of a stream, one at a time."""
-    unzip, parts, data = zlib.decompressobj(31), [], stream.read(BLOCK)
+class BrokenRecord(ValueError):
+    """What is wrong with a record, once its headers, as far as they could be read, are known."""
+
+
+def members(stream, max_record: int = MAX_RECORD) -> Iterator[bytes | BrokenRecord]:
+    """The decompressed gzip members of a stream, one at a time; in place of one too large or broken, what is wrong."""
+    data = stream.read(BLOCK)
     while data:
-        parts.append(unzip.decompress(data))
-        if unzip.eof:
-            yield b"".join(parts)
-            data, parts = unzip.unused_data, []
-            unzip = zlib.decompressobj(31)
-            data = data or stream.read(BLOCK)
-        else:
-            data = stream.read(BLOCK)
-    if parts and any(parts):
-        raise ValueError("the archive ends inside a record")
+        unzip, parts, size = zlib.decompressobj(31), [], 0
+        try:
+            while not unzip.eof:
+                if not data:
+                    raise BrokenRecord("the archive ends inside a record")
+                part = unzip.decompress(data, BLOCK)
+                size += len(part)
+                if size <= max_record:
+                    parts.append(part)
+                else:
+                    parts.clear()  # the rest of the member is still read, to get to the next one
+                data = unzip.unconsumed_tail or (b"" if unzip.eof else stream.read(BLOCK))
+        except (zlib.error, BrokenRecord) as e:
+            yield e if isinstance(e, BrokenRecord) else BrokenRecord(f"the stream is broken: {e}")
+            return
+        yield b"".join(parts) if size <= max_record else BrokenRecord(f"a record of more than {max_record} bytes")
+        data = unzip.unused_data or stream.read(BLOCK)
+
+
+def _digest_of(spelled: str) -> tuple[str, bytes]:
+    """Algorithm and bytes of a digest in base 32 or 16."""
+    name, _, value = spelled.strip().partition(":")
+    name = name.lower().replace("-", "")
+    if name not in hashlib.algorithms_available:
+        return name, b""
+    width = hashlib.new(name).digest_size
+    if len(value) == 2 * width:
+        return name, bytes.fromhex(value)
+    return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+
+
+def _verify(what: str, data: bytes, spelled: str | None) -> None:
+    if spelled:
+        name, wanted = _digest_of(spelled)
+        if wanted and hashlib.new(name, data).digest() != wanted:
+            raise BrokenRecord(f"wrong {what} digest")
 
 
 def parse_record(raw: bytes) -> dict:
-    """Headers and payload of one record; raises ValueError where framing or a digest is wrong."""
+    """Headers and payload of one record; raises BrokenRecord where framing or a digest is wrong."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not mark or not lines[0].startswith("WARC/1."):
-        raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    size = int(fields["Content-Length"])
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not mark or not first.startswith("WARC/"):
+        raise BrokenRecord("not a WARC record")
+    fields: dict[str, str] = {}
+    name = ""
+    for x in lines:
+        if x[:1] in (" ", "\t") and name:  # a folded header
+            fields[name] += " " + x.strip()
+        else:
+            name, _, value = x.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    missing = [x for x in ("warc-type", "warc-record-id", "content-length") if x not in fields]
+    if missing or not fields["content-length"].isdigit():
+        raise BrokenRecord(f"no {missing[0]}" if missing else "content-length is no number")
+    size = int(fields["content-length"])
     block = rest[:size]
-    if len(block) != size or rest[size:] != b"\r\n\r\n":
-        raise ValueError(f"wrong content length in {fields['WARC-Record-ID']}")
-    unspell = lambda x: base64.b32decode(x.removeprefix("sha1:"))
-    digest = hashlib.sha1(block).digest()
-    if digest != unspell(fields["WARC-Block-Digest"]):
-        raise ValueError(f"wrong block digest in {fields['WARC-Record-ID']}")
-    payload = unspell(fields["WARC-Payload-Digest"])
-    if fields["WARC-Type"] == "response" and digest != payload:
-        raise ValueError(f"wrong payload digest in {fields['WARC-Record-ID']}")
-    ident = lambda x: int(n) if (n := x.strip("<>").removeprefix(_PREFIX)) else None
+    if len(block) != size or rest[size:].strip(b"\r\n"):
+        raise BrokenRecord(f"wrong content length in {fields['warc-record-id']}")
+    try:
+        _verify("block", block, fields.get("warc-block-digest"))
+        kind = fields["warc-type"].lower()
+        http = fields.get("content-type", "").lower().startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        if kind != "revisit":  # a revisit's digest is that of the payload it leaves out
+            _verify("payload", payload, fields.get("warc-payload-digest"))
+        name, digest = _digest_of(fields["warc-payload-digest"]) if "warc-payload-digest" in fields else ("", b"")
+    except (ValueError, KeyError) as e:
+        raise BrokenRecord(f"{e} in {fields['warc-record-id']}") from e
+    if name != "sha1" and kind != "revisit":
+        digest = hashlib.sha1(payload).digest()
+    length = fields.get("x-payload-length", "")
     return {
-        "page_id": ident(fields["WARC-Record-ID"]),
-        "url": fields["WARC-Target-URI"],
-        "record_type": fields["WARC-Type"],
-        "payload_bytes": int(fields["WARC-Payload-Length"]),
-        "payload_digest": payload.hex(),
-        "refers_to": ident(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
-        "payload": block if fields["WARC-Type"] == "response" else None,
+        "record_id": fields["warc-record-id"].strip("<>"),
+        "url": fields.get("warc-target-uri", "").strip("<>"),
+        "record_type": kind,
+        "payload_bytes": len(payload) if kind != "revisit" else int(length) if length.isdigit() else None,
+        "payload_digest": digest.hex() or None,
+        "refers_to_id": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
+        "payload": payload if kind != "revisit" else None,
+        "error": None,
     }
 
 
@@ -117,7 +172,7 @@ def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     return rows.join(revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
-def write_archives(rows: DataFrame, path: str) -> DataFrame:
+def write_archives(rows: DataFrame, path: str, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write rows of ``with_revisits`` as .warc.gz files; returns (path, records) of the files written."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,54 +181,84 @@ def write_archives(rows: DataFrame, path: str) -> DataFrame:
         task = TaskContext.get()
         store, root = _store(path)
         store.create_dir(root, recursive=True)
-        name = f"{root}/part-{task.partitionId():05d}.warc.gz"
-        temporary, n = f"{name}.{task.taskAttemptId()}.tmp", 0
-        with store.open_output_stream(temporary, compression=None) as out:
-            for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns)):
-                    out.write(record_bytes(row[0], row[1], row[2].encode("utf-8", "surrogatepass"), row[3], row[4]))
-                    n += 1
-        store.move(temporary, name)
-        yield pa.RecordBatch.from_pydict({"path": pa.array([f"{path}/{name.rpartition('/')[2]}"]), "records": pa.array([n], pa.int64())})
+        records = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        row, number, names, counts = next(records, None), 0, [], []
+        while row is not None or not names:
+            name = f"part-{task.partitionId():05d}-{number:04d}.warc.gz"
+            temporary, n, size = f"{root}/{name}.{task.taskAttemptId()}.tmp", 0, 0
+            with store.open_output_stream(temporary, compression=None) as out:
+                while row is not None and size < archive_bytes:
+                    data = record_bytes(row[0], row[1], row[2].encode("utf-8", "surrogatepass"), row[3], row[4])
+                    out.write(data)
+                    n, size, row = n + 1, size + len(data), next(records, None)
+            store.move(temporary, f"{root}/{name}")
+            names.append(f"{path}/{name}")
+            counts.append(n)
+            number += 1
+        yield pa.RecordBatch.from_pydict({"path": pa.array(names), "records": pa.array(counts, pa.int64())})
 
     return rows.mapInArrow(write, "path string, records bigint")
 
 
-def read_archives(files: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """Records of the archives whose paths are in files; without payloads, only their headers (the digests are verified either way)."""
+_FIELDS = (("record_id", "string"), ("url", "string"), ("record_type", "string"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("refers_to_id", "string"), ("error", "string"), ("payload", "binary"))
+
+
+def read_archives(files: DataFrame, *, payloads: bool = True, max_record: int = MAX_RECORD) -> DataFrame:
+    """Records of the archives whose paths are in files, in (path, number) and the columns of ``parse_record``.
+
+    Without payloads only what else is known of them; digests are verified either way. Broken records have an error.
+    """
+    fields = _FIELDS if payloads else _FIELDS[:-1]
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([("path", pa.string()), ("number", pa.int64()), *((n, kinds[k]) for n, k in fields)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
             for path in b.column("path").to_pylist():
                 store, name = _store(path)
-                rows, held = [], 0
                 with store.open_input_stream(name, compression=None) as stream:
-                    for i, raw in enumerate(members(stream)):
+                    for i, raw in enumerate(members(stream, max_record)):
                         try:
+                            if isinstance(raw, BrokenRecord):
+                                raise raw
                             row = parse_record(raw)
-                        except ValueError as e:
-                            raise ValueError(f"{path}, record {i}: {e}") from e
-                        if not payloads:
-                            del row["payload"]
-                        rows.append(row)
-                        held += len(raw) if payloads else 200
+                        except BrokenRecord as e:
+                            row = {"error": str(e)}
+                        rows.append({"path": path, "number": i} | {k: row.get(k) for k, _ in fields})
+                        held += len(row.get("payload") or b"") + 200 if payloads else 200
                         if held > 1 << 22:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("path").mapInArrow(read, "path string, number bigint, " + ", ".join(f"{n} {k}" for n, k in fields))
 
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
-    ddl = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint"
-    if payloads:
-        fields, ddl = [*fields, ("payload", pa.binary())], ddl + ", payload binary"
-    schema = pa.schema(fields)
-    return files.select("path").mapInArrow(read, ddl)
+
+def page_of(record_id: Column) -> Column:
+    """The page a record id of ours stands for; null for others and for the empty one."""
+    return F.when(F.startswith(record_id, F.lit(_PREFIX)), F.substring(record_id, len(_PREFIX) + 1, 40).try_cast("bigint"))
+
+
+def revisit_faults(records: DataFrame) -> DataFrame:
+    """(record_id, refers_to_id, fault) of revisits whose record is missing, or has another digest or length."""
+    asked = records.where("record_type = 'revisit'").select("record_id", "refers_to_id", F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n"))
+    there = records.where("record_type <> 'revisit' AND error IS NULL").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("payload_digest").alias("_digest"), F.max("payload_bytes").alias("_bytes"))
+    both = asked.join(there, "refers_to_id", "left")
+    fault = F.when(F.col("_digest").isNull(), "missing").when(F.col("_digest") != F.col("_d"), "digest").when(F.col("_bytes") != F.col("_n"), "length")
+    return both.select("record_id", "refers_to_id", fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def round_trip(pages: DataFrame, *, min_revisit: int = MIN_REVISIT, payloads: bool = False) -> DataFrame:
-    """Write all pages to archives in the shared folder and read them back."""
+    """Write all pages to archives in the shared folder and read them back; raises if a record does not come back whole.
+
+    Of the records, page_id, url, record_type, payload_bytes, payload_digest, refers_to (and payload).
+    """
     spark = pages.sparkSession
     files = materialise(write_archives(with_revisits(pages, min_revisit), new_path(spark, "warc")), "warc-files")
     n = int(files.agg(F.count("*")).first()[0])
-    return read_archives(files.repartition(max(1, n), "path"), payloads=payloads)
+    read = read_archives(files.repartition(max(1, n), "path"), payloads=payloads)
+    sound = F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat_ws(", ", "path", F.concat(F.lit("record "), "number"), "error")).cast("boolean"))
+    kept = ["payload"] if payloads else []
+    return read.where(sound).select(page_of(F.col("record_id")).alias("page_id"), "url", "record_type", "payload_bytes", "payload_digest", page_of(F.col("refers_to_id")).alias("refers_to"), *kept)

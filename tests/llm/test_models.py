@@ -10,7 +10,6 @@ from sievewright.llm.htmltree import labelled_pages, parse, train
 from sievewright.llm.mixing import mix_sources, rake, rake_frame
 from sievewright.llm.ppm import END, ORDER, Shorter, blend, code_length, grams_of, score_documents, segments, train_trie
 from sievewright.llm.sharding import assign_shards, fill_table
-from sievewright.llm.warc import members, parse_record, record_bytes, round_trip
 
 
 @pytest.fixture(scope="module")
@@ -225,29 +224,3 @@ def test_sharding_places_every_row(docs):
     table = fill_table(("a", "b", "c"), 101)
     assert len(rows) == docs.count() and all(r["shard"] == "abc"[table[r["slot"]]] for r in rows)
     assert len({(r["doc_id"], r["slot"]) for r in rows}) == 83
-
-
-def test_warc_round_trip(spark):
-    big, other = "ä<p>" * 400, "z" * 2000
-    rows = [(1, "http://a", big), (2, "http://b\nx", big), (3, None, big), (4, "c", "small"), (5, "d", "small"), (6, "e", None), (7, "f", other), (None, "g", other), (8, "h", "")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
-    got = {r["page_id"]: r for r in round_trip(pages, payloads=True).collect()}
-    assert len(got) == len(rows)
-    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4, 5, 6)] == [("revisit", 3), ("revisit", 3), ("response", None), *[("response", None)] * 3]
-    for i, _, html in rows:
-        assert got[i]["payload_bytes"] == len((html or "").encode())
-        if got[i]["record_type"] == "response":
-            assert got[i]["payload"].decode() == (html or "")
-    assert round_trip(pages.limit(0)).count() == 0
-
-
-def test_warc_reader_checks_digests():
-    import io
-
-    good = record_bytes(1, "u", b"payload", __import__("hashlib").sha1(b"payload").hexdigest(), None)
-    raws = list(members(io.BytesIO(good * 3)))
-    assert len(raws) == 3 and parse_record(raws[2])["payload"] == b"payload"
-    with pytest.raises(ValueError):
-        parse_record(raws[0].replace(b"payload\r\n", b"paYload\r\n"))
-    with pytest.raises(ValueError):
-        list(members(io.BytesIO(good[:-9])))
