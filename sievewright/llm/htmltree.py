@@ -12,8 +12,10 @@ parent. ``labelled_pages`` writes such pages, a bounded number of them (``TRAINI
 labelled elsewhere can be given to ``train`` instead. Marks are never read when text is extracted.
 
 Defined cases: null or empty html has no text; end tags may be missing or stray; what follows an unclosed script,
-style, textarea, title, iframe or comment is part of it, while other elements end with their parent; a page without any block belongs to one root element; very long pages are parsed whole,
-in linear time; repeated rows each get their row; text is never cut.
+style, textarea, title, iframe or comment is part of it, while other elements end with their parent, and buttons and
+other controls with the next block of the page too; a tag that never ends is text; a page without any block belongs to
+one root element; very long pages are parsed whole, in time linear in their length; repeated rows each get their row;
+other columns of the input play no part; an empty table gives an empty result; text is never cut.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist", "optgroup"}, "optgroup": {"select"}}
 LAYOUT = frozenset("main article section div header footer nav aside form fieldset address details dialog figure table ul ol dl".split())
+CONTROLS = frozenset("button select optgroup option datalist".split())
+ENDS_CONTROLS = CLOSES_P | frozenset("body tr td th".split())
 HINTS = (
     ("off", re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|crumbs?|pager|pagination|toolbar|skip|head|header|masthead|topbar|foot|footer|bottom|copyright|legal|side|sidebar|aside|rail|widgets?)(?:[^a-z]|$)")),
     ("ad", re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advert(?:isement|ising)|adslot|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|teaser|outbrain|taboola|doubleclick|affiliate)(?:[^a-z]|$)")),
@@ -54,7 +58,9 @@ HINTS = (
     ("main", re.compile(r"(?:^|[^a-z])(?:article|articlebody|content|main|post|entry|story|body|text|prose|page|copy)(?:[^a-z]|$)")),
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|data-main)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -88,9 +94,68 @@ def _hint(attributes: str) -> tuple[str, int | None]:
     return "none", mark
 
 
+class _Tags:
+    """The tags of a page, front to back; what it has found to be missing it never looks for again, so it is linear."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.quotes = {q: html.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Behind the sign that ends the tag which begins at ``at``, or -1; signs in quotes end nothing, open quotes are none."""
+        while at <= self.last:
+            m = _STOP.search(self.html, at)
+            if m is None:
+                return -1
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if self.quotes[m[0]] >= at:
+                at = self.html.find(m[0], at) + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, str, str, str]:
+        """For the sign at ``at``: where its tag ends, then "/" of an end tag, name and attributes; no name for comments and the like, -1 for text."""
+        html = self.html
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(html)), "", "", ""
+        if html.startswith(("<!", "<?"), at):
+            return (html.find(">", at) + 1 if at < self.last else -1), "", "", ""
+        m = _NAME.match(html, at + 1)
+        end = self.end(m.end()) if m else -1
+        return (end, m[1], m[2].lower(), html[m.end() : end - 1]) if end >= 0 else (-1, "", "", "")
+
+
+class _Stack:
+    """The open elements, the root first, and how many of each tag are among them, so that none is sought in vain."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.open, self.count = nodes, [0], Counter()
+
+    def push(self, i: int) -> None:
+        self.open.append(i)
+        self.count[self.nodes[i].tag] += 1
+
+    def close(self, tags: Iterable[str], scopes: Iterable[str] = ()) -> None:
+        """Ends the innermost open element with one of the tags, and all in it, unless one of the scopes comes before."""
+        if not any(self.count[t] for t in tags):
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            tag = self.nodes[self.open[at]].tag
+            if tag in scopes:
+                return
+            if tag in tags:
+                for i in self.open[at:]:
+                    self.count[self.nodes[i].tag] -= 1
+                del self.open[at:]
+                return
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements, parents first, and the text blocks in page order as (element, raw text with references)."""
-    nodes, stack = [Node("html", -1)], [0]
+    nodes = [Node("html", -1)]
+    stack, tags = _Stack(nodes), _Tags(html)
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
     links = 0
@@ -101,12 +166,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             text = "".join(run)
             run.clear()
             if not text.isspace():
-                blocks.append((stack[-1], text))
+                blocks.append((stack.open[-1], text))
 
     def text(piece: str) -> None:
         run.append(piece)
         n = len(piece)
-        node = nodes[stack[-1]]
+        node = nodes[stack.open[-1]]
         node.chars += n
         node.own += n
         if links:
@@ -119,57 +184,47 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             break
         if at > where:
             text(html[where:at])
-        m = _TOKEN.match(html, at)
-        if m is None:  # a lone sign, or a tag that never ends
+        end, closing, tag, attributes = tags.next(at)
+        if end < 0:  # a lone sign, or a tag that never ends
             text("<")
             where = at + 1
             continue
-        where = m.end()
-        if m[2] is None:
+        where = end
+        if not tag:
             continue
-        end, tag = m[1], m[2].lower()
         if tag in RAW:
-            if not end and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\s*>", re.I).search(html, where)
+            if not closing and not attributes.endswith("/"):
+                close = _RAW_END[tag].search(html, where)
                 where = close.end() if close else size
                 run.append(" ")
             continue
-        if tag in INLINE:
+        if tag in INLINE and tag not in CONTROLS:
             if tag == "a":
-                links = 0 if end else 1
+                links = 0 if closing else 1
             elif tag == "br" or tag == "img":
                 run.append(" ")
             continue
         flush()
         if tag in VOID:
             continue
-        if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
+        if closing:
+            stack.close((tag,))
             continue
         if tag in ("html", "body", "head"):
-            mark = _hint(m[3])[1]
+            mark = _hint(attributes)[1]
             nodes[0].mark = nodes[0].mark if mark is None else mark
             continue
+        if tag in ENDS_CONTROLS:
+            stack.close(("button", "select", "datalist"))
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == "p":
-                    del stack[i:]
-                    break
+            stack.close(("p",))
         elif tag in SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag in SCOPES[tag]:
-                    break
-                if nodes[stack[i]].tag in SIBLINGS[tag]:
-                    del stack[i:]
-                    break
+            stack.close(SIBLINGS[tag], SCOPES.get(tag, ()))
         links = 0
-        hint, mark = _hint(m[3])
-        nodes.append(Node(tag, stack[-1], hint, mark))
-        if not m[3].endswith("/"):
-            stack.append(len(nodes) - 1)
+        hint, mark = _hint(attributes)
+        nodes.append(Node(tag, stack.open[-1], hint, mark))
+        if not attributes.endswith("/"):
+            stack.push(len(nodes) - 1)
     flush()
     loose = nodes[0].own
     for node in reversed(nodes[1:]):
@@ -315,7 +370,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]:
     def junk() -> str:
         say = rng.choice((prose, lambda: words(2, 12), link, lambda: f"<p>{prose()}</p>", lambda: f"<p>{words(2, 9)} {link()}</p><p>{prose()}</p>"))
         return rng.choice((
-            lambda: off("div", say(), "ad", "ads", "advert", "ad-slot", "banner", "sponsored", "promo"),
+            lambda: off("div", say(), "ads", "advert", "advertising", "adslot", "banner", "sponsored", "promo"),
             lambda: off("div", say() + "<button>ok</button>", "cookie-notice", "consent", "notice", "popup", "newsletter", "alert"),
             lambda: off("aside", rng.choice((menu(), prose(), f"<p>{prose()}</p>", heading() + menu())), "", "sidebar", "related"),
             lambda: off(rng.choice(("div", "section")), heading() + rng.choice((menu(), f"<p>{prose()}</p>", many("li"))), "sidebar", "widget", "side", "rail"),
@@ -332,7 +387,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]:
 
     def main_part() -> str:
         return rng.choice((
-            lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()} {link()} {prose()}</p>", lambda: f"<p><b>{prose()}<br>",
+            lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()} {link()} {prose()}</p>", lambda: f"<p>{words(2, 8)} <b>{words(1, 4)}</b> {prose()}</p>",
             lambda: f"<p>{words(1, 6)}.</p>", lambda: f"<h2>{words(2, 6)}</h2>", lambda: f"<h3>{words(2, 6)}</h3>", lambda: f"<blockquote>{prose()}</blockquote>", lambda: f"<pre>{words(3, 20)}</pre>",
             lambda: "<ul>" + "".join(f"<li>{words(3, 14)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", lambda: "<ol>" + "".join(f"<li>{prose()}</li>" for _ in range(rng.randint(2, 4))) + "</ol>",
             lambda: "<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(rng.randint(2, 4))) + "</table>",
@@ -355,7 +410,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 11) -> Iterator[str]:
         top = [off("nav", rng.choice((menu(), link() + link())), "", "", "menu")] if rng.random() < 0.7 else [off("div", menu(), "nav", "menu", "navbar")]
         if rng.random() < 0.5:
             top.insert(0, off("header", rng.choice((words(1, 4), heading(), heading() + menu(), heading() + f"<nav>{link()}{link()}</nav>", f"<p>{words(2, 8)}</p>", f"<div>{words(1, 3)}</div>" + menu())), "", "site-header"))
-        low = [off("footer", rng.choice((words(2, 9) + ".", f"<p>{prose()}</p>", menu(), heading() + menu(), f"<div>{words(2, 8)}</div>", f"<table><tr><td>{words(1, 3)}</td></tr></table>", f"&copy; {words(2, 5)} &middot; {prose()}")), "", "site-footer")] if rng.random() < 0.85 else [off("div", prose(), "footer", "copyright")]
+        low = [off("footer", rng.choice((words(2, 9) + ".", f"<p>{prose()}</p>", menu(), heading() + menu(), f"<div>{words(2, 8)}</div>", f"<table><tr><td>{words(1, 3)}</td></tr></table>", f"{words(2, 5)}, {prose()}")), "", "site-footer")] if rng.random() < 0.85 else [off("div", prose(), "footer", "copyright")]
         if rng.random() < 0.35:
             low.insert(0, talk())
         if rng.random() < 0.12:  # a bare page: all of its body is content
