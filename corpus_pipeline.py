@@ -1,8 +1,13 @@
 """A corpus from documents, stage by stage: quality rules, near-duplicates, benchmark passages, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it leaves, with the columns of documents; the last
-adds the shard. Between stages the rows are written as Parquet and read again, so a lost executor costs one stage's
-part at most. Rows with null ids pass like others; tables that lack a column a stage reads fail by name.
+adds the slot and the shard. Between stages the rows are written as Parquet and read again, so a lost executor costs
+one stage's part at most.
+
+Defined cases: rows with null ids are documents of their own by their text; of rows with one id, or equal rows, the
+near-duplicate stage leaves one; empty and null texts fail the quality rules; an empty table leaves an empty table with
+the same columns; columns that the stages don't know pass through, but for ``slot`` and ``shard``, which the last stage
+sets; tables that lack a column a stage reads fail by name.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from sievewright.llm.sharding import assign_shards
 from sievewright.llm.similarity import near_duplicate_groups
 from sievewright.session import materialise, table
 
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
+
 
 def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -24,14 +32,25 @@ def _as_before(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return _as_before(quality_rules(docs).where("quality.kept"), docs)
+    # A filter would be pushed below the columns it is made of and have them worked out twice; a row number, which
+    # no filter may pass, keeps it above them.
+    judged = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id())
+    return _as_before(judged.where(F.col("quality.kept") & (F.col("_row") >= 0)), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shared shingles, the one with the smallest id."""
-    groups = near_duplicate_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return _as_before(docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi"), docs)
+    """Of documents linked by shared shingles, the one with the smallest id; of rows of one id, one text, once."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    ident = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.pmod(key, F.lit(1 << 61)))
+    keyed = docs.withColumns({"_id": ident, "_key": key})
+    groups = near_duplicate_groups(keyed.select(F.col("_id").alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    # Most ids have one row; only where there are more is it asked which text and which of equal rows stays.
+    left = keyed.join(first, "_id")
+    many = left.where(F.col("_rows") > 1)
+    chosen = many.groupBy("_id").agg(F.min("_key").alias("_key"))
+    one = many.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return _as_before(left.where(F.col("_rows") == 1).unionByName(one), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
