@@ -8,19 +8,26 @@ weight is its cell's probability over the wanted share.
 
 Targets may be given as shares by value; by default a value's share is its share of the tokens to a power below 1,
 which damps large ones. There may be many cells: up to ``max_cells`` of them (some 100 bytes each) are raked on the
-driver and broadcast back, beyond that the same steps run as joins and aggregates over the table of cells.
+driver and broadcast back, beyond that the same steps run as joins and aggregates over the table of cells, with the
+same rule to stop.
+
+Not all targets can be met: a cell can't give more than all of its documents. ``mix_report`` has what each source,
+language and topic was to give and gives, and ``mix_sources`` warns where one is off by more than ``OFF`` of its target.
 
 Topics: where there is no topic column, ``topic_of`` sorts texts by layout and length.
 
 Defined cases: null sources, languages and topics are a value of their own, ``(none)``; documents without words have
 no tokens and are drawn with their cell's probability; rows equal in id and text are drawn alike; an empty table gives
-an empty result; values that the targets don't name have target 0, and are not drawn.
+an empty result; values that the targets don't name have target 0, and are not drawn; texts of any length are counted
+whole; other columns are kept, but one named ``mix`` gives way to the result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +43,8 @@ MAX_CELLS = 100_000
 ROUNDS = 200
 TOLERANCE = 1e-9
 NONE = "(none)"
+#: Share of its target by which a marginal may be off without a warning.
+OFF = 0.02
 
 
 def topic_of(text: Column, n_tokens: Column) -> Column:
@@ -90,20 +99,23 @@ def rake(cells: list[tuple], share: float = SHARE, given: Mapping[str, Mapping[s
     return p
 
 
+def _wanted(cells: DataFrame, d: str, share: float, given: Mapping[str, Mapping[str, float]] | None, powers: Mapping[str, float]) -> DataFrame:
+    """(d, want): the tokens each value of a dimension is to give."""
+    sums = cells.groupBy(d).agg(F.sum("tokens").alias("s"))
+    if given and d in given:
+        table = F.create_map(*(F.lit(x) for k, v in given[d].items() for x in (k, float(v)))) if given[d] else None
+        raw = F.coalesce(F.try_element_at(table, F.col(d)), F.lit(0.0)) if table is not None else F.lit(0.0)
+    else:
+        raw = F.when(F.col("s") > 0, F.pow(F.col("s").cast("double"), F.lit(powers[d]))).otherwise(F.lit(0.0))
+    sums = sums.withColumn("raw", raw)
+    whole = sums.agg(F.sum("raw").alias("w"), F.sum("s").alias("t")).first()
+    return sums.select(d, (F.col("raw") * F.lit(share * float(whole["t"] or 0) / (whole["w"] or 1))).alias("want"))
+
+
 def rake_frame(cells: DataFrame, share: float = SHARE, given: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """The same for any number of cells, by the same rule to stop, as a table with a column p."""
     now = cells.withColumn("p", F.lit(share))
-    wanted = {}
-    for d in DIMENSIONS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("s"))
-        if given and d in given:
-            table = F.create_map(*(F.lit(x) for kv in given[d].items() for x in kv)) if given[d] else None
-            raw = F.coalesce(F.try_element_at(table, F.col(d)), F.lit(0.0)) if table is not None else F.lit(0.0)
-        else:
-            raw = F.when(F.col("s") > 0, F.pow(F.col("s").cast("double"), F.lit(powers[d]))).otherwise(F.lit(0.0))
-        sums = sums.withColumn("raw", raw)
-        whole = sums.agg(F.sum("raw").alias("w"), F.sum("s").alias("t")).first()
-        wanted[d] = materialise(sums.select(d, (F.col("raw") * F.lit(share * float(whole["t"] or 0) / (whole["w"] or 1))).alias("want")), "mix-targets")
+    wanted = {d: materialise(_wanted(cells, d, share, given, powers), "mix-targets") for d in DIMENSIONS}
     for _ in range(rounds):
         now = now.withColumn("moved", F.lit(0.0))
         for d in DIMENSIONS:
@@ -120,6 +132,43 @@ def rake_frame(cells: DataFrame, share: float = SHARE, given: Mapping[str, Mappi
     return now
 
 
+def residuals(fitted: DataFrame, share: float = SHARE, given: Mapping[str, Mapping[str, float]] | None = None, powers: Mapping[str, float] = POWERS) -> DataFrame:
+    """(dimension, value, tokens, target, expected, off) of fitted cells (with p): off is the share of the target that is missing or too much."""
+    parts = []
+    for d in DIMENSIONS:
+        got = fitted.groupBy(d).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("p")).alias("expected")).join(_wanted(fitted, d, share, given, powers), d)
+        off = F.when(F.col("want") > 0, F.abs(F.col("expected") - F.col("want")) / F.col("want")).otherwise(F.when(F.col("expected") > 0, 1.0).otherwise(0.0))
+        parts.append(got.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "tokens", F.col("want").alias("target"), "expected", off.alias("off")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rows_and_cells(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs with their cell and tokens, the table of cells, and the names of the cell's columns in docs."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.drop("mix").withColumn("_mix_tokens", token_count(F.col("text")))
+    topic = named("topic") if "topic" in docs.columns else topic_of(text, F.col("_mix_tokens"))
+    rows = rows.withColumns({"_mix_source": named("source"), "_mix_lang": named("lang"), "_mix_topic": topic})
+    keys = [f"_mix_{d}" for d in DIMENSIONS]
+    cells = rows.groupBy(*(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS))).agg(F.sum("_mix_tokens").alias("tokens"))
+    return rows, materialise(cells, "mix-cells"), keys
+
+
+def _fit(cells: DataFrame, share: float, targets: Mapping[str, Mapping[str, float]] | None, max_cells: int) -> tuple[DataFrame, bool]:
+    """The cells with p, and whether they are few."""
+    if cells.count() > max_cells:
+        return rake_frame(cells, share, targets), False
+    got = [tuple(r) for r in cells.orderBy(*DIMENSIONS).collect()]
+    columns = {d: pa.array([c[i] for c in got], pa.string()) for i, d in enumerate(DIMENSIONS)}
+    columns |= {"tokens": pa.array([c[3] for c in got], pa.int64()), "p": pa.array(rake(got, share, targets), pa.float64())}
+    return cells.sparkSession.createDataFrame(pa.table(columns)), True
+
+
+def mix_report(docs: DataFrame, *, share: float = SHARE, targets: Mapping[str, Mapping[str, float]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+    """What each source, language and topic is to give and gives, in tokens; see ``residuals``."""
+    return residuals(_fit(_rows_and_cells(docs)[1], share, targets, max_cells)[0], share, targets)
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -129,22 +178,14 @@ def mix_sources(
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """docs with a struct ``mix``: source, lang, topic, n_tokens, weight, probability, sampled."""
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    rows, cells, keys = _rows_and_cells(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.drop("mix").withColumn("_mix_tokens", token_count(F.col("text")))
-    topic = named("topic") if "topic" in docs.columns else topic_of(text, F.col("_mix_tokens"))
-    rows = rows.withColumns({"_mix_source": named("source"), "_mix_lang": named("lang"), "_mix_topic": topic})
-    keys = [f"_mix_{d}" for d in DIMENSIONS]
-    cells = rows.groupBy(*(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS))).agg(F.sum("_mix_tokens").alias("tokens"))
-    cells = materialise(cells, "mix-cells")
-    if cells.count() <= max_cells:
-        got = [tuple(r) for r in cells.orderBy(*DIMENSIONS).collect()]
-        p = rake(got, share, targets)
-        columns = {d: pa.array([c[i] for c in got], pa.string()) for i, d in enumerate(DIMENSIONS)}
-        fitted = F.broadcast(docs.sparkSession.createDataFrame(pa.table(columns | {"p": pa.array(p, pa.float64())})))
-    else:
-        fitted = rake_frame(cells, share, targets).drop("tokens")
-    fitted = fitted.select(*(F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)), F.col("p").alias("_mix_p"))
+    fitted, few = _fit(cells, share, targets, max_cells)
+    missed = residuals(fitted, share, targets).where(F.col("off") > OFF).orderBy(F.desc("off")).limit(5).collect()
+    if missed:
+        said = ", ".join(f"{r['dimension']} {r['value']} by {100 * r['off']:.1f} %" for r in missed)
+        warnings.warn(f"targets that can't be met: {said}", stacklevel=2)
+    fitted = (F.broadcast(fitted) if few else fitted).select(*(F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)), F.col("p").alias("_mix_p"))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
     mix = F.struct(
         *(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BAND_PARTS, BANDS, CLASS_REFERENCE, COMMON_SHARE, COMMON_WORDS, MAX_DIVERGENCE
+from .quality import BAND_PARTS, BANDS, CLASS_REFERENCE, COMMON_SHARE, COMMON_WORDS, MAX_DISTANCE
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = "translate(coalesce(text, ''), '" + _UPPER + "', '" + _UPPER.lower() + "')"
@@ -88,9 +88,8 @@ def _divergence(shares: list[str], reference: list[float]) -> str:
 
 
 _REFERENCE = {k: [x / sum(v) for x in v] for k, v in CLASS_REFERENCE.items()}
-_MEAN = [sum(v[i] for v in _REFERENCE.values()) / len(_REFERENCE) for i in range(7)]
 _CLASS = [f"(greatest({c}, 0)::double / greatest(whole, 1))" for c in ("letters", "upper", "digits", "space", "marks", "odd", "beyond")]
-_CLASS_JS = "CASE l " + " ".join(f"WHEN '{k}' THEN {_divergence(_CLASS, v)}" for k, v in _REFERENCE.items()) + f" ELSE {_divergence(_CLASS, _MEAN)} END"
+_CLASS_JS = "CASE l " + " ".join(f"WHEN '{k}' THEN {_divergence(_CLASS, v)}" for k, v in _REFERENCE.items()) + " ELSE 0 END"
 _BAND = [f"(b{i}::double / n_words)" for i in range(BANDS)] + [f"((n_words - {' - '.join(f'b{i}' for i in range(BANDS))})::double / n_words)"]
 _COMMON_JS = "CASE l " + " ".join(f"WHEN '{k}' THEN {_divergence(_BAND, [v * p for p in BAND_PARTS] + [1 - v])}" for k, v in COMMON_SHARE.items()) + " ELSE 0 END"
 _WIDTH = 20 // BANDS
@@ -112,7 +111,7 @@ _MARKS = _count(r"""[.,;:!?''"()\-]""")
 _ODD = _count(r"[\x00-\x08\x0E-\x1F#*$%&|<>+/=@\[\]\\^_`{}~\x7F]")
 OP6 = f"""
 WITH doc AS (
-  SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(lang, '')) AS l, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  SELECT doc_id, coalesce(text, '') AS t, lower(regexp_extract(coalesce(lang, ''), '^[^-_]*')) AS l, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
          regexp_replace(coalesce(text, ''), '[a-z\\x20]+', '', 'g') AS rest, string_split(coalesce(text, ''), chr(10)) AS lines
   FROM documents
 ), win AS (
@@ -135,7 +134,7 @@ WITH doc AS (
 ), judged AS (
   SELECT *, CASE WHEN n_chars >= 200 THEN {_CLASS_JS} ELSE 0 END AS class_js, CASE WHEN n_words >= 50 THEN {_COMMON_JS} ELSE 0 END AS common_js FROM whole
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_js + common_js <= {MAX_DIVERGENCE}::double AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_js + common_js <= {MAX_DISTANCE**2!r}::double AS kept FROM judged
 """
 
 ORACLES = {"op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}

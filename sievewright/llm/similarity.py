@@ -26,7 +26,8 @@ inside it are not expanded into pairs.
 
 Defined cases: null, empty and wordless text has an empty set and is linked with nothing; fewer words than a shingle
 has are one shingle; rows that share an id are one document with the links of all its texts (each row keeps its own
-set size); null ids stand for no document: they link, and get a null component where no other id is smaller; nodes are
+set size); repeated rows are copies; texts of any length are shingled whole, a MiB at a time; other columns of the
+input play no part; an empty table gives an empty result; null ids stand for no document: they link, and get a null component where no other id is smaller; nodes are
 64-bit hashes of sets, shingles 64-bit hashes of words.
 """
 
@@ -476,7 +477,7 @@ def _prefixes(docs: DataFrame, common) -> DataFrame:
                     seen.add(node)
                     for k, part, x in parts_of(node, s):
                         p = prefix(x, tokens_sorted, rank)
-                        tokens.append(p + np.uint64(k - 1) * _P[0])
+                        tokens.append(p + np.full(1, k - 1, np.uint64) * _P[:1])
                         parts.append(np.full(len(p), part, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(parts))], ["token", "part"])
@@ -614,7 +615,9 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     roots = first.groupBy("node").agg(F.min("root").alias("root"))
     pivots = large.where("pivot").select("component", F.col("node").alias("pivot_node"))
     labelled = large.join(roots, "node").join(pivots, "component").withColumn("apart", F.col("root") != F.col("pivot_node"))
-    apart = labelled.where("apart").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("leaves")).cast("bigint")))
+    # As many blocks as the nodes apart fill, so that a group with few of them is gone through once or so.
+    shares = labelled.where("apart").groupBy("component").agg(F.ceil(F.count("*") / leaf_nodes).alias("blocks"))
+    apart = labelled.where("apart").join(shares, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))).drop("blocks")
     blocks = apart.select("component", "block").distinct()
     asked = apart.withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
     asked = asked.select("component", "leaf", "block", "node", "root", F.lit(True).alias("query"), "text")

@@ -176,5 +176,5 @@ def test_quality_gives_no_verdict_by_histogram_without_a_reference(spark):
     text = " ".join(f"слово{i} и ещё" for i in range(40)) + "."
     rows = spark.createDataFrame([(1, text, "ru"), (2, text, None), (3, "слово " * 60, "ru")], "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r["quality"] for r in quality_rules(rows).collect()}
-    assert got[1]["kept"] and got[2]["kept"] and got[1]["class_divergence"] == 0
+    assert got[1]["kept"] and got[2]["kept"] and got[1]["class_distance"] == 0
     assert got[3]["base_failed"] and not got[3]["kept"]
