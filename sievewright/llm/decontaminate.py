@@ -13,7 +13,8 @@ the same rows either way. Documents are read and tokenised by one scan a block;
 
 Defined cases: null or empty text has no words and is clean; an item without words, without an id or with null text is
 ignored; rows equal in document id and text count as one document; rows with one id and different texts each get
-their row; no benchmark at all leaves every document clean; other columns of either table play no part.
+their row; no benchmark at all leaves every document clean, no documents give an empty result; texts of any number of
+words are read whole, in time linear in it; other columns of either table play no part.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ slot, the slot names the shard. Each shard gets its share of slots within one cl
 slots change hands. The table is the only thing broadcast: its size is a parameter and does not grow with the data.
 
 Defined cases: a row with a null key is placed by its text; repeated rows fall to one shard; a null key with null text
-goes where the empty text goes; columns named ``slot`` or ``shard`` in the input give way to the result.
+goes where the empty text goes; texts of any length are hashed whole, where they stand in for a key; an empty table
+gives an empty result; columns named ``slot`` or ``shard`` in the input give way to the result.
 """
 
 from __future__ import annotations

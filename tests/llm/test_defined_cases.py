@@ -50,11 +50,33 @@ def test_clashing_columns_and_long_texts(docs, name):
         assert {r["doc_id"]: r["licenses"]["labels"] for r in rows} == {1: "mit", 2: "", 3: "", 4: "", 5: ""}
 
 
-@pytest.mark.parametrize("name", ["licenses", "quality", "shards"])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(docs, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.filterwarnings("ignore:targets")
+def test_texts_of_many_words_and_lines(spark, name):
+    """A text of 120,000 words and 12,000 lines, a third of it again, and twice a row of its own."""
+    words = [f"w{i * 7919 % 50_021}" for i in range(120_000)]
+    text = "\n".join(" ".join(words[i : i + 10]) for i in range(0, len(words), 10))
+    rows = [(1, text, "en", "a"), (2, text[: len(text) // 3], "en", "a"), (3, "line one of two here", "en", "b"), (3, "line one of two here", "en", "b")]
+    got = OPERATORS[name](spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert sorted(r["doc_id"] for r in got if name != "decontaminate" or r["doc_id"] != 3) == ([1, 2] if name == "decontaminate" else [1, 2, 3, 3])
+    by = {r["doc_id"]: r for r in got}
+    if name == "decontaminate":
+        assert by[1]["n_words"] == 120_000 and by[3]["n_hit"] == 5
+    if name == "lines":
+        assert by[1]["n_lines"] == 12_000 and by[2]["n_dropped"] >= by[2]["n_lines"] - 1
+    if name == "licenses":
+        assert by[1]["licenses"]["n_words"] == 120_000
+    if name == "near":
+        assert by[1]["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) and by[2]["component_id"] == 2
+    if name == "mixing":
+        assert by[1]["mix"]["n_tokens"] == 120_000
+
+
 def test_pages_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (None, None, None)], "page_id bigint, url string, html string")
     pages = pages.withColumn("text", F.lit("clash")).withColumn("digest", F.lit("clash")).withColumn("n", F.lit(1))
