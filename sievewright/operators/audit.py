@@ -23,6 +23,16 @@ def dense_counts(rows: DataFrame, split: str = "split", label: str = "class_name
     return F.broadcast(grid).join(have, ["split", "class_name"], "left").select("split", "class_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def class_counts(rows: DataFrame, split: str) -> DataFrame:
+    """(class_name, n) of one split, 0 where a class has nothing."""
+    return dense_counts(rows).where(F.col("split") == split).select("class_name", "n")
+
+
+def group_members(rows: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """(key, n, members): the paths of each group in order, as one text. For groups of bounded size, as frames of one video are."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(path)), ",").alias("members"))
+
+
 def rollup_counts(rows: DataFrame) -> DataFrame:
     """Counts by split and class, by split, and of all; '(all)' stands for what is summed over."""
     out = rows.rollup("split", "class_name").agg(F.count("*").alias("n"), F.grouping("split").alias("gs"), F.grouping("class_name").alias("gc"))

@@ -331,3 +331,10 @@ ORACLES["markdown_blocks"] = f"""WITH {_DOC_LINES}, k AS (SELECT doc_id, CASE
     WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*(-([ \\t\\x0B\\f]*-){{2,}}|\\*([ \\t\\x0B\\f]*\\*){{2,}}|_([ \\t\\x0B\\f]*_){{2,}})[ \\t\\x0B\\f]*$') THEN 'rule' WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*>') THEN 'quote'
     WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*([-*+]|[0-9]+[.)])[ \\t\\x0B\\f]') THEN 'item' WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*\\|.*\\|[ \\t\\x0B\\f]*$') THEN 'row' WHEN regexp_matches(line, '^[ \\t\\x0B\\f]*$') THEN 'blank' ELSE 'text' END AS kind FROM lines)
   SELECT doc_id, kind, count(*)::bigint AS n FROM k GROUP BY doc_id, kind"""
+ORACLES["class_counts"] = f"WITH {POOL} SELECT c AS class_name, (SELECT count(*) FROM pool WHERE split = 'validation' AND class_name = c)::bigint AS n FROM (VALUES ('real'), ('fake')) v(c)"
+ORACLES["ordered_paths"] = f"""WITH {POOL}, p AS (SELECT CASE WHEN doc_id % 3 = 0 THEN upper(path) ELSE path END AS path FROM pool)
+  SELECT path, (row_number() OVER (ORDER BY path) - 1)::bigint AS by_bytes, (row_number() OVER (ORDER BY lower(path), path) - 1)::bigint AS by_letters FROM p"""
+ORACLES["group_members"] = """WITH r AS (SELECT conv_id, conv_id || '/' || lpad(turn::varchar, 6, '0') || '-' || role AS path FROM conversations)
+  SELECT conv_id, count(*)::bigint AS n, string_agg(path, ',' ORDER BY path) AS members FROM r GROUP BY conv_id"""
+ORACLES["hash_lookup"] = f"WITH {MANIFEST} SELECT path, d.hash, d.hash IS NOT NULL AS readable FROM manifest LEFT JOIN (SELECT path, hash FROM disk) d USING (path)"
+ORACLES["frame_names"] = "SELECT conv_id, turn, 'c' || conv_id || '__' || conv_id || '_' || (conv_id + 1) || '__frame_' || lpad(turn::varchar, 6, '0') || '.png' AS name FROM conversations"

@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions.markdown import render_documents
 from ..operators import audit, dedup, metrics, sampling, splits
 from ..operators.graph import connected_components
+from ..operators.ordered import running_total
 from ..session import materialise, table
 from ..sources.files import reject_reason
 from . import build
@@ -48,6 +49,34 @@ def split_class_counts(spark, d):
     return audit.dense_counts(pool(spark, d))
 
 
+@query
+def class_counts(spark, d):
+    return audit.class_counts(pool(spark, d), "validation")
+
+
+@query
+def ordered_paths(spark, d):
+    """Every path's place, from 0, in the order by bytes and in the one without case; every third name is in capitals."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.upper("path")).otherwise(F.col("path"))
+    rows = pool(spark, d).select(name.alias("path")).withColumn("folded", F.lower("path"))
+    out = running_total(running_total(rows, ["path"], name="by_bytes"), ["folded", "path"], name="by_letters")
+    return out.select("path", "by_bytes", "by_letters")
+
+
+@query
+def group_members(spark, d):
+    """Frames of each video, which are few; sources of the pool are not."""
+    rows = table(spark, d, "conversations").select("conv_id", F.concat_ws("/", "conv_id", F.concat(X.zero_padded(F.col("turn")), F.lit("-"), "role")).alias("path"))
+    return audit.group_members(rows, "conv_id")
+
+
+@query
+def hash_lookup(spark, d):
+    """Hashes by path, of a disk where some files are missing and some unreadable: a left join, null where there is none."""
+    manifest, disk = _manifest_and_disk(spark, d)
+    return manifest.select("path").join(disk.select("path", "hash"), "path", "left").withColumn("readable", F.col("hash").isNotNull())
+
+
 @query
 def split_class_rollup(spark, d):
     return audit.rollup_counts(pool(spark, d))
@@ -481,6 +510,13 @@ def group_key_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", X.group_key(path, "raw/real").alias("group_key"))
 
 
+@query
+def frame_names(spark, d):
+    rows = table(spark, d, "conversations")
+    video = F.concat(F.lit("raw/videos/"), "conv_id", F.lit("_"), F.col("conv_id") + 1, F.lit(".mp4"))
+    return rows.select("conv_id", "turn", X.frame_file_name(F.concat(F.lit("c"), "conv_id"), video, F.col("turn")).alias("name"))
+
+
 @query
 def component_id_parse(spark, d):
     name = F.concat(X.zero_padded(F.col("doc_id")), F.lit("_"), F.col("source"), F.lit("__f__frame_000001"))
