@@ -249,8 +249,9 @@ def pack(point: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    point = np.frombuffer(data, "<u2").astype(np.int64)
-    return np.where(point == 65_535, 1 << 40, point)
+    # Four bytes a count: sums of these are made in eight.
+    point = np.frombuffer(data, "<u2").astype(np.int32)
+    return np.where(point == 65_535, np.int32(1 << 24), point)
 
 
 class RTree:
