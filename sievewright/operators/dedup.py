@@ -83,12 +83,6 @@ def dedup_stats(candidates: DataFrame, survivors: DataFrame) -> DataFrame:
     )
 
 
-def word_digests(text: Column, bits: int = 60) -> Column:
-    """The first digits of the MD5 of every distinct lower-case word, as numbers."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[ \n\t\r]+"), lambda w: w != ""))
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, bits // 4), 16, 10).cast("bigint"))
-
-
 def simhash_table(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
     """(key, hash): the sign of the sum, over distinct words, of each bit of their digests.
 
