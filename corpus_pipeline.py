@@ -46,7 +46,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = near_duplicate_groups(keyed.select(F.col("_id").alias("doc_id"), "text"))
     first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
     # Most ids have one row; only where there are more is it asked which text and which of equal rows stays.
+    first = materialise(first, "near-first")
     left = keyed.join(first, "_id")
+    if first.where(F.col("_rows") > 1).isEmpty():
+        return _as_before(left, docs)
     many = left.where(F.col("_rows") > 1)
     chosen = many.groupBy("_id").agg(F.min("_key").alias("_key"))
     one = many.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
