@@ -111,7 +111,7 @@ def test_most_frequent(spark):
     top = [r["n"] for r in most_frequent(rows, "n", 20).collect()]
     assert 10 <= len(top) <= 20 and min(top) > 1000 // 22
     assert most_frequent(rows, "n", 500).count() == 300 and most_frequent(rows.limit(0), "n", 5).count() == 0
-    assert most_frequent(rows.withColumn("n", F.lit(1)), "n", 5).count() == 0
+    assert 1 <= most_frequent(rows.withColumn("n", F.lit(1)), "n", 5).count() <= 5  # one step, too large as a whole, gives parts
 
 
 @pytest.mark.parametrize("total,most,want", [(10, 30, list(range(10))), (0, 5, []), (5, 1, [0]), (7, 0, list(range(7)))])
@@ -210,7 +210,7 @@ def test_files_and_manifests(spark, tmp_path):
         for c in ("real", "fake"):
             folder = tmp_path / "pool" / split / c
             folder.mkdir(parents=True)
-            (folder / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + split.encode() + c.encode())
+            (folder / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + split.encode() + c.encode() + bytes.fromhex("49454E44AE426082"))
             (folder / "Real_b.JPG").write_bytes(b"broken")
             (folder / "notes.txt").write_text("x")
     pool = str(tmp_path / "pool")
