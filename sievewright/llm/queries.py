@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .bpe import decode_ids, encode_texts
 from .decontaminate import decontaminate
 from .htmltree import extract_pages
 from .licenses import scan_licenses
@@ -72,6 +73,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), offsets=False)
+    back = decode_ids(encoded.select("doc_id", "tokens.ids"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_bpe": op11_bpe,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
