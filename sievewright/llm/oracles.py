@@ -137,4 +137,35 @@ WITH doc AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_js + common_js <= {MAX_DISTANCE**2!r}::double AS kept FROM judged
 """
 
-ORACLES = {"op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}
+def _op12(rounds: int = 5) -> str:
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS MATERIALIZED (
+  SELECT id, vec_id, v, min(pair).c AS cluster, min(pair).d AS distance FROM (
+    SELECT id, vec_id, kept.v, {{'d': list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - p.v[i]) * (kept.v[i] - p.v[i])))::bigint, 'c': p.c}} AS pair
+    FROM kept, c{t} p) GROUP BY id, vec_id, v
+)""")
+        if t < rounds:
+            steps.append(f"""
+m{t} AS (
+  SELECT cluster, i, sum(x)::bigint AS s, count(*)::bigint AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}) GROUP BY cluster, i
+), c{t + 1} AS MATERIALIZED (
+  SELECT c, coalesce(w, v) AS v FROM c{t} LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM m{t} GROUP BY cluster) ON c = cluster
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::int AS c, v
+  FROM (SELECT sha256('2:' || coalesce(vec_id::varchar, '')) AS h, v FROM kept ORDER BY h, v LIMIT 40)
+), {",".join(steps)}, balls AS (
+  SELECT cluster, sum(distance)::bigint AS cluster_inertia FROM a{rounds} GROUP BY cluster
+)
+SELECT vec_id, cluster, distance, cluster_inertia, (SELECT sum(distance)::bigint FROM a{rounds}) AS inertia, sha256(array_to_string(p.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN balls USING (cluster) JOIN c{rounds} p ON p.c = cluster
+"""
+
+
+ORACLES = {"op12_ball_kmeans": _op12(), "op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}

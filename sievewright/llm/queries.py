@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .ballkmeans import ball_k_means
 from .bpe import decode_ids, encode_texts
 from .decontaminate import decontaminate
 from .htmltree import extract_pages
@@ -80,6 +81,11 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_k_means(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_bpe": op11_bpe,
+    "op12_ball_kmeans": op12_ball_kmeans,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
