@@ -168,4 +168,57 @@ FROM a{rounds} JOIN balls USING (cluster) JOIN c{rounds} p ON p.c = cluster
 """
 
 
-ORACLES = {"op12_ball_kmeans": _op12(), "op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}
+def _op13(levels: int = 6, top: int = 4) -> str:
+    """Trees of up to 16 ** levels documents a source and 16 ** top sources."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar)::varchar || ':' || {c}::varchar END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps, rises = [], []
+
+    def tree(name: str, height: int) -> None:
+        # Level k + 1 joins runs of 16 where a tree has several nodes, and takes over the node where it has one.
+        for k in range(height):
+            steps.append(f"""
+{name}r{k} AS MATERIALIZED (
+  SELECT s, p // 16 AS p, any_value(n) AS n, string_agg(d, '' ORDER BY p) AS run FROM {name}{k} GROUP BY s, p // 16
+), {name}{k + 1} AS MATERIALIZED (
+  SELECT s, p, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS d FROM {name}r{k}
+)""")
+
+    def rise(name: str, height: int, key: str, at: str) -> None:
+        for k in range(height):
+            prior = f"t{len(rises)}"
+            cut = f"64 * ((t.{at} // {16**k}) % 16)"
+            left, right = (f"CASE WHEN r.n = 1 THEN '' ELSE {x} END" for x in (f"substr(run, 1, {cut})", f"substr(run, {cut} + 65)"))
+            node = f"CASE WHEN r.n = 1 THEN folded ELSE sha256(({left}) || folded || ({right})) END"
+            rises.append(f"""
+t{len(rises) + 1} AS MATERIALIZED (
+  SELECT t.* REPLACE (proof || ({left}) || ({right}) AS proof, {node} AS folded)
+  FROM {prior} t JOIN {name}r{k} r ON r.s = t.{key} AND r.p = t.{at} // {16 ** (k + 1)}
+)""")
+
+    tree("v", levels)
+    steps.append(f"""
+w0 AS MATERIALIZED (
+  SELECT 0 AS s, row_number() OVER (ORDER BY s) - 1 AS p, count(*) OVER () AS n, d, s AS source FROM v{levels}
+)""")
+    tree("w", top)
+    rise("v", levels, "s", "p")
+    rise("w", top, "zero", "q")
+    return f"""
+WITH crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(b))
+), doc AS MATERIALIZED (
+  SELECT *, CASE WHEN doc_id IS NULL THEN text WHEN xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 5 = 0
+         THEN translate(text, '{_UPPER}', '{_UPPER.lower()}') ELSE text END AS shown FROM documents, crc
+), leaf AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s, {leaf("text")} AS d, {leaf("shown")} AS folded FROM doc
+), v0 AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, d) - 1 AS p, count(*) OVER (PARTITION BY s) AS n FROM leaf
+), {",".join(steps)}, t0 AS MATERIALIZED (
+  SELECT doc_id, v0.s, v0.p, 0 AS zero, w0.p AS q, v0.d AS leaf, w0.d AS subroot, '' AS proof, folded FROM v0 JOIN w0 ON w0.source = v0.s
+), {",".join(rises)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d AS verified FROM t{levels + top}, w{top}
+"""
+
+
+ORACLES = {"op13_merkle_manifest": _op13(), "op12_ball_kmeans": _op12(), "op6_quality": OP6, "op1_decontamination": OP1, "op5_ngram_join": OP5, "op8_line_dedup": OP8, "op9_warc": OP9}

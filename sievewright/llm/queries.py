@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..session import table
 from .ballkmeans import ball_k_means
 from .bpe import decode_ids, encode_texts
+from .columns import LOWER, UPPER
 from .decontaminate import decontaminate
 from .htmltree import extract_pages
 from .licenses import scan_licenses
 from .linededup import dedup_lines
+from .merkle import FIELDS, digest_of, fold, merkle_manifest, siblings
 from .mixing import mix_sources
 from .oracles import ORACLES
 from .ppm import score_documents
@@ -86,6 +88,15 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    shown = digest_of([tampered if f == "text" else F.col(f) for f in FIELDS])
+    found = merkle_manifest(docs, carry={"shown": shown})
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), fold(F.col("shown"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -99,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_bpe": op11_bpe,
     "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
