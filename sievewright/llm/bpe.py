@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text that are cut at once, and what the cache of pieces may hold.
-CHUNK = 1 << 22
-CACHE_BYTES, CACHE_PIECES = 1 << 25, 1 << 19
+CHUNK = 1 << 19
+CACHE_BYTES, CACHE_PIECES = 1 << 22, 1 << 17
 #: Pieces from here on are merged by a heap.
 LONG_PIECE = 96
+#: Stands for the rank of a pair that is no token.
+NONE = 1 << 60
 
 # Classes of characters: single letters matter after an apostrophe only.
 SPACE, WHITE, LETTER, NUMBER, OTHER, APOSTROPHE, STMD, RV, E, L = range(10)
@@ -159,17 +162,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) >= LONG_PIECE:
         return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-    while pairs and (least := min(pairs)) < 1 << 60:
+    get, cuts = ranks.get, list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < NONE:
         i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del pairs[i], cuts[i + 1]
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NONE)
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-    return [ranks[p] for p in parts]
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], NONE)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -200,26 +202,24 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Piece to its number; the ids of number k stand at starts[k] in a flat list. Emptied when it outgrows its bounds."""
+    """Piece to its ids, as bytes; a generation that outgrows its bounds becomes the older one, which is looked up once a piece."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
-        self.empty()
+        self.ranks, self.older, self.held = ranks, {}, 0
 
-    def empty(self) -> None:
-        self.clear()
-        self.starts, self.flat, self.held = [0], [], 0
-
-    def __missing__(self, piece: bytes) -> int:
-        self.flat += merge(piece, self.ranks)
-        self.starts.append(len(self.flat))
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece, self.ranks)).tobytes()
         self.held += len(piece)
-        self[piece] = len(self.starts) - 2
-        return len(self.starts) - 2
+        self[piece] = ids
+        return ids
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.starts, np.int64), np.array(self.flat, np.int32)
+    def tidy(self) -> None:
+        if self.held > CACHE_BYTES or len(self) > CACHE_PIECES:
+            self.older, self.held = dict(self), 0
+            self.clear()
 
 
 def _gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -249,16 +249,13 @@ class Codec:
 
     def encode(self, data: bytes, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, the byte in data at which each token begins, and the number of ids before each text and in all."""
-        if self.pieces.held > CACHE_BYTES or len(self.pieces) > CACHE_PIECES:
-            self.pieces.empty()
+        self.pieces.tidy()
         cuts = piece_starts(np.frombuffer(data, np.uint8), text_starts, self.classes)
-        bounds = [*cuts.tolist(), len(data)]
-        numbers = np.fromiter(map(self.pieces.__getitem__, [data[a:b] for a, b in zip(bounds, bounds[1:])]), np.int64, len(cuts))
-        starts, flat = self.pieces.arrays()
-        counts = starts[numbers + 1] - starts[numbers]
-        ids = _gather(flat, starts[numbers], counts)
+        bounds = cuts.tolist()
+        found = list(map(self.pieces.__getitem__, [data[a:b] for a, b in zip(bounds, [*bounds[1:], len(data)])]))
+        before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        ids = np.frombuffer(b"".join(found), np.int32)
         lengths = self.lengths[ids]
-        before = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.cumsum(lengths) - lengths, before[np.searchsorted(cuts, np.append(text_starts, len(data)))]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,11 +283,12 @@ def vocabulary_file(path: str | None = None) -> bytes:
 
 def _spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of ``most`` in all, or of one row."""
-    a = 0
+    ends = np.cumsum(sizes)
+    a, before = 0, 0
     while a < len(sizes):
-        b = max(a + 1, a + int(np.searchsorted(np.cumsum(sizes[a:]), most, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
         yield a, b
-        a = b
+        a, before = b, ends[b - 1]
 
 
 def _with_column(batch: pa.RecordBatch, schema: pa.Schema, column: pa.Array) -> pa.RecordBatch:
@@ -345,7 +343,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", *, vocabulary: str | None
         schema = pa.schema([*batch.schema, pa.field("decoded", pa.binary())])
         column = batch.column(at)
         sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        for a, b in _spans(sizes, CHUNK // 4):
+        for a, b in _spans(sizes, CHUNK // 2):
             ids = column.slice(a, b - a).flatten().to_numpy()  # leaves out what stands under nulls
             data, begins = codec.decode(ids)
             bounds = begins[np.concatenate([[0], np.cumsum(sizes[a:b])])]
