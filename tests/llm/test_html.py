@@ -4,7 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from sievewright.llm.htmltree import extract_pages, parse, train
+import pytest
+
+from sievewright.llm.htmltree import BOX, MAIN, OFF, STATES, TreeModel, extract_pages, parse, train
+
+from pages_by_hand import PAGES
 
 # (page, main text by blocks)
 HAND = [
@@ -64,6 +68,70 @@ def test_hand_labelled_pages():
     assert right / wanted >= 0.9 and right / found >= 0.9, (right, found, wanted)
 
 
+@pytest.fixture(scope="module")
+def model():
+    return train()
+
+
+@pytest.mark.parametrize("half", [0, 1])  # the second one is held out
+def test_hand_labelled_layouts_without_telling_names(model, half):
+    right = found = wanted = 0
+    for layout, page, main in PAGES:
+        if layout % 2 == half:
+            got = [x for x in model.extract(page).split("\n") if x]
+            right, found, wanted = right + len(set(got) & set(main)), found + len(got), wanted + len(main)
+            assert set(main) <= set(got), (layout, got)
+    assert right / wanted >= 0.95 and right / found >= 0.95, (right, found, wanted)
+
+
+PARTS = ["Twice a day the sea climbs the wall.", "When sun and moon pull in line, the range is largest; sailors know it.", "If in doubt, ask before you set out."]
+
+
+@pytest.mark.parametrize("name", ["more-text", "related-content-body", "side-story", "post-meta-text", "top-story", "c-12", "legal-text", "review"])
+def test_names_that_could_tell_something_else_don_t_drop_the_article_s_text(model, name):
+    page = f"<nav><a href=/>Home</a></nav><article><p>{PARTS[0]}</p><div class='{name}'><p>{PARTS[1]}</p></div><p>{PARTS[2]}</p></article>"
+    assert model.extract(page) == "\n".join(PARTS)
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "newsletter", "cookie-notice", "sidebar"])
+def test_telling_names_drop_text_in_the_article(model, name):
+    page = f"<article><p>{PARTS[0]}</p><div class='{name}'><p>{PARTS[1]}</p></div><p>{PARTS[2]}</p></article>"
+    assert model.extract(page) == f"{PARTS[0]}\n{PARTS[2]}"
+
+
+def test_drawings_and_what_stands_in_for_scripts_are_left_out(model):
+    for tag in ("svg", "template", "noscript", "canvas"):
+        page = f"<article><p>{PARTS[0]}</p><{tag} a=1><{tag}><text>drawn</text></{tag}>too</{tag}><p>{PARTS[1]}</p></article>"
+        assert model.extract(page) == f"{PARTS[0]}\n{PARTS[1]}"
+        open_ended = f"<article><p>{PARTS[0]}</p><{tag}><p>{PARTS[1]}</p></article>"
+        assert model.extract(open_ended) == f"{PARTS[0]}\n{PARTS[1]}"
+
+
+def test_marginals_equal_those_of_all_labellings():
+    """On small trees the messages give what summing over every labelling gives."""
+    from itertools import product
+
+    model = train()
+    for page in ("<nav><a href=x>y</a></nav><div><p>Some text, here.</p><p class=ad>Buy it</p></div>", "<div><div><p>a</p></div></div><footer>x</footer>", "<p>One. Two.</p>"):
+        nodes, _ = parse(page)
+        sums = [[0.0] * len(STATES) for _ in nodes]
+        for states in product(STATES, repeat=len(nodes)):
+            weight = model.roots[states[0]]
+            for i, (node, s) in enumerate(zip(nodes, states)):
+                weight *= model.evidence(node)[s] * (model.pair(node)[states[node.parent]][s] if i else 1)
+            for i, s in enumerate(states):
+                sums[i][s] += weight
+        for got, want in zip(model.marginals(nodes), sums):
+            assert got == pytest.approx([x / sum(want) for x in want], rel=1e-9)
+
+
+def test_other_labelled_pages_can_train():
+    marked = "<body data-main=2><div data-main=0 class=z>Buy it now</div><div data-main=1 class=q>It is a text, and a long one. Quite long.</div></body>"
+    model = TreeModel([marked] * 50)
+    assert model.extract("<div class=z>Buy it now</div><div class=q>It was a text, and a long one. Quite long.</div>") == "It was a text, and a long one. Quite long."
+    assert (OFF, MAIN, BOX) == (0, 1, 2)
+
+
 def test_unclosed_controls_lose_nothing():
     model, article = train(), "<article><h1>Title</h1><p>First paragraph of the text.</p><p>Second one.</p></article>"
     whole = "Title\nFirst paragraph of the text.\nSecond one."
