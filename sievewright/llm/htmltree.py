@@ -16,7 +16,7 @@ extracted.
 
 Defined cases: null or empty html has no text; end tags may be missing or stray; what follows an unclosed script,
 style, textarea, title, iframe or comment is part of it, while other elements end with their parent, and buttons and
-other controls with the next block of the page too; drawings, templates and what stands in for scripts are left out
+other controls with the next block of the page too; drawings and templates are left out
 where they are closed; a tag that never ends is text; a page without any block belongs to one root element; very long pages are parsed whole, in time linear in their length; repeated rows each get their row;
 other columns of the input play no part; an empty table gives an empty result; text is never cut.
 """
@@ -52,7 +52,7 @@ CLOSES_P = frozenset(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist", "optgroup"}, "optgroup": {"select"}}
-SKIPPED = frozenset("svg template noscript canvas".split())
+SKIPPED = frozenset("svg template".split())
 LAYOUT = frozenset("main article section div header footer nav aside form fieldset address details dialog figure table tr td ul ol li dl p".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTROLS = frozenset("button select optgroup option datalist".split())
