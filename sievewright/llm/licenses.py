@@ -2,17 +2,20 @@
 
 A notice of n characters that occurs with at most e edits, cut into e + 1 pieces, has at least one piece in the text
 unchanged (pigeonhole). All pieces of all notices form one automaton; a text without a piece is done after one pass.
-A notice that stands there letter by letter is taken as it is. Elsewhere the stretch it could take up around a piece is
-handed to the regular-expression library, whose bounded-error matching confirms or rejects it and gives the span and
-the number of edits. Texts are matched in a normal form: words (ASCII letters and digits in lower case, and all
-characters beyond ASCII) joined by one space; places and edits are counted in its characters.
+The stretch that a notice could take up around a piece is read once more, for all notices together, by bit vectors of
+their prefixes, one for each number of edits; that tells at which places a notice ends and with how few edits, so
+neighbours can't hide each other. Each such place is handed to the regular-expression library by itself, whose
+bounded-error matching confirms it and gives the span. Texts are matched in a normal form: words (ASCII letters and
+digits in lower case, and all characters beyond ASCII) joined by one space; places and edits are counted in its
+characters.
 
 Some notices differ from others in a word that says it all ("by", "nc", "sa", "nd"). Edits may not touch these: such a
-notice counts only where its own telling words stand in the span and no others of their kind do, there or right after.
+notice counts only where its own telling words stand in the span and no others of their kind do, there or right after;
+where the closest place does not, the others around it are tried.
 
 Defined cases: null or empty text has no words, no labels and score 0; repeated rows each get their row; where spans
 overlap, the closest match counts, then the longer one, then the first by label; very long texts are scanned whole, in
-time linear in their length and, but for a logarithm, in the number of pieces found; other columns of the input play no
+time linear in their length and, but for a logarithm, in the number of notices found; other columns of the input play no
 part; an empty table gives an empty result.
 """
 
@@ -87,6 +90,56 @@ def plan(label: str, text: str, chars_per_edit: int = CHARS_PER_EDIT, max_edits:
 Span = tuple[str, int, int, int]
 
 
+class Prefixes:
+    """Prefixes of all notices as bits, side by side: which end at a place of the text with up to 0, 1, 2 ... edits.
+
+    What a shift carries from the last bit of one notice to the first of the next says that one character is matched
+    with an edit, or may begin a match, which always holds.
+    """
+
+    def __init__(self, notices: list[Notice]):
+        self.most = max((n.edits for n in notices), default=0)
+        self.letters: dict[str, int] = {}
+        self.start = [0] * (self.most + 1)  # prefixes of up to k characters go for k edits anywhere
+        self.first, self.ends, self.owner, at = 0, [0] * (self.most + 1), {}, 0
+        for i, n in enumerate(notices):
+            for k, c in enumerate(n.text):
+                self.letters[c] = self.letters.get(c, 0) | 1 << (at + k)
+            self.first |= 1 << at
+            for k in range(self.most + 1):
+                self.start[k] |= ((1 << min(k, len(n.text))) - 1) << at
+            at += len(n.text)
+            for k in range(n.edits + 1):
+                self.ends[k] |= 1 << (at - 1)
+            self.owner[at - 1] = i
+
+    def read(self, text: str, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        """(notice, end, edits) for every place of text[low:high] where a notice ends within its edits, with the fewest."""
+        rows, first, letters, start, ends = list(self.start), self.first, self.letters.get, self.start, self.ends
+        levels = range(1, self.most + 1)
+        for at in range(low, high):
+            same = letters(text[at], 0)
+            before = rows[0]
+            now = rows[0] = (before << 1 | first) & same
+            for k in levels:
+                old = rows[k]
+                # The character matches, is one too many, stands for another, or one is missing after it.
+                now = rows[k] = (old << 1 & same) | before | (before | now) << 1 | start[k]
+                before = old
+            if now & ends[0]:
+                yield from self._ended(rows, at + 1)
+
+    def _ended(self, rows: list[int], end: int) -> Iterator[tuple[int, int, int]]:
+        done = 0
+        for k, row in enumerate(rows):
+            hits = row & self.ends[k] & ~done
+            done |= hits
+            while hits:
+                bit = hits & -hits
+                yield self.owner[bit.bit_length() - 1], end, k
+                hits ^= bit
+
+
 class Scanner:
     """Finds notices in normal-form texts."""
 
@@ -94,35 +147,44 @@ class Scanner:
         self.notices = [plan(*n) for n in notices]
         self.seeds = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
-        for i, n in enumerate(self.notices):
+        for n in self.notices:
             for place, piece in n.pieces:
-                at.setdefault(piece, []).append((i, place))
+                at.setdefault(piece, []).append((place + n.edits, len(n.text) + n.edits - place))
         for piece, uses in at.items():
-            self.seeds.add_word(piece, (len(piece), uses))
+            self.seeds.add_word(piece, (len(piece), max(x for x, _ in uses), max(x for _, x in uses)))
         self.seeds.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.text)}){{e<={n.edits}}}") for n in self.notices]
+        self.prefixes = Prefixes(self.notices)
+        self.patterns = [[regex.compile(rf"(?:{regex.escape(n.text)}){{e<={k}}}\Z") for k in range(n.edits + 1)] for n in self.notices]
 
     def matches(self, text: str) -> list[Span]:
-        """(label, start, end, edits) of every notice found within its edits, before telling words and overlaps are looked at."""
-        wanted: dict[int, list[tuple[int, int]]] = {}
-        exact: set[tuple[int, int]] = set()
-        for end, (length, uses) in self.seeds.iter(text):
-            for i, place in uses:
-                n = self.notices[i]
-                start = end - length + 1 - place
-                if (i, start) in exact:
-                    continue
-                if start >= 0 and text.startswith(n.text, start):
-                    exact.add((i, start))
-                else:
-                    wanted.setdefault(i, []).append((max(0, start - n.edits), min(len(text), start + len(n.text) + n.edits)))
-        found = [(self.notices[i].label, start, start + len(self.notices[i].text), 0, i) for i, start in exact]
-        for i, ranges in wanted.items():
-            n, pattern = self.notices[i], self.patterns[i]
-            for low, high in _merged(ranges):
-                for m in pattern.finditer(text, low, high):
-                    found.append((n.label, m.start(), m.end(), sum(m.fuzzy_counts), i))
-        return [s[:4] for s in found if self._tells(text, self.notices[s[4]], s[1], s[2])]
+        """(label, start, end, edits) of every notice found within its edits, before overlaps are looked at."""
+        ranges = []
+        for end, (length, left, right) in self.seeds.iter(text):
+            start = end - length + 1
+            ranges.append((max(0, start - left), min(len(text), start + right)))
+        places: dict[int, list[tuple[int, int]]] = {}
+        for low, high in _merged(ranges):
+            for i, end, edits in self.prefixes.read(text, low, high):
+                places.setdefault(i, []).append((end, edits))
+        return [span for i, ends in places.items() for near in _runs(ends) for span in self._confirmed(text, i, near)]
+
+    def _confirmed(self, text: str, i: int, near: list[tuple[int, int]]) -> Iterator[Span]:
+        """The closest matches of a notice among ends that follow one another, no two of them nearer than half its length."""
+        n = self.notices[i]
+        taken: list[int] = []
+        for edits, end in sorted((k, end) for end, k in near):
+            if any(abs(end - x) < len(n.text) // 2 for x in taken) or not self._may_tell(text, n, end):
+                continue
+            m = self.patterns[i][edits].search(text, max(0, end - len(n.text) - edits), end) if edits else None
+            start = m.start() if m else end - len(n.text)
+            if (m or not edits) and self._tells(text, n, start, end):
+                taken.append(end)
+                yield n.label, start, end, edits
+
+    @staticmethod
+    def _may_tell(text: str, notice: Notice, end: int) -> bool:
+        """Whether a notice's own telling words stand before an end at all; false spares a match."""
+        return all(w in text[max(0, end - len(notice.text) - notice.edits) : end + 20] for _, own in notice.telling for w in own)
 
     @staticmethod
     def _tells(text: str, notice: Notice, start: int, end: int) -> bool:
@@ -161,6 +223,18 @@ def _best(found: list[Span]) -> list[Span]:
     return [chosen[x] for x in starts]
 
 
+def _runs(ends: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Ends, in order, parted where a place between two of them is none."""
+    run: list[tuple[int, int]] = []
+    for x in ends:
+        if run and x[0] > run[-1][0] + 1:
+            yield run
+            run = []
+        run.append(x)
+    if run:
+        yield run
+
+
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for low, high in sorted(ranges):

@@ -105,3 +105,66 @@ def test_time_grows_with_the_text():
         took.append(time.process_time() - start)
         assert got["n_base"] == 2 * n and sum(s["label"] == "mit" for s in got["spans"]) >= n and got["last_word"] == got["n_words"] - 2
     assert took[1] < 10 * took[0] + 0.5, took
+
+
+def windows(notice, text):
+    """(edits, start, end) of every stretch of the text within the notice's edits, one start after another, in a band."""
+    most, size = notice.edits, len(notice.text)
+    for start in range(len(text)):
+        row = {i: i for i in range(most + 1)}  # edits by how much of the notice is matched
+        for end in range(start, min(len(text), start + size + most) + 1):
+            if end > start:
+                c, last, row = text[end - 1], row, {}
+                at = end - start
+                for i in range(max(0, at - most), min(size, at + most) + 1):
+                    ways = [last[i] + 1] if i in last else []
+                    if i and i - 1 in last:
+                        ways.append(last[i - 1] + (notice.text[i - 1] != c))
+                    if i - 1 in row:
+                        ways.append(row[i - 1] + 1)
+                    if ways:
+                        row[i] = min(ways)
+            if row.get(size, most + 1) <= most:
+                yield row[size], start, end
+
+
+def test_labels_equal_those_of_all_windows():
+    """Several notices side by side, with edits, with and without telling words: a label is there exactly where a window allows it."""
+    rng = random.Random(21)
+    texts = [n for n in NOTICES if len(n[1]) < 60]
+    said = 0
+    for turn in range(60):
+        parts = []
+        for label, text in rng.choices(texts, k=rng.randint(2, 4)):
+            parts.append(edited(rng, text, rng.choice((0, 1, 1, 2, 3))) + rng.choice(("", " 4 0", " nc", " sharealike", " lesser")))
+        text = " ".join(" ".join(parts).split())
+        want = {n.label for n in SCANNER.notices if any(SCANNER._tells(text, n, a, b) for _, a, b in windows(n, text))}
+        got = {s[0] for s in SCANNER.matches(text)}
+        assert got <= want, (turn, text, got - want)
+        assert want <= got, (turn, text, want - got)
+        said += len(want)
+    assert said > 100
+
+
+def test_neighbours_do_not_hide_each_other():
+    near = "licensd under the apach license version 2 0"
+    assert len(scan(f"{near} {near} licensd under the apache license version 2 0", SCANNER)["spans"]) == 3
+    assert labels("licesed unde cc by 4 0 licensd under cc by nc 4 0") == "cc-by,cc-by-nc"
+    rng = random.Random(3)
+    planted = [(label, edited(rng, text, 2)) for label, text in NOTICES * 4 if not plan(label, text).telling and plan(label, text).edits > 2]
+    got = [s["label"] for s in scan(" ".join(t for _, t in planted), SCANNER)["spans"]]
+    assert got == [label for label, _ in planted]
+
+
+def test_time_is_linear_in_near_notices():
+    rng = random.Random(9)
+    for notice in ("all rights reservd", "licensd under the apach license version 2 0", "licesed under cc by nc 4 0"):
+        took = []
+        for n in (1000, 4000):
+            text = " ".join(edited(rng, notice, 1) if k % 2 else notice for k in range(n))
+            start = time.process_time()
+            found = len(scan(text, SCANNER)["spans"])
+            took.append(time.process_time() - start)
+            assert found >= 0.75 * n
+        assert took[1] < 6 * took[0] + 0.3, (notice, took)
+        print(notice, took)
