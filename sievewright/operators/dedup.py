@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import NEAR_THRESHOLDS, SPLIT_PRIORITY, CurationError
 from ..functions.arrays import hamming
+from ..functions.names import fresh
 from ..session import materialise
 
 #: Most probes of one hash.
@@ -37,16 +38,16 @@ def visit_order(split: Column, path: Column) -> Column:
 def exact_decisions(candidates: DataFrame) -> DataFrame:
     """candidates with ``decision``: kept, cross_class (labels of equal files contradict: all go), same_split or cross_split."""
     order = visit_order(F.col("split"), F.col("path"))
-    facts = candidates.groupBy("md5").agg(
-        F.min("class_name").alias("_low"), F.max("class_name").alias("_high"), F.min(order).alias("_first"), F.min_by("split", order).alias("_split")
-    )
+    (group,) = fresh(candidates.columns, "_group")
+    facts = F.struct(F.min("class_name").alias("low"), F.max("class_name").alias("high"), F.min(order).alias("first"), F.min_by("split", order).alias("split"))
+    of = lambda name: F.col(f"{group}.{name}")
     decision = (
-        F.when(F.col("_low") != F.col("_high"), "cross_class")
-        .when(F.col("path") == F.col("_first.path"), "kept")
-        .when(F.col("split") == F.col("_split"), "same_split")
+        F.when(of("low") != of("high"), "cross_class")
+        .when(F.col("path") == of("first.path"), "kept")
+        .when(F.col("split") == of("split"), "same_split")
         .otherwise("cross_split")
     )
-    return candidates.join(facts, "md5").withColumn("decision", decision).select(*candidates.columns, "decision")
+    return candidates.join(candidates.groupBy("md5").agg(facts.alias(group)), "md5").select(*(f"`{c}`" for c in candidates.columns if c != "decision"), decision.alias("decision"))
 
 
 def exact_survivors(candidates: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..session import materialise
 
 
@@ -15,9 +16,11 @@ def running_total(rows: DataFrame, order: list[str], n: str | None = None, name:
     Rows are dealt by ranges of the order; each part adds up for itself, and what the parts before it hold is added
     from a table of one row a part. The dealt rows are a table, so that a lost task can't deal them anew.
     """
-    dealt = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    part, total, base, inside = fresh((*rows.columns, name), "_part", "_sum", "_base", "_inside")
+    dealt = materialise(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordered")
     value = F.col(n).cast("bigint") if n else F.lit(1).cast("bigint")
-    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_inside", inside).join(F.broadcast(parts), "_part").withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside")
+    parts = dealt.groupBy(part).agg(F.sum(value).alias(total))
+    earlier = F.coalesce(F.sum(total).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(value).over(W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn(inside, within).join(F.broadcast(parts.select(part, earlier.alias(base))), part)
+    return placed.withColumn(name, F.col(base) + F.col(inside)).drop(part, base, inside)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import CurationError
+from ..functions.names import fresh
 from .ordered import running_total
 
 
@@ -41,8 +42,9 @@ def in_batches(rows: DataFrame, key: str, batch_size: int, seed: int | None = No
     The last batch may be short. Places come from running totals over ranges, so no task numbers all rows.
     """
     order = F.col(key).cast("string") if seed is None else seeded_order(seed, F.col(key).cast("string"))
-    placed = running_total(rows.withColumn("_order", order), ["_order", key], name="_at")
-    return placed.select(*rows.columns, F.floor(F.col("_at") / batch_size).cast("bigint").alias("batch"), (F.col("_at") % batch_size).cast("int").alias("place"))
+    first, at = fresh(rows.columns, "_order", "_at")
+    placed = running_total(rows.withColumn(first, order), [first, key], name=at)
+    return placed.select(*(f"`{c}`" for c in rows.columns), F.floor(F.col(at) / batch_size).cast("bigint").alias("batch"), (F.col(at) % batch_size).cast("int").alias("place"))
 
 
 def ranked_in_pools(rows: DataFrame, pools: list[str], key: str, seed: int) -> DataFrame:

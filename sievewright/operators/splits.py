@@ -30,6 +30,7 @@ def prefix_sum_split(groups: DataFrame, by: str, key: str, n: str, seed: int, ra
     itself, and a small table of the parts' sums gives what lies before it.
     """
     check_ratios(*ratios)
+    groups = groups.select(by, key, n)
     out = materialise(groups.withColumn("_o", seeded_order(seed, F.col(key))).withColumn("_p", F.substring("_o", 1, 3)), "split-order")
     sums = out.groupBy(by, "_p").agg(F.sum(n).alias("_sum"))
     earlier = W.partitionBy(by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)

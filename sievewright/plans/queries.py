@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..config import CHANNEL_MEAN, RATIOS, SEED
 from ..functions import arrays as A
 from ..functions import text as X
-from ..functions.markdown import render_documents
 from ..operators import audit, dedup, metrics, sampling, splits
 from ..operators.graph import connected_components
 from ..operators.ordered import running_total
@@ -630,11 +629,6 @@ def markdown_blocks(spark, d):
     return _lines(spark, d).groupBy("doc_id", X.block_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query
-def markdown_documents(spark, d):
-    return render_documents(table(spark, d, "documents").select("doc_id", "text"))
-
-
 @query
 def status_messages(spark, d):
     counts = audit.dense_counts(pool(spark, d))

@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MANIFEST_FIELDS, CurationError
+from ..config import MANIFEST_FIELDS, SPLITS, CurationError
+from ..functions.names import fresh
 from ..functions.text import basename, zero_padded
 from ..operators.ordered import running_total
 from ..session import hadoop_path, materialise
@@ -29,20 +30,40 @@ def write_report(row: DataFrame, path: str, overwrite: bool = True) -> None:
 
 def with_output_names(rows: DataFrame) -> DataFrame:
     """rows (split, class_name, path) with their place in their folder, from 0, and the name they get there."""
-    placed = running_total(rows, ["split", "class_name", "path"], name="_at")
-    first = placed.groupBy("split", "class_name").agg(F.min("_at").alias("_first"))
-    placed = placed.join(F.broadcast(first), ["split", "class_name"]).withColumn("ord", (F.col("_at") - F.col("_first")).cast("int")).drop("_at", "_first")
-    return placed.withColumn("output_name", F.concat(zero_padded(F.col("ord")), F.lit("_"), basename(F.col("path")))).select(*rows.columns, "ord", "output_name")
+    at, first = fresh(rows.columns, "_at", "_first")
+    placed = running_total(rows, ["split", "class_name", "path"], name=at)
+    starts = placed.groupBy("split", "class_name").agg(F.min(at).alias(first))
+    placed = placed.join(F.broadcast(starts), ["split", "class_name"]).withColumn("ord", (F.col(at) - F.col(first)).cast("int"))
+    name = F.concat(zero_padded(F.col("ord")), F.lit("_"), basename(F.col("path")))
+    return placed.select(*(f"`{c}`" for c in rows.columns if c not in ("ord", "output_name")), "ord", name.alias("output_name"))
+
+
+def clear_splits(spark: SparkSession, path: str) -> list[str]:
+    """Remove the folders of the three splits below path, plain (train) or of a partitioned table (split=train), and nothing else."""
+    gone = []
+    for split in SPLITS:
+        for name in (split, f"split={split}"):
+            target, store = hadoop_path(spark, check_inside(f"{path.rstrip('/')}/{name}", path))
+            if store.exists(target) and store.delete(target, True):
+                gone.append(name)
+    return gone
 
 
 def write_splits(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A table partitioned by split and class; overwriting replaces the partitions that come, so no stale rows stay."""
-    named = with_output_names(rows)
-    twice = named.groupBy("split", "class_name", F.lower("output_name").alias("name")).count().where("count > 1").limit(1).count()
-    if twice:
+    """A table partitioned by split and class. Overwriting clears the folders of all three splits first, and only these.
+
+    Rows are named and checked as a table of their own before anything is cleared, so rows may come from that very path.
+    """
+    named = materialise(with_output_names(rows), "splits")
+    twice = named.groupBy("split", "class_name", F.lower("output_name").alias("name")).count().where("count > 1")
+    if not twice.isEmpty():
         raise CurationError("two rows would get one name")
-    writer = named.write.partitionBy("split", "class_name").mode("overwrite" if overwrite else "errorifexists")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    target, store = hadoop_path(rows.sparkSession, path)
+    if store.exists(target):
+        if not overwrite:
+            raise CurationError(f"{path} is there already")
+        clear_splits(rows.sparkSession, path)
+    named.write.partitionBy("split", "class_name").mode("append").parquet(path)
 
 
 def quarantine(rows: DataFrame, path: str) -> None:
