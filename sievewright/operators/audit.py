@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLASSES, NEAR_THRESHOLDS, SPLITS
+from ..config import CLASSES, SPLITS
+from ..functions.names import fresh
 from ..functions.text import component_id, stem
 from ..session import materialise
 from .dedup import near_join
@@ -81,10 +82,14 @@ def _across(pair: tuple[str, str], left: str, right: str) -> Column:
     return (has(left, a) & has(right, b)) | (has(left, b) & has(right, a))
 
 
-def _pairs_across(values: DataFrame, threshold: int, bits: int) -> DataFrame:
+#: The limits at which least distances are sought.
+RISING = (3, 7, 15, 19, 23, 31, 63)
+
+
+def _pairs_across(values: DataFrame, threshold: int, bits: int, n: int | None = None) -> DataFrame:
     """(s, t, distance) of near hashes, equal ones included, that lie in different splits."""
     left, right = values, values.select(F.col("h").alias("g"), F.col("s").alias("t"))
-    near = near_join(left, right, threshold, bits=bits).where(F.col("h") <= F.col("g"))
+    near = near_join(left, right, threshold, bits=bits, n=n).where(F.col("h") <= F.col("g"))
     return near.where(F.bit_count(F.col("s").bitwiseOR(F.col("t"))) > 1).select("s", "t", "distance")
 
 
@@ -92,17 +97,19 @@ def min_cross_distance(rows: DataFrame, value: str = "hash", split: str = "split
     """(pair, distance): least Hamming distance between splits, -1 where one is empty.
 
     Limits rise and stop at the first that finds a pair: the least distance is then the least of those found. Where
-    hashes lie close, as they do in large tables, that is a banded join at a small limit, never all pairs.
+    hashes lie close, as they do in large tables, that is a banded join at a small limit; a large table without any
+    near pair across its splits is refused by the join instead of being run as all pairs.
     """
     values = materialise(_in_splits(rows, value, split), "cross-values")
-    sides = values.agg(*(F.bool_or(F.col("s").bitwiseAND(1 << i) > 0).alias(x) for i, x in enumerate(SPLITS))).first()
+    sides = values.agg(F.count("*").alias("n"), *(F.bool_or(F.col("s").bitwiseAND(1 << i) > 0).alias(x) for i, x in enumerate(SPLITS))).first()
     least: dict[tuple[str, str], int] = {p: -1 for p in PAIRS if not (sides[p[0]] and sides[p[1]])}
-    for limit in NEAR_THRESHOLDS:
+    for limit in RISING:
         wanted = [p for p in PAIRS if p not in least]
         if not wanted:
             break
-        found = _pairs_across(values, limit, bits).agg(*(F.min(F.when(_across(p, "s", "t"), F.col("distance"))).alias("|".join(p)) for p in wanted)).first()
+        found = _pairs_across(values, limit, bits, sides["n"]).agg(*(F.min(F.when(_across(p, "s", "t"), F.col("distance"))).alias("|".join(p)) for p in wanted)).first()
         least |= {p: int(found["|".join(p)]) for p in wanted if found["|".join(p)] is not None}
+    least = {p: bits for p in PAIRS} | least  # beyond the last limit all bits differ
     rows_ = [("|".join(p), least[p]) for p in PAIRS]
     return rows.sparkSession.createDataFrame(rows_, "pair string, distance bigint")
 
@@ -165,8 +172,9 @@ def extras_like_manifest(manifest: DataFrame, disk: DataFrame, threshold: int, k
 
 def unreadable_files(manifest: DataFrame, disk: DataFrame, key: str = "path") -> DataFrame:
     """Files of the manifest that are there but have no hash (a left join: a file that is missing is not unreadable)."""
-    both = manifest.select(key).join(disk.select(key, "hash", F.lit(True).alias("_there")), key, "left")
-    return both.where(F.col("_there") & F.col("hash").isNull()).select(key)
+    (there,) = fresh((key, "hash"), "_there")
+    both = manifest.select(key).join(disk.select(key, "hash", F.lit(True).alias(there)), key, "left")
+    return both.where(F.col(there) & F.col("hash").isNull()).select(key)
 
 
 def revalidation_checks(manifest: DataFrame, disk: DataFrame, quotas: dict[str, int], threshold: int, *, bits: int = 64) -> DataFrame:

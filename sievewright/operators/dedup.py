@@ -7,9 +7,11 @@ adaptive execution can split where one digest holds much of the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,12 @@ from ..functions.arrays import hamming
 from ..functions.names import fresh
 from ..session import materialise
 
-#: Most probes of one hash.
-MAX_PROBES = 20_000
+#: Most rows that one hash puts into a shuffle, on both sides together, where a limit can be kept within that.
+MAX_ROWS = 64
+#: How many comparisons of a joined pair a shuffled row is worth.
+ROW_COST = 40
+#: Comparisons from which a join is refused.
+MAX_COMPARISONS = 10**15
 
 
 def split_priority(split: Column) -> Column:
@@ -87,15 +93,23 @@ def dedup_stats(candidates: DataFrame, survivors: DataFrame) -> DataFrame:
 def simhash_table(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
     """(key, hash): the sign of the sum, over distinct words, of each bit of their digests.
 
-    One pass of conditional sums instead of a row per word and bit; words are digested outside lambdas, where it is compiled.
+    One pass of sums instead of a row per word and bit. A sum counts two bits of the digests, one in each half of a
+    long, so that there are half as many and what is compiled stays small.
     """
-    words = docs.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[ \n\t\r]+"))).alias("w")).where("w <> ''")
+    half = (bits + 1) // 2
+    plain = F.lower(F.col(text))
+    for c in "\n\t\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    words = docs.select(key, F.explode(F.array_distinct(F.split(plain, " "))).alias("w")).where("w <> ''")
     words = words.select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, bits // 4), 16, 10).cast("bigint").alias("h"))
-    votes = [F.sum(F.shiftright("h", bits - 1 - i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(bits)]
+    pair = F.lit(1 | 1 << half)
+    ones = [F.sum(F.shiftright("h", i).bitwiseAND(pair)).alias(f"b{i}") for i in range(half)]
     value = F.lit(0).cast("bigint")
-    for i in range(bits):
-        value = value + F.when(F.col(f"b{i}") > 0, F.lit(1 << (bits - 1 - i))).otherwise(F.lit(0).cast("bigint"))
-    return words.groupBy(key).agg(*votes).select(key, value.alias("hash"))
+    for bit in range(bits):
+        sums = F.col(f"b{bit % half}")
+        count = F.shiftright(sums, half) if bit >= half else sums.bitwiseAND(F.lit((1 << half) - 1))
+        value = value + F.when(count * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0).cast("bigint"))
+    return words.groupBy(key).agg(F.count("*").alias("n"), *ones).select(key, value.alias("hash"))
 
 
 def check_threshold(threshold: int) -> None:
@@ -103,25 +117,48 @@ def check_threshold(threshold: int) -> None:
         raise CurationError(f"the distance limit must be one of {NEAR_THRESHOLDS}, so that 64 bits part into equal bands")
 
 
-def probe_plan(threshold: int, bits: int, n: int) -> tuple[int, int]:
-    """(bands, flips): how many bands, and how many flipped bits of a band are probed.
+class Band(NamedTuple):
+    """Bits of a hash, from ``shift`` on, and how many of them a probe may flip."""
 
-    Of m bands of two hashes within t bits, one differs by t // m bits at most. Fewer, wider bands cost more probes and
-    give fewer chance candidates, so the sum of both for n random hashes decides. The result is the same either way.
+    shift: int
+    width: int
+    flips: int
+
+    @property
+    def probes(self) -> int:
+        return sum(comb(self.width, k) for k in range(self.flips + 1))
+
+
+def probe_plan(threshold: int, bits: int, n: int) -> list[Band]:
+    """Bands in which any two hashes within the limit meet, one of them probing with a few bits flipped.
+
+    Of bands that allow f1, f2 ... flips, two hashes differ by no more than that in one of them if the (f + 1) sum up to
+    the limit + 1. Few, wide bands with flips cost rows in the shuffle, many narrow ones cost comparisons of chance
+    candidates; both together, for n random hashes, decide, with at most MAX_ROWS rows a hash. So at 60 bits a limit of
+    3 takes up to 64 rows and less than 60 comparisons a hash at 10^9 hashes. A limit of 7 takes 49 rows but some
+    6 * 10^6 comparisons there: wider bands would save these for a shuffle of thousands of rows a hash, which is worse.
+    The result is the same whichever plan is taken.
     """
 
-    def cost(m: int) -> float:
-        width, flips = -(-bits // m), threshold // m
-        probes = m * sum(comb(width, k) for k in range(flips + 1))
-        return probes + n * probes / 2 ** (bits // m)
+    def plans() -> Iterator[list[Band]]:
+        for m in range(1, min(threshold + 1, bits) + 1):
+            flips, more = divmod(threshold + 1, m)
+            for extra in range(9 if more else 1):  # bits by which a band with one more flip is wider
+                base, rest = divmod(bits - more * extra, m)
+                widths = [base + (i < rest) + (extra if i < more else 0) for i in range(m)]
+                if base > 0:
+                    yield [Band(sum(widths[:i]), w, flips - 1 + (i < more)) for i, w in enumerate(widths)]
 
-    return min(((cost(m), m, threshold // m) for m in range(1, threshold + 2) if m * sum(comb(-(-bits // m), k) for k in range(threshold // m + 1)) <= MAX_PROBES))[1:]
+    def rows(plan: list[Band]) -> int:
+        return sum(b.probes + 1 for b in plan)
 
+    fit = [x for x in plans() if rows(x) <= MAX_ROWS] or [min(plans(), key=rows)]
+    return min(fit, key=lambda x: rows(x) * ROW_COST + comparisons(x, n))
 
-def _bands(bits: int, m: int) -> list[tuple[int, int]]:
-    """(shift, width) of m bands that cover the bits."""
-    cuts = [round(i * bits / m) for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+def comparisons(plan: list[Band], n: int) -> float:
+    """Chance candidates of a hash among n random ones."""
+    return n * sum(b.probes / 2**b.width for b in plan)
 
 
 def _part(value: Column, shift: int, width: int) -> Column:
@@ -134,34 +171,36 @@ def near_join(left: DataFrame, right: DataFrame, threshold: int, *, bits: int =
     Hashes use their lowest ``bits`` bits. Right rows stand in every band by their own bits, left rows also by those
     with a few of them flipped (``probe_plan``). A pair that meets in several bands counts in the first, so nothing
     has to be made distinct afterwards. Both sides are shuffled by band, a join that adaptive execution may split.
-    There is no way of this kind that stays far below all pairs for limits of a quarter of the bits (15 of 60).
+    There is no way of this kind that stays far below all pairs for limits of a quarter of the bits (15 of 60): a join
+    of more than MAX_COMPARISONS is refused.
     """
     if n is None:
         n = max(left.count(), right.count())
-    m, flips = probe_plan(threshold, bits, n)
-    bands = _bands(bits, m)
+    plan = probe_plan(threshold, bits, n)
+    if n * comparisons(plan, n) > MAX_COMPARISONS:
+        raise CurationError(f"a limit of {threshold} of {bits} bits is too wide for {n} hashes: {n * comparisons(plan, n):.0e} comparisons")
     probes, stands = [], []
-    for i, (shift, width) in enumerate(bands):
+    for i, (shift, width, flips) in enumerate(plan):
         masks = [sum(1 << b for b in chosen) for k in range(flips + 1) for chosen in combinations(range(width), k)]
         masks = F.expr("array(" + ",".join(f"{x if x < 1 << 63 else x - (1 << 64)}L" for x in masks) + ")")
         part = lambda c: _part(F.col(c), shift, width)  # noqa: B023, E731
         entry = lambda p: F.struct(F.lit(i).alias("band"), p.alias("part"))  # noqa: B023, E731
         probes.append(F.transform(masks, lambda x: entry(part("h").bitwiseXOR(x))))  # noqa: B023
         stands.append(entry(part("g")))
-    asking = left.withColumn("_probe", F.explode(F.concat(*probes))).withColumns({"_band": F.col("_probe.band"), "_part": F.col("_probe.part")}).drop("_probe")
-    standing = right.withColumn("_probe", F.explode(F.array(*stands))).withColumns({"_band": F.col("_probe.band"), "_part": F.col("_probe.part")}).drop("_probe")
+    probe, band, bits_there = fresh((*left.columns, *right.columns), "_probe", "_band", "_bits")
+    dealt = lambda df, entries: df.withColumn(probe, F.explode(entries)).withColumns({band: F.col(f"{probe}.band"), bits_there: F.col(f"{probe}.part")}).drop(probe)
     differs = F.col("h").bitwiseXOR(F.col("g"))
     earlier = F.lit(True)
-    for i, (shift, width) in enumerate(bands[:-1]):
-        earlier = earlier & ((F.col("_band") <= i) | (F.bit_count(_part(differs, shift, width)) > flips))
-    both = asking.join(standing, ["_band", "_part"]).withColumn("distance", hamming(F.col("h"), F.col("g")))
-    return both.where((F.col("distance") <= threshold) & earlier).drop("_band", "_part")
+    for i, (shift, width, flips) in enumerate(plan[:-1]):
+        earlier = earlier & ((F.col(band) <= i) | (F.bit_count(_part(differs, shift, width)) > flips))
+    both = dealt(left, F.concat(*probes)).join(dealt(right, F.array(*stands)), [band, bits_there]).withColumn("distance", hamming(F.col("h"), F.col("g")))
+    return both.where((F.col("distance") <= threshold) & earlier).drop(band, bits_there)
 
 
 def banded_pairs(values: DataFrame, threshold: int, key: str = "key", value: str = "hash", *, bits: int = 64) -> DataFrame:
     """(a, b, distance) with a < b of all keys within threshold bits.
 
-    Keys with equal values multiply; collapse them first where they may be many (``near_survivors`` does).
+    Keys with equal values multiply: this is for values that are distinct or nearly so; else see ``collapsed_pairs``.
     """
     check_threshold(threshold)
     left = values.where(F.col(value).isNotNull()).select(F.col(key).alias("a"), F.col(value).alias("h"))
@@ -169,20 +208,39 @@ def banded_pairs(values: DataFrame, threshold: int, key: str = "key", value: str
     return near_join(left, right, threshold, bits=bits, n=left.count()).where(F.col("a") < F.col("b")).select("a", "b", "distance")
 
 
+def collapsed_pairs(values: DataFrame, threshold: int, key: str = "key", value: str = "hash", *, bits: int = 64) -> DataFrame:
+    """(a, b, distance) that link the same keys as ``banded_pairs``, in rows that grow with the keys, not their square.
+
+    The least key of each value stands for it: it has a pair with every other key of the value, at distance 0, and the
+    pairs with those that stand for near values.
+    """
+    check_threshold(threshold)
+    rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("h"))
+    nodes = materialise(rows.groupBy("h").agg(F.min("k").alias("k")), "near-values")
+    near = banded_pairs(nodes, threshold, "k", "h", bits=bits)
+    copies = rows.join(nodes.select("h", F.col("k").alias("first")), "h").where(F.col("k") != F.col("first"))
+    return near.unionByName(copies.select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance")))
+
+
 def greedy_survivors(pairs: DataFrame) -> DataFrame:
     """(key, kept) for every key in pairs (earlier, later): kept unless an earlier kept key is its neighbour.
 
     Not components: what is dropped drops nothing. Each round keeps the keys that are nobody's later one and drops
-    their neighbours; pairs with a decided end leave. Rounds are tables in the shared folder, and shrink.
+    their neighbours; pairs with a decided end leave. A round is one table in the shared folder, and they shrink: which
+    keys it drops follows from the table alone.
     """
+
+    def dropped(now: DataFrame) -> DataFrame:
+        heads = now.select("earlier").distinct().join(now.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
+        return now.join(heads, "earlier", "left_semi").select("later").distinct()
+
     now = materialise(pairs.select("earlier", "later").distinct(), "greedy-pairs")
     keys = now.select(F.explode(F.array("earlier", "later")).alias("key")).distinct()
     rounds = []
     while not now.isEmpty():
-        heads = now.select("earlier").distinct().join(now.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti")
-        dropped = materialise(now.join(heads, "earlier", "left_semi").select("later").distinct(), "greedy-dropped")
-        rounds.append(dropped)
-        left = now.join(dropped, "later", "left_anti").join(dropped.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
+        gone = dropped(now)
+        rounds.append(gone)
+        left = now.join(gone, "later", "left_anti").join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
         now = materialise(left.select("earlier", "later"), "greedy-pairs")
     if not rounds:
         return keys.withColumn("kept", F.lit(True))

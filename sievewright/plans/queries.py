@@ -243,7 +243,8 @@ def band_keys(spark, d):
 
 @query
 def hamming_pairs_banded(spark, d):
-    return dedup.banded_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 3, bits=HASH_BITS)
+    """Pairs of those that stand for their hash, and of these with the copies of it."""
+    return dedup.collapsed_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 3, bits=HASH_BITS)
 
 
 @query
@@ -275,7 +276,7 @@ def dedup_stats(spark, d):
 
 @query
 def connected_components_near(spark, d):
-    edges = dedup.banded_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 7, bits=HASH_BITS)
+    edges = materialise(dedup.collapsed_pairs(hashed_pool(spark, d).select(F.col("doc_id").alias("key"), "hash"), 7, bits=HASH_BITS), "near-edges")
     return connected_components(edges, "a", "b")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sievewright.config import CurationError
 from sievewright.operators.audit import min_cross_distance, near_across_splits, revalidation_checks, verdict
-from sievewright.operators.dedup import banded_pairs, dedup_stats, exact_survivors, greedy_survivors, near_join, near_survivors, probe_plan
+from sievewright.operators.dedup import MAX_ROWS, banded_pairs, collapsed_pairs, comparisons, dedup_stats, exact_survivors, greedy_survivors, near_join, near_survivors, probe_plan
 from sievewright.operators.frequent import most_frequent
 from sievewright.operators.ordered import running_total
 from sievewright.operators.sampling import first_rows, in_batches
@@ -34,10 +34,43 @@ def test_near_join_equals_all_pairs(spark, bits, threshold, n):
     assert got == sorted(want)
 
 
-def test_plan_widens_bands_as_tables_grow():
-    assert probe_plan(3, 60, 10) == (4, 0) and probe_plan(3, 60, 10**8)[0] < 4
-    bands, flips = probe_plan(7, 60, 10_000)
-    assert bands < 8 and flips == 7 // bands
+def test_plans_keep_to_their_rows_and_widen_as_tables_grow():
+    assert [(b.width, b.flips) for b in probe_plan(3, 60, 10)] == [(15, 0)] * 4
+    for threshold, bits in ((0, 64), (1, 64), (3, 60), (3, 63), (3, 64), (7, 60), (7, 63), (7, 64), (15, 60)):
+        last = None
+        for n in (10, 10_000, 10**6, 10**9):
+            plan = probe_plan(threshold, bits, n)
+            assert sum(b.probes + 1 for b in plan) <= MAX_ROWS
+            assert sum(b.flips + 1 for b in plan) == threshold + 1 and sum(b.width for b in plan) == bits
+            assert [b.shift for b in plan] == [sum(x.width for x in plan[:i]) for i in range(len(plan))]
+            assert last is None or len(plan) <= last
+            last = len(plan)
+    assert comparisons(probe_plan(3, 60, 10**9), 10**9) < 100 and comparisons(probe_plan(7, 60, 10**9), 10**9) < 10**7
+
+
+def test_joins_that_are_all_pairs_at_scale_are_refused(spark):
+    one = spark.createDataFrame([(1, 1)], "a int, h bigint")
+    with pytest.raises(CurationError, match="too wide"):
+        near_join(one, one.toDF("b", "g"), 15, bits=60, n=10**9)
+
+
+def test_collapsed_pairs_link_the_same_keys(spark):
+    hashes = close_hashes(60, 30, 5)
+    rows = [(i, h) for i, h in enumerate(hashes * 4)] + [(1000, None)]
+    frame = spark.createDataFrame(rows, "key int, hash bigint")
+    got = [(r["a"], r["b"], r["distance"]) for r in collapsed_pairs(frame, 7, bits=60).collect()]
+    every = {(r["a"], r["b"], r["distance"]) for r in banded_pairs(frame, 7, bits=60).collect()}
+    assert set(got) <= every and len(got) == len(set(got)) < len(every) / 4
+
+    def parts(pairs):
+        root = {i: i for i, _ in rows}
+        for a, b, *_ in sorted(pairs) * 3:
+            low = min(root[a], root[b])
+            old = {root[a], root[b]}
+            root = {k: low if v in old else v for k, v in root.items()}
+        return root
+
+    assert parts(got) == parts(every)
 
 
 def test_nulls_and_equal_hashes(spark):
@@ -67,6 +100,8 @@ def test_distance_between_splits(spark):
         assert d == min((x ^ y).bit_count() for s, x in rows for t, y in rows if (s, t) == (a, b))
     for limit in (0, 3, 7):
         assert near_across_splits(frame, limit, bits=60).first()[0] == (min(got.values()) > limit)
+    far = [("train", 0), ("validation", -1), ("test", -1)]  # all 64 bits differ
+    assert [r["distance"] for r in min_cross_distance(spark.createDataFrame(far, "split string, hash bigint")).collect()] == [64, 64, 0]
     alone = {r["pair"]: r["distance"] for r in min_cross_distance(spark.createDataFrame([("train", 1), ("test", 1), ("test", 6)], "split string, hash bigint")).collect()}
     assert alone == {"train|validation": -1, "train|test": 0, "validation|test": -1}
 
