@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.functions.names import fresh
 from sievewright.llm.decontaminate import decontaminate
 from sievewright.llm.mixing import mix_sources
 from sievewright.llm.quality import quality_rules
@@ -34,39 +35,43 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that pass the quality rules."""
     # A filter would be pushed below the columns it is made of and have them worked out twice; a row number, which
     # no filter may pass, keeps it above them.
-    judged = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id())
-    return _as_before(judged.where(F.col("quality.kept") & (F.col("_row") >= 0)), docs)
+    row, verdict = fresh(docs.columns, "_row", "quality")
+    judged = quality_rules(docs, name=verdict).withColumn(row, F.monotonically_increasing_id())
+    return _as_before(judged.where(F.col(f"{verdict}.kept") & (F.col(row) >= 0)), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shared shingles, the one with the smallest id; of rows of one id, one text, once."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    ident = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.pmod(key, F.lit(1 << 61)))
-    keyed = docs.withColumns({"_id": ident, "_key": key})
-    groups = near_duplicate_groups(keyed.select(F.col("_id").alias("doc_id"), "text"))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    ident, key, n_rows = fresh(docs.columns, "_id", "_key", "_rows")
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.pmod(hashed, F.lit(1 << 61)))
+    keyed = docs.withColumns({ident: number, key: hashed})
+    groups = near_duplicate_groups(keyed.select(F.col(ident).alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(ident)).agg(F.count("*").alias(n_rows))
     # Most ids have one row; only where there are more is it asked which text and which of equal rows stays.
     first = materialise(first, "near-first")
-    left = keyed.join(first, "_id")
-    if first.where(F.col("_rows") > 1).isEmpty():
+    left = keyed.join(first, ident)
+    if first.where(F.col(n_rows) > 1).isEmpty():
         return _as_before(left, docs)
-    many = left.where(F.col("_rows") > 1)
-    chosen = many.groupBy("_id").agg(F.min("_key").alias("_key"))
-    one = many.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-    return _as_before(left.where(F.col("_rows") == 1).unionByName(one), docs)
+    many = left.where(F.col(n_rows) > 1)
+    chosen = many.groupBy(ident).agg(F.min(key).alias(key))
+    one = many.join(chosen, [ident, key], "left_semi").dropDuplicates([ident, key])
+    return _as_before(left.where(F.col(n_rows) == 1).unionByName(one), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_key"])
+    ident, key = fresh(docs.columns, "_id", "_key")
+    found = found.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key))
+    same = docs["doc_id"].eqNullSafe(found[ident]) & (F.xxhash64(docs["text"]) == found[key])
     return _as_before(docs.join(found, same, "left_anti"), docs)
 
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their shares."""
-    return _as_before(mix_sources(docs).where("mix.sampled"), docs)
+    (mix,) = fresh(docs.columns, "mix")
+    return _as_before(mix_sources(docs, name=mix).where(f"{mix}.sampled"), docs)
 
 
 def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..session import materialise
 from .columns import spaced
 
@@ -143,15 +144,14 @@ def residuals(fitted: DataFrame, share: float = SHARE, given: Mapping[str, Mappi
 
 
 def _rows_and_cells(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """docs with their cell and tokens, the table of cells, and the names of the cell's columns in docs."""
+    """docs with their cell and tokens, the table of cells, and the names of the cell's columns and of the tokens in docs."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.drop("mix").withColumn("_mix_tokens", token_count(F.col("text")))
-    topic = named("topic") if "topic" in docs.columns else topic_of(text, F.col("_mix_tokens"))
-    rows = rows.withColumns({"_mix_source": named("source"), "_mix_lang": named("lang"), "_mix_topic": topic})
-    keys = [f"_mix_{d}" for d in DIMENSIONS]
-    cells = rows.groupBy(*(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS))).agg(F.sum("_mix_tokens").alias("tokens"))
-    return rows, materialise(cells, "mix-cells"), keys
+    *keys, tokens = fresh(docs.columns, *(f"_mix_{x}" for x in (*DIMENSIONS, "tokens")))
+    rows = docs.withColumn(tokens, token_count(F.col("text")))
+    topic = named("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")), F.col(tokens))
+    rows = rows.withColumns(dict(zip(keys, (named("source"), named("lang"), topic))))
+    cells = rows.groupBy(*(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS))).agg(F.sum(tokens).alias("tokens"))
+    return rows, materialise(cells, "mix-cells"), [*keys, tokens]
 
 
 def _fit(cells: DataFrame, share: float, targets: Mapping[str, Mapping[str, float]] | None, max_cells: int) -> tuple[DataFrame, bool]:
@@ -176,22 +176,30 @@ def mix_sources(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     seed: int = 42,
     max_cells: int = MAX_CELLS,
+    strict: bool = False,
+    name: str = "mix",
 ) -> DataFrame:
-    """docs with a struct ``mix``: source, lang, topic, n_tokens, weight, probability, sampled."""
-    rows, cells, keys = _rows_and_cells(docs)
+    """docs with a struct, ``mix`` unless it is given another name: source, lang, topic, n_tokens, weight, probability, sampled.
+
+    Targets that can't be met are warned of, or with ``strict`` refused.
+    """
+    rows, cells, (*keys, tokens) = _rows_and_cells(docs)
+    (p,) = fresh(rows.columns, "_mix_p")
     text = F.coalesce(F.col("text"), F.lit(""))
     fitted, few = _fit(cells, share, targets, max_cells)
     missed = residuals(fitted, share, targets).where(F.col("off") > OFF).orderBy(F.desc("off")).limit(5).collect()
     if missed:
         said = ", ".join(f"{r['dimension']} {r['value']} by {100 * r['off']:.1f} %" for r in missed)
+        if strict:
+            raise ValueError(f"targets that can't be met: {said}")
         warnings.warn(f"targets that can't be met: {said}", stacklevel=2)
-    fitted = (F.broadcast(fitted) if few else fitted).select(*(F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)), F.col("p").alias("_mix_p"))
+    fitted = (F.broadcast(fitted) if few else fitted).select(*(F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)), F.col("p").alias(p))
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
     mix = F.struct(
         *(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS)),
-        F.col("_mix_tokens").alias("n_tokens"),
-        (F.col("_mix_p") / F.lit(share)).alias("weight"),
-        F.col("_mix_p").alias("probability"),
-        (drawn < F.col("_mix_p")).alias("sampled"),
+        F.col(tokens).alias("n_tokens"),
+        (F.col(p) / F.lit(share)).alias("weight"),
+        F.col(p).alias("probability"),
+        (drawn < F.col(p)).alias("sampled"),
     )
-    return rows.join(fitted, keys).select(*(F.col(f"`{c}`") for c in docs.columns if c != "mix"), mix.alias("mix"))
+    return rows.join(fitted, keys).select(*(F.col(f"`{c}`") for c in docs.columns if c != name), mix.alias(name))

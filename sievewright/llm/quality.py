@@ -9,8 +9,8 @@ no Python, so it runs at the speed of the scan at any size.
 Defined cases: null or empty text has no words, hence fails the base rules; a text of null or unknown language has no
 reference, so it is judged by the base rules alone and its distances are 0; regions and scripts of a language code
 ("en-GB", "de_AT") play no part; repeated rows each get their row; texts of any length are judged whole, in n log n;
-an empty table gives an empty result; other columns of the input are kept, but a column named ``quality`` gives way to
-the result.
+an empty table gives an empty result; other columns of the input are kept, whatever their names, but one of the
+result's name (``quality``) gives way to it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from .columns import grams, let, spaced
 
 # Shares of character classes in ordinary prose
@@ -138,6 +139,9 @@ def common_references() -> dict[str, Column]:
     return {k: _literal([s * p for p in BAND_PARTS] + [1 - s]) for k, s in COMMON_SHARE.items()}
 
 
+STEPS = ("n", "text", "rest", "lang", "words", "lines", "hashes", "classes", "common", "pieces", "space", "distinct", "repeat", "failed", "class_js", "common_js")
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -148,21 +152,21 @@ def quality_rules(
     max_distance: float = MAX_DISTANCE,
     min_class_chars: int = 200,
     min_common_words: int = 50,
+    name: str = "quality",
 ) -> DataFrame:
-    """docs with a struct column ``quality`` of counts, distances and the verdict (its fields are in the select below)."""
-    n_words, text, rest, lang, words = (F.col(f"_quality_{x}") for x in ("n", "text", "rest", "lang", "words"))
-    lines, hashes, classes, common = (F.col(f"_quality_{x}") for x in ("lines", "hashes", "classes", "common"))
-    named = lambda **columns: {f"_quality_{k}": v for k, v in columns.items()}
+    """docs with a struct column, ``quality`` unless it is given another name, of counts, distances and the verdict (its fields are in the select below)."""
+    own = dict(zip(STEPS, fresh(docs.columns, *(f"_quality_{x}" for x in STEPS))))  # names that docs has not
+    n_words, text, rest, lang, words, lines, hashes, classes, common, pieces, space, distinct, repeat, failed, class_js, common_js = (F.col(own[x]) for x in STEPS)
+    named = lambda **columns: {own[k]: v for k, v in columns.items()}
     # Columns in steps, not lambdas, wherever that will do: outside lambdas the functions are compiled.
     out = docs.withColumns(named(text=F.coalesce(F.col(text_col), F.lit("")), lang=F.lower(F.regexp_extract(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "^[^-_]*", 0))))
     out = out.withColumns(named(pieces=F.split(spaced(text), " "), lines=F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), rest=_remainder(text)))
     # Each space parts two pieces, empty ones included, so their number gives the white space.
-    out = out.withColumns(named(words=F.array_remove("_quality_pieces", ""), space=F.size("_quality_pieces") - 1))
+    out = out.withColumns(named(words=F.array_remove(pieces, ""), space=F.size(pieces) - 1))
     out = out.withColumns(named(hashes=grams(words, WINDOW), n=F.size(words), common=_shares(_common_histogram(words, lang))))
-    n_chars, n_space = F.char_length(text), F.col("_quality_space")
+    n_chars, n_space = F.char_length(text), space
     out = out.withColumns(named(distinct=F.array_distinct(hashes), classes=_shares(_class_histogram(n_chars, rest, n_space))))
-    repeat, failed, class_js, common_js = (F.col(f"_quality_{x}") for x in ("repeat", "failed", "class_js", "common_js"))
-    out = out.withColumns(named(repeat=repeated_words(hashes, F.col("_quality_distinct"))))
+    out = out.withColumns(named(repeat=repeated_words(hashes, distinct)))
     against_class = _by_language(lang, {k: divergence(classes, v) for k, v in class_references().items()}, F.lit(0.0))
     against_common = _by_language(lang, {k: divergence(common, v) for k, v in common_references().items()}, F.lit(0.0))
     out = out.withColumns(
@@ -183,4 +187,4 @@ def quality_rules(
         F.sqrt(F.greatest(common_js, F.lit(0.0))).alias("common_distance"),
         (~failed & (class_js + common_js <= max_distance**2)).alias("kept"),
     )
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != "quality"), verdict.alias("quality"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c != name), verdict.alias(name))

@@ -14,7 +14,7 @@ from sievewright.llm.sharding import assign_shards
 from sievewright.llm.similarity import near_duplicate_groups
 from sievewright.llm.warc import round_trip
 
-CLASHES = ["lines", "words", "n", "node", "token", "part", "id", "line", "row", "word", "mix", "quality", "slot", "shard", "score", "fp", "length", "item_id", "place", "html_", "tokens", "p", "h1", "holder", "text_key", "licenses"]
+CLASHES = ["lines", "words", "n", "node", "token", "part", "id", "line", "row", "word", "mix", "quality", "slot", "shard", "score", "fp", "length", "item_id", "place", "html_", "tokens", "p", "h1", "holder", "text_key", "licenses", "_row", "_id", "_key", "_rows", "_quality_n", "_QUALITY_TEXT", "_mix_tokens", "_mix_p", "_held", "_part"]
 
 
 @pytest.fixture(scope="module")
