@@ -23,6 +23,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -38,6 +39,7 @@ BATCHES = 4
 FANOUT = 2
 KEY = ["h1", "h2"]
 LAST = 2**63 - 1
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _DDL = "h1 bigint, h2 bigint, holder bigint, latest bigint"
 
 
@@ -47,8 +49,7 @@ class LineStore:
     def __init__(self, spark: SparkSession, folder: str, *, buckets: int | None = None, fanout: int = FANOUT):
         """Opens the store in the folder, or begins one there with so many buckets (the session's shuffle partitions by default)."""
         self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
-        # A bucket of a run is one sorted file; Spark takes its order as given only with this setting.
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.tables: list[str] = []
         found = self._states()
         state = json.loads("".join(r[0] for r in spark.read.text(f"{self.folder}/state-{found[-1]:06d}").collect())) if found else {}
         self.number = found[-1] if found else 0
@@ -66,6 +67,25 @@ class LineStore:
         state = json.dumps({"buckets": self.buckets, "levels": self.levels})
         self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.folder}/state-{self.number:06d}")
 
+    @contextmanager
+    def _planned(self) -> Iterator[None]:
+        """Within it, runs are tables of the catalogue whose order Spark takes as given; afterwards nothing of that is left.
+
+        A bucket of a run is one sorted file, and only with a setting of the session is it read as such.
+        """
+        before = self.spark.conf.get(ORDERED, None)
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            yield
+        finally:
+            for name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay
+            self.tables.clear()
+            if before is None:
+                self.spark.conf.unset(ORDERED)
+            else:
+                self.spark.conf.set(ORDERED, before)
+
     def write(self, rows: DataFrame, label: str) -> str:
         """Rows by key, as a table in the store's buckets and order; returns its name in the folder."""
         name = f"{label}-{uuid.uuid4().hex}"
@@ -76,18 +96,23 @@ class LineStore:
         return name
 
     def read(self, name: str) -> DataFrame:
-        """A table of the store, with its buckets and order known to the planner."""
+        """A table of the store, with its buckets and order known to the planner; for use within ``_planned``."""
         table = f"sievewright_lines_{uuid.uuid4().hex}"
         clause = f"CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS"
+        self.tables.append(table)
         self.spark.sql(f"CREATE TABLE {table} ({_DDL}) USING parquet {clause} LOCATION '{self.folder}/{name}'")
         return self.spark.table(table)
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Adds a batch: keys (h1, h2, holder, latest), a row a key, latest its largest id there.
 
-        Returns those of them that some document of the batch loses, with the holder that counts. Full levels are
-        merged before a batch, not after it, so no run is merged that nothing reads.
+        Returns those of them that some document of the batch loses, with the holder that counts, as a table. Full
+        levels are merged before a batch, not after it, so no run is merged that nothing reads.
         """
+        with self._planned():
+            return materialise(self._add(keys), "losing")
+
+    def _add(self, keys: DataFrame) -> DataFrame:
         while any(len(level) >= self.fanout for level in self.levels):
             self._compact()
         batch = self.read(self.write(keys, "batch"))
@@ -147,7 +172,7 @@ def dropped_lines(docs: DataFrame, *, batches: int = BATCHES, fanout: int = FANO
         batch = batch if high is None else batch.where(F.col("id") <= high)
         keys = batch.groupBy(*KEY).agg(F.min("id").alias("holder"), F.max("id").alias("latest"))
         # Only keys that some document of the batch loses go on to meet its lines.
-        losing = materialise(store.add(keys), "losing")
+        losing = store.add(keys)
         parts.append(batch.join(losing, KEY).where(F.col("id") != F.col("holder")).select("id", "text_key", "line"))
     return reduce(DataFrame.unionByName, parts).groupBy("id", "text_key").agg(F.collect_set("line").alias("lines"))
 

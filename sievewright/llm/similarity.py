@@ -60,7 +60,7 @@ COMMON_AT = 6
 CHUNK = 2_000_000
 #: Sets beyond this size are cut into parts by hash, a power of PARTING of them, for the search of blocks.
 PART_SIZE, PARTING = 768, 4
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 28
 LAST = 2**63 - 1
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -486,32 +486,38 @@ def _prefixes(docs: DataFrame, common) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token bigint, part bigint")
 
 
-def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
+def _bloom_places(ids: np.ndarray, size: int) -> list[np.ndarray]:
     x = _mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return [((x >> np.uint64(s)) % np.uint64(BLOOM_BITS)).astype(np.int64) for s in (0, 20)]
+    return [((x >> np.uint64(s)) % np.uint64(size)).astype(np.int64) for s in (0, 20)]
 
 
-def _bloom(ids: DataFrame) -> DataFrame:
-    """One row per task with the set bits of its ids; their union has a fixed largest size."""
+def _bloom(ids: DataFrame, n: int) -> np.ndarray:
+    """A filter of some 16 bits for each of n ids, up to BLOOM_BITS: words of it are put together by the executors."""
+    size = min(BLOOM_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
         for b in batches:
-            for at in _bloom_places(b.column("id").to_numpy(zero_copy_only=False)):
-                bits[at] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    return ids.mapInArrow(run, "bits binary")
+            at = np.unique(np.concatenate(_bloom_places(b.column("id").to_numpy(zero_copy_only=False), size)))
+            slots, first = np.unique(at >> 6, return_index=True)
+            masks = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(masks.view(np.int64), pa.int64())], ["slot", "mask"])
+
+    words = ids.mapInArrow(run, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["slot"].to_numpy()] = words["mask"].to_numpy()
+    return out
 
 
-def _maybe_wanted(rows: DataFrame, bits) -> DataFrame:
+def _maybe_wanted(rows: DataFrame, words) -> DataFrame:
     """The rows whose id is in the filter, and a few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits.value, np.uint8))
+        bits = words.value.view(np.uint64)
         for b in batches:
-            first, second = _bloom_places(b.column("id").to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array((wanted[first] & wanted[second]).astype(bool)))
+            kept = np.ones(b.num_rows, bool)
+            for at in _bloom_places(b.column("id").to_numpy(zero_copy_only=False), 64 * len(bits)):
+                kept &= (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield b.filter(pa.array(kept))
 
     return rows.mapInArrow(run, "id bigint, text string")
 
@@ -601,10 +607,7 @@ def near_duplicate_groups(docs: DataFrame, *, leaf_nodes: int = LEAF_NODES, comm
     placed = groups.join(sizes, "component").withColumn("leaves", F.ceil(F.col("n_nodes") / leaf_nodes).cast("bigint"))
     placed = materialise(placed.withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves"))), "near-groups")
     wanted = owners.join(placed, "node")
-    bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in _bloom(wanted.select("id").coalesce(8)).toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits.tobytes())
+    sent = spark.sparkContext.broadcast(_bloom(wanted.select("id"), placed.count()))
     texts = _maybe_wanted(rows, sent).join(wanted, "id")
     texts = materialise(texts.select("node", "component", "leaves", "leaf", (F.col("node") == F.col("pivot")).alias("pivot"), "text"), "near-texts")
 

@@ -147,8 +147,10 @@ def test_line_runs_are_merged_without_exchange_or_sort(spark, docs):
     store, lines = LineStore(spark, new_path(spark, "store")), keyed_lines(docs)
     for low in range(0, 60, 15):
         keys = lines.where(f"id >= {low} and id < {low + 15}").groupBy(*KEY).agg(F.min("id").alias("holder"), F.max("id").alias("latest"))
-        losing = store.add(keys)
-    plan = losing._jdf.queryExecution().executedPlan().toString()
+        if low < 45:
+            store.add(keys)
+    with store._planned():
+        plan = store._add(keys)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan
     assert [len(x) for x in store.levels] == [2, 1]  # two batches merged into one run, and two more
 
@@ -168,6 +170,13 @@ def test_line_store_goes_on_in_a_later_session(spark, texts):
     assert LineStore(spark, folder).buckets == 3 and LineStore(spark, folder).number == 6
 
 
+def test_line_store_leaves_no_tables_and_no_setting(spark, docs):
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before, tables = spark.conf.get(setting, None), {t.name for t in spark.catalog.listTables()}
+    assert dedup_lines(docs, batches=5, fanout=2).count() == docs.count()
+    assert spark.conf.get(setting, None) == before and {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_line_dedup_of_nothing(docs):
     assert dedup_lines(docs.limit(0)).count() == 0
 
