@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 POOL = """pool AS (
   SELECT doc_id, 'pool/' || lpad(doc_id::varchar, 9, '0') || '.txt' AS path,
          CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split,
@@ -310,7 +312,51 @@ ORACLES["dct_hashes"] = """WITH n AS (SELECT unnest(range(0, 8)) AS i), px AS (
   FROM (SELECT vec_id, u.i AS u, w.i AS w, sum(v * cos(pi() * (2 * y + 1) * u.i / 16) * cos(pi() * (2 * x + 1) * w.i / 16)) AS s FROM px, n u, n w GROUP BY vec_id, u.i, w.i)
 ), low AS (SELECT vec_id, list(k ORDER BY u, w)[2:64] AS low FROM c GROUP BY vec_id), m AS (SELECT *, list_sort(low)[32] AS med FROM low)
 SELECT vec_id AS key, lpad(lower(hex(list_sum([CASE WHEN low[i] > med THEN (1::bigint << (63 - i)) ELSE 0::bigint END FOR i IN range(1, 64)])::bigint)), 16, '0') AS hash_hex FROM m"""
-ORACLES["pixel_planes"] = "SELECT vec_id, embedding[63]::double / 255.0::double AS r, embedding[62]::double / 255.0::double AS g, embedding[61]::double / 255.0::double AS b FROM embeddings"
+ORACLES["pixel_planes"] = "SELECT vec_id, i::int AS pixel, embedding[3 * i + 3]::double / 255.0::double AS r, embedding[3 * i + 2]::double / 255.0::double AS g, embedding[3 * i + 1]::double / 255.0::double AS b FROM embeddings, (SELECT unnest(range(0, 21)) AS i)"
+
+
+def _weights(name: str, size: int, target: int, kind: str) -> str:
+    """A table (i, j, w): the weight of source place j in target place i."""
+    scale, wide = size / target, max(size / target, 1.0)
+    if kind == "area":
+        raw = f"greatest(least((i + 1) * {scale!r}::double, j + 1) - greatest(i * {scale!r}::double, j), 0)"
+    else:
+        x, sinc = f"((j + 0.5::double - (i + 0.5::double) * {scale!r}::double) / {wide!r}::double)", "CASE WHEN {0} = 0 THEN 1 ELSE sin(pi() * {0}) / (pi() * {0}) END".format
+        raw = f"greatest(0, 1 - abs({x}))" if kind == "bilinear" else f"CASE WHEN abs({x}) < 3 THEN ({sinc(x)}) * ({sinc(f'({x} / 3)')}) ELSE 0 END"
+    return f"{name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT i, j, {raw} AS w FROM range(0, {target}) a(i), range(0, {size}) b(j)))"
+
+
+_PIXEL = "px AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, embedding[k + 1]::double AS v FROM embeddings, range(0, 64) r(k))"
+_SIZES = [("area", 3, 5), ("bilinear", 6, 11), ("lanczos", 12, 4)]
+ORACLES["resized_pictures"] = f"WITH {_PIXEL}, " + ", ".join(_weights(f"h{i}", 8, h, k) + ", " + _weights(f"w{i}", 8, w, k) for i, (k, h, w) in enumerate(_SIZES)) + " " + " UNION ALL ".join(
+    f"SELECT vec_id, '{k}' AS kind, h{i}.i::int AS y, w{i}.i::int AS x, round(sum(h{i}.w * w{i}.w * v), 9) AS value FROM px JOIN h{i} ON h{i}.j = y JOIN w{i} ON w{i}.j = x WHERE h{i}.w <> 0 AND w{i}.w <> 0 GROUP BY ALL" for i, (k, _, _) in enumerate(_SIZES)
+)
+ORACLES["prepared_pictures"] = f"""WITH px AS (SELECT vec_id, k // 15 AS y, k // 3 % 5 AS x, k % 3 AS c, embedding[k + 1]::double * 200 + 127.5 AS v FROM embeddings, range(0, 60) r(k)),
+  {_weights('h', 4, 6, 'bilinear')}, {_weights('w', 5, 7, 'bilinear')}, m AS (SELECT * FROM (VALUES (0, 0.485::double, 0.229::double), (1, 0.456::double, 0.224::double), (2, 0.406::double, 0.225::double)) t(c, mean, deviation))
+  SELECT vec_id, c::int AS channel, h.i::int AS y, w.i::int AS x, round((sum(h.w * w.w * v) / 255 - any_value(mean)) / any_value(deviation), 9) AS value
+  FROM px JOIN m USING (c) JOIN h ON h.j = y JOIN w ON w.j = x WHERE w.i < 6 GROUP BY vec_id, c, h.i, w.i"""
+ORACLES["picture_hashes"] = f"""WITH {_PIXEL}, {_weights('w', 8, 32, 'lanczos')}, a AS (
+    SELECT u, j, sum(w * cos(pi() * (2 * i + 1) * u / 64) * (CASE WHEN u = 0 THEN sqrt(1 / 32.0::double) ELSE sqrt(2 / 32.0::double) END)) AS k FROM w, range(0, 8) t(u) GROUP BY u, j
+  ), c AS (SELECT vec_id, a.u AS u, b.u AS t, sum(a.k * b.k * v) AS k FROM px JOIN a ON a.j = y JOIN a b ON b.j = x GROUP BY ALL),
+  low AS (SELECT vec_id, list(k ORDER BY u, t)[2:64] AS low FROM c GROUP BY vec_id), m AS (SELECT *, list_sort(low)[32] AS med FROM low)
+  SELECT vec_id, lpad(lower(hex(list_sum([CASE WHEN low[i] > med THEN (1::bigint << (63 - i)) ELSE 0::bigint END FOR i IN range(1, 64)])::bigint)), 16, '0') AS hash_hex FROM m"""
+_U = "(('0x' || substr(md5('42|' || vec_id || '|' || {0}), 1, 13))::bigint / 4503599627370496.0::double)".format
+_SHARE, _RATIO = (f"{_U(chr(39) + x + chr(39) + ' || i')}" for x in ("share", "ratio"))
+_LOW, _HIGH = math.log(3 / 4), math.log(4 / 3)
+ORACLES["augmentation_draws"] = f"""WITH t AS (
+    SELECT vec_id, i, 3072.0::double * (0.8::double + (1.0::double - 0.8::double) * {_SHARE}) AS area, exp({_LOW!r}::double + {_HIGH - _LOW!r}::double * {_RATIO}) AS ratio FROM embeddings, range(1, 11) r(i)
+  ), s AS (SELECT vec_id, i, round_even(sqrt(area * ratio), 0)::int AS w, round_even(sqrt(area / ratio), 0)::int AS h FROM t),
+  f AS (SELECT vec_id, arg_min({{'top': floor({_U("'top' || i")} * (48 - h + 1))::int, 'left': floor({_U("'left' || i")} * (64 - w + 1))::int, 'height': h, 'width': w}}, i) AS c FROM s WHERE h BETWEEN 1 AND 48 AND w BETWEEN 1 AND 64 GROUP BY vec_id)
+  SELECT vec_id, coalesce(c.top, 0) AS top, coalesce(c."left", 0) AS "left", coalesce(c.height, 48) AS height, coalesce(c.width, 64) AS width, {_U("'flip'")} < 0.5 AS flip, round(({_U("'turn'")} * 2 - 1) * 10, 9) AS degrees
+  FROM embeddings LEFT JOIN f USING (vec_id)"""
+_LOGIT = """v AS (SELECT vec_id, label, i, embedding[i]::double AS x FROM embeddings, range(1, 65) r(i)), m AS (SELECT label AS class, i, avg(x) AS m FROM v GROUP BY label, i),
+  b AS (SELECT class, -sum(m * m) / 2 AS b FROM m GROUP BY class), logit AS (SELECT vec_id, label, class, sum(x * m) + any_value(b) AS logit FROM v JOIN m USING (i) JOIN b USING (class) GROUP BY vec_id, label, class)"""
+ORACLES["scored_logits"] = f"WITH {_LOGIT} SELECT vec_id, class, round(logit, 9) AS logit FROM logit"
+ORACLES["scored_report"] = f"""WITH {_LOGIT}, p AS (SELECT vec_id, label AS actual, arg_max(class, logit) AS predicted FROM logit GROUP BY vec_id, label),
+  g AS (SELECT a::int AS actual, b::int AS predicted, (SELECT count(*) FROM p WHERE p.actual = a AND p.predicted = b)::bigint AS n FROM range(0, 10) x(a), range(0, 10) y(b)),
+  f AS (SELECT avg(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END) AS f1 FROM (SELECT k, coalesce(sum(n) FILTER (WHERE actual = k AND predicted = k) / nullif(sum(n) FILTER (WHERE predicted = k), 0), 0) AS pr,
+    coalesce(sum(n) FILTER (WHERE actual = k AND predicted = k) / nullif(sum(n) FILTER (WHERE actual = k), 0), 0) AS rc FROM g, range(0, 10) z(k) GROUP BY k))
+  SELECT g.*, (SELECT count(*) FROM p)::bigint AS num_samples, round((SELECT count(*) FILTER (WHERE actual = predicted) / count(*)::double FROM p), 9) AS accuracy, round(f1, 9) AS macro_f1 FROM g, f"""
 _TEXT = "translate(text, '*_`~[]()!\\' || chr(10) || chr(13), '')"
 _DONE = {
     "a": "<strong>a</strong>", "de": "<em>de</em>", "der": "<em>der</em>", "la": "<del>la</del>", "und": "<strong><em>und</em></strong>", "of": "<code>of & **it**</code>", "to": "<code>to ` <b></code>",

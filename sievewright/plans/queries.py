@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from ..config import CHANNEL_MEAN, RATIOS, SEED
 from ..functions import arrays as A
 from ..functions import text as X
-from ..operators import audit, dedup, metrics, sampling, splits
+from ..operators import audit, dedup, metrics, pictures, sampling, scoring, splits
 from ..operators.graph import connected_components
 from ..operators.ordered import running_total
-from ..session import materialise, table
+from ..session import materialise, new_path, table
 from ..sources.files import reject_reason
 from . import build
 from .views import HASH_BITS, coefficient_hashes, hashed_pool, history, pool, predictions, source_groups
 
+#: How, and to what height and width, pictures are resized.
+RESIZED = (("area", 3, 5), ("bilinear", 6, 11), ("lanczos", 12, 4))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -465,7 +468,8 @@ def softmax_argmax(spark, d):
 def pixel_planes(spark, d):
     """Embeddings as 21 pixels of three channels, blue first."""
     rows = table(spark, d, "embeddings").select("vec_id", A.to_planes(F.transform(F.slice("embedding", 1, 63), lambda x: x.cast("double"))).alias("p"))
-    return rows.select("vec_id", *(F.get(F.get("p", F.lit(i)), F.lit(20)).alias(c) for i, c in enumerate("rgb")))
+    zipped = F.arrays_zip(*(F.get("p", F.lit(i)).alias(c) for i, c in enumerate("rgb")))
+    return rows.select("vec_id", F.posexplode(zipped).alias("pixel", "v")).select("vec_id", "pixel", "v.r", "v.g", "v.b")
 
 
 @query
@@ -475,6 +479,64 @@ def normalise_channels(spark, d):
     return rows.select("vec_id", *(F.round(F.get("n", F.lit(i)), 9).alias(c) for i, c in enumerate("rgb")))
 
 
+def _grey(spark, d):
+    """Embeddings as grey pictures of eight by eight."""
+    return table(spark, d, "embeddings").select("vec_id", pictures.picture(F.col("embedding"), 8, 8).alias("picture"))
+
+
+@query
+def resized_pictures(spark, d):
+    """Every pixel at three other sizes, each made in another way."""
+    parts = [pictures.pixel_rows(pictures.resized(_grey(spark, d), h, w, kind), "vec_id", "resized").withColumn("kind", F.lit(kind)) for kind, h, w in RESIZED]
+    return reduce(DataFrame.unionByName, parts).select("vec_id", "kind", "y", "x", F.round("value", 9).alias("value"))
+
+
+@query
+def prepared_pictures(spark, d):
+    """Embeddings as pictures of four lines of five pixels in three channels, as a model takes them."""
+    levels = F.transform(F.slice("embedding", 1, 60), lambda x: x.cast("double") * 200 + 127.5)
+    rows = table(spark, d, "embeddings").select("vec_id", pictures.picture(levels, 4, 5, 3).alias("picture"))
+    out = pictures.prepared(rows, 6).select("vec_id", F.posexplode("planes").alias("at", "value"))
+    place = lambda by, of: F.floor(F.col("at") / by).cast("int") % of
+    return out.select("vec_id", place(36, 3).alias("channel"), place(6, 6).alias("y"), place(1, 6).alias("x"), F.round("value", 9).alias("value"))
+
+
+@query
+def picture_hashes(spark, d):
+    return pictures.picture_hashes(_grey(spark, d), whole=False).select("vec_id", A.hash_hex(F.col("hash")).alias("hash_hex"))
+
+
+@query
+def augmentation_draws(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", pictures.augmentation_draws(F.lit(48), F.lit(64), F.col("vec_id"), SEED).alias("draws"))
+    return rows.select("vec_id", *(f"draws.{c}" for c in ("top", "left", "height", "width", "flip")), F.round("draws.degrees", 9).alias("degrees"))
+
+
+@query
+def augmented_pictures(spark, d):
+    rows = pictures.augmented(_grey(spark, d), 6, SEED, key="vec_id")
+    return pictures.pixel_rows(rows, "vec_id", "augmented").select("vec_id", "y", "x", F.round("value", 9).alias("value"))
+
+
+def _scored(spark, d):
+    """Logits by a model of the classes' mean vectors that was saved as a checkpoint and read back."""
+    rows = table(spark, d, "embeddings")
+    path = new_path(spark, "checkpoint")
+    scoring.save_checkpoint(spark, scoring.nearest_mean(rows, "label", "embedding", 64), path)
+    return scoring.score(rows.select("vec_id", "label", "embedding"), scoring.load_checkpoint(spark, path), "embedding")
+
+
+@query
+def scored_logits(spark, d):
+    return _scored(spark, d).select("vec_id", F.posexplode("logits").alias("class", "logit")).withColumn("logit", F.round("logit", 9))
+
+
+@query
+def scored_report(spark, d):
+    rows = materialise(_scored(spark, d).select(F.col("label").alias("actual"), A.argmax(F.col("logits")).alias("predicted")), "scored")
+    return metrics.confusion(rows, 10).crossJoin(metrics.overall(rows, 10).select("num_samples", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1")))
+
+
 @query
 def array_value_range(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", A.value_range(F.col("embedding")).alias("v"))
