@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from ..operators import audit, dedup, sampling, splits
 from ..operators.graph import connected_components
 from ..operators.ordered import running_total
 from ..session import materialise, table
+from ..sources.files import read_manifest, scan_tree, tree_against_manifest
+from ..sources.ledger import Ledger
 from ..sources.sinks import check_inside, write_manifest, write_report
 from .views import HASH_BITS, hashed_pool
 
@@ -65,6 +67,31 @@ def build(spark: SparkSession, sf_dir: str, folder: str, *, threshold: int = THR
     return report
 
 
+def logged_build(spark: SparkSession, sf_dir: str, folder: str, *, threshold: int = THRESHOLD, quotas: dict[str, int] = QUOTAS) -> Ledger:
+    """The steps of the build as tables of a folder, each counted in the pass that writes it; a rerun goes on where one stopped."""
+    ledger = Ledger(spark, folder, {"documents": table(spark, sf_dir, "documents")}, {"threshold": threshold, "quotas": quotas})
+    count = lambda what: F.count_if(F.col("decision") == what)
+    names = ("path", "split", "class_name", "size_bytes", "md5", "hash")
+    rows = ledger.step("candidates", lambda: hashed_pool(spark, sf_dir).select(*names), {"bytes": F.sum("size_bytes"), "unhashed": F.count_if(F.col("hash").isNull())})
+    decided = ledger.step("decided", lambda: dedup.exact_decisions(rows), {k: count(k) for k in ("kept", "cross_class", "same_split", "cross_split")})
+    kept = ledger.step("kept", lambda: dedup.near_survivors(decided.where("decision = 'kept'").drop("decision"), threshold, bits=HASH_BITS))
+    ledger.step("selection", lambda: draw(kept, quotas), {"bytes": F.sum("size_bytes")})
+    return ledger
+
+
+def reaudit(spark: SparkSession, root: str, manifest: str, *, threshold: int = THRESHOLD, quotas: dict[str, int] = QUOTAS, hash_of: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A written tree held against its written manifest: the eleven checks (check_name, passed), and what differs (split, label, image_id, state).
+
+    The tree is read once. A decoder's hash_of finds extra files that resemble those of the manifest; without it only
+    equal ones are found, and a file counts as readable if its bytes are whole.
+    """
+    rows = read_manifest(spark, manifest)
+    place = F.concat_ws("/", "split", "label", "image_id").alias("path")
+    wanted = materialise(rows.select(place, "image_id", "split", "label", "official_split", "md5", F.conv("phash_hex", 16, 10).cast("bigint").alias("hash")), "audit-manifest")
+    found = materialise(scan_tree(spark, root, hash_of).select(place, "image_id", "split", "label", "md5", "hash"), "audit-tree")
+    return audit.revalidation_checks(wanted, found, quotas, threshold, bits=64), tree_against_manifest(found, wanted)
+
+
 def manifest_rows(rows: DataFrame) -> DataFrame:
     """Manifest columns of candidates with a hash."""
     image_id = F.concat_ws("_", "split", "class_name", F.concat(X.stem(F.col("path")), X.extension(X.basename(F.col("path")))))

@@ -385,3 +385,9 @@ ORACLES["group_members"] = """WITH r AS (SELECT conv_id, conv_id || '/' || lpad(
   SELECT conv_id, count(*)::bigint AS n, string_agg(path, ',' ORDER BY path) AS members FROM r GROUP BY conv_id"""
 ORACLES["hash_lookup"] = f"WITH {MANIFEST} SELECT path, d.hash, d.hash IS NOT NULL AS readable FROM manifest LEFT JOIN (SELECT path, hash FROM disk) d USING (path)"
 ORACLES["frame_names"] = "SELECT conv_id, turn, 'c' || conv_id || '__' || conv_id || '_' || (conv_id + 1) || '__frame_' || lpad(turn::varchar, 6, '0') || '.png' AS name FROM conversations"
+ORACLES["build_log"] = f"""WITH stats AS ({ORACLES["dedup_stats"]}), decided AS (WITH {DECIDED} SELECT * FROM decided), h AS (WITH {HASHED} SELECT * FROM hashed), one AS (
+    SELECT (SELECT count(*) FROM decided) AS n, (SELECT sum(size_bytes) FROM decided)::bigint AS bytes, (SELECT count(*) FROM h WHERE hash IS NULL) AS unhashed, (SELECT scanned - unreadable - removed_total FROM stats) AS kept)
+  SELECT 0 AS number, 'candidates' AS step, unnest(['rows', 'bytes', 'unhashed']) AS counter, unnest([n, bytes, unhashed])::bigint AS n FROM one
+  UNION ALL SELECT 1, 'decided', unnest(['rows', 'kept', 'cross_class', 'same_split', 'cross_split']), unnest([count(*), count_if(decision = 'kept'), count_if(decision = 'cross_class'), count_if(decision = 'same_split'), count_if(decision = 'cross_split')])::bigint FROM decided
+  UNION ALL SELECT 2, 'kept', 'rows', kept::bigint FROM one
+  UNION ALL SELECT 3, 'selection', unnest(['rows', 'bytes']), unnest([count(*), sum(bytes)])::bigint FROM ({ORACLES["full_build"]})"""

@@ -692,6 +692,13 @@ def markdown_blocks(spark, d):
     return _lines(spark, d).groupBy("doc_id", X.block_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query
+def build_log(spark, d):
+    """What the steps of the build have counted."""
+    log = build.logged_build(spark, d, new_path(spark, "build")).log()
+    return log.select("number", "step", F.explode(F.map_concat("counters", F.create_map(F.lit("rows"), "rows"))).alias("counter", "n"))
+
+
 @query
 def status_messages(spark, d):
     counts = audit.dense_counts(pool(spark, d))

@@ -1,7 +1,8 @@
-"""File scans, manifests and tolerant JSON, by Spark's own readers."""
+"""File scans, manifests and tolerant JSON, by Spark's own readers, which leave out files without a byte."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -9,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, MANIFEST_DDL, MAX_BYTES, MAX_SIDE, MIN_SIDE, POOL_SUFFIXES, SPLIT_ALIASES, SPLITS, UPLOAD_SUFFIXES, CurationError
+from ..functions.names import fresh
 from ..functions.text import basename, extension, stem, video_name
+from .images import inspected
 
 _EMPTY = "path string, modificationTime timestamp, length bigint, content binary"
-# How files of the supported formats begin.
-_MAGIC = {"JPEG": "FFD8FF", "PNG": "89504E470D0A1A0A", "BMP": "424D", "WEBP": "52494646"}
 
 
 def _binary(spark: SparkSession, folder: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
@@ -33,18 +34,19 @@ def suffix(path: Column) -> Column:
 
 
 def decodable(content: Column) -> Column:
-    """Whether the bytes begin and end like a whole file of a supported format, so that cut-off ones are found out.
+    """Whether the bytes are a whole file of a supported format, as far as they tell without decoding (see ``images``).
 
-    JPEG ends with its end mark, PNG with its last chunk, and BMP and WEBP have the length that they state. A decoder
-    can be passed to ``scan_folder`` in its place.
+    A decoder can be passed to ``scan_folder`` in its place.
     """
-    text = F.hex(content)
-    size = F.octet_length(content)
-    little = lambda at: F.conv(F.concat(*(F.substring(text, 2 * (at + i) + 1, 2) for i in (3, 2, 1, 0))), 16, 10).cast("bigint")
-    whole = {"JPEG": F.endswith(text, F.lit("FFD9")), "PNG": F.endswith(text, F.lit("49454E44AE426082")), "BMP": little(2) == size, "WEBP": little(4) + 8 == size}
-    begins = {k: F.startswith(text, F.lit(v)) for k, v in _MAGIC.items()}
-    begins["WEBP"] = begins["WEBP"] & (F.substring(text, 17, 8) == "57454250")
-    return F.coalesce(reduce(Column.__or__, (begins[k] & whole[k] for k in whole)), F.lit(False))
+    return F.coalesce(inspected(content)["whole"], F.lit(False))
+
+
+def inspect_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, filename, size_bytes, format, width, height, reason): what each file's bytes say, and why it is refused (null: it isn't)."""
+    files = _binary(spark, folder, recursive).select("path", basename(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"), inspected(F.col("content")).alias("seen"))
+    side = lambda c: F.when(F.col("seen.whole"), F.col(f"seen.{c}")).alias(c)
+    rows = files.select("path", "filename", "size_bytes", F.col("seen.format").alias("format"), side("width"), side("height"))
+    return rows.withColumn("reason", reject_reason(*(F.col(c) for c in ("filename", "size_bytes", "width", "height", "format"))))
 
 
 def find_files(spark: SparkSession, folder: str, suffixes=UPLOAD_SUFFIXES, recursive: bool = True) -> DataFrame:
@@ -161,19 +163,29 @@ def find_pool_root(spark: SparkSession, folder: str) -> str:
     raise CurationError(f"no folder in {folder} holds all splits and classes")
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, split, label, image_id, md5) of the files of a written tree, root/<split>/<class>/<name>; missing folders have none."""
+def scan_tree(spark: SparkSession, root: str, hash_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, split, label, image_id, bytes, md5, hash) of the files of a written tree, root/<split>/<class>/<name>; missing folders have none.
+
+    Without a decoder's hash_of (of the contents), hash is a digest of whole files, which is near no other; null where
+    a file is damaged.
+    """
     files = _binary(spark, root)
     parts = F.split("path", "/")
-    rows = files.select("path", F.element_at(parts, -3).alias("split"), F.element_at(parts, -2).alias("label"), F.element_at(parts, -1).alias("image_id"), F.md5("content").alias("md5"))
+    content = F.col("content")
+    value = hash_of(content) if hash_of else F.when(decodable(content), F.xxhash64(content).bitwiseAND(F.lit((1 << 63) - 1)))
+    rows = files.select(
+        "path", F.element_at(parts, -3).alias("split"), F.element_at(parts, -2).alias("label"), F.element_at(parts, -1).alias("image_id"),
+        F.col("length").alias("bytes"), F.md5(content).alias("md5"), value.alias("hash"),
+    )
     return rows.where(F.col("split").isin(*SPLITS) & F.col("label").isin(*CLASSES) & suffix(F.col("path")).isin(*POOL_SUFFIXES))
 
 
 def tree_against_manifest(tree: DataFrame, manifest: DataFrame) -> DataFrame:
     """(split, label, image_id, state) of what differs: missing, extra or changed."""
     key = ["split", "label", "image_id"]
-    both = manifest.select(*key, F.col("md5").alias("_wanted")).join(tree.select(*key, F.col("md5").alias("_found")), key, "full_outer")
-    state = F.when(F.col("_found").isNull(), "missing").when(F.col("_wanted").isNull(), "extra").when(F.col("_wanted") != F.col("_found"), "changed")
+    wanted, found = fresh(key, "_wanted", "_found")
+    both = manifest.select(*key, F.col("md5").alias(wanted)).join(tree.select(*key, F.col("md5").alias(found)), key, "full_outer")
+    state = F.when(F.col(found).isNull(), "missing").when(F.col(wanted).isNull(), "extra").when(F.col(wanted) != F.col(found), "changed")
     return both.select(*key, state.alias("state")).where("state IS NOT NULL")
 
 

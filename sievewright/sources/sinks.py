@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MANIFEST_FIELDS, SPLITS, CurationError
@@ -15,6 +15,9 @@ from ..functions.text import basename, zero_padded
 from ..operators.ordered import running_total
 from ..session import hadoop_path, materialise
 
+#: Bytes that are copied at once.
+PIECE = 1 << 20
+
 
 def write_manifest(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     """One CSV with a header and the manifest's columns, in its order."""
@@ -100,41 +103,84 @@ def check_inside(path: str, folder: str) -> str:
     return scheme + mark + ("/" if rest.startswith("/") else "") + "/".join(plain)
 
 
-def copy_files(rows: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
-    """Copy files (path, split, class_name, output_name) byte for byte to folder/split/class; gives (output_path, bytes, md5).
+def _uri(path: str) -> str:
+    """The path with a scheme, as file systems take it; Spark writes local ones with one slash."""
+    if ":" not in path.split("/")[0]:
+        return f"file://{path}"
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
 
-    An existing folder is refused unless overwriting, which empties it first. Each task copies its own rows, by way
-    of Spark's reader, to a name of its own attempt that is then renamed; a task that runs again replaces its files.
+def _outputs(rows: DataFrame, folder: str) -> DataFrame:
+    return rows.select("path", F.concat_ws("/", F.lit(folder.rstrip("/")), "split", "class_name", "output_name").alias("output_path"))
+
+
+def _copied(wanted: DataFrame) -> DataFrame:
+    """Copies files (path, output_path); gives (output_path, bytes, md5). Tasks open what they copy by its path, and nothing else.
+
+    A task writes to a name of its own attempt that is then renamed, so one that runs again replaces its files. Files
+    go through in pieces; contents are never rows.
     """
-    spark = rows.sparkSession
-    target, store = hadoop_path(spark, folder)
-    if store.exists(target):
-        if not overwrite:
-            raise CurationError(f"{folder} is there already")
-        store.delete(target, True)
-    wanted = rows.select(F.col("path"), F.concat_ws("/", F.lit(folder.rstrip("/")), "split", "class_name", "output_name").alias("output_path"))
-    folders = [r[0] for r in rows.select(F.concat_ws("/", F.lit(folder.rstrip("/")), "split", "class_name")).distinct().collect()]  # six at most
-    files = spark.read.format("binaryFile").load([r["path"] for r in rows.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().collect()])
-    both = wanted.join(files.select("path", "content"), "path")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        for f in folders:
-            there, name = fs.FileSystem.from_uri(f if ":" in f.split("/")[0] else f"file://{f}")
-            there.create_dir(name, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
+        attempt, made = TaskContext.get().taskAttemptId(), set()
         for b in batches:
             out, sizes, sums = [], [], []
-            for path, content in zip(b.column("output_path").to_pylist(), b.column("content").to_pylist()):
-                there, name = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
-                with there.open_output_stream(f"{name}.{attempt}.tmp", compression=None) as stream:
-                    stream.write(content)
-                there.move(f"{name}.{attempt}.tmp", name)
-                out.append(path)
-                sizes.append(len(content))
-                sums.append(hashlib.md5(content).hexdigest())
+            for source, target in zip(b.column("path").to_pylist(), b.column("output_path").to_pylist()):
+                here, name = fs.FileSystem.from_uri(_uri(source))
+                there, path = fs.FileSystem.from_uri(_uri(target))
+                if (parent := path.rpartition("/")[0]) not in made:
+                    there.create_dir(parent, recursive=True)
+                    made.add(parent)
+                size, digest = 0, hashlib.md5()
+                with here.open_input_stream(name, compression=None) as stream, there.open_output_stream(f"{path}.{attempt}.tmp", compression=None) as to:
+                    while piece := stream.read(PIECE):
+                        to.write(piece)
+                        digest.update(piece)
+                        size += len(piece)
+                there.move(f"{path}.{attempt}.tmp", path)
+                out.append(target)
+                sizes.append(size)
+                sums.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["output_path", "bytes", "md5"])
 
-    return materialise(both.mapInArrow(write, "output_path string, bytes bigint, md5 string"), "copied")
+    return wanted.repartition("output_path").mapInArrow(write, "output_path string, bytes bigint, md5 string")
+
+
+def copy_files(rows: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """Copy files (path, split, class_name, output_name) byte for byte to folder/split/class; gives (output_path, bytes, md5).
+
+    An existing folder is refused unless overwriting, which empties it first.
+    """
+    target, store = hadoop_path(rows.sparkSession, folder)
+    if store.exists(target):
+        if not overwrite:
+            raise CurationError(f"{folder} is there already")
+        store.delete(target, True)
+    return materialise(_copied(_outputs(rows, folder)), "copied")
+
+
+def copy_missing(rows: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """Copy only files that the folder has not got (all of them, if overwriting); gives (output_path, bytes, state) of every row.
+
+    What is there is found by listing the folder once, in the cluster and without contents; its rows are ``present``,
+    with the size found, the others ``copied``. So a second run copies nothing and counts the same.
+    """
+    spark = rows.sparkSession
+    wanted = _outputs(rows, folder).withColumn("key", _plain(F.col("output_path")))
+    target, store = hadoop_path(spark, folder)
+    if overwrite or not store.exists(target):
+        there = spark.createDataFrame([], "key string, bytes bigint")
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        there = materialise(found.select(_plain(F.col("path")).alias("key"), F.col("length").alias("bytes")), "there")
+    new = _copied(wanted.join(there, "key", "left_anti")).select("output_path", "bytes", F.lit("copied").alias("state"))
+    old = wanted.join(there, "key").select("output_path", "bytes", F.lit("present").alias("state"))
+    return materialise(new.unionByName(old), "copied")
+
+
+def _plain(path: Column) -> Column:
+    """A path without scheme and authority, by which names of one folder can be compared."""
+    return F.regexp_replace(path, r"^[a-z0-9]+:(?://[^/]*)?(?=/)", "")

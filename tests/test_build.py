@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from picture_files import jpeg, png
 from pyspark.sql import functions as F
 
 from sievewright.config import CurationError
@@ -91,7 +92,7 @@ def test_videos_and_their_components(spark, tmp_path):
 
 
 def test_cut_off_files_are_invalid(spark, tmp_path):
-    good = {"a.png": b"\x89PNG\r\n\x1a\n" + b"d" * 9 + b"IEND\xaeB`\x82", "b.jpg": b"\xff\xd8\xff" + b"d" * 9 + b"\xff\xd9"}
+    good = {"a.png": png(5, 4), "b.jpg": jpeg(5, 4)}
     for name, data in good.items():
         (tmp_path / name).write_bytes(data)
         (tmp_path / f"cut-{name}").write_bytes(data[:-3])

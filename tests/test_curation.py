@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from picture_files import png
 from pyspark.sql import functions as F
 
 from sievewright.config import CurationError, check_ratios
@@ -210,7 +211,7 @@ def test_files_and_manifests(spark, tmp_path):
         for c in ("real", "fake"):
             folder = tmp_path / "pool" / split / c
             folder.mkdir(parents=True)
-            (folder / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + split.encode() + c.encode() + bytes.fromhex("49454E44AE426082"))
+            (folder / "a.png").write_bytes(png(6, 6, len(split) * 16 + len(c)))
             (folder / "Real_b.JPG").write_bytes(b"broken")
             (folder / "notes.txt").write_text("x")
     pool = str(tmp_path / "pool")
