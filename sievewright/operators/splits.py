@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,9 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RATIOS, SPLITS, check_ratios
+from ..functions.names import fresh
 from ..session import materialise
+from .ordered import running_total
 from .sampling import seeded_order
 
+#: Groups that one task walks.
+PIECE = 250_000
+
 
 def split_targets(counts: DataFrame, by: list[str], ratios=RATIOS) -> DataFrame:
     """Rows wanted in each split: train and validation by rounding half to even, test what is left."""
@@ -54,7 +60,8 @@ def grouped_greedy_split(groups: DataFrame, key: str, seed: int, ratios=RATIOS)
     """Shared groups (key, n_real, n_fake) with a split: each, in seeded order, to the split that would be least full.
 
     A group that is needed to give an empty split its first one goes to such a split. Each choice depends on all
-    before it, so one task walks the groups, sorted by the others, and keeps six counters; members never meet there.
+    before it: groups are numbered in that order by ranges, and walked a piece of at most PIECE groups at a time, each
+    in a task of its own that begins with the six counters the one before it ended with; members never meet there.
     """
     check_ratios(*ratios)
     totals = groups.agg(F.sum("n_real").alias("r"), F.sum("n_fake").alias("f"), F.count("*").alias("k")).first()
@@ -66,20 +73,36 @@ def grouped_greedy_split(groups: DataFrame, key: str, seed: int, ratios=RATIOS)
     kind = groups.schema[key].dataType.simpleString()
     names = [key, "n_real", "n_fake"]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, seen = [[0, 0, 0], [0, 0, 0]], 0
-        for b in batches:
-            chosen = []
-            for real, fake in zip(b.column("n_real").to_pylist(), b.column("n_fake").to_pylist()):
-                empty = [i for i in range(3) if not have[0][i] and not have[1][i]]
-                open_ = empty if empty and n_groups - seen - 1 < len(empty) else range(3)
-                s = min(open_, key=lambda i: ((have[0][i] + real) / wanted[0][i] + (have[1][i] + fake) / wanted[1][i], i))  # noqa: B023
-                have[0][s] += real
-                have[1][s] += fake
-                seen += 1
-                chosen.append(SPLITS[s])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(chosen, pa.string())], [*names, "split"])
-
-    ordered = groups.select(F.col(key), F.col("n_real").cast("bigint").alias("n_real"), F.col("n_fake").cast("bigint").alias("n_fake"))
-    ordered = ordered.orderBy(seeded_order(seed, F.col(key)), F.col(key).cast("string")).coalesce(1)
-    return ordered.mapInArrow(walk, f"`{key}` {kind}, n_real bigint, n_fake bigint, split string")
+    def walker(have: list[list[int]], seen: int):
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, at = [list(x) for x in have], seen
+            for b in batches:
+                chosen = []
+                for real, fake in zip(b.column("n_real").to_pylist(), b.column("n_fake").to_pylist()):
+                    empty = [i for i in range(3) if not counts[0][i] and not counts[1][i]]
+                    open_ = empty if empty and n_groups - at - 1 < len(empty) else range(3)
+                    s = min(open_, key=lambda i: ((counts[0][i] + real) / wanted[0][i] + (counts[1][i] + fake) / wanted[1][i], i))  # noqa: B023
+                    counts[0][s] += real
+                    counts[1][s] += fake
+                    at += 1
+                    chosen.append(SPLITS[s])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(chosen, pa.string())], [*names, "split"])
+
+        return walk
+
+    (order,) = fresh(names, "_order")
+    rows = groups.select(F.col(key), F.col("n_real").cast("bigint").alias("n_real"), F.col("n_fake").cast("bigint").alias("n_fake"))
+    rows = rows.withColumn(order, F.struct(seeded_order(seed, F.col(key)), F.col(key).cast("string")))
+    (place,) = fresh(rows.columns, "_place")
+    rows = materialise(running_total(rows, [order], name=place), "split-order")
+    have, parts, ddl = [[0, 0, 0], [0, 0, 0]], [], f"`{key}` {kind}, n_real bigint, n_fake bigint, split string"
+    for first in range(0, max(1, n_groups), PIECE):
+        piece = rows.where(F.col(place).between(first, first + PIECE - 1)).repartition(1).sortWithinPartitions(place).select(*names)
+        done = materialise(piece.mapInArrow(walker(have, first), ddl), "split-piece")
+        parts.append(done)
+        if first + PIECE < n_groups:
+            for r in done.groupBy("split").agg(F.sum("n_real").alias("r"), F.sum("n_fake").alias("f")).collect():
+                i = SPLITS.index(r["split"])
+                have[0][i] += r["r"]
+                have[1][i] += r["f"]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,37 +104,32 @@ def full_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_rows(selection(spark, sf_dir))
 
 
-def fingerprint(rows: DataFrame, buckets: int = 1024) -> DataFrame:
-    """SHA-256 of 'split/class/md5' lines in order of path, in two levels: of the digests of path-hashed buckets.
+def _in_levels(lines: DataFrame, order: list[str], run: int) -> DataFrame:
+    """One row (n_rows, fingerprint) of lines in an order without ties: SHA-256 of every run of lines, of every run of these, and so on.
 
-    Lines of one bucket are joined in order; bucket digests are joined in order of bucket. So no task holds more than
-    its buckets, and the result depends on rows only, not on partitions.
+    Lines are numbered by ranges, so no task or group holds more than a run, and the levels grow with the logarithm.
     """
-    line = F.concat(F.concat_ws("/", "split", "class_name", "md5"), F.lit("\n"))
-    bucket = F.conv(F.substring(F.md5(F.col("path").cast("binary")), 1, 7), 16, 10).cast("bigint") % buckets
-    entries = rows.select(bucket.alias("bucket"), F.struct(F.col("path"), line.alias("line")).alias("e"))
-    each = entries.groupBy("bucket").agg(F.sort_array(F.collect_list("e")).alias("es"), F.count("*").alias("n"))
-    each = each.select("bucket", "n", F.sha2(F.array_join(F.transform("es", lambda e: e["line"]), ""), 256).alias("digest"))
-    top = each.agg(F.sum("n").alias("n_rows"), F.sort_array(F.collect_list(F.struct("bucket", "digest"))).alias("ds"))
-    return top.select("n_rows", F.sha2(F.array_join(F.transform("ds", lambda x: x["digest"]), "\n"), 256).alias("fingerprint"))
-
-
-def manifest_fingerprint(manifest: DataFrame) -> DataFrame:
-    """SHA-256 over the lines 'split/label/md5' in the manifest's order (by image_id): one row (n_rows, fingerprint).
-
-    A digest over an order can't be split, so one task walks the sorted lines; it holds the digest's state only.
-    """
-    lines = manifest.orderBy("image_id").select(F.concat(F.concat_ws("/", "split", "label", "md5"), F.lit("\n")).alias("line")).coalesce(1)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, n = hashlib.sha256(), 0
-        for b in batches:
-            for line in b.column("line").to_pylist():
-                digest.update(line.encode())
-                n += 1
-        yield pa.RecordBatch.from_pydict({"n_rows": pa.array([n], pa.int64()), "fingerprint": pa.array([digest.hexdigest()])})
-
-    return lines.mapInArrow(walk, "n_rows bigint, fingerprint string")
+    now = running_total(lines, order, name="place").select("place", F.sha2(F.col("line"), 256).alias("digest"))
+    now = materialise(now, "fingerprint")
+    n = left = now.count()
+    while True:
+        each = now.groupBy(F.floor(F.col("place") / run).alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("of"))
+        now = each.select("place", F.sha2(F.array_join(F.transform("of", lambda x: x["digest"]), ""), 256).alias("digest"))
+        left = -(-left // run)
+        if left <= 1:
+            return now.agg(F.lit(n).cast("bigint").alias("n_rows"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
+
+
+def fingerprint(rows: DataFrame, run: int = 1024) -> DataFrame:
+    """A digest of 'split/class/md5' lines in order of path, in levels."""
+    line = F.concat_ws("/", "split", "class_name", "md5")
+    return _in_levels(rows.select("path", line.alias("line")), ["path", "line"], run)
+
+
+def manifest_fingerprint(manifest: DataFrame, run: int = 1024) -> DataFrame:
+    """A digest of the lines 'split/label/md5' in the manifest's order (by image_id), in levels: one row (n_rows, fingerprint)."""
+    line = F.concat_ws("/", "split", "label", "md5")
+    return _in_levels(manifest.select("image_id", line.alias("line")), ["image_id", "line"], run)
 
 
 def summary(rows: DataFrame) -> DataFrame:

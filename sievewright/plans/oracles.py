@@ -11,6 +11,18 @@ POOL = """pool AS (
          strlen(text)::bigint AS size_bytes, md5(text) AS md5, source
   FROM documents
 )"""
+
+
+def _in_levels(rows: str, label: str, order: str, run: int = 1024, levels: int = 3) -> str:
+    """The digest of lines in levels, for up to run ** levels rows."""
+    out = f"l0 AS (SELECT row_number() OVER (ORDER BY {order}, line) - 1 AS p, sha256(line) AS d FROM (SELECT {order}, split || '/' || {label} || '/' || md5 AS line FROM {rows}))"
+    for k in range(levels):  # the first level always counts, others only where there are several nodes
+        joined = "sha256(string_agg(d, '' ORDER BY p))"
+        keep = joined if not k else f"CASE WHEN (SELECT count(*) FROM l{k}) > 1 THEN {joined} ELSE any_value(d) END"
+        out += f", l{k + 1} AS (SELECT p // {run} AS p, {keep} AS d FROM l{k} GROUP BY p // {run})"
+    return out + f" SELECT (SELECT count(*) FROM l0)::bigint AS n_rows, d AS fingerprint FROM l{levels}"
+
+
 PRIO = "CASE split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END"
 DECIDED = POOL + f""", ranked AS (
   SELECT *, row_number() OVER w AS rk, first_value(split) OVER w AS first_split,
@@ -182,9 +194,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'all_files_readable', NOT EXISTS (SELECT 1 FROM disk JOIN manifest USING (path) WHERE disk.hash IS NULL)
         UNION ALL SELECT 'no_unexpected_files', NOT EXISTS (SELECT 1 FROM x)
         UNION ALL SELECT 'no_extra_duplicates_manifest', NOT EXISTS (SELECT 1 FROM x JOIN manifest m ON m.md5 = x.md5 OR bit_count(xor(m.hash, x.hash)) <= 3)""",
-    "dataset_fingerprint": f"""WITH {POOL}, b AS (SELECT ('0x' || substr(md5(path), 1, 7))::bigint % 1024 AS bucket, path, split || '/' || class_name || '/' || md5 || chr(10) AS line FROM pool),
-        g AS (SELECT bucket, count(*) AS n, sha256(string_agg(line, '' ORDER BY path)) AS digest FROM b GROUP BY bucket)
-        SELECT sum(n)::bigint AS n_rows, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS fingerprint FROM g""",
+    "dataset_fingerprint": f"WITH {POOL}, {_in_levels('pool', 'class_name', 'path')}",
     "dataset_summary": f"""WITH {POOL} SELECT split, count(*) FILTER (WHERE class_name = 'real')::bigint AS real, count(*) FILTER (WHERE class_name = 'fake')::bigint AS fake, count(*)::bigint AS total, sum(size_bytes)::bigint AS bytes,
         count(*)::double / (SELECT count(*) FROM pool)::double AS share FROM pool GROUP BY split""",
     "status_crosscheck": f"""WITH {MANIFEST}, {GRID}, r AS (SELECT split, class_name, (SELECT count(*) FROM manifest m WHERE m.split = grid.split AND m.class_name = grid.class_name)::bigint AS reported,
@@ -271,8 +281,7 @@ ORACLES["build_summary"] = _SAMPLE + _STATS + _CHECKS.split("\nSELECT 'exact_cou
 SELECT stats.*, v.passed, v.n_failed, v.failed, (SELECT count(*) FROM sel)::bigint AS selected, (SELECT sum(size_bytes) FROM sel)::bigint AS selected_bytes
 FROM stats, (SELECT bool_and(passed) AS passed, count(*) FILTER (WHERE NOT passed)::bigint AS n_failed, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (WHERE NOT passed), '') AS failed FROM checks) v"""
 ORACLES["manifest_unreadable"] = f"WITH {MANIFEST} SELECT path FROM manifest m JOIN disk d USING (path) WHERE d.hash IS NULL"
-ORACLES["manifest_fingerprint"] = f"""WITH {POOL}, m AS (SELECT split || '_' || class_name || '_' || lpad(doc_id::varchar, 9, '0') || '.txt' AS image_id, split || '/' || class_name || '/' || md5 || chr(10) AS line FROM pool)
-  SELECT count(*)::bigint AS n_rows, sha256(string_agg(line, '' ORDER BY image_id)) AS fingerprint FROM m"""
+ORACLES["manifest_fingerprint"] = f"WITH {POOL}, m AS (SELECT *, split || '_' || class_name || '_' || lpad(doc_id::varchar, 9, '0') || '.txt' AS image_id FROM pool), {_in_levels('m', 'class_name', 'image_id')}"
 ORACLES["dataset_status"] = f"""WITH {POOL}, c AS (
   SELECT 'raw' AS what, name, (SELECT count(*) FROM pool WHERE class_name = name)::bigint AS n FROM (VALUES ('real'), ('fake')) v(name)
   UNION ALL SELECT 'split', name, (SELECT count(*) FROM pool WHERE split = name)::bigint FROM (VALUES ('train'), ('validation'), ('test')) v(name)

@@ -32,8 +32,14 @@ def test_the_whole_build_writes_after_its_audit(spark, sf_dir, tmp_path):
     assert report["removed_total"] == report["exact_same_class_same_split"] + report["exact_cross_split"] + report["exact_cross_class"] + report["near_removed"]
     written = files.read_manifest(spark, f"{folder}/manifest")
     assert written.count() == report["selected"]
-    lines = [f"{r['split']}/{r['label']}/{r['md5']}\n" for r in written.orderBy("image_id").collect()]
-    assert build.manifest_fingerprint(written.repartition(3)).first()["fingerprint"] == hashlib.sha256("".join(lines).encode()).hexdigest()
+    level = [f"{r['split']}/{r['label']}/{r['md5']}" for r in written.orderBy("image_id").collect()]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    level, first = [digest(x) for x in level], True
+    while first or len(level) > 1:
+        level, first = [digest("".join(level[i : i + 5])) for i in range(0, len(level), 5)], False
+    got = build.manifest_fingerprint(written.repartition(3), run=5).first()
+    assert (got["n_rows"], got["fingerprint"]) == (written.count(), level[0])
+    assert build.manifest_fingerprint(written.limit(0)).first().asDict() == {"n_rows": 0, "fingerprint": digest("")}
     assert files.read_json(spark, f"{folder}/report").first()["scanned"] == 903
     with pytest.raises(Exception, match="already|exists"):
         build.build(spark, sf_dir, folder)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sievewright.config import CurationError
 from sievewright.operators.audit import min_cross_distance, near_across_splits, revalidation_checks, verdict
+from sievewright.operators import splits
 from sievewright.operators.dedup import MAX_ROWS, banded_pairs, collapsed_pairs, comparisons, dedup_stats, exact_survivors, greedy_survivors, near_join, near_survivors, probe_plan
 from sievewright.operators.frequent import most_frequent
 from sievewright.operators.ordered import running_total
@@ -144,7 +145,7 @@ def test_running_totals_and_batches(spark):
     assert first_rows(frame, ["path"], 3).count() == 3 and first_rows(frame, ["path"], None).count() == 50 and first_rows(frame, ["path"], 0).count() == 50
 
 
-def test_splits_by_walking_the_groups(spark):
+def test_splits_by_walking_the_groups(spark, monkeypatch):
     import hashlib
 
     rng = random.Random(6)
@@ -163,6 +164,9 @@ def test_splits_by_walking_the_groups(spark):
         have[1][s] += f
         want[g] = ("train", "validation", "test")[s]
     assert {r["source"]: r["split"] for r in grouped_greedy_split(frame, "source", 42).collect()} == want
+    monkeypatch.setattr(splits, "PIECE", 70)  # several tasks, each going on from the counters of the one before
+    assert {r["source"]: r["split"] for r in grouped_greedy_split(frame, "source", 42).collect()} == want
+    assert grouped_greedy_split(frame.limit(0), "source", 42).count() == 0
     rows = spark.createDataFrame([("real", g, r) for g, r, _ in groups] + [("fake", g, f) for g, _, f in groups], "class_name string, source string, n bigint")
     got = {(r["class_name"], r["source"]): r["split"] for r in prefix_sum_split(rows, "class_name", "source", "n", 42).collect()}
     for c, i in (("real", 1), ("fake", 2)):
