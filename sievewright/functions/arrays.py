@@ -79,3 +79,8 @@ def value_range(values: Column) -> Column:
 def safe_divide(a: Column, b: Column) -> Column:
     """a / b as a double; 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def at_most(n: Column, most: int, what: str) -> Column:
+    """True up to a size; beyond it the query fails by name, where a group would grow in one task without end."""
+    return F.when(n <= most, F.lit(True)).otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(f" {what}: more than {most}"))).cast("boolean"))

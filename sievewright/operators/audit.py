@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLASSES, SPLITS
+from ..functions.arrays import at_most
 from ..functions.names import fresh
 from ..functions.text import component_id, stem
 from ..session import materialise
 from .dedup import near_join
 
+#: Most members of a group that is written as one row.
+MEMBERS = 100_000
 PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
 
 
@@ -30,8 +33,9 @@ def class_counts(rows: DataFrame, split: str) -> DataFrame:
 
 
 def group_members(rows: DataFrame, key: str, path: str = "path") -> DataFrame:
-    """(key, n, members): the paths of each group in order, as one text. For groups of bounded size, as frames of one video are."""
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(path)), ",").alias("members"))
+    """(key, n, members): the paths of each group in order, as one text; a group of more than MEMBERS fails."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).where(at_most(F.col("n"), MEMBERS, "members of one group")).select(key)
+    return rows.join(sizes, key).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(path)), ",").alias("members"))
 
 
 def rollup_counts(rows: DataFrame) -> DataFrame:

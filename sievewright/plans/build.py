@@ -23,6 +23,8 @@ from .views import HASH_BITS, hashed_pool
 
 QUOTAS = {"train": 20, "validation": 4, "test": 4}
 THRESHOLD = 3
+#: Most members of a group that is written as one row.
+MEMBERS = 100_000
 
 
 def kept_candidates(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -152,9 +154,37 @@ def provenance(turns: DataFrame) -> DataFrame:
     return rows.select(index.alias("manifest_index"), "conv_id", F.col("turn").alias("frame_index"), "role", "video_frame_count", name.alias("frame_name"))
 
 
+def provenance_frames(videos: DataFrame, frames: DataFrame, *, dataset: str = "videos", compression: str = "c23", method: str = "Deepfakes", root: str = "data/raw") -> DataFrame:
+    """The manifest's frames with all their fields, numbered from 1 by video, frame and role.
+
+    videos (sequence_id, source_id, component_id) are manipulated where they have a source; frames are (sequence_id,
+    frame_index, role). Numbers come from running totals over videos, so no task numbers all frames.
+    """
+    ends = F.concat_ws("_", F.col("sequence_id").cast("string"), F.col("source_id").cast("string"))
+    fake = F.col("source_id").isNotNull()
+    facts = videos.select(
+        "sequence_id", "source_id", "component_id", ends.alias("video_name"), F.when(fake, "fake").otherwise("real").alias("label"),
+        F.when(fake, "manipulated").otherwise("original").alias("category"), F.when(fake, method).alias("method"),
+    )
+    totals = frames.groupBy("sequence_id").agg(F.count("*").alias("video_frame_count"))
+    starts = running_total(totals, ["sequence_id"], "video_frame_count")
+    place = F.row_number().over(W.partitionBy("sequence_id").orderBy("frame_index", "role"))
+    rows = frames.select("sequence_id", "frame_index", place.alias("place")).join(starts, "sequence_id").join(facts, "sequence_id")
+    name = X.frame_file_name(F.col("component_id").cast("string"), F.col("video_name"), F.col("frame_index"))
+    return rows.select(
+        (F.col("before") + F.col("place")).cast("bigint").alias("manifest_index"), F.concat_ws("/", F.lit(root), "label", name).alias("rel_path"), F.lit(dataset).alias("source_dataset"),
+        F.lit(compression).alias("compression"), "label", "category", "method", F.concat("video_name", F.lit(".mp4")).alias("source_video"), "sequence_id", "source_id", "component_id", "frame_index",
+        "video_frame_count", "video_name",
+    )
+
+
 def provenance_manifest(frames: DataFrame) -> DataFrame:
-    """The nested manifest, a row a video: its number of frames and these as JSON, in their order."""
+    """The nested manifest, a row a video: its number of frames and these as JSON, in their order.
+
+    A video has as many frames as were sampled from it; one with more than MEMBERS fails instead of growing in one row.
+    """
     entry = F.struct("manifest_index", "frame_index", F.col("role").alias("label"), F.col("frame_name").alias("rel_path"))
+    frames = frames.where(A.at_most(F.col("video_frame_count"), MEMBERS, "frames of one video"))
     rows = frames.groupBy("conv_id").agg(F.max("video_frame_count").alias("total_frames"), F.sort_array(F.collect_list(entry)).alias("frames"))
     return rows.select(F.concat(F.lit("c"), "conv_id").alias("name"), "total_frames", F.to_json("frames", {"ignoreNullFields": "false"}).alias("frames"))
 
@@ -208,7 +238,9 @@ def create_splits(rows: DataFrame, *, cap: int | None = CLASS_CAP, seed: int = S
 
 
 def component_members(parts: DataFrame) -> DataFrame:
-    """The members of every component of (node, component), in order, as one name; components are small by nature."""
+    """The members of every component of (node, component), in order, as one name; one with more than MEMBERS fails."""
+    sizes = parts.groupBy("component").agg(F.count_distinct("node").alias("size"))
+    parts = parts.join(sizes.where(A.at_most(F.col("size"), MEMBERS, "members of one component")), "component")
     members = F.array_join(F.transform(F.sort_array(F.collect_set("node")), lambda x: x.cast("string")), "_")
     return parts.groupBy("component").agg(members.alias("members"), F.count("*").alias("n"))
 

@@ -214,9 +214,9 @@ ORACLES: dict[str, str] = {
         SELECT run_id, true AS same_count, b.epoch = said_best AS same_best, abs(lo - (lo + 0.0004::double)) <= 0.0005::double AS close_loss FROM g JOIN b USING (run_id) WHERE k = 1""",
     "weighted_epoch_means": f"""WITH {HISTORY}, r AS (SELECT run_id, round(val_loss)::double AS loss, (epoch % 8 + 1)::bigint AS n, epoch FROM hist)
         SELECT run_id, sum(loss * n) / greatest(sum(n), 1)::double AS mean_loss, sum(least(n, epoch % 5))::double / greatest(sum(n), 1)::double AS accuracy FROM r GROUP BY run_id""",
-    "softmax_argmax": """WITH l AS (SELECT vec_id, [embedding[1]::double, embedding[2]::double, embedding[3]::double] AS x FROM embeddings), e AS (SELECT vec_id, x, list_max(x) AS m FROM l)
-        SELECT vec_id, (list_position(x, m) - 1)::int AS label, round(1 / (exp(x[1] - m) + exp(x[2] - m) + exp(x[3] - m)), 9) AS confidence FROM e""",
-    "normalise_channels": "SELECT vec_id, round((embedding[1]::double - 0.485::double) / 0.229::double, 9) AS r, round((embedding[2]::double - 0.456::double) / 0.224::double, 9) AS g, round((embedding[3]::double - 0.406::double) / 0.225::double, 9) AS b FROM embeddings",
+    "softmax_argmax": """WITH l AS (SELECT vec_id, list_transform(embedding, lambda v: v::double) AS x FROM embeddings), e AS (SELECT vec_id, x, list_max(x) AS m FROM l)
+        SELECT vec_id, (list_position(x, m) - 1)::int AS label, round(1 / list_sum(list_transform(x, lambda v: exp(v - m))), 9) AS confidence FROM e""",
+    "normalise_channels": "SELECT vec_id, i::int AS pixel, round((embedding[3 * i + 1]::double - 0.485::double) / 0.229::double, 9) AS r, round((embedding[3 * i + 2]::double - 0.456::double) / 0.224::double, 9) AS g, round((embedding[3 * i + 3]::double - 0.406::double) / 0.225::double, 9) AS b FROM embeddings, range(0, 21) t(i)",
     "array_value_range": "SELECT vec_id, list_min(embedding) AS low, list_max(embedding) AS high FROM embeddings",
     "validation_reject_reason": f"""WITH {UPLOADS}, e AS (SELECT *, {EXT('filename')} AS ext FROM uploads)
         SELECT doc_id, CASE WHEN ext = '' THEN 'no_extension' WHEN ext NOT IN ('.jpg', '.jpeg', '.png') THEN 'unsupported_extension' WHEN size_bytes <= 0 THEN 'empty' WHEN size_bytes > 26214400 THEN 'too_large'
@@ -400,3 +400,9 @@ ORACLES["build_log"] = f"""WITH stats AS ({ORACLES["dedup_stats"]}), decided AS
   UNION ALL SELECT 1, 'decided', unnest(['rows', 'kept', 'cross_class', 'same_split', 'cross_split']), unnest([count(*), count_if(decision = 'kept'), count_if(decision = 'cross_class'), count_if(decision = 'same_split'), count_if(decision = 'cross_split')])::bigint FROM decided
   UNION ALL SELECT 2, 'kept', 'rows', kept::bigint FROM one
   UNION ALL SELECT 3, 'selection', unnest(['rows', 'bytes']), unnest([count(*), sum(bytes)])::bigint FROM ({ORACLES["full_build"]})"""
+ORACLES["provenance_frames"] = """WITH v AS (SELECT DISTINCT conv_id AS s FROM conversations), f AS (
+    SELECT s, CASE WHEN s % 2 = 1 THEN s + 1 END AS source, CASE WHEN s % 2 = 1 THEN s WHEN EXISTS (SELECT 1 FROM v w WHERE w.s = v.s - 1) THEN s - 1 ELSE s END AS component FROM v
+  ), r AS (SELECT *, s || CASE WHEN source IS NULL THEN '' ELSE '_' || source END AS name, CASE WHEN source IS NULL THEN 'real' ELSE 'fake' END AS label FROM f JOIN conversations c ON c.conv_id = s)
+  SELECT row_number() OVER (ORDER BY s, turn, role) AS manifest_index, 'data/raw/' || label || '/' || component || '__' || name || '__frame_' || lpad(turn::varchar, 6, '0') || '.png' AS rel_path, 'videos' AS source_dataset, 'c23' AS compression,
+    label, CASE WHEN source IS NULL THEN 'original' ELSE 'manipulated' END AS category, CASE WHEN source IS NOT NULL THEN 'Deepfakes' END AS method, name || '.mp4' AS source_video, s AS sequence_id, source AS source_id, component AS component_id,
+    turn AS frame_index, count(*) OVER (PARTITION BY s) AS video_frame_count, name AS video_name FROM r"""

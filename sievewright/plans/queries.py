@@ -459,8 +459,7 @@ def weighted_epoch_means(spark, d):
 # Arrays, names and sizes.
 @query
 def softmax_argmax(spark, d):
-    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    rows = table(spark, d, "embeddings").select("vec_id", logits.alias("logits")).withColumn("p", A.softmax(F.col("logits")))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits")).withColumn("p", A.softmax(F.col("logits")))
     return rows.select("vec_id", A.argmax(F.col("logits")).alias("label"), F.round(F.array_max("p"), 9).alias("confidence"))
 
 
@@ -474,9 +473,11 @@ def pixel_planes(spark, d):
 
 @query
 def normalise_channels(spark, d):
-    pixel = F.transform(F.slice("embedding", 1, len(CHANNEL_MEAN)), lambda x: x.cast("double"))
-    rows = table(spark, d, "embeddings").select("vec_id", A.normalise_channels(pixel).alias("n"))
-    return rows.select("vec_id", *(F.round(F.get("n", F.lit(i)), 9).alias(c) for i, c in enumerate("rgb")))
+    """Embeddings as 21 pixels of three channels."""
+    n = len(CHANNEL_MEAN)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice("embedding", i * n + 1, n), lambda x: x.cast("double")))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(pixels).alias("pixel", "p")).withColumn("n", A.normalise_channels(F.col("p")))
+    return rows.select("vec_id", "pixel", *(F.round(F.get("n", F.lit(i)), 9).alias(c) for i, c in enumerate("rgb")))
 
 
 def _grey(spark, d):
@@ -641,7 +642,7 @@ def identity_components(spark, d):
 @query
 def component_assignment(spark, d):
     edges = materialise(build.identity_edges(spark, d), "videos")
-    return build.assign_components(edges, connected_components(edges, "sequence_id", "source_id"), strict=False)
+    return build.assign_components(edges, connected_components(edges, "sequence_id", "source_id"))
 
 
 @query
@@ -692,6 +693,16 @@ def markdown_blocks(spark, d):
     return _lines(spark, d).groupBy("doc_id", X.block_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query
+def provenance_frames(spark, d):
+    """Conversations as videos, odd ones made from the next; a row with all fields for every turn."""
+    turns = table(spark, d, "conversations")
+    ids = turns.select(F.col("conv_id").alias("sequence_id")).distinct()
+    videos = materialise(ids.select("sequence_id", F.when(F.col("sequence_id") % 2 == 1, F.col("sequence_id") + 1).alias("source_id")), "videos")
+    parts = connected_components(videos.select("sequence_id", F.coalesce("source_id", "sequence_id").alias("source_id")), "sequence_id", "source_id")
+    return build.provenance_frames(build.assign_components(videos, parts), turns.select(F.col("conv_id").alias("sequence_id"), F.col("turn").alias("frame_index"), "role"))
+
+
 @query
 def build_log(spark, d):
     """What the steps of the build have counted."""
