@@ -50,7 +50,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     first = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(ident)).agg(F.count("*").alias(n_rows))
     # Most ids have one row; only where there are more is it asked which text and which of equal rows stays.
     first = materialise(first, "near-first")
-    left = keyed.join(first, ident)
+    # The same join at every size: the ids kept grow with the documents, so they are never broadcast.
+    left = keyed.join(first.hint("merge"), ident)
     if first.where(F.col(n_rows) > 1).isEmpty():
         return _as_before(left, docs)
     many = left.where(F.col(n_rows) > 1)
