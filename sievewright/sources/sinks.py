@@ -75,14 +75,24 @@ def quarantine(rows: DataFrame, path: str) -> None:
 
 
 def delete_invalid(rows: DataFrame, allow_delete: bool = False) -> int:
-    """Delete invalid (not unsupported) files, only if allowed; returns how many went. Paths come a partition at a time."""
+    """Delete invalid (not unsupported) files, only if allowed; returns how many went. Tasks delete what their rows name."""
     if not allow_delete:
         return 0
-    spark, gone = rows.sparkSession, 0
-    for r in rows.where("status = 'invalid'").select("path").toLocalIterator():
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(r["path"])
-        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False))
-    return gone
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        gone = 0
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                store, name = fs.FileSystem.from_uri(_uri(path))
+                if store.get_file_info(name).is_file:  # a task that runs again finds its files gone
+                    store.delete_file(name)
+                    gone += 1
+        yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], ["gone"])
+
+    wanted = rows.where("status = 'invalid'").select("path")
+    return int(wanted.mapInArrow(delete, "gone bigint").agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0])
 
 
 def check_inside(path: str, folder: str) -> str:
