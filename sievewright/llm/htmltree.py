@@ -16,9 +16,10 @@ extracted.
 
 Defined cases: null or empty html has no text; end tags may be missing or stray; what follows an unclosed script,
 style, textarea, title, iframe or comment is part of it, while other elements end with their parent, and buttons and
-other controls with the next block of the page too; drawings and templates are left out
-where they are closed; a tag that never ends is text; a page without any block belongs to one root element; very long pages are parsed whole, in time linear in their length; repeated rows each get their row;
-other columns of the input play no part; an empty table gives an empty result; text is never cut.
+other controls with the next block of the page too; drawings and templates are left out where they are closed; a tag
+that never ends is text; a page without any block belongs to one root element; very long pages are parsed whole, in time
+linear in their length; repeated rows each get their row; other columns of the input play no part; an empty table gives
+an empty result; text is never cut.
 """
 
 from __future__ import annotations
