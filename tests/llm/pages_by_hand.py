@@ -1,7 +1,6 @@
 """Sixty pages written and labelled by hand: thirty layouts without telling names, each with two articles.
 
-Layouts with an even number served to set the model's parameters, those with an odd one are held out. ``ARTICLE``
-stands for an article's elements; all other text is off.
+None of them trains the model. ``ARTICLE`` stands for an article's elements; all other text is off.
 """
 
 ARTICLES = [

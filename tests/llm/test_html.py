@@ -73,7 +73,7 @@ def model():
     return train()
 
 
-@pytest.mark.parametrize("half", [0, 1])  # the second one is held out
+@pytest.mark.parametrize("half", [0, 1])  # neither trains the model
 def test_hand_labelled_layouts_without_telling_names(model, half):
     right = found = wanted = 0
     for layout, page, main in PAGES:
