@@ -185,3 +185,18 @@ def test_splits_by_walking_the_groups(spark, monkeypatch):
 def test_limits_that_are_refused(spark):
     with pytest.raises(CurationError):
         banded_pairs(spark.createDataFrame([(1, 1)], "key int, hash bigint"), 2)
+
+
+def test_groups_of_one_row_are_bounded(spark, monkeypatch):
+    from sievewright.operators import audit
+    from sievewright.plans import build
+
+    rows = spark.createDataFrame([("a", "p1"), ("a", "p0"), ("b", "p2")], "g string, path string")
+    assert {r["g"]: (r["n"], r["members"]) for r in audit.group_members(rows, "g").collect()} == {"a": (2, "p0,p1"), "b": (1, "p2")}
+    parts = rows.select(F.col("g").alias("component"), F.col("path").alias("node"))
+    assert {r["members"] for r in build.component_members(parts).collect()} == {"p0_p1", "p2"}
+    monkeypatch.setattr(audit, "MEMBERS", 1)
+    monkeypatch.setattr(build, "MEMBERS", 1)
+    for df in (audit.group_members(rows, "g"), build.component_members(parts)):
+        with pytest.raises(Exception, match="more than 1"):
+            df.collect()
