@@ -27,6 +27,8 @@ MAX_ROWS = 64
 ROW_COST = 40
 #: Comparisons from which a join is refused.
 MAX_COMPARISONS = 10**15
+#: About how many classes of one hash are paired with those of another in a row.
+BLOCK = 64
 
 
 def split_priority(split: Column) -> Column:
@@ -222,6 +224,32 @@ def collapsed_pairs(values: DataFrame, threshold: int, key: str = "key", value:
     return near.unionByName(copies.select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance")))
 
 
+def class_pairs(values: DataFrame, threshold: int, key: str = "key", value: str = "hash", same: str = "md5", *, bits: int = 64) -> DataFrame:
+    """(a, b, distance, is_copy): every pair of ``banded_pairs`` between keys that differ in ``same``, told once for their copies.
+
+    Keys that agree in value and in ``same`` are copies; the least one stands for their class and has a row with each
+    other (is_copy). All classes within threshold bits of each other have a pair, those with equal values too. So
+    ``banded_pairs`` follows from it: two keys are as far apart as the classes they are in.
+
+    Each value is joined once, whatever it holds. Its classes are dealt into blocks of about BLOCK, and pairs of blocks
+    are shuffled by both, so that a value that many classes share is no task of its own.
+    """
+    check_threshold(threshold)
+    rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("h"), F.col(same).alias("t"))
+    classes = materialise(rows.groupBy("h", "t").agg(F.min("k").alias("k")), "near-classes")
+    nodes = materialise(classes.groupBy("h").agg(F.count("*").alias("n")).select("h", "n", F.ceil(F.col("n") / BLOCK).alias("m")), "near-values")
+    blocks = classes.join(nodes, "h").groupBy("h", F.expr("pmod(xxhash64(k), m)").alias("i")).agg(F.collect_list("k").alias("x"))
+    near = near_join(nodes.select("h", "m"), nodes.select(F.col("h").alias("g"), F.col("m").alias("w")), threshold, bits=bits, n=nodes.count())
+    met = near.where("h < g").unionByName(nodes.where("n > 1").select("h", "m", F.col("h").alias("g"), F.col("m").alias("w"), F.lit(0).alias("distance")))
+    each = lambda number, name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(number) - 1)).alias(name)
+    met = met.select("h", "g", "w", "distance", each("m", "i")).select("h", "i", "g", "distance", each("w", "j"))
+    met = met.join(blocks, ["h", "i"]).join(blocks.toDF("g", "j", "y"), ["g", "j"])
+    met = met.select("h", "g", "distance", "y", F.explode("x").alias("x")).select("h", "g", "distance", "x", F.explode("y").alias("y"))
+    pairs = met.where((F.col("x") < F.col("y")) | (F.col("h") != F.col("g")) & (F.col("x") != F.col("y")))
+    copies = rows.join(classes.toDF("g", "u", "first"), F.expr("h = g AND t <=> u AND k <> first")).select(F.col("first").alias("a"), F.col("k").alias("b"), F.lit(0).alias("distance"), F.lit(True).alias("is_copy"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance", F.lit(False).alias("is_copy")).unionByName(copies)
+
+
 def greedy_survivors(pairs: DataFrame) -> DataFrame:
     """(key, kept) for every key in pairs (earlier, later): kept unless an earlier kept key is its neighbour.
 

@@ -169,8 +169,9 @@ ORACLES: dict[str, str] = {
     "hash_from_array": f"WITH {COEF} SELECT key, hash, lpad(lower(hex(hash)), 16, '0') AS hash_hex FROM chash",
     "word_hashes": f"WITH {SIMHASH} SELECT doc_id, hash FROM simhash",
     "band_keys": f"WITH {COEF} SELECT key, i::int AS band, (hash >> (48 - 16 * i)) & 65535 AS part FROM chash, (SELECT unnest(range(0, 4)) AS i)",
-    "hamming_pairs_banded": f"""WITH {SIMHASH}, v AS (SELECT min(doc_id) AS key, hash FROM simhash GROUP BY hash) {_near('v', 3)}
-        UNION ALL SELECT v.key AS a, s.doc_id AS b, 0 AS distance FROM v JOIN simhash s ON s.hash = v.hash AND s.doc_id <> v.key""",
+    "hamming_pairs_banded": f"""WITH {SIMHASH}, t AS (SELECT doc_id, hash, text FROM simhash JOIN documents USING (doc_id)), v AS (SELECT min(doc_id) AS key, hash, text FROM t GROUP BY hash, text)
+        SELECT a, b, distance, false AS is_copy FROM ({_near('v', 3)})
+        UNION ALL SELECT v.key AS a, t.doc_id AS b, 0 AS distance, true AS is_copy FROM v JOIN t ON t.hash = v.hash AND t.text = v.text AND t.doc_id <> v.key""",
     "hamming_pairs_wide": f"WITH {COEF} {_near('chash', 15)}",
     "min_cross_split_distance": f"""WITH {COEF} SELECT p.a || '|' || p.b AS pair, coalesce((SELECT min(bit_count(xor(x.hash, y.hash))) FROM chash x, chash y WHERE x.split = p.a AND y.split = p.b), -1)::bigint AS distance
         FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) p(a, b)""",

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from sievewright.config import CurationError
 from sievewright.operators.audit import min_cross_distance, near_across_splits, revalidation_checks, verdict
-from sievewright.operators import splits
-from sievewright.operators.dedup import MAX_ROWS, banded_pairs, collapsed_pairs, comparisons, dedup_stats, exact_survivors, greedy_survivors, near_join, near_survivors, probe_plan
+from sievewright.operators import dedup, splits
+from sievewright.operators.dedup import MAX_ROWS, banded_pairs, class_pairs, collapsed_pairs, comparisons, dedup_stats, exact_survivors, greedy_survivors, near_join, near_survivors, probe_plan
 from sievewright.operators.frequent import most_frequent
 from sievewright.operators.ordered import running_total
 from sievewright.operators.sampling import first_rows, in_batches
 from sievewright.operators.splits import grouped_greedy_split, prefix_sum_split
+from sievewright.plans.queries import QUERIES
 
 
 def close_hashes(bits, n=60, seed=1):
@@ -74,6 +75,35 @@ def test_collapsed_pairs_link_the_same_keys(spark):
     assert parts(got) == parts(every)
 
 
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_class_pairs_lose_no_pair_of_different_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    hashes = close_hashes(60, 12, 5)
+    rows = [(i, h, f"text {i % 48}" if i % 5 else None) for i, h in enumerate(hashes * 8)] + [(1000, None, "text 1")]
+    frame = spark.createDataFrame(rows, "key int, hash bigint, md5 string")
+    got = [tuple(r) for r in class_pairs(frame, 7, bits=60).collect()]
+    classes = {}
+    for k, *kind in rows:
+        classes.setdefault(tuple(kind), k)
+    first = {k: classes[tuple(kind)] for k, *kind in rows}
+    assert sorted((b, a) for a, b, _, copy in got if copy) == [(k, f) for k, f in sorted(first.items()) if k != f]
+    every = {(r["a"], r["b"], r["distance"]) for r in banded_pairs(frame, 7, bits=60).collect()}
+    between = [x[:3] for x in got if not x[3]]
+    assert sorted(between) == sorted(x for x in every if first[x[0]] == x[0] and first[x[1]] == x[1])
+    # With the copies put in again, it is every pair.
+    far = {x[:2]: x[2] for x in between}
+    told = {(a, b): 0 if first[a] == first[b] else far.get(tuple(sorted((first[a], first[b])))) for a in first for b in first if a < b}
+    assert {(*k, d) for k, d in told.items() if d is not None} == every
+
+
+def test_texts_of_the_same_words_are_paired(spark, tmp_path):
+    """Different texts with one hash each have their pair; the copy of one has its row."""
+    texts = ["red green blue", "blue green red", "green red blue", "red green blue", None, "other words of another text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'x' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["hamming_pairs_banded"](spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 0, False), (0, 2, 0, False), (0, 3, 0, True), (1, 2, 0, False)]
+
+
 def test_nulls_and_equal_hashes(spark):
     rows = [("p1", "test", "real", "m1", 5), ("p2", "train", "real", "m2", 5), ("p3", "train", "fake", "m3", None), ("p4", "train", "fake", "m4", None), ("p5", "train", "fake", None, None), ("p6", "train", "real", "m1", 5), ("p7", "validation", "fake", "m7", 4096)]
     rows = spark.createDataFrame(rows, "path string, split string, class_name string, md5 string, hash bigint")
