@@ -17,8 +17,9 @@ and the symbol, so it is worked out once for each distinct gram of the corpus:
    bytes each) are broadcast; what a text has of the others goes through one shuffle join, a row for each text and gram
    or word. These are rare by choice, so no key is a hot one.
 
-A task holds the grams and words it has counted, up to ``HELD`` before it passes them on, and looks at a few MB of text
-at a time, however long one is.
+A task holds the grams and words it has counted, up to ``HELD_GRAMS`` and ``HELD_WORDS`` before it passes them on, and
+looks at some ``CHUNK`` bytes of text at a time, however long one is and however many a batch has. Two tasks of an
+executor thus stay within a few hundred MB besides the broadcast.
 
 Defined cases: null or empty text has one token, the end; rows with a null id are held out; repeated rows each get
 their row; texts of any length are scored whole, in time linear in their length; other columns of the input play no
@@ -43,12 +44,12 @@ from ..session import materialise
 ORDER = 5
 END = b" end"
 #: Bytes of text looked at in one go.
-CHUNK = 4_000_000
-#: Largest table for numbering grams by direct address; beyond it they are sorted.
-CELLS = 1 << 26
+CHUNK = 2_000_000
+#: Largest table for numbering grams by direct address, at five bytes a cell; beyond it they are sorted.
+CELLS = 1 << 24
 HEAD_GRAMS, HEAD_WORDS = 1_000_000, 400_000
-#: Distinct words and grams a task holds before it passes its counts on.
-HELD = 1_500_000
+#: Distinct grams and words a task holds before it passes its counts on, at some 64 bytes (while they are sorted) and 150.
+HELD_GRAMS, HELD_WORDS = 1_000_000, 300_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,6 +102,19 @@ def _low(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def slices(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch in lower case, so many at a time that they have about size bytes; each with the first one's place."""
+    at, held, n = 0, [], 0
+    for t in column:
+        held.append(_low(t.as_py()))
+        n += len(held[-1])
+        if n >= size:
+            yield at, held
+            at, held, n = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
 def segments(texts: Iterable[bytes], order: int = ORDER, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, places where each segment begins, number of its text), about chunk bytes at a time.
 
@@ -251,7 +265,10 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and the sums of their counts; empties the lists, so that no part is held twice."""
     every, n = np.concatenate(codes), np.concatenate(counts)
+    codes.clear()
+    counts.clear()
     at = np.argsort(every, kind="stable")
     every, n = every[at], n[at]
     first = _first_of_runs(every)
@@ -284,29 +301,30 @@ def count_corpus(docs: DataFrame) -> DataFrame:
                 codes[:], counts[:] = [u], [n]
 
         for b in batches:
-            out = b.column("held_out").to_numpy(zero_copy_only=False)
-            texts = [_low(t.as_py()) for t in b.column("text")]
-            for t, apart in zip(texts, out):
-                if not apart:
-                    words.update(t.split())
-                    words[END] += 1
-            if len(words) > HELD:
-                yield from of_words()
-            for data, starts, owners in segments(texts):
-                ids, known = grams_of(data)
-                kept = ids[_inside(len(ids), starts, ORDER)]
-                every = np.bincount(kept, minlength=len(known))
-                n = every
-                if out[owners].any():
-                    n = np.bincount(kept[np.repeat(~out[owners], np.diff(np.r_[starts, len(data)]) - ORDER)], minlength=len(known))
-                codes.append(known[every > 0])
-                counts.append(n[every > 0].astype(np.int64))
-                if sum(map(len, codes)) > 2 * HELD:
-                    fold()
-                    if len(codes[0]) > HELD:
-                        yield from of_grams()
-                        codes.clear()
-                        counts.clear()
+            apart = b.column("held_out").to_numpy(zero_copy_only=False)
+            for first, texts in slices(b.column("text")):
+                out = apart[first : first + len(texts)]
+                for t, aside in zip(texts, out):
+                    if not aside:
+                        words.update(t.split())
+                        words[END] += 1
+                if len(words) > HELD_WORDS:
+                    yield from of_words()
+                for data, starts, owners in segments(texts):
+                    ids, known = grams_of(data)
+                    kept = ids[_inside(len(ids), starts, ORDER)]
+                    every = np.bincount(kept, minlength=len(known))
+                    n = every
+                    if out[owners].any():
+                        n = np.bincount(kept[np.repeat(~out[owners], np.diff(np.r_[starts, len(data)]) - ORDER)], minlength=len(known))
+                    codes.append(known[every > 0])
+                    counts.append(n[every > 0].astype(np.int64))
+                    if sum(map(len, codes)) > 1.5 * HELD_GRAMS:
+                        fold()
+                        if len(codes[0]) > HELD_GRAMS:
+                            yield from of_grams()
+                            codes.clear()
+                            counts.clear()
         yield from of_words()
         fold()
         yield from of_grams()
@@ -372,7 +390,7 @@ class Scorer:
             ids, known = grams_of(data)
             at = np.minimum(np.searchsorted(self.grams, known), max(len(self.grams) - 1, 0))
             here = self.grams[at] == known if len(self.grams) else np.zeros(len(known), bool)
-            values = np.where(here, self.logs[at] if len(self.grams) else 0.0, 0.0)[ids]
+            values = np.where(here, self.logs[at] if len(self.grams) else 0.0, 0.0).astype(np.float64)[ids]  # sums of doubles, however the texts are sliced
             inside = _inside(len(ids), starts, ORDER)
             values[~inside] = 0.0
             np.add.at(out, owners, np.add.reduceat(values, starts))
@@ -407,25 +425,29 @@ def score_documents(docs: DataFrame, *, head_grams: int = HEAD_GRAMS, head_words
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer, row = sent.value, TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = [_low(t.as_py()) for t in b.column("text")]
-            sums, owners, rare, often = scorer.of_grams(texts)
-            n_tokens, n_known, base, others = zip(*map(scorer.of_words, texts)) if texts else ((),) * 4
-            n, keys = len(texts), np.arange(row, row + len(texts))
-            row += n
-            # A text's own row has a key that no text can hold, and so one that spreads over all tasks.
-            own = [pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), pa.array(keys), b.column("doc_id"), b.column("held_out"), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums)], names)
-            at = np.repeat(np.arange(n), [len(x) for x in others])
-            at = np.concatenate([at, owners]).astype(np.int64)
-            sought = [w for x in others for w in x] + [_gram_key(g) for g in rare.tolist()]
-            times = np.concatenate([np.array([k for x in others for k in x.values()], np.int64), often])
-            for i in range(0, len(at), 50_000):
-                part = at[i : i + 50_000]
-                zeros = pa.array(np.zeros(len(part), np.int64))
-                of_text = [pa.array(keys[part]), pa.nulls(len(part), b.column("doc_id").type), pa.nulls(len(part), pa.bool_()), pa.array(times[i : i + 50_000])]
-                yield pa.RecordBatch.from_arrays([pa.array(sought[i : i + 50_000], pa.binary()), *of_text, zeros, zeros, pa.array(np.zeros(len(part))), pa.array(np.zeros(len(part)))], names)
+            for first, texts in slices(b.column("text")):
+                yield from of_texts(b.slice(first, len(texts)), texts, row)
+                row += len(texts)
+
+    def of_texts(b: pa.RecordBatch, texts: list[bytes], row: int) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value
+        sums, owners, rare, often = scorer.of_grams(texts)
+        n_tokens, n_known, base, others = zip(*map(scorer.of_words, texts))
+        n, keys = len(texts), np.arange(row, row + len(texts))
+        # A text's own row has a key that no text can hold, and so one that spreads over all tasks.
+        own = [pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), pa.array(keys), b.column("doc_id"), b.column("held_out"), pa.nulls(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums)], names)
+        at = np.repeat(np.arange(n), [len(x) for x in others])
+        at = np.concatenate([at, owners]).astype(np.int64)
+        sought = [w for x in others for w in x] + [_gram_key(g) for g in rare.tolist()]
+        times = np.concatenate([np.array([k for x in others for k in x.values()], np.int64), often])
+        for i in range(0, len(at), 50_000):
+            part = at[i : i + 50_000]
+            zeros = pa.array(np.zeros(len(part), np.int64))
+            of_text = [pa.array(keys[part]), pa.nulls(len(part), b.column("doc_id").type), pa.nulls(len(part), pa.bool_()), pa.array(times[i : i + 50_000])]
+            yield pa.RecordBatch.from_arrays([pa.array(sought[i : i + 50_000], pa.binary()), *of_text, zeros, zeros, pa.array(np.zeros(len(part))), pa.array(np.zeros(len(part)))], names)
 
     names = ["word", "row", "doc_id", "held_out", "times", "n_tokens", "n_known", "base", "score"]
     ddl = f"word binary, row bigint, doc_id {kind}, held_out boolean, times bigint, n_tokens bigint, n_known bigint, base double, score double"

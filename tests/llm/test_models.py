@@ -1,14 +1,16 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievewright.llm.htmltree import BOX, MAIN, OFF, labelled_pages, parse, train
 from sievewright.llm.mixing import mix_sources, rake, rake_frame
-from sievewright.llm.ppm import END, ORDER, Shorter, blend, code_length, grams_of, score_documents, segments, train_trie
+from sievewright.llm.ppm import END, ORDER, Shorter, blend, code_length, count_corpus, grams_of, score_documents, segments, slices, train_trie
 from sievewright.llm.sharding import assign_shards, fill_table
 
 
@@ -87,6 +89,37 @@ def test_lm_predictions_are_distributions():
     assert code_length(b"") == pytest.approx(-math.log10(256)) and code_length(b"abababababab") > 13 * -math.log10(256)  # an adaptive model learns
 
 
+def test_batches_are_sliced_whole():
+    texts = ["Aa " * 5, None, "", "x" * 50, "yY", None]
+    got = list(slices(pa.array(texts), 10))
+    assert [t for _, part in got for t in part] == [(t or "").lower().encode() for t in texts]
+    assert [at for at, _ in got] == [0, 1, 4] and not list(slices(pa.array([], pa.string())))
+
+
+def test_memory_does_not_follow_the_batch():
+    """Counting 16 MB of texts in one batch."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(20_000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 1_150)) for _ in range(2_000)]
+    batch = pa.record_batch({"held_out": pa.array([i % 10 == 0 for i in range(len(texts))]), "text": pa.array(texts)})
+
+    class Taken:  # a table that hands over what is run on its batches
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    tracemalloc.start()
+    grams = 0
+    for rows in count_corpus(Taken())(iter([batch])):
+        grams += rows.column("n").to_numpy().sum() if rows.column("word").null_count else 0
+    counting = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert grams == sum(len(t) + 1 for i, t in enumerate(texts) if i % 10)
+    assert counting < 250, counting
+
+
 @pytest.mark.parametrize("chunk", [9, 40, 1000])
 def test_lm_segments_hold_every_gram_once(chunk, monkeypatch):
     from sievewright.llm import ppm
